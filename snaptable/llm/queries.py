@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .jpeg import encode_media, media_digest
 from .packing import pack
 from .pieces import token_pieces
 from .scratch import Scratch
@@ -31,8 +32,14 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(Scratch(spark, "op3"), pieces)
 
 
+def op7_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return media_digest(Scratch(spark, "op7").table(encode_media(docs), "media"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op3_packing": op3_packing,
+    "op7_progressive_jpeg": op7_progressive_jpeg,
 }
 ORACLE_SQL: dict[str, str] = {}
