@@ -5,12 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .chat import ORACLE as CHAT_SQL
+from .chat import rotation_rows
 from .jpeg import encode_media, media_digest
+from .mixing import ORACLE as MIXING_SQL
+from .mixing import mixed_rows
 from .packing import pack
 from .pieces import token_pieces
 from .scratch import Scratch
+from .token_counts import count_tokens
 from .token_files import read_documents, write_token_files
+from .toxicity import toxicity_rows
+from .vp_search import nearest
 
 
 def tokenizer(name: str) -> str:
@@ -19,27 +27,47 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "op1")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    manifest = write_token_files(docs, scratch.path("files"), tokenizer("word_bpe_49k.json"), end_id=2)
+    manifest = write_token_files(table(spark, sf_dir, "documents"), scratch.path("files"), tokenizer("word_bpe_49k.json"), end_id=2)
     return read_documents(scratch.table(manifest, "manifest"))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    pieces = token_pieces(docs, tokenizer("byte_bpe_50k.json"), end_id=0)
+    pieces = token_pieces(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=0)
     return pack(Scratch(spark, "op3"), pieces)
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed_rows(Scratch(spark, "op4"), table(spark, sf_dir, "documents"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_rows(Scratch(spark, "op5"), table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rotation_rows(table(spark, sf_dir, "conversations"))
+
+
 def op7_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return media_digest(Scratch(spark, "op7").table(encode_media(docs), "media"))
+    return media_digest(Scratch(spark, "op7").table(encode_media(table(spark, sf_dir, "documents")), "media"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
+def op10_vp_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(Scratch(spark, "op10"), table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_token_files": op1_token_files,
-    "op3_packing": op3_packing,
-    "op7_progressive_jpeg": op7_progressive_jpeg,
+    f.__name__: f
+    for f in (op1_token_files, op3_packing, op4_mixing, op5_toxicity, op6_chat_rotation, op7_progressive_jpeg, op8_token_counts, op10_vp_search)
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_mixing": MIXING_SQL, "op6_chat_rotation": CHAT_SQL}
