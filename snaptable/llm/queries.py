@@ -12,6 +12,7 @@ from .chat import rotation_rows
 from .jpeg import encode_media, media_digest
 from .mixing import ORACLE as MIXING_SQL
 from .mixing import mixed_rows
+from .near_dedup import linked
 from .packing import pack
 from .pieces import token_pieces
 from .scratch import Scratch
@@ -62,12 +63,16 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linked(Scratch(spark, "op9"), table(spark, sf_dir, "documents"))
+
+
 def op10_vp_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(Scratch(spark, "op10"), table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_files, op3_packing, op4_mixing, op5_toxicity, op6_chat_rotation, op7_progressive_jpeg, op8_token_counts, op10_vp_search)
+    for f in (op1_token_files, op3_packing, op4_mixing, op5_toxicity, op6_chat_rotation, op7_progressive_jpeg, op8_token_counts, op9_near_dedup, op10_vp_search)
 }
 ORACLE_SQL: dict[str, str] = {"op4_mixing": MIXING_SQL, "op6_chat_rotation": CHAT_SQL}

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
-LEAF = 128
+LEAF = 512
 SHARD = 8192
 BLOCK = 1024
 #: Default pruning factor; recall against brute force is measured in the tests and given in the README.
@@ -59,11 +59,11 @@ def search(ids: np.ndarray, vectors: np.ndarray, order: np.ndarray, nodes: np.nd
     lengths = np.linalg.norm(queries, axis=1)
     unit = np.hstack([queries / lengths[:, None], np.zeros((len(queries), 1))])
     best_ids = np.full((len(queries), k), np.iinfo(np.int64).max)
-    best = np.full((len(queries), k), -np.inf)
+    best, worst = np.full((len(queries), k), -np.inf), np.full(len(queries), -np.inf)
 
     def reach(q: np.ndarray) -> np.ndarray:
         """Distance of each query's k-th best."""
-        return np.sqrt(np.maximum(1 + top * top - 2 * best[q, -1] / lengths[q], 0)) + 1e-9
+        return np.sqrt(np.maximum(1 + top * top - 2 * worst[q] / lengths[q], 0)) + 1e-9
 
     def walk(n: int, q: np.ndarray) -> None:
         start, end, vantage, left, right = nodes[n, :5].astype(int)
@@ -71,14 +71,17 @@ def search(ids: np.ndarray, vectors: np.ndarray, order: np.ndarray, nodes: np.nd
             own = order[start:end]
             found = np.einsum("qd,pd->qp", queries[q], vectors[own])
             found[query_ids[q][:, None] == ids[own][None, :]] = -np.inf
-            hit = found.max(1) >= best[q, -1]
+            hit = found.max(1) >= worst[q]
             q, found = q[hit], found[hit]
             if len(q):
                 score = np.hstack([best[q], found])
                 name = np.hstack([best_ids[q], np.broadcast_to(ids[own], found.shape)])
                 name[np.isneginf(score)] = np.iinfo(np.int64).max
-                rank = np.lexsort((name, -score), axis=1)[:, :k]
-                best[q], best_ids[q] = np.take_along_axis(score, rank, 1), np.take_along_axis(name, rank, 1)
+                rank = np.argpartition(-score, k - 1, axis=1)[:, :k]
+                least = np.take_along_axis(score, rank, 1).min(1)
+                tied = np.flatnonzero((score >= least[:, None]).sum(1) > k)
+                rank[tied] = np.lexsort((name[tied], -score[tied]), axis=1)[:, :k]
+                best[q], best_ids[q], worst[q] = np.take_along_axis(score, rank, 1), np.take_along_axis(name, rank, 1), least
             return
         d = np.linalg.norm(unit[q] - points[vantage], axis=1)
         near_left = d < (nodes[n, 6] + nodes[n, 7]) / 2
@@ -91,6 +94,8 @@ def search(ids: np.ndarray, vectors: np.ndarray, order: np.ndarray, nodes: np.nd
                     walk(child, q[mine])
 
     walk(0, np.arange(len(queries)))
+    rank = np.lexsort((best_ids, -best), axis=1)
+    best, best_ids = np.take_along_axis(best, rank, 1), np.take_along_axis(best_ids, rank, 1)
     return np.where(np.isneginf(best), -1, best_ids), best
 
 
