@@ -15,6 +15,7 @@ from .mixing import mixed_rows
 from .near_dedup import linked
 from .packing import pack
 from .pieces import token_pieces
+from .pitman_yor import score_rows
 from .scratch import Scratch
 from .token_counts import count_tokens
 from .token_files import read_documents, write_token_files
@@ -38,6 +39,10 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(scratch.table(manifest, "manifest"))
 
 
+def op2_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_rows(Scratch(spark, "op2"), table(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = token_pieces(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=0)
     return pack(Scratch(spark, "op3"), pieces)
@@ -73,6 +78,6 @@ def op10_vp_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_files, op3_packing, op4_mixing, op5_toxicity, op6_chat_rotation, op7_progressive_jpeg, op8_token_counts, op9_near_dedup, op10_vp_search)
+    for f in (op1_token_files, op2_pitman_yor, op3_packing, op4_mixing, op5_toxicity, op6_chat_rotation, op7_progressive_jpeg, op8_token_counts, op9_near_dedup, op10_vp_search)
 }
 ORACLE_SQL: dict[str, str] = {"op4_mixing": MIXING_SQL, "op6_chat_rotation": CHAT_SQL}
