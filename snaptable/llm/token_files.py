@@ -162,5 +162,5 @@ def read_documents(manifest: DataFrame) -> DataFrame:
                     crc = [zlib.crc32(seqs.span(s, k).astype("<u4")) for s, k in zip(starts.tolist(), n.tolist(), strict=True)]
                     yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "start": starts + row["base"], "n_tokens": n, "ids_crc32": pa.array(crc, pa.int64())})
 
-    spread = with_starts(manifest).repartition("shard")
+    spread = with_starts(manifest).repartition(max(1, manifest.count()), "shard")  # a task a shard; AQE would merge small rows
     return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
