@@ -151,13 +151,29 @@ def _prefix_lists(values: DataFrame, needed) -> DataFrame:
 
 
 def _in_several(lists: DataFrame, comps: DataFrame | None) -> DataFrame:
-    """The lists that hold several components, with comp of each member."""
+    """The lists that hold several components, with comp of each member. Of lists with the same members
+    (told by count, sum and xor of their hashes) one goes on, as the others give the same pairs."""
     if comps is None:
         named = lists.withColumn("comp", F.col("rep"))
     else:
         named = lists.drop("comp").join(comps.select(F.col("node").alias("rep"), "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    several = named.groupBy("value").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("value")
-    return named.join(several, "value")
+    own = F.xxhash64("rep")
+    signs = [F.count(F.lit(1)).alias("members"), F.sum(F.shiftright(own, 12)).alias("total"), F.bit_xor(own).alias("xor")]
+    several = named.groupBy("value").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), *signs).filter("low < high")
+    return named.join(several.groupBy("members", "total", "xor").agg(F.min("value").alias("value")).select("value"), "value")
+
+
+def _merged_labels(scratch: Scratch, labels: DataFrame | None, found: DataFrame, name: str) -> DataFrame:
+    """node, comp after new links; only links between components are followed."""
+    if labels is None:
+        return components(scratch, found, name)
+    ends = found
+    for c in ("a", "b"):
+        ends = ends.join(labels.select(F.col("node").alias(c), F.col("comp").alias(f"comp_{c}")), c, "left").withColumn(f"comp_{c}", F.coalesce(f"comp_{c}", c))
+    moved = components(scratch, ends.select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")).filter("a <> b"), name)
+    both = labels.unionByName(moved.select("node", F.col("node").alias("comp"))).groupBy("node").agg(F.min("comp").alias("comp"))
+    moved = moved.select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+    return scratch.table(both.join(moved, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), f"{name}-labels")
 
 
 def linked(scratch: Scratch, docs: DataFrame, k: int = K, t: int = T, rounds: int = ROUNDS, size: int = WORDS) -> DataFrame:
@@ -171,7 +187,7 @@ def linked(scratch: Scratch, docs: DataFrame, k: int = K, t: int = T, rounds: in
     named = rows.filter("doc_id is not null and n_shingles > 0")
     classes = scratch.table(named.groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "classes")
     copies = named.select("doc_id", "print").join(classes.select("print", "rep"), "print").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).filter("a <> b")
-    links = scratch.table(copies, "copies")
+    copies = scratch.table(copies.distinct(), "copies")
 
     values = classes.select("rep", "n", F.size("sketch").alias("size"), F.explode("sketch").alias("value"))
     needed = F.least(F.lit(t), F.ceil(F.col("size") * PERCENT / 100)).cast("int")
@@ -181,7 +197,6 @@ def linked(scratch: Scratch, docs: DataFrame, k: int = K, t: int = T, rounds: in
     sets = scratch.table(full_sets(text, size), "sets").join(classes.select("rep", "print", "n"), "rep").filter(F.length("shingles") == 8 * F.col("n"))
     sets = sets.select("rep", "n", "shingles").dropDuplicates(["rep"])
 
-    near = links
     comps = None
     for number in range(rounds):
         pivot = lists.groupBy("value").agg(F.min_by(F.struct("rep", "n", "comp"), F.struct(F.xxhash64("rep", F.lit(number)) if number else F.lit(0).cast("long"), "rep")).alias("p"))
@@ -192,16 +207,18 @@ def linked(scratch: Scratch, docs: DataFrame, k: int = K, t: int = T, rounds: in
         found = scratch.table(_verified(pairs, sets), f"links-{number}")
         if found.isEmpty():
             break
-        near = near.unionByName(found)
-        comps = components(scratch, near.filter("a <> b"), f"comps-{number}")
+        comps = _merged_labels(scratch, comps, found, f"comps-{number}")
         lists = scratch.table(_in_several(lists, comps), f"lists-{number}")
         if lists.isEmpty():
             break
-    near = near.unionByName(_exact_rest(scratch, lists, sets)) if not lists.isEmpty() else near
-    comps = components(scratch, near.filter("a <> b"), "comps")
-    out = rows.join(comps.select(F.col("node").alias("doc_id"), "comp"), "doc_id", "left")
-    component = F.coalesce("comp", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    if not lists.isEmpty():
+        comps = _merged_labels(scratch, comps, _exact_rest(scratch, lists, sets), "comps")
+    # A document's class, then the class's component; a null or unlisted one stands for itself.
+    named = rows.join(copies.groupBy(F.col("a").alias("doc_id")).agg(F.min("b").alias("rep")), "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
+    if comps is not None:
+        named = named.join(comps.select(F.col("node").alias("rep"), "comp"), "rep", "left")
+        named = named.withColumn("rep", F.coalesce("comp", "rep"))
+    return named.select("doc_id", "n_shingles", F.col("rep").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("rep"), F.lit(True)).alias("kept"))
 
 
 def _exact_rest(scratch: Scratch, lists: DataFrame, sets: DataFrame) -> DataFrame:
@@ -219,8 +236,8 @@ def _exact_rest(scratch: Scratch, lists: DataFrame, sets: DataFrame) -> DataFram
     rest = scratch.table(lists.groupBy("rep").agg(F.first("comp").alias("comp")), "rest")
     values = sets.join(rest, "rep").select("rep", "n", "shingles").mapInArrow(spread, "rep long, n long, value long")
     values = scratch.table(values.withColumn("size", F.col("n")), "rest-values")
-    exact = _prefix_lists(values, F.ceil(F.col("size") * PERCENT / 100).cast("int")).join(rest, "rep")
-    exact = scratch.table(exact, "rest-lists")
+    exact = _prefix_lists(values, F.ceil(F.col("size") * PERCENT / 100).cast("int"))
+    exact = scratch.table(_in_several(exact.drop("comp"), rest.select(F.col("rep").alias("node"), "comp")), "rest-lists")
     x, y = exact.alias("x"), exact.alias("y")
     pairs = x.join(y, F.expr(f"x.value = y.value and x.comp < y.comp and 100 * least(x.n, y.n) >= {PERCENT} * greatest(x.n, y.n)"))
     pairs = scratch.table(pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct(), "rest-pairs")
