@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterable
 import numpy as np
 
 #: Characters of parts that a worker remembers before it starts anew; bounds its memory.
-MEMO_CHARS = 24_000_000
+MEMO_CHARS = 18_000_000
 
 _WORKER: dict = {}
 _SPACE_PAIR = re.compile(r"\s[ \n]")
