@@ -89,8 +89,10 @@ class Encoder:
     def _normal(self, parts: list[str]) -> list[str]:
         if not (normalizer := self.tokenizer.normalizer) or not parts:
             return parts
-        together = normalizer.normalize_str("\n".join(parts)).split(" ")
-        return together if len(together) == len(parts) else [normalizer.normalize_str(p) for p in parts]
+        # Parts without white space of any kind can go together: it becomes one space, where they are parted again.
+        alone = [p.split() != [p] for p in parts]
+        together = iter(normalizer.normalize_str("\n".join(p for p, x in zip(parts, alone, strict=True) if not x)).split(" "))
+        return [normalizer.normalize_str(p) if x else next(together) for p, x in zip(parts, alone, strict=True)]
 
     def _word(self, word: str) -> bytes:
         letters = word.encode().decode("latin-1").translate(self.letters)
