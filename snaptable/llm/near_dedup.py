@@ -191,7 +191,9 @@ def linked(scratch: Scratch, docs: DataFrame, k: int = K, t: int = T, rounds: in
 
     values = classes.select("rep", "n", F.size("sketch").alias("size"), F.explode("sketch").alias("value"))
     needed = F.least(F.lit(t), F.ceil(F.col("size") * PERCENT / 100)).cast("int")
-    lists = scratch.table(_in_several(_prefix_lists(values, needed), None), "lists")
+    lists = scratch.table(_prefix_lists(values, needed), "prefixes")
+    reach = lists.join(lists.groupBy("value").count(), "value").groupBy("rep").agg(F.sum("count").alias("reach"))
+    lists = scratch.table(_in_several(lists.join(reach, "rep"), None), "lists")
     members = lists.select("rep").distinct()
     text = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(members, "rep")
     sets = scratch.table(full_sets(text, size), "sets").join(classes.select("rep", "print", "n"), "rep").filter(F.length("shingles") == 8 * F.col("n"))
@@ -199,7 +201,9 @@ def linked(scratch: Scratch, docs: DataFrame, k: int = K, t: int = T, rounds: in
 
     comps = None
     for number in range(rounds):
-        pivot = lists.groupBy("value").agg(F.min_by(F.struct("rep", "n", "comp"), F.struct(F.xxhash64("rep", F.lit(number)) if number else F.lit(0).cast("long"), "rep")).alias("p"))
+        # First those in the longest lists, as an original is among its copies, then the smallest, then any.
+        order = -F.col("reach") if number == 0 else F.lit(0).cast("long") if number == 1 else F.xxhash64("rep", F.lit(number))
+        pivot = lists.groupBy("value").agg(F.min_by(F.struct("rep", "n", "comp"), F.struct(order, "rep")).alias("p"))
         pairs = lists.join(pivot, "value").filter((F.col("comp") != F.col("p.comp")) & (100 * F.least("n", "p.n") >= PERCENT * F.greatest("n", "p.n")))
         pairs = pairs.groupBy(F.col("rep").alias("a"), F.col("p.rep").alias("b")).count()
         pairs = pairs.groupBy("a").agg(F.max_by("b", F.struct("count", -F.col("b"))).alias("b"))
