@@ -14,6 +14,7 @@ left out. Sketches and sets are tables in the shared folder; no list or link com
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ WORDS, PERCENT = 5, 75
 K = 48
 #: Least number of values that two sketches of K share at the threshold, 5.8 standard deviations below 36.
 T = 19
-ROUNDS = 4
+ROUNDS = 3
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -142,25 +143,27 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _prefix_lists(values: DataFrame, needed) -> DataFrame:
-    """value, rep, n: under its rarest shared values, all but needed - 1, from values(value, rep, n, size)."""
+    """value, often, rep, n, left: under its rarest shared values, all but needed - 1, from values(value, rep,
+    n, size). often: sets with the value; left: values of the set from this one on, rarest first."""
     often = values.groupBy("value").count().filter("count > 1")
     found = values.join(often, "value").groupBy("rep").agg(F.first("n").alias("n"), F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("count", "value"))).alias("found"))
     kept = F.size("found") - needed + 1
-    lists = found.filter(kept > 0).select("rep", "n", F.explode(F.slice("found", F.lit(1), kept)).alias("x")).select("x.value", "rep", "n")
-    return lists
+    lists = found.filter(kept > 0).select("rep", "n", F.size("found").alias("shared"), F.posexplode(F.slice("found", F.lit(1), kept)).alias("at", "x"))
+    return lists.select("x.value", F.col("x.count").alias("often"), "rep", "n", (F.col("shared") - F.col("at")).alias("left"))
 
 
 def _in_several(lists: DataFrame, comps: DataFrame | None) -> DataFrame:
     """The lists that hold several components, with comp of each member. Of lists with the same members
-    (told by count, sum and xor of their hashes) one goes on, as the others give the same pairs."""
+    (told by count, sum and xor of their hashes) the one of the rarest value goes on, as the others give the
+    same pairs."""
     if comps is None:
         named = lists.withColumn("comp", F.col("rep"))
     else:
         named = lists.drop("comp").join(comps.select(F.col("node").alias("rep"), "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     own = F.xxhash64("rep")
     signs = [F.count(F.lit(1)).alias("members"), F.sum(F.shiftright(own, 12)).alias("total"), F.bit_xor(own).alias("xor")]
-    several = named.groupBy("value").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), *signs).filter("low < high")
-    return named.join(several.groupBy("members", "total", "xor").agg(F.min("value").alias("value")).select("value"), "value")
+    several = named.groupBy("value").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.first("often").alias("often"), *signs).filter("low < high")
+    return named.join(several.groupBy("members", "total", "xor").agg(F.min(F.struct("often", "value")).alias("x")).select("x.value"), "value")
 
 
 def _merged_labels(scratch: Scratch, labels: DataFrame | None, found: DataFrame, name: str) -> DataFrame:
@@ -227,7 +230,10 @@ def linked(scratch: Scratch, docs: DataFrame, k: int = K, t: int = T, rounds: in
 
 def _exact_rest(scratch: Scratch, lists: DataFrame, sets: DataFrame) -> DataFrame:
     """Links between components among what the lists still hold. A pair at the threshold shares one of the
-    rarest quarter of either's shingles, so each set is listed under those only."""
+    rarest quarter of either's shingles, so each set is listed under those only. The first one they share
+    leaves enough of both sets to meet the threshold, so others are no candidates; that keeps sets of one
+    common passage apart. Of the smaller set it lies in the rarest seventh. Sets meet by class of size, too,
+    of which the larger one's is the same or the next."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -242,8 +248,12 @@ def _exact_rest(scratch: Scratch, lists: DataFrame, sets: DataFrame) -> DataFram
     values = scratch.table(values.withColumn("size", F.col("n")), "rest-values")
     exact = _prefix_lists(values, F.ceil(F.col("size") * PERCENT / 100).cast("int"))
     exact = scratch.table(_in_several(exact.drop("comp"), rest.select(F.col("rep").alias("node"), "comp")), "rest-lists")
-    x, y = exact.alias("x"), exact.alias("y")
-    pairs = x.join(y, F.expr(f"x.value = y.value and x.comp < y.comp and 100 * least(x.n, y.n) >= {PERCENT} * greatest(x.n, y.n)"))
+    both, size = 100 + PERCENT, F.floor(F.log("n") / math.log(100 / PERCENT)).cast("int")
+    x = exact.withColumn("class", F.explode(F.array(size, size - 1))).alias("x")
+    y = exact.filter(both * F.col("left") >= 2 * PERCENT * F.col("n")).withColumn("class", size).alias("y")
+    smaller = "(y.n < x.n or y.n = x.n and y.comp < x.comp) and y.comp <> x.comp"
+    enough = f"{both} * least(x.left, y.left) >= {PERCENT} * (x.n + y.n)"
+    pairs = x.join(y, F.expr(f"x.value = y.value and x.class = y.class and {smaller} and {enough}"))
     pairs = scratch.table(pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct(), "rest-pairs")
     return scratch.table(_verified(pairs, sets), "rest-links")
 
