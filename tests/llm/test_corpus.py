@@ -61,6 +61,19 @@ def test_near_dedup_against_brute_force(spark, rounds):
     assert all(r.kept == (d == r.component_id) for d, r in out.items())
 
 
+@pytest.mark.parametrize("rounds", [0, 3])
+def test_near_dedup_at_the_threshold(spark, rounds):
+    """Pairs of a set and a part of it, and of equal sizes, with just enough and one too few in common."""
+    rows, linked = [], set()
+    for i, (words, shared, added) in enumerate([(104, 79, 0), (104, 78, 0), (74, 64, 10), (74, 63, 11), (404, 304, 0), (404, 303, 0)]):
+        base = [f"w{i}x{j}" for j in range(words)]
+        rows += [(10 * i, " ".join(base)), (10 * i + 1, " ".join(base[:shared] + [f"n{i}x{j}" for j in range(added)]))]
+        linked |= {10 * i + 1} if i % 2 == 0 else set()
+    out = near_dedup.linked(Scratch(spark, "t"), docs(spark, rows), rounds=rounds).collect()
+    assert {r.doc_id for r in out if not r.kept} == linked
+    assert {r.doc_id: r.component_id for r in out} == brute_components(rows)
+
+
 def test_near_dedup_nulls_repeats_and_empty(spark):
     own = docs(spark, [(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f")])
     got = Counter((r.doc_id, r.component_id, r.kept) for r in near_dedup.linked(Scratch(spark, "t"), own).collect())
