@@ -100,6 +100,19 @@ def test_language_model(spark):
     assert pitman_yor.score_rows(Scratch(spark, "t"), docs(spark, [])).count() == 0
 
 
+def test_document_sums_over_buckets():
+    """Sums of documents in several buckets; ranges keep ascending ids, negative ones too."""
+    def one(ids, x):
+        return np.array(ids, np.int64), {k: np.full(len(ids), x, float) for k in pitman_yor.SUMS}
+
+    ids, total = pitman_yor._added([one([-1, 3, 9000], 1), one([3, 20_000], 2)])
+    assert ids.tolist() == [-1, 3, 9000, 20_000] and all(v.tolist() == [1, 3, 1, 2] for v in total.values())
+    (batch,) = pitman_yor._by_range(ids, total)
+    low = [np.frombuffer(x, np.uint16).tolist() for x in batch.column("low").to_pylist()]
+    ranges = batch.column("range").to_pylist()
+    assert [(r << pitman_yor.DOC_BITS) + x for r, own in zip(ranges, low, strict=True) for x in own] == ids.tolist()
+
+
 def test_restaurants_keep_their_customers():
     rng = np.random.default_rng(0)
     c = np.array([0, 1, 2, 5, 24, 25, 1000])
