@@ -1,24 +1,26 @@
 """A hierarchical Pitman-Yor language model of word pairs, sampled by Gibbs (operator 2).
 
 Each context is a restaurant whose customers are the words seen after it; all share one parent, the
-restaurant of single words, whose base is uniform over the known words and one unknown. Contexts are
-previous words, hashed to CONTEXTS restaurants, so what is known of every restaurant (customers, tables)
-is a pair of arrays of fixed size that goes to all tasks; what is known of words grows with the corpus and
-stays in buckets. A token goes to the bucket of its word; words with a large share of all tokens are split
-over many buckets by context, so no bucket grows with one word.
-
-A bucket holds its tokens, packed, and everything after the one shuffle is a scan over buckets. Given the
-parent and the table counts of the last scan, restaurants are independent of one another: within a scan
-each bucket seats its customers in Chinese restaurants, several Gibbs sweeps over every customer, and keeps
-a sample after each of the last ones. Seats of words met more than LONG times in a context follow the
-expected number of tables. The first scan counts, the second samples, the third draws the same samples
-again (its random numbers are seeded by bucket), now with every sample's table totals, and averages each
-token's predictive probability over the samples.
+restaurant of single words, whose base is uniform over the known words and one unknown. A context is the
+previous word itself, told by its 64-bit hash as words are. A token goes to the bucket of its word; words
+with a large share of all tokens are split over many buckets by context, so no bucket grows with one word.
+
+What is known of restaurants grows with the corpus and stays in tables. After each scan a bucket sends, per
+shard of contexts, its own customers and tables of every context it holds; a shard adds them up over the
+buckets and answers each in the order it asked. A context is one number a bucket there, however often met.
+
+A bucket holds its tokens, packed, and everything after the one shuffle of tokens is a scan over buckets.
+Given the parent and the table counts of the last scan, restaurants are independent of one another: within
+a scan each bucket seats its customers in Chinese restaurants, several Gibbs sweeps over every customer, and
+keeps a sample after each of the last ones. Seats of words met more than LONG times in a context follow the
+expected number of tables. The first scan counts, the second samples, the third averages each token's
+predictive probability over the samples, with every sample's table totals.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,25 +33,46 @@ from .encode import blocks
 from .scratch import Scratch
 from .toxicity import remainder
 
-CONTEXTS = 1 << 17
 #: A word with more than this share of a chunk's tokens is looked at, one with more of all tokens is split.
 LOOK, HOT = 1 / 2000, 1 / 500
 #: Parts of a split word.
 PARTS = 256
 #: Tokens that a bucket holds on average.
 BUCKET_TOKENS = 1_000_000
+#: Buckets for each shard of contexts, and those whose sums of documents are added up before they are sent.
+SHARD_BUCKETS, GROUP = 4, 4
 #: Characters of text that are packed together.
 CHUNK_CHARS = 14_000_000
 #: Documents (2 to this power neighbouring doc_ids) whose sums meet in one task.
 DOC_BITS = 13
-#: Sums of documents that a task holds to add up over its buckets; beyond, they are sent on as they are.
-HELD = 2_000_000
 LONG = 24
 BURN_IN, SAMPLES = 3, 3
 DISCOUNT, STRENGTH = (0.6, 0.8), (50.0, 1.0)  # of the parent, of the contexts
 END = b"\n"
 
-BLOB = "bucket long, doc_ids binary, train binary, words binary, runs binary, contexts binary, places binary"
+BLOB = "bucket long, shard long, kind int, values binary"
+#: Kinds of rows: a bucket's tokens, its pairs, its numbers of a shard's contexts, the shard's totals of them,
+#: its part of the parent's totals.
+TOKENS, PAIRS, ASKED, ANSWERED, TOTALS = range(5)
+SCHEMA = pa.schema([("bucket", pa.int64()), ("shard", pa.int64()), ("kind", pa.int32()), ("values", pa.binary())])
+
+
+def _packed(x: dict) -> bytes:
+    raw = pickle.dumps(x, protocol=5)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd").compress(raw, asbytes=True)
+
+
+def _unpacked(b: bytes) -> dict:
+    return pickle.loads(pa.Codec("zstd").decompress(b[8:], int.from_bytes(b[:8], "little"), asbytes=True))
+
+
+def _row(bucket: int, shard: int, kind: int, x: dict) -> dict:
+    return {"bucket": bucket, "shard": shard, "kind": kind, "values": _packed(x)}
+
+
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """Whole numbers in the smallest type that holds them."""
+    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
 
 
 def _hashed(words) -> np.ndarray:
@@ -97,15 +120,17 @@ def bucketed(docs: DataFrame, hot: list[int], buckets: int) -> DataFrame:
                     names[w] = len(names)
             own.append(np.fromiter(map(names.__getitem__, [END, *words, END]), np.int32, len(words) + 2))
         hashes = _hashed(names)
-        kinds = (hashes % np.uint64(CONTEXTS)).astype(np.int32)
+        names_by_hash = np.argsort(hashes)
+        rank = np.empty(len(hashes), np.int32)
+        rank[names_by_hash] = np.arange(len(hashes))
         word = np.concatenate([x[1:] for x in own])
-        context = kinds[np.concatenate([x[:-1] for x in own])]
+        context = rank[np.concatenate([x[:-1] for x in own])]
         doc = np.repeat(np.arange(len(own), dtype=np.int32), [len(x) - 1 for x in own])
         is_hot = np.isin(hashes, split)
         place = (hashes >> np.uint64(20)) % np.uint64(buckets)
         bucket = place[word].astype(np.int64)
         h = is_hot[word]
-        bucket[h] = (bucket[h] + context[h] % PARTS) % buckets
+        bucket[h] = (bucket[h] + (hashes[names_by_hash[context[h]]] % np.uint64(PARTS)).astype(np.int64)) % buckets
         order = np.lexsort((doc, context, word, bucket))
         bucket, word, context, doc = bucket[order], word[order], context[order], doc[order]
         cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
@@ -113,23 +138,21 @@ def bucketed(docs: DataFrame, hot: list[int], buckets: int) -> DataFrame:
         for a, z in zip(cuts, [*cuts[1:], len(bucket)], strict=True):
             starts = a + np.flatnonzero(np.diff(word[a:z], prepend=-1))
             used, index = np.unique(doc[a:z], return_inverse=True)
-            small = np.uint16 if len(used) < 65536 else np.uint32
-            yield {"bucket": int(bucket[a]), "doc_ids": doc_ids[used].tobytes(), "train": learnt[used].tobytes(), "words": hashes[word[starts]].tobytes(), "runs": np.diff([*starts, z]).astype(np.uint32).tobytes(), "contexts": context[a:z].astype(np.uint32).tobytes(), "places": index.astype(small).tobytes()}
+            kinds, which = np.unique(context[a:z], return_inverse=True)
+            yield _row(int(bucket[a]), -1, TOKENS, {"doc_ids": doc_ids[used], "train": learnt[used], "words": hashes[word[starts]], "runs": _narrow(np.diff([*starts, z])), "kinds": hashes[names_by_hash[kinds]], "contexts": _narrow(which), "places": _narrow(index)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = ([], [], []), 0
-        names = [x.split()[0] for x in BLOB.split(", ")]
-        schema = pa.schema([(n, pa.int64() if n == "bucket" else pa.binary()) for n in names])
 
         def done() -> Iterator[pa.RecordBatch]:
             rows = []
             for row in pack(*held):
                 rows.append(row)
                 if len(rows) == 64:
-                    yield pa.RecordBatch.from_pylist(rows, schema)
+                    yield pa.RecordBatch.from_pylist(rows, SCHEMA)
                     rows = []
             if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema)
+                yield pa.RecordBatch.from_pylist(rows, SCHEMA)
 
         for b in batches:
             ids, texts, train = (b.column(c).to_pylist() for c in ("doc_id", "text", "train"))
@@ -151,16 +174,14 @@ def merged(blobs: DataFrame, buckets: int) -> DataFrame:
 
     def merge(table):
         doc_ids, train, words, contexts, docs, at = [], [], [], [], [], 0
-        for r in table.to_pylist():
-            ids = np.frombuffer(r["doc_ids"], np.int64)
-            n = np.frombuffer(r["runs"], np.uint32)
-            words.append(np.repeat(np.frombuffer(r["words"], np.uint64), n))
-            contexts.append(np.frombuffer(r["contexts"], np.uint32))
-            small = np.uint16 if len(r["places"]) == 2 * len(contexts[-1]) else np.uint32
-            docs.append(np.frombuffer(r["places"], small).astype(np.uint32) + at)
-            doc_ids.append(ids)
-            train.append(np.frombuffer(r["train"], np.uint8))
-            at += len(ids)
+        for v in table.column("values"):
+            r = _unpacked(v.as_py())
+            words.append(np.repeat(r["words"], r["runs"]))
+            contexts.append(r["kinds"][r["contexts"]])
+            docs.append(r["places"].astype(np.uint32) + np.uint32(at))
+            doc_ids.append(r["doc_ids"])
+            train.append(r["train"])
+            at += len(r["doc_ids"])
         words, contexts, docs, doc_ids, train = map(np.concatenate, (words, contexts, docs, doc_ids, train))
         # Rows of a document in one bucket come from one chunk, so (doc_id, place) names a document.
         rank = np.argsort(doc_ids, kind="stable")
@@ -170,7 +191,9 @@ def merged(blobs: DataFrame, buckets: int) -> DataFrame:
         order = np.lexsort((docs, contexts, words))
         words, contexts, docs = words[order], contexts[order], docs[order]
         starts = np.flatnonzero(np.diff(words, prepend=~words[:1]))
-        return pa.table({"bucket": table.column("bucket")[:1], "doc_ids": [doc_ids[rank].tobytes()], "train": [train[rank].tobytes()], "words": [words[starts].tobytes()], "runs": [np.diff([*starts, len(words)]).astype(np.uint32).tobytes()], "contexts": [contexts.tobytes()], "places": [docs.tobytes()]})
+        kinds, which = np.unique(contexts, return_inverse=True)
+        row = {"doc_ids": doc_ids[rank], "train": train[rank], "words": words[starts], "runs": np.diff([*starts, len(words)]).astype(np.uint32), "kinds": kinds, "contexts": _narrow(which), "places": _narrow(docs)}
+        return pa.Table.from_pylist([_row(table.column("bucket")[0].as_py(), -1, TOKENS, row)], SCHEMA)
 
     return blobs.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(merge, BLOB)
 
@@ -182,28 +205,65 @@ class Bucket:
     number: int
     doc_ids: np.ndarray
     words: np.ndarray
+    kinds: np.ndarray  # hashes of the contexts, ascending
     word_of: np.ndarray  # of each token
-    context: np.ndarray
     doc: np.ndarray
     pair_of: np.ndarray  # pair of each token
     pair_word: np.ndarray
-    pair_context: np.ndarray
+    pair_context: np.ndarray  # place in kinds
     customers: np.ndarray  # training tokens of each pair
 
     @classmethod
-    def of_row(cls, r: dict) -> Bucket:
-        doc_ids, train = np.frombuffer(r["doc_ids"], np.int64), np.frombuffer(r["train"], np.uint8)
-        runs, context, doc = np.frombuffer(r["runs"], np.uint32), np.frombuffer(r["contexts"], np.uint32).astype(np.int64), np.frombuffer(r["places"], np.uint32)
+    def of_row(cls, number: int, r: dict) -> Bucket:
+        doc_ids, train, runs, context, doc = r["doc_ids"], r["train"], r["runs"], r["contexts"].astype(np.int64), r["places"].astype(np.int64)
         word_of = np.repeat(np.arange(len(runs)), runs)
         change = np.diff(context, prepend=-1) != 0
         change[np.cumsum(runs) - runs] = True
         first = np.flatnonzero(change)
         pair_of = np.cumsum(change) - 1
         customers = np.bincount(pair_of, train[doc], len(first)).astype(np.int64)
-        return cls(r["bucket"], doc_ids, np.frombuffer(r["words"], np.uint64), word_of, context, doc, pair_of, word_of[first], context[first], customers)
+        return cls(number, doc_ids, r["words"], r["kinds"], word_of, doc, pair_of, word_of[first], context[first], customers)
+
+
+@dataclass
+class Pairs:
+    """A bucket's pairs of word and context, and what was drawn for them."""
+
+    number: int
+    words: np.ndarray
+    kinds: np.ndarray
+    word: np.ndarray
+    context: np.ndarray
+    customers: np.ndarray
+    tables: list[np.ndarray]  # by sample
+    below: np.ndarray | None = None  # customers of each context, over all buckets
+    served: list[np.ndarray] | None = None  # the parent's customers of each word, by sample
+
+    @classmethod
+    def of(cls, b: Bucket) -> Pairs:
+        return cls(b.number, b.words, b.kinds, b.pair_word, b.pair_context, b.customers, [np.minimum(b.customers, 1)])
+
+    @classmethod
+    def unpacked(cls, number: int, r: dict) -> Pairs:
+        wide = {k: r[k].astype(np.int64) for k in ("word", "context", "customers")}
+        return cls(number, **{**r, **wide, "tables": [t.astype(np.float64) for t in r["tables"]]})
+
+    def rows(self, shards: int, hot: np.ndarray) -> Iterator[dict]:
+        """The pairs, the questions to the shards of contexts, and the bucket's part of the parent's totals."""
+        kept = {"words": self.words, "kinds": self.kinds, "below": self.below, "served": [self.per_word(t) for t in self.tables]}
+        kept |= {k: _narrow(getattr(self, k)) for k in ("word", "context", "customers")}
+        yield _row(self.number, -1, PAIRS, kept | {"tables": [_narrow(t) for t in self.tables]})
+        totals = [np.bincount(self.context, x, len(self.kinds)) for x in (self.customers, *self.tables)]
+        shard = (self.kinds % np.uint64(shards)).astype(np.int64)
+        for j in np.unique(shard):
+            own = shard == j
+            yield _row(self.number, int(j), ASKED, {"kinds": self.kinds[own], "totals": [_narrow(x[own]) for x in totals]})
+        count, split = self.per_word(self.customers), np.isin(self.words, hot)
+        found = {int(self.words[i]): [count[i], *(m[i] for m in kept["served"])] for i in np.flatnonzero(split)}
+        yield _row(self.number, -1, TOTALS, {"sums": np.array([count.sum(), ((count > 0) & ~split).sum(), *(m.sum() for m in kept["served"])], float), "hot": found})
 
     def per_word(self, x: np.ndarray) -> np.ndarray:
-        return np.bincount(self.pair_word, x, len(self.words))
+        return np.bincount(self.word, x, len(self.words))
 
 
 def expected_tables(c: np.ndarray, weight: np.ndarray, d: float) -> np.ndarray:
@@ -246,24 +306,24 @@ def seat(c: np.ndarray, weight: np.ndarray, d: float, rng: np.random.Generator)
 
 @dataclass
 class Parent:
-    """What every task knows: totals of the restaurants' tables and of the parent."""
+    """What every task knows: the parent's totals, and what it holds of split words."""
 
     tokens: int  # in training
     known: int  # distinct words of training
-    customers: np.ndarray  # of each context
-    tables: list[np.ndarray]  # of each context, by sample
+    customers: np.ndarray  # training tokens of each split word
+    tables: list[np.ndarray]  # the parent's customers of each split word, by sample
     served: list[float]  # the parent's customers, by sample
     seated: list[float]  # the parent's tables, by sample
-    hot: dict[int, tuple]  # of split words: training tokens and the parent's customers by sample
+    hot: dict[int, int]  # places of split words
 
-    def totals(self, bucket: Bucket, by_sample: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    def totals(self, p: Pairs) -> tuple[np.ndarray, list[np.ndarray]]:
         """Training tokens and the parent's customers of each word; of split words, over all buckets."""
-        count, served = bucket.per_word(bucket.customers), [bucket.per_word(s) for s in by_sample]
-        for i in np.flatnonzero(np.isin(bucket.words, np.array(list(self.hot), np.int64).view(np.uint64))) if self.hot else []:
-            c, t = self.hot[int(bucket.words[i : i + 1].view(np.int64)[0])]
-            count[i] = c
-            for s, x in zip(served, t, strict=True):
-                s[i] = x
+        count, served = p.per_word(p.customers), [m.copy() for m in p.served]
+        for i in np.flatnonzero(np.isin(p.words, np.array(list(self.hot), np.uint64))):
+            at = self.hot[int(p.words[i])]
+            count[i] = self.customers[at]
+            for m, x in zip(served, self.tables, strict=True):
+                m[i] = x[at]
         return count, served
 
     def word_chance(self, m: np.ndarray, s: int) -> np.ndarray:
@@ -271,23 +331,78 @@ class Parent:
         d, theta = DISCOUNT[0], STRENGTH[0]
         return (np.maximum(m - d, 0) * (m > 0) + (theta + d * self.seated[s]) / (self.known + 1)) / (theta + self.served[s])
 
-    def samples(self, bucket: Bucket) -> list[np.ndarray]:
-        """The bucket's seatings, given the parent of the first scan (sample 0)."""
-        start = np.minimum(bucket.customers, 1).astype(float)
-        _, (m,) = self.totals(bucket, [start])
-        new = (STRENGTH[1] + DISCOUNT[1] * self.tables[0][bucket.pair_context]) * self.word_chance(m, 0)[bucket.pair_word]
-        return seat(bucket.customers, new, DISCOUNT[1], np.random.default_rng([11, bucket.number]))
 
+def _parent(scanned: DataFrame) -> Parent:
+    """The parent after a scan. A bucket sends a few numbers and those of the split words it holds a part of."""
+    sums, hot = 0, {}
+    for r in scanned.filter(F.col("kind") == TOTALS).orderBy("bucket").toLocalIterator():
+        x = _unpacked(r["values"])
+        sums = sums + x["sums"]
+        for w, n in x["hot"].items():
+            hot[w] = hot.get(w, 0) + np.array(n)
+    split = np.array(list(hot.values())).reshape(len(hot), len(sums) - 1).T
+    known = float(sums[1] + (split[0] > 0).sum())
+    return Parent(int(sums[0]), int(known), split[0], list(split[1:]), sums[2:].tolist(), [known] * (len(sums) - 2), {w: i for i, w in enumerate(hot)})
+
+
+def _answered(table: pa.Table) -> pa.Table:
+    """What the buckets asked a shard of contexts: totals over all buckets, in each one's order."""
+    asked = [_unpacked(v.as_py()) for v in table.column("values")]
+    _, at = np.unique(np.concatenate([x["kinds"] for x in asked]), return_inverse=True)
+    totals = [_narrow(np.bincount(at, np.concatenate(parts))[at]) for parts in zip(*(x["totals"] for x in asked), strict=True)]
+    cuts = np.cumsum([len(x["kinds"]) for x in asked])[:-1]
+    split = zip(*(np.split(x, cuts) for x in totals), strict=True)
+    return pa.Table.from_pylist([_row(b.as_py(), j.as_py(), ANSWERED, {"totals": list(x)}) for b, j, x in zip(table.column("bucket"), table.column("shard"), split, strict=True)], SCHEMA)
+
+
+def _with_answers(scanned: DataFrame) -> DataFrame:
+    """The pairs of all buckets and the totals of their contexts."""
+    answers = scanned.filter(F.col("kind") == ASKED).groupBy("shard").applyInArrow(_answered, BLOB)
+    return scanned.filter(F.col("kind") == PAIRS).unionByName(answers)
+
+
+def _received(table: pa.Table, shards: int) -> tuple[Pairs, list[np.ndarray], dict | None]:
+    """A bucket's pairs, tables of its contexts by sample, and its tokens if they are there."""
+    rows = [(r["kind"], r["shard"], r["bucket"], _unpacked(r["values"])) for r in table.to_pylist()]
+    ((number, held),) = [(b, x) for kind, _, b, x in rows if kind == PAIRS]
+    pairs = Pairs.unpacked(number, held)
+    shard, totals = (pairs.kinds % np.uint64(shards)).astype(np.int64), np.zeros((1 + len(pairs.tables), len(pairs.kinds)))
+    for kind, j, _, x in rows:
+        if kind == ANSWERED:
+            totals[:, shard == j] = x["totals"]
+    pairs.below = totals[0]
+    return pairs, list(totals[1:]), next((x for kind, *_, x in rows if kind == TOKENS), None)
+
+
+def counted(packed: DataFrame, hot: list[int], shards: int) -> DataFrame:
+    """The first scan: every pair met in training has one table."""
+    split = np.array(hot, np.int64).view(np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for number, values in zip(b.column("bucket"), b.column("values"), strict=True):
+                bucket = Bucket.of_row(number.as_py(), _unpacked(values.as_py()))
+                yield pa.RecordBatch.from_pylist(list(Pairs.of(bucket).rows(shards, split)), SCHEMA)
+
+    return packed.mapInArrow(run, BLOB)
+
+
+def sampled(scanned: DataFrame, parent: Parent, hot: list[int], buckets: int, shards: int) -> DataFrame:
+    """A scan that seats every bucket's customers, given the parent and the tables of the last one."""
+    split = np.array(hot, np.int64).view(np.uint64)
+
+    def run(table: pa.Table) -> pa.Table:
+        pairs, (tables,), _ = _received(table, shards)
+        _, (m,) = parent.totals(pairs)
+        new = (STRENGTH[1] + DISCOUNT[1] * tables[pairs.context]) * parent.word_chance(m, 0)[pairs.word]
+        pairs.tables = seat(pairs.customers, new, DISCOUNT[1], np.random.default_rng([11, pairs.number]))
+        return pa.Table.from_pylist(list(pairs.rows(shards, split)), SCHEMA)
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[Bucket]:
-    for b in batches:
-        for i in range(b.num_rows):
-            yield Bucket.of_row(b.slice(i, 1).to_pylist()[0])
+    return _with_answers(scanned).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(run, BLOB)
 
 
 #: A document's sums in one bucket, and how they travel.
 SUMS = {"n_tokens": np.uint32, "n_known": np.uint32, "base_score": np.float64, "score": np.float32}
-TOTALS = "kind int, key long, values binary"
 
 
 def _added(parts: list[tuple]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
@@ -307,48 +422,6 @@ def _by_range(ids: np.ndarray, total: dict[str, np.ndarray]) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_pydict({"range": group[[x for x, _ in spans]], **{k: pa.array([v[x:y].tobytes() for x, y in spans], pa.binary()) for k, v in columns.items()}})
 
 
-def _totals(scratch: Scratch, packed: DataFrame, hot: list[int], parent: Parent | None, name: str) -> tuple[Parent, int]:
-    """One scan over the buckets. Arrays of CONTEXTS numbers and those of split words are summed by Spark."""
-    pieces = 16
-    split = np.array(hot, np.int64).view(np.uint64)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple, np.ndarray] = {}
-
-        def add(kind: int, key: int, x) -> None:
-            x = np.asarray(x, np.float64)
-            sums[kind, key] = sums[kind, key] + x if (kind, key) in sums else x
-
-        for bucket in _rows(batches):
-            by_sample = [np.minimum(bucket.customers, 1).astype(float)] if parent is None else parent.samples(bucket)
-            contexts = [np.bincount(bucket.pair_context, bucket.customers if x is None else x, CONTEXTS) for x in [None, *by_sample]]
-            for k, part in enumerate(np.split(np.array(contexts), pieces, axis=1)):
-                add(0, k, part)
-            count, served = bucket.per_word(bucket.customers), [bucket.per_word(s) for s in by_sample]
-            own = np.isin(bucket.words, split)
-            met = (count > 0) & ~own
-            add(1, 0, [count.sum(), met.sum(), *(s.sum() for s in served)])
-            for i in np.flatnonzero(own):
-                add(2, int(bucket.words[i : i + 1].view(np.int64)[0]), [count[i], *(s[i] for s in served)])
-        keys = list(sums)
-        if keys:
-            yield pa.RecordBatch.from_pydict({"kind": pa.array([k for k, _ in keys], pa.int32()), "key": pa.array([k for _, k in keys], pa.int64()), "values": pa.array([sums[k].astype(np.float64 if k[0] else np.int32).tobytes() for k in keys], pa.binary())})
-
-    def add_up(table):
-        stored = np.float64 if table.column("kind")[0].as_py() else np.int32  # tables and customers of contexts are whole numbers
-        total = sum(np.frombuffer(v, stored).astype(np.float64) for v in table.column("values").to_pylist())
-        return pa.table({"kind": table.column("kind")[:1], "key": table.column("key")[:1], "values": [total.tobytes()]})
-
-    summed = scratch.table(packed.mapInArrow(run, TOTALS).groupBy("kind", "key").applyInArrow(add_up, TOTALS), name)
-    found = {(r["kind"], r["key"]): np.frombuffer(r["values"]) for r in summed.collect()}
-    n = 1 if parent is None else SAMPLES
-    contexts = np.concatenate([found[0, k].reshape(n + 1, -1) for k in range(pieces)], axis=1)
-    scalars = found[1, 0]
-    split_words = {k: (v[0], v[1:].tolist()) for (kind, k), v in found.items() if kind == 2}
-    known = int(scalars[1]) + sum(c > 0 for c, _ in split_words.values())
-    return Parent(int(scalars[0]), known, contexts[0], list(contexts[1:]), scalars[2:].tolist(), [float(known)] * n, split_words), known
-
-
 def score(scratch: Scratch, docs: DataFrame, held_out) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every text (log10).
 
@@ -361,36 +434,34 @@ def score(scratch: Scratch, docs: DataFrame, held_out) -> DataFrame:
     buckets = max(8, -(-tokens // BUCKET_TOKENS))
     if not tokens:
         return scratch.spark.createDataFrame([], "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    packed = scratch.table(merged(bucketed(own, hot, buckets), buckets), "buckets")
-    first, _ = _totals(scratch, packed, hot, None, "first")
-    sampled, known = _totals(scratch, packed, hot, first, "sampled")
+    packed, shards = scratch.table(merged(bucketed(own, hot, buckets), buckets), "buckets"), -(-buckets // SHARD_BUCKETS)
+    first = scratch.table(counted(packed, hot, shards), "counted")
+    last = scratch.table(sampled(first, _parent(first), hot, buckets, shards), "sampled")
+    parent = _parent(last)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sums(table: pa.Table) -> tuple:
         d, theta = DISCOUNT[1], STRENGTH[1]
+        p, tables, tokens = _received(table, shards)
+        b = Bucket.of_row(p.number, tokens)
+        count, served = parent.totals(p)
+        chance = np.zeros(len(p.customers))
+        for s in range(SAMPLES):
+            kept = np.maximum(p.customers - d * p.tables[s], 0)
+            chance += (kept + (theta + d * tables[s][p.context]) * parent.word_chance(served[s], s)[p.word]) / (theta + p.below[p.context]) / SAMPLES
+        base = np.log10(count + 0.5)
+        return b.doc_ids, {
+            "n_tokens": np.bincount(b.doc, minlength=len(b.doc_ids)),
+            "n_known": np.bincount(b.doc, (count > 0)[b.word_of], len(b.doc_ids)).astype(np.int64),
+            "base_score": np.bincount(b.doc, base[b.word_of], len(b.doc_ids)),
+            "score": np.bincount(b.doc, np.log10(chance)[b.pair_of], len(b.doc_ids)),
+        }
+
+    def run(table: pa.Table) -> pa.Table:
         held: list[tuple] = []
-        for b in _rows(batches):
-            tables = first.samples(b)
-            count, served = sampled.totals(b, tables)
-            chance = np.zeros(len(b.customers))
-            for s in range(SAMPLES):
-                below = theta + sampled.customers[b.pair_context]
-                kept = np.maximum(b.customers - d * tables[s], 0)
-                chance += (kept + (theta + d * sampled.tables[s][b.pair_context]) * sampled.word_chance(served[s], s)[b.pair_word]) / below / SAMPLES
-            base = np.log10(count + 0.5)
-            total = {
-                "n_tokens": np.bincount(b.doc, minlength=len(b.doc_ids)),
-                "n_known": np.bincount(b.doc, (count > 0)[b.word_of], len(b.doc_ids)).astype(np.int64),
-                "base_score": np.bincount(b.doc, base[b.word_of], len(b.doc_ids)),
-                "score": np.bincount(b.doc, np.log10(chance)[b.pair_of], len(b.doc_ids)),
-            }
-            held.append((b.doc_ids, total))
-            if sum(len(ids) for ids, _ in held) > HELD:
-                held = [_added(held)]
-                if 2 * len(held[0][0]) > HELD:
-                    yield from _by_range(*held[0])
-                    held = []
-        if held:
-            yield from _by_range(*_added(held))
+        number = table.column("bucket").to_numpy()
+        for n in np.unique(number):
+            held.append(sums(table.filter(pa.array(number == n))))
+        return pa.Table.from_batches(list(_by_range(*_added(held))))
 
     def add_up(table):
         low = np.frombuffer(b"".join(table.column("low").to_pylist()), np.uint16).astype(np.int64)
@@ -399,10 +470,11 @@ def score(scratch: Scratch, docs: DataFrame, held_out) -> DataFrame:
         sums = {k: v.astype(np.int64) if k[0] == "n" else v for k, v in sums.items()}
         return pa.table({"doc_id": (table.column("range")[0].as_py() << DOC_BITS) + used, **sums})
 
-    parts = packed.mapInArrow(run, "range long, low binary, n_tokens binary, n_known binary, base_score binary, score binary")
+    group = F.floor(F.col("bucket") / GROUP)
+    parts = _with_answers(last).unionByName(packed).repartition(-(-buckets // GROUP), group).groupBy(group).applyInArrow(run, "range long, low binary, n_tokens binary, n_known binary, base_score binary, score binary")
     out = parts.groupBy("range").applyInArrow(add_up, "doc_id long, n_tokens long, n_known long, base_score double, score double")
-    shift = math.log10(sampled.tokens + 0.5 * (known + 1))
-    out = out.withColumn("base_score", F.col("base_score") - F.col("n_tokens") * shift).withColumn("train_tokens", F.lit(sampled.tokens).cast("long"))
+    shift = math.log10(parent.tokens + 0.5 * (parent.known + 1))
+    out = out.withColumn("base_score", F.col("base_score") - F.col("n_tokens") * shift).withColumn("train_tokens", F.lit(parent.tokens).cast("long"))
     return out.select("doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

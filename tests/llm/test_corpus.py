@@ -100,6 +100,29 @@ def test_language_model(spark):
     assert pitman_yor.score_rows(Scratch(spark, "t"), docs(spark, [])).count() == 0
 
 
+def test_contexts_are_words(spark):
+    """Two contexts whose hashes agree in their low 17 bits keep their own customers; every count is one."""
+    import xxhash
+
+    seen, pair = {}, None
+    while pair is None:
+        w = f"w{len(seen)}"
+        pair = (seen[h], w) if (h := xxhash.xxh64_intdigest(w.encode()) % 2**17) in seen else seen.setdefault(h, w) and None
+    u, v = pair
+    ids = {zlib.crc32(str(i).encode()) % 5 == 1: i for i in range(50)}
+    rows = [(ids[False], f"{u} a {v} b"), (ids[True], f"{u} a {u} b zz")]
+    out = {r.doc_id: r for r in pitman_yor.score_rows(Scratch(spark, "t"), docs(spark, rows)).collect()}
+    (d0, d), (t0, t), learnt = pitman_yor.DISCOUNT, pitman_yor.STRENGTH, ["\n", u, "a", v, "b", "\n"]
+    met = list(zip(learnt, learnt[1:], strict=False))
+    for i, text in rows:
+        words, score = ["\n", *text.split(), "\n"], 0.0
+        for x, w in zip(words, words[1:], strict=False):
+            parent = ((1 - d0) * (w in learnt) + (t0 + d0 * 5) / 6) / (t0 + 5)
+            n = sum(y == x for y, _ in met)
+            score += math.log10((max(met.count((x, w)) - d, 0) + (t + d * n) * parent) / (t + n))
+        assert math.isclose(out[i].score, score, rel_tol=1e-5)
+
+
 def test_document_sums_over_buckets():
     """Sums of documents in several buckets; ranges keep ascending ids, negative ones too."""
     def one(ids, x):
