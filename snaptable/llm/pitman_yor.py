@@ -10,19 +10,21 @@ shard of contexts, its own customers and tables of every context it holds; a sha
 buckets and answers each in the order it asked. A context is one number a bucket there, however often met.
 
 A bucket holds its tokens, packed, and everything after the one shuffle of tokens is a scan over buckets.
-Given the parent and the table counts of the last scan, restaurants are independent of one another: within
-a scan each bucket seats its customers in Chinese restaurants, several Gibbs sweeps over every customer, and
-keeps a sample after each of the last ones. Seats of words met more than LONG times in a context follow the
-expected number of tables. The first scan counts, the second samples, the third averages each token's
-predictive probability over the samples, with every sample's table totals.
+Given the parent and the tables of the last scan, pairs are independent of one another: a scan draws the
+tables of every pair, all its customers at once, by their distribution (`drawn`), then the parent's tables
+of every word, whose customers are the tables just drawn; of split words the driver draws the parent's. The
+first scan counts and gives every pair and word one table, SCANS more sample, in SAMPLES chains of their
+own, and the last step averages each token's predictive probability over the chains.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import pickle
 from collections.abc import Iterator
-from dataclasses import dataclass
+from contextlib import contextmanager
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +47,9 @@ SHARD_BUCKETS, GROUP = 4, 4
 CHUNK_CHARS = 14_000_000
 #: Documents (2 to this power neighbouring doc_ids) whose sums meet in one task.
 DOC_BITS = 13
-LONG = 24
-BURN_IN, SAMPLES = 3, 3
+#: Customers up to which tables are drawn by exact weights; beyond, by their limit law.
+EXACT = 1024
+SCANS, SAMPLES = 3, 3
 DISCOUNT, STRENGTH = (0.6, 0.8), (50.0, 1.0)  # of the parent, of the contexts
 END = b"\n"
 
@@ -238,19 +241,26 @@ class Pairs:
     tables: list[np.ndarray]  # by sample
     below: np.ndarray | None = None  # customers of each context, over all buckets
     served: list[np.ndarray] | None = None  # the parent's customers of each word, by sample
+    seated: list[np.ndarray] | None = None  # the parent's tables of each word, by sample
 
     @classmethod
     def of(cls, b: Bucket) -> Pairs:
-        return cls(b.number, b.words, b.kinds, b.pair_word, b.pair_context, b.customers, [np.minimum(b.customers, 1)])
+        return cls(b.number, b.words, b.kinds, b.pair_word, b.pair_context, b.customers, [np.minimum(b.customers, 1)]).with_parent(lambda s, m: np.minimum(m, 1))
 
     @classmethod
     def unpacked(cls, number: int, r: dict) -> Pairs:
         wide = {k: r[k].astype(np.int64) for k in ("word", "context", "customers")}
         return cls(number, **{**r, **wide, "tables": [t.astype(np.float64) for t in r["tables"]]})
 
+    def with_parent(self, seats) -> Pairs:
+        """Takes the tables as the parent's customers and seats them by seats(sample, customers)."""
+        self.served = [self.per_word(t) for t in self.tables]
+        self.seated = [seats(s, m) for s, m in enumerate(self.served)]
+        return self
+
     def rows(self, shards: int, hot: np.ndarray) -> Iterator[dict]:
         """The pairs, the questions to the shards of contexts, and the bucket's part of the parent's totals."""
-        kept = {"words": self.words, "kinds": self.kinds, "below": self.below, "served": [self.per_word(t) for t in self.tables]}
+        kept = {"words": self.words, "kinds": self.kinds, "below": self.below, "served": self.served, "seated": self.seated}
         kept |= {k: _narrow(getattr(self, k)) for k in ("word", "context", "customers")}
         yield _row(self.number, -1, PAIRS, kept | {"tables": [_narrow(t) for t in self.tables]})
         totals = [np.bincount(self.context, x, len(self.kinds)) for x in (self.customers, *self.tables)]
@@ -259,49 +269,64 @@ class Pairs:
             own = shard == j
             yield _row(self.number, int(j), ASKED, {"kinds": self.kinds[own], "totals": [_narrow(x[own]) for x in totals]})
         count, split = self.per_word(self.customers), np.isin(self.words, hot)
-        found = {int(self.words[i]): [count[i], *(m[i] for m in kept["served"])] for i in np.flatnonzero(split)}
-        yield _row(self.number, -1, TOTALS, {"sums": np.array([count.sum(), ((count > 0) & ~split).sum(), *(m.sum() for m in kept["served"])], float), "hot": found})
+        found = {int(self.words[i]): [count[i], *(m[i] for m in self.served)] for i in np.flatnonzero(split)}
+        yield _row(self.number, -1, TOTALS, {"sums": np.array([count.sum(), ((count > 0) & ~split).sum(), *(m.sum() for m in self.served), *(t[~split].sum() for t in self.seated)], float), "hot": found})
 
     def per_word(self, x: np.ndarray) -> np.ndarray:
         return np.bincount(self.word, x, len(self.words))
 
 
-def expected_tables(c: np.ndarray, weight: np.ndarray, d: float) -> np.ndarray:
-    """The mean path of seating c customers, a new table's weight fixed, in steps that grow with the number."""
-    t, i = np.ones(len(c)), np.ones(len(c))
-    while (left := np.minimum(c - i, np.maximum(1, i / 8))).max(initial=0) > 0:
-        t += left * np.clip(weight / (weight + np.maximum(i - d * t, 1e-9)), 0, 1)
-        i += left
-    return np.clip(np.rint(t), 1, c)
+@functools.cache
+def partitions(d: float, size: int) -> np.ndarray:
+    """Logarithms of the generalised Stirling numbers: [c, t] weighs all seatings of c customers at t tables."""
+    out = np.full((size + 1, size + 1), -np.inf)
+    out[1, 1] = 0
+    for c in range(1, size):
+        t = np.arange(1, c + 2)
+        out[c + 1, 1 : c + 2] = np.logaddexp(out[c, : c + 1], out[c, 1 : c + 2] + np.log(np.maximum(c - d * t, 1e-300)))
+    return out
+
+
+def _limit(c: np.ndarray, weight: np.ndarray, d: float) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and variance of the tables but the first. Table sizes are a Poisson number of Sibuya variables, given
+    their sum c; they are tilted until c is expected."""
+    low, high = np.full(len(c), -700.0), np.zeros(len(c))
+    for _ in range(60):
+        middle = (low + high) / 2
+        more = weight * -np.expm1(middle) * np.exp((d - 1) * middle) > c
+        low, high = np.where(more, middle, low), np.where(more, high, middle)
+    mean = weight / d * -np.expm1(d * low)
+    return mean, mean - c * (c / (c + np.expm1(low) ** 2 * weight * (1 - d) * np.exp((d - 2) * low)))
+
+
+def drawn(c: np.ndarray, weight: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
+    """Tables of c customers each, drawn with chances weight**t * partitions[c, t]: those of Gibbs sampling where a
+    new table has that weight and a taken one its customers - d."""
+    out = np.minimum(c, 1).astype(np.float64)
+    order = np.argsort(c, kind="stable")
+    order = order[np.searchsorted(c[order], 2) :]
+    known, cuts = partitions(d, EXACT), [*np.flatnonzero(np.diff(c[order], prepend=0)).tolist(), len(order)]
+    for a, z in zip(cuts, cuts[1:], strict=False):
+        n = int(c[order[a]])
+        if n > EXACT:
+            rows = order[a:]
+            mean, variance = _limit(c[rows].astype(float), weight[rows], d)
+            few = 1 + rng.poisson(np.minimum(mean, 50))
+            many = np.rint(mean + variance / np.maximum(mean, 1e-9) + np.sqrt(np.maximum(variance, 0)) * rng.standard_normal(len(rows)))
+            out[rows] = np.clip(np.where(mean <= 50, few, many), 1, c[rows])
+            break
+        step = max(1, 1_000_000 // n)
+        for i in range(a, z, step):
+            rows = order[i : min(i + step, z)]
+            x = known[n, 1 : n + 1] + np.log(weight[rows])[:, None] * np.arange(1, n + 1)
+            x = np.cumsum(np.exp(x - x.max(1, keepdims=True)), axis=1)
+            out[rows] = 1 + (rng.random(len(rows))[:, None] * x[:, -1:] >= x).sum(1)
+    return np.minimum(out, c)
 
 
 def seat(c: np.ndarray, weight: np.ndarray, d: float, rng: np.random.Generator) -> list[np.ndarray]:
-    """Tables of each pair in each sample. weight: of a new table, against n - d of a taken one."""
-    samples = [np.minimum(c, 1).astype(np.float64) for _ in range(SAMPLES)]
-    long = np.flatnonzero(c > LONG)
-    for s in samples:
-        s[long] = expected_tables(c[long], weight[long], d)
-    for n in range(2, LONG + 1):
-        own = np.flatnonzero(c == n)
-        if not len(own):
-            continue
-        w, rows = weight[own], np.arange(len(own))
-        seats = np.zeros((len(own), n), np.int8)  # the table of each customer
-        size = np.zeros((len(own), n), np.int16)
-        size[:, 0] = n
-        for sweep in range(BURN_IN + SAMPLES):
-            for j in range(n):
-                size[rows, seats[:, j]] -= 1
-                chance = np.where(size > 0, size - d, 0.0)
-                total = np.cumsum(chance, axis=1)
-                u = rng.random(len(own)) * (total[:, -1] + w)
-                taken = (u[:, None] >= total).sum(1)
-                fresh = (size == 0).argmax(1)
-                seats[:, j] = np.where(taken == n, fresh, np.minimum(taken, n - 1))
-                size[rows, seats[:, j]] += 1
-            if sweep >= BURN_IN:
-                samples[sweep - BURN_IN][own] = (size > 0).sum(1)
-    return samples
+    """Tables of each pair in each sample. weight: of a new table, of each pair or of each sample and pair."""
+    return [drawn(c, w, d, rng) for w in np.broadcast_to(weight, (SAMPLES, len(c)))]
 
 
 @dataclass
@@ -315,34 +340,42 @@ class Parent:
     served: list[float]  # the parent's customers, by sample
     seated: list[float]  # the parent's tables, by sample
     hot: dict[int, int]  # places of split words
+    shared: list[np.ndarray] = field(default_factory=list)  # the parent's tables of each split word, by sample
 
-    def totals(self, p: Pairs) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Training tokens and the parent's customers of each word; of split words, over all buckets."""
-        count, served = p.per_word(p.customers), [m.copy() for m in p.served]
+    def totals(self, p: Pairs) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        """Training tokens, the parent's customers and its tables of each word; of split words, over all buckets."""
+        count, served, seated = p.per_word(p.customers), [m.copy() for m in p.served], [t.copy() for t in p.seated]
         for i in np.flatnonzero(np.isin(p.words, np.array(list(self.hot), np.uint64))):
             at = self.hot[int(p.words[i])]
             count[i] = self.customers[at]
-            for m, x in zip(served, self.tables, strict=True):
+            for m, x in zip([*served, *seated], [*self.tables, *self.shared], strict=True):
                 m[i] = x[at]
-        return count, served
+        return count, served, seated
+
+    def new_table(self, s: int) -> float:
+        """Weight of a new table of any word."""
+        return (STRENGTH[0] + DISCOUNT[0] * self.seated[s]) / (self.known + 1)
 
-    def word_chance(self, m: np.ndarray, s: int) -> np.ndarray:
-        """The parent's predictive probability of words with m customers there, one table each where any."""
-        d, theta = DISCOUNT[0], STRENGTH[0]
-        return (np.maximum(m - d, 0) * (m > 0) + (theta + d * self.seated[s]) / (self.known + 1)) / (theta + self.served[s])
+    def word_chance(self, m: np.ndarray, s: int, tables: np.ndarray | None = None) -> np.ndarray:
+        """The parent's predictive probability of words with m customers there; tables: one each where any."""
+        tables = m > 0 if tables is None else tables
+        return (np.maximum(m - DISCOUNT[0] * tables, 0) + self.new_table(s)) / (STRENGTH[0] + self.served[s])
 
 
-def _parent(scanned: DataFrame) -> Parent:
-    """The parent after a scan. A bucket sends a few numbers and those of the split words it holds a part of."""
+def _parent(scanned: DataFrame, scan: int, last: Parent | None) -> Parent:
+    """The parent after a scan; seats split words, given the last one. A bucket sends a few numbers and those of the split words it holds a part of."""
     sums, hot = 0, {}
     for r in scanned.filter(F.col("kind") == TOTALS).orderBy("bucket").toLocalIterator():
         x = _unpacked(r["values"])
         sums = sums + x["sums"]
         for w, n in x["hot"].items():
             hot[w] = hot.get(w, 0) + np.array(n)
-    split = np.array(list(hot.values())).reshape(len(hot), len(sums) - 1).T
-    known = float(sums[1] + (split[0] > 0).sum())
-    return Parent(int(sums[0]), int(known), split[0], list(split[1:]), sums[2:].tolist(), [known] * (len(sums) - 2), {w: i for i, w in enumerate(hot)})
+    n = (len(sums) - 2) // 2
+    split = np.array([hot[w] for w in sorted(hot)]).reshape(len(hot), n + 1).T
+    known, rng = int(sums[1] + (split[0] > 0).sum()), np.random.default_rng([12, scan])
+    shared = [np.minimum(m, 1) if last is None else drawn(m, np.full(len(m), last.new_table(min(s, len(last.seated) - 1))), DISCOUNT[0], rng) for s, m in enumerate(split[1:])]
+    seated = [float(t + x.sum()) for t, x in zip(sums[2 + n :], shared, strict=True)]
+    return Parent(int(sums[0]), known, split[0], list(split[1:]), sums[2 : 2 + n].tolist(), seated, {w: i for i, w in enumerate(sorted(hot))}, shared)
 
 
 def _answered(table: pa.Table) -> pa.Table:
@@ -387,15 +420,17 @@ def counted(packed: DataFrame, hot: list[int], shards: int) -> DataFrame:
     return packed.mapInArrow(run, BLOB)
 
 
-def sampled(scanned: DataFrame, parent: Parent, hot: list[int], buckets: int, shards: int) -> DataFrame:
-    """A scan that seats every bucket's customers, given the parent and the tables of the last one."""
+def sampled(scanned: DataFrame, scan: int, parent: Parent, hot: list[int], buckets: int, shards: int) -> DataFrame:
+    """A scan that seats every bucket's customers and the parent's, given the parent and the tables of the last one."""
     split = np.array(hot, np.int64).view(np.uint64)
 
     def run(table: pa.Table) -> pa.Table:
-        pairs, (tables,), _ = _received(table, shards)
-        _, (m,) = parent.totals(pairs)
-        new = (STRENGTH[1] + DISCOUNT[1] * tables[pairs.context]) * parent.word_chance(m, 0)[pairs.word]
-        pairs.tables = seat(pairs.customers, new, DISCOUNT[1], np.random.default_rng([11, pairs.number]))
+        pairs, tables, _ = _received(table, shards)
+        _, served, seated = parent.totals(pairs)
+        new = [(STRENGTH[1] + DISCOUNT[1] * x[pairs.context]) * parent.word_chance(m, s, t)[pairs.word] for s, (x, m, t) in enumerate(zip(tables, served, seated, strict=True))]
+        rng = np.random.default_rng([11, scan, pairs.number])
+        pairs.tables = seat(pairs.customers, np.array(new), DISCOUNT[1], rng)
+        pairs.with_parent(lambda s, m: drawn(m, np.full(len(m), parent.new_table(min(s, len(tables) - 1))), DISCOUNT[0], rng))
         return pa.Table.from_pylist(list(pairs.rows(shards, split)), SCHEMA)
 
     return _with_answers(scanned).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(run, BLOB)
@@ -422,6 +457,29 @@ def _by_range(ids: np.ndarray, total: dict[str, np.ndarray]) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_pydict({"range": group[[x for x, _ in spans]], **{k: pa.array([v[x:y].tobytes() for x, y in spans], pa.binary()) for k, v in columns.items()}})
 
 
+@contextmanager
+def _shuffles_removed(spark) -> Iterator[None]:
+    """Files of a shuffle go when what it is for is written; every step here is a written table."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def fitted(scratch: Scratch, packed: DataFrame, hot: list[int], buckets: int, shards: int) -> tuple[DataFrame, Parent]:
+    """All scans: the rows of the last one and the parent then."""
+    last = scratch.table(counted(packed, hot, shards), "scan-0")
+    parent = _parent(last, 0, None)
+    for scan in range(1, SCANS + 1):
+        last = scratch.table(sampled(last, scan, parent, hot, buckets, shards), f"scan-{scan}")
+        parent = _parent(last, scan, parent)
+        scratch.drop(f"scan-{scan - 1}")
+    return last, parent
+
+
 def score(scratch: Scratch, docs: DataFrame, held_out) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every text (log10).
 
@@ -434,20 +492,20 @@ def score(scratch: Scratch, docs: DataFrame, held_out) -> DataFrame:
     buckets = max(8, -(-tokens // BUCKET_TOKENS))
     if not tokens:
         return scratch.spark.createDataFrame([], "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    packed, shards = scratch.table(merged(bucketed(own, hot, buckets), buckets), "buckets"), -(-buckets // SHARD_BUCKETS)
-    first = scratch.table(counted(packed, hot, shards), "counted")
-    last = scratch.table(sampled(first, _parent(first), hot, buckets, shards), "sampled")
-    parent = _parent(last)
+    shards = -(-buckets // SHARD_BUCKETS)
+    with _shuffles_removed(scratch.spark):
+        packed = scratch.table(merged(bucketed(own, hot, buckets), buckets), "buckets")
+        last, parent = fitted(scratch, packed, hot, buckets, shards)
 
     def sums(table: pa.Table) -> tuple:
         d, theta = DISCOUNT[1], STRENGTH[1]
         p, tables, tokens = _received(table, shards)
         b = Bucket.of_row(p.number, tokens)
-        count, served = parent.totals(p)
+        count, served, seated = parent.totals(p)
         chance = np.zeros(len(p.customers))
         for s in range(SAMPLES):
             kept = np.maximum(p.customers - d * p.tables[s], 0)
-            chance += (kept + (theta + d * tables[s][p.context]) * parent.word_chance(served[s], s)[p.word]) / (theta + p.below[p.context]) / SAMPLES
+            chance += (kept + (theta + d * tables[s][p.context]) * parent.word_chance(served[s], s, seated[s])[p.word]) / (theta + p.below[p.context]) / SAMPLES
         base = np.log10(count + 0.5)
         return b.doc_ids, {
             "n_tokens": np.bincount(b.doc, minlength=len(b.doc_ids)),

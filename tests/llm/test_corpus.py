@@ -145,6 +145,36 @@ def test_restaurants_keep_their_customers():
     assert few[0][3] == 1 and many[0][3] == 5
 
 
+def test_tables_follow_their_distribution(monkeypatch):
+    """Against one-by-one Gibbs chances for few customers, and the limit law against exact weights; all are random."""
+    rng, n = np.random.default_rng(4), 20_000
+    two = pitman_yor.drawn(np.full(n, 2), np.full(n, 0.6), 0.6, rng)
+    assert abs(two.mean() - 1.6) < 0.02
+    d, w = 0.8, 1.5
+    weights = np.array([(1 - d) * (2 - d), 3 * (1 - d) * w, w * w])
+    three = pitman_yor.drawn(np.full(n, 3), np.full(n, w), d, rng)
+    assert np.allclose(np.bincount(three.astype(int), minlength=4)[1:] / n, weights / weights.sum(), atol=0.02)
+    for d, w in [(0.6, 0.6), (0.6, 20.0), (0.8, 5.0), (0.8, 300.0), (0.8, 5000.0)]:
+        exact = pitman_yor.drawn(np.full(n, 900), np.full(n, w), d, rng)
+        with monkeypatch.context() as m:
+            m.setattr(pitman_yor, "EXACT", 500)
+            limit = pitman_yor.drawn(np.full(n, 900), np.full(n, w), d, rng)
+        assert exact.std() > 0 and abs(exact.mean() - limit.mean()) < 0.02 * exact.mean() and abs(exact.std() - limit.std()) < 0.05 * exact.std()
+
+
+def test_parent_is_seated(spark):
+    """Words met in several contexts hold several tables of the parent, others in every sample; split words too."""
+    own = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").withColumn("train", F.lit(True))
+    hot, tokens, _ = pitman_yor.hot_words(own)
+    assert hot
+    scratch = Scratch(spark, "t")
+    packed = scratch.table(pitman_yor.merged(pitman_yor.bucketed(own, hot, 8), 8), "buckets")
+    _, parent = pitman_yor.fitted(scratch, packed, hot, 8, 2)
+    assert parent.tokens == tokens and len(set(parent.seated)) > 1
+    assert all(k > 1.1 * parent.known and k < m for k, m in zip(parent.seated, parent.served, strict=True))
+    assert any((x > 1).any() for x in parent.shared)
+
+
 def test_word_chances_sum_to_one():
     parent = pitman_yor.Parent(10, 3, np.zeros(1), [np.zeros(1)], [6.0], [3.0], {})
     m = np.array([1.0, 2.0, 3.0, 0.0])
