@@ -46,7 +46,7 @@ def described(docs: DataFrame) -> DataFrame:
     return docs.withColumns(named | {"mix_topic": topic, "mix_tokens": F.regexp_count(text, F.lit(WORD)).cast("long"), "mix_draw": x / 2.0**32})
 
 
-def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, rounds: int = 8) -> DataFrame:
+def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, rounds: int = 8, with_targets: bool = False) -> DataFrame:
     """cells(source, lang, topic, tokens) with weight: shares that meet each margin's targets.
 
     targets gives shares by margin and value; a margin without is tempered (TEMPER). Values that have a
@@ -69,13 +69,52 @@ def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = N
         for m in MARGINS:
             inside = F.sum("weight").over(Window.partitionBy(m))
             out = out.withColumn("weight", F.when(inside > 0, F.col("weight") * F.col(f"target_{m}") / inside).otherwise(0.0))
-    return out.select(*MARGINS, "tokens", "weight")
+    return out.select(*MARGINS, "tokens", "weight", *[f"target_{m}" for m in MARGINS if with_targets])
 
 
-def mixed(scratch: Scratch, docs: DataFrame, fraction: float = 0.5, targets: Mapping[str, Mapping[str, float]] | None = None, rounds: int = 8) -> DataFrame:
+def _filled(cells: DataFrame, by: Sequence[str], order: Sequence[str], target: str, weight: str = "raw", bound: str = "bound") -> DataFrame:
+    """cells with factor: sum(least(bound, factor * weight)) is the target in every group, or each is at its bound."""
+    whole = Window.partitionBy(*by)
+    sofar = whole.orderBy("ratio", *order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w, u = F.col(weight), F.when(F.col(weight) > 0, F.col(bound)).otherwise(0.0)
+    out = cells.withColumn("ratio", F.when(w > 0, u / w).otherwise(0.0))
+    out = out.withColumn("full", F.sum(u).over(sofar) + F.col("ratio") * F.greatest(F.lit(0.0), F.sum(w).over(whole) - F.sum(w).over(sofar)) <= F.col(target))
+    free, used = F.sum(F.when(~F.col("full"), w).otherwise(0.0)).over(whole), F.sum(F.when(F.col("full"), u).otherwise(0.0)).over(whole)
+    return out.withColumn("factor", F.when(free > 0, (F.col(target) - used) / free).otherwise(F.max("ratio").over(whole))).drop("ratio", "full")
+
+
+def bounded(scratch: Scratch, cells: DataFrame, fraction: float, targets: Mapping[str, Mapping[str, float]] | None = None, rounds: int = 8) -> DataFrame:
+    """rake() where no cell gives more than it has: source, lang, topic, tokens, weight, want_* of each margin.
+
+    A weight is the share of the budget, `fraction` of all tokens, and at most the cell's tokens. Full cells
+    stay full and the free ones take what they leave, margin by margin. A margin's value whose target is over
+    all its tokens is wanted whole and the other values in proportion (want_*). gaps() tells what is left.
+    """
+    budget = F.lit(fraction) * F.sum("tokens").over(Window.partitionBy())
+    out = rake(cells, targets, 0, with_targets=True).withColumn("bound", F.col("tokens") / budget).withColumn("raw", F.col("weight"))
+    out = scratch.table(out.drop("weight"), "bounds")
+    for m in MARGINS:
+        values = out.groupBy(m).agg(F.first(f"target_{m}").alias("share"), F.sum("bound").alias("most")).withColumn("one", F.lit(1.0))
+        values = _filled(values, [], [m], "one", "share", "most").select(m, F.least("most", F.col("factor") * F.col("share")).alias(f"want_{m}"))
+        out = out.join(F.broadcast(values), m)
+    for k in range(rounds):
+        for m in MARGINS:
+            out = _filled(out, [m], MARGINS, f"want_{m}").withColumn("raw", F.col("raw") * F.col("factor")).drop("factor")
+        out = scratch.table(out, f"raked-{k}")
+    return out.select(*MARGINS, "tokens", F.least("bound", "raw").alias("weight"), *[f"want_{m}" for m in MARGINS], *[f"target_{m}" for m in MARGINS])
+
+
+def gaps(cells: DataFrame) -> DataFrame:
+    """margin, value, target, drawn, gap of bounded(): target and expected shares of the budget."""
+    parts = [cells.groupBy(F.lit(m).alias("margin"), F.col(m).alias("value")).agg(F.first(f"target_{m}").alias("target"), F.sum("weight").alias("drawn")) for m in MARGINS]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("gap", F.col("drawn") - F.col("target"))
+
+
+def mixed(scratch: Scratch, docs: DataFrame, fraction: float = 0.5, targets: Mapping[str, Mapping[str, float]] | None = None, rounds: int = 8, clip: bool = False) -> DataFrame:
     """The documents drawn, with all their columns and mix_* ones (probability in mix_rate).
 
-    The expected tokens are `fraction` of all, less what cells that are kept whole cannot give. Texts
+    The expected tokens are `fraction` of all, in shares of bounded(). With clip, cells are raked without
+    bounds and rates over 1 are cut, so shares and budget are missed by what they cannot give. Texts
     without tokens have no weight and are kept with probability 1. An empty table gives an empty one.
     """
     keys = [f"mix_{m}" for m in MARGINS]
@@ -83,7 +122,8 @@ def mixed(scratch: Scratch, docs: DataFrame, fraction: float = 0.5, targets: Map
     cells = marked.groupBy(*[F.col(f"mix_{m}").alias(m) for m in MARGINS]).agg(F.sum("mix_tokens").alias("tokens"))
     cells = scratch.table(cells, "cells")
     budget = F.lit(fraction) * F.sum("tokens").over(Window.partitionBy())
-    rates = rake(cells, targets, rounds).withColumn("rate", F.least(F.lit(1.0), budget * F.col("weight") / F.col("tokens")))
+    raked = rake(cells, targets, rounds) if clip else bounded(scratch, cells, fraction, targets, rounds)
+    rates = raked.withColumn("rate", F.least(F.lit(1.0), budget * F.col("weight") / F.col("tokens")))
     rates = scratch.table(rates.select(*[F.col(m).alias(f"mix_{m}") for m in MARGINS], F.col("rate").alias("mix_rate")).coalesce(1), "rates")
     if rates.count() <= BROADCAST_CELLS:
         joined = marked.join(F.broadcast(rates), keys, "left")
@@ -96,8 +136,9 @@ def mixed(scratch: Scratch, docs: DataFrame, fraction: float = 0.5, targets: Map
 
 
 def mixed_rows(scratch: Scratch, docs: DataFrame) -> DataFrame:
+    """mixed() as the query's SQL has it, with clipped rates."""
     rate = F.when(F.col("mix_tokens") == 0, 1.0).otherwise(F.round("mix_rate", 6))
-    return mixed(scratch, docs).select("doc_id", *[F.col(f"mix_{m}").alias(m) for m in MARGINS], F.col("mix_tokens").alias("n_tokens"), rate.alias("probability"))
+    return mixed(scratch, docs, clip=True).select("doc_id", *[F.col(f"mix_{m}").alias(m) for m in MARGINS], F.col("mix_tokens").alias("n_tokens"), rate.alias("probability"))
 
 
 def oracle(table: str = "documents", fraction: float = 0.5, rounds: int = 8) -> str:

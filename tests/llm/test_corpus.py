@@ -214,6 +214,24 @@ def test_raking_meets_targets(spark):
     assert np.allclose(out.groupby("source").weight.sum(), 0.5, atol=0.03) and np.allclose(out.groupby("lang").weight.sum(), [0.3, 0.7], atol=0.03)
 
 
+def test_draw_meets_targets_within_bounds(spark):
+    """Expected shares of the draw itself, where raking alone asks small cells for more than they have."""
+    sizes = {("a", "x", "prose"): 1000, ("a", "y", "prose"): 300, ("a", "x", "table"): 200, ("b", "x", "prose"): 20, ("b", "y", "table"): 160, ("b", "x", "table"): 40, ("a", "y", "table"): 80, ("b", "y", "prose"): 200}
+    rows = [(i, "w " * n + ("|" if topic == "table" else ""), lang, source) for i, ((source, lang, topic), n) in enumerate(sizes.items())]
+    own = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    targets = {"source": {"a": 0.62, "b": 0.38}, "lang": {"x": 0.5, "y": 0.5}, "topic": {"prose": 0.65, "table": 0.35}}
+    cells = mixing.described(own).groupBy(*[F.col(f"mix_{m}").alias(m) for m in mixing.MARGINS]).agg(F.sum("mix_tokens").alias("tokens"))
+    found = mixing.bounded(Scratch(spark, "t"), cells, 0.5, targets, rounds=30)
+    out, total = found.toPandas(), found.agg(F.sum("tokens")).first()[0]
+    assert (out.weight * total / 2 <= out.tokens * (1 + 1e-9)).all() and (out.weight * total / 2 > out.tokens * (1 - 1e-9)).any()
+    for m, shares in targets.items():
+        assert np.allclose(out.groupby(m).weight.sum()[list(shares)], list(shares.values()), atol=1e-3)
+    assert mixing.gaps(found).filter("abs(gap) > 0.001").isEmpty()
+    # A source that has less than its target is kept whole, and the budget is still met.
+    few = mixing.bounded(Scratch(spark, "t"), cells, 0.5, {"source": {"a": 0.1, "b": 0.9}}).toPandas()
+    assert math.isclose(few.weight.sum(), 1, rel_tol=1e-2) and np.allclose(few[few.source == "b"].weight * total / 2, few[few.source == "b"].tokens, rtol=0.02)
+
+
 def test_mixing_odd_inputs(spark):
     own = docs(spark, [(None, None), (1, ""), (2, "a b"), (2, "a b"), (3, "w " * 20_000)]).withColumn("mix_rate", F.lit(9)).drop("mix_rate")
     got = mixing.mixed(Scratch(spark, "t"), own, fraction=1e9).select(*own.columns)
