@@ -1,0 +1,7 @@
+import __spark_entry__ as entry
+import bench
+from snaptable.llm import queries as llm
+
+
+def test_bench_times_every_operator():
+    assert {*llm.QUERIES, "pipeline"} <= set(bench.LLM) and {*bench.HEADLINE, *bench.LLM} <= entry.queries().keys()
