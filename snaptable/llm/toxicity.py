@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .encode import batch_blocks
 from .scratch import Scratch
 
 TERM = re.compile(rb"[a-z\x80-\xff]+")
@@ -95,17 +96,18 @@ def train(scratch: Scratch, docs: DataFrame, labels: DataFrame, sample: int = SA
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x for batch in batches for x in batch_blocks(batch)):
             found = [np.fromiter(terms(t), np.int64).astype("<u4").tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id").cast(pa.int64()), "toxic": b.column("toxic").cast(pa.int32()), "terms": pa.array(found, pa.binary())})
 
     def learn(table):
-        table = table.slice(0, sample).sort_by("doc_id")
+        table = table.sort_by([("doc_id", "ascending"), ("terms", "ascending")])
         found = [set(np.frombuffer(x, "<u4").tolist()) for x in table.column("terms").to_pylist()]
         m = fit(found, table.column("toxic").to_numpy().astype(float))
         return pa.table({"keys": pa.array([m.keys], pa.list_(pa.int64())), "bias": [m.bias], "linear": pa.array([m.linear.tolist()], pa.list_(pa.float64())), "factors": pa.array([m.factors.ravel().tolist()], pa.list_(pa.float64()))})
 
     gathered = scratch.table(rows.select("doc_id", "toxic", "text").mapInArrow(featurise, "doc_id long, toxic int, terms binary"), "terms")
+    gathered = gathered.orderBy(F.xxhash64("doc_id"), "doc_id", "terms").limit(sample)  # of rows that repeat a doc_id too
     model = gathered.groupBy().applyInArrow(learn, "keys array<long>, bias double, linear array<double>, factors array<double>")
     row = scratch.table(model, "model").first()
     if row is None:
@@ -115,11 +117,12 @@ def train(scratch: Scratch, docs: DataFrame, labels: DataFrame, sample: int = SA
 
 def scored(docs: DataFrame, machine: Machine, column: str = "toxic_score") -> DataFrame:
     """docs, all columns and rows, with the score of the whole text in `column` (replaced if there). A null or
-    empty text scores as one without terms. No shuffle; the machine (at most FEATURES rows) goes with the task."""
+    empty text scores as one without terms. No shuffle; the machine (at most FEATURES rows) goes with the task.
+    At most 256 texts, or about 2 MB of them, are held as terms at a time."""
     kept = [c for c in docs.columns if c != column]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x for batch in batches for x in batch_blocks(batch)):
             scores = machine.score([terms(t) for t in b.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], pa.array(scores, pa.float64())], names=[*kept, column])
 
@@ -140,5 +143,7 @@ def toxicity_rows(scratch: Scratch, docs: DataFrame, labels: DataFrame) -> DataF
 
 def without_toxic(scratch: Scratch, docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """docs less those that score at or above the threshold; columns as they were."""
-    columns = docs.columns
-    return scored(docs, train(scratch, docs, labels), "toxic_score_").filter(F.col("toxic_score_") < threshold).select(*columns)
+    name = "toxic_score"
+    while name in docs.columns:
+        name += "_"
+    return scored(docs, train(scratch, docs, labels), name).filter(F.col(name) < threshold).drop(name)

@@ -15,13 +15,12 @@ from snaptable.llm.token_counts import Unigram, count_tokens
 from snaptable.llm.token_files import SequenceFile, read_documents, write_token_files
 
 FILES = {"word_bpe_49k.json": cut_words, "byte_bpe_50k.json": cut_before_spaces}
-ODD = ["", " ", "a  b", "\n\nx y", " lead", "trail ", "a\x1cb", "!\x1c!", "it's 'll", "a\t\n b\n", "<|endoftext|> x", "e ́", "x" * 3000, "Été 12 ²3", "\0 a"]
+ODD = ["", " ", "a  b", "\n\nx y", " lead", "trail ", "a\x1cb", "!\x1c!", "it's 'll", "a\t\n b\n", "<|endoftext|> x", "a<|startoftext|>b <|EndOfText|>", "<|endoftext", "e ́", "x" * 3000, "Été 12 ²3", "\0 a"]
 ROWS = [(3, "b b b"), (1, None), (2, ""), (None, "null id"), (5, "word " * 3000), (5, "again"), (5, "again"), (9, "x" * 20_000)]
 
 
 def whole(name: str, text: str | None) -> list[int]:
     t = Tokenizer.from_file(P.path(name))
-    t.encode_special_tokens = True
     return t.encode(text or "", add_special_tokens=False).ids
 
 
