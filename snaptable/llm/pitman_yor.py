@@ -1,20 +1,23 @@
 """A hierarchical Pitman-Yor language model of word pairs, sampled by Gibbs (operator 2).
 
-Each context is a restaurant whose customers are the words seen after it; all share one parent, the
-restaurant of single words, whose base is uniform over the known words and one unknown. A context is the
-previous word itself, told by its 64-bit hash as words are. A token goes to the bucket of its word; words
-with a large share of all tokens are split over many buckets by context, so no bucket grows with one word.
-
-What is known of restaurants grows with the corpus and stays in tables. After each scan a bucket sends, per
-shard of contexts, its own customers and tables of every context it holds; a shard adds them up over the
-buckets and answers each in the order it asked. A context is one number a bucket there, however often met.
-
-A bucket holds its tokens, packed, and everything after the one shuffle of tokens is a scan over buckets.
-Given the parent and the tables of the last scan, pairs are independent of one another: a scan draws the
-tables of every pair, all its customers at once, by their distribution (`drawn`), then the parent's tables
-of every word, whose customers are the tables just drawn; of split words the driver draws the parent's. The
-first scan counts and gives every pair and word one table, SCANS more sample, in SAMPLES chains of their
-own, and the last step averages each token's predictive probability over the chains.
+Each context, a previous word, is a restaurant whose customers are the words seen after it. All contexts
+share one parent, the restaurant of single words, whose customers are the contexts' tables and whose base is
+uniform over the known words and one unknown. Words are told apart by 64-bit hashes.
+
+Texts never travel. A chunk of texts is written once as numbers and sends only its distinct pairs of words,
+with their customers, to the bucket of their context; so a restaurant lies whole in one bucket. A context
+with much more than its share of the tokens is split: its pairs go to the buckets of their words, and what
+it holds in all, a few numbers, is known to every task. A bucket also owns the parent's words hashed to it:
+the buckets tell a word's owner how many tables they have for it, and the owner seats them in the parent and
+answers. A pair with one customer has one table, so only the others are drawn and only their words are told.
+
+The first seating gives every pair and every word of the parent one table. SCANS scans follow in SAMPLES
+chains: a bucket draws the tables of half of its pairs, all customers of a pair at once, by their
+distribution given everything else (`drawn`), then those of the other half; then owners draw the parent's. At the
+end a bucket answers each chunk with the counts of the pairs, contexts and words that it asked about, in its
+own order; the chunk averages the predictive probabilities over the chains and adds up its documents.
+
+All that is written or sent is linear in the input: distinct pairs of chunks and of buckets.
 """
 
 from __future__ import annotations
@@ -23,40 +26,42 @@ import functools
 import math
 import pickle
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .encode import blocks
+from .encode import batch_blocks
 from .scratch import Scratch
 from .toxicity import remainder
 
-#: A word with more than this share of a chunk's tokens is looked at, one with more of all tokens is split.
-LOOK, HOT = 1 / 2000, 1 / 500
-#: Parts of a split word.
-PARTS = 256
-#: Tokens that a bucket holds on average.
-BUCKET_TOKENS = 1_000_000
-#: Buckets for each shard of contexts, and those whose sums of documents are added up before they are sent.
-SHARD_BUCKETS, GROUP = 4, 4
-#: Characters of text that are packed together.
-CHUNK_CHARS = 14_000_000
-#: Documents (2 to this power neighbouring doc_ids) whose sums meet in one task.
-DOC_BITS = 13
+#: A word with more than this share of a chunk's tokens is counted when contexts to split are sought.
+LOOK = 1 / 20_000
+#: Contexts that are split at most: those with over a quarter of a bucket's tokens and 1 / MOST_SPLIT of all.
+MOST_SPLIT = 20_000
+#: Tokens that a bucket stands for on average.
+BUCKET_TOKENS = 3_000_000
+#: Bytes of text that are numbered together.
+CHUNK_BYTES = 26_000_000
 #: Customers up to which tables are drawn by exact weights; beyond, by their limit law.
 EXACT = 1024
 SCANS, SAMPLES = 3, 3
 DISCOUNT, STRENGTH = (0.6, 0.8), (50.0, 1.0)  # of the parent, of the contexts
 END = b"\n"
 
-BLOB = "bucket long, shard long, kind int, values binary"
-#: Kinds of rows: a bucket's tokens, its pairs, its numbers of a shard's contexts, the shard's totals of them,
-#: its part of the parent's totals.
-TOKENS, PAIRS, ASKED, ANSWERED, TOTALS = range(5)
-SCHEMA = pa.schema([("bucket", pa.int64()), ("shard", pa.int64()), ("kind", pa.int32()), ("values", pa.binary())])
+BLOB = "kind int, bucket long, peer long, values binary, sums array<double>"
+SCHEMA = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("peer", pa.int64()), ("values", pa.binary()), ("sums", pa.list_(pa.float64()))])
+#: Kinds of rows. Of a chunk (bucket: its number): tokens, where its words belong, what it sends to a bucket and hears from it (peer).
+TOKENS, WORDS, SENT, HEARD = range(4)
+#: Of a bucket: customers, pairs to draw, their tables, places of a chunk's pairs (peer).
+KEPT, DRAW, TABLES, PLACES = range(4, 8)
+#: Between a bucket and an owner (peer): words told about, its own contexts, tables of its words, the owner's answer; the owner's words.
+TOLD, OWN_KINDS, TELLS, ANSWERS, OWNED = range(8, 13)
+#: Sums: of all, of split contexts, of split contexts' words in the parent (bucket: their number).
+TOTAL, SPLIT_CONTEXT, SPLIT_WORD = range(13, 16)
 
 
 def _packed(x: dict) -> bytes:
@@ -68,8 +73,24 @@ def _unpacked(b: bytes) -> dict:
     return pickle.loads(pa.Codec("zstd").decompress(b[8:], int.from_bytes(b[:8], "little"), asbytes=True))
 
 
-def _row(bucket: int, shard: int, kind: int, x: dict) -> dict:
-    return {"bucket": bucket, "shard": shard, "kind": kind, "values": _packed(x)}
+def _row(kind: int, bucket: int, peer: int, x: dict) -> dict:
+    return {"kind": kind, "bucket": int(bucket), "peer": int(peer), "values": _packed(x), "sums": None}
+
+
+def _sums(kind: int, bucket: int, sums) -> dict:
+    return {"kind": kind, "bucket": int(bucket), "peer": -1, "values": None, "sums": [float(x) for x in sums]}
+
+
+def _table(rows: list[dict]) -> pa.Table:
+    return pa.Table.from_pylist(rows, SCHEMA)
+
+
+def _read(table: pa.Table) -> dict[int, list[tuple[int, int, dict]]]:
+    """(bucket, peer, values) by kind, in order of bucket and peer."""
+    out: dict[int, list] = {}
+    for r in table.to_pylist():
+        out.setdefault(r["kind"], []).append((r["bucket"], r["peer"], _unpacked(r["values"])))
+    return {k: sorted(v, key=lambda x: x[:2]) for k, v in out.items()}
 
 
 def _narrow(x: np.ndarray) -> np.ndarray:
@@ -77,202 +98,222 @@ def _narrow(x: np.ndarray) -> np.ndarray:
     return x.astype(np.min_scalar_type(int(x.max(initial=0))))
 
 
+def _steps(x: np.ndarray) -> np.ndarray:
+    """Ascending numbers as their differences; np.cumsum gives them back."""
+    return _narrow(np.diff(x, prepend=0))
+
+
+def _walked(x: np.ndarray) -> np.ndarray:
+    return np.cumsum(x, dtype=np.int64)
+
+
+def _planes(x: np.ndarray) -> np.ndarray:
+    """Bytes of numbers, all first ones first: they compress better."""
+    x = _narrow(x)
+    return x.view(np.uint8).reshape(len(x), x.itemsize).T.copy()
+
+
+def _whole(x: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(x.T).view(np.dtype(f"u{len(x)}"))[:, 0].astype(np.int64)
+
+
 def _hashed(words) -> np.ndarray:
     import xxhash
 
     return np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
 
 
-def hot_words(docs: DataFrame) -> tuple[list[int], int, int]:
-    """Hashes of the words that are split, the number of tokens and of training tokens. At most 1/HOT words."""
+class Numbers(dict):
+    """Numbers new keys in the order in which they are first asked for."""
+
+    def __missing__(self, key) -> int:
+        self[key] = n = len(self)
+        return n
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts, train = b.column("text").to_pylist(), b.column("train").to_pylist()
-            for part in blocks(texts, 8_000_000):
-                words, n, learnt = {}, 0, 0
-                for t, own in zip(texts[part], train[part], strict=True):
-                    found = (t or "").encode().lower().split()
-                    n, learnt = n + len(found) + 1, learnt + (len(found) + 1) * own
-                    for w in found:
-                        words[w] = words.get(w, 0) + 1
-                words[END] = part.stop - part.start
-                often = {w: c for w, c in words.items() if c > n * LOOK}
-                yield pa.RecordBatch.from_pydict({"word": pa.array([0, 1, *_hashed(often).view(np.int64).tolist()], pa.int64()), "kind": pa.array([0, 1] + [2] * len(often), pa.int32()), "n": pa.array([n, learnt, *often.values()], pa.int64())})
-
-    found = docs.select("text", "train").mapInArrow(run, "word long, kind int, n long").groupBy("kind", "word").agg(F.sum("n").alias("n"))
-    total = found.filter("kind < 2").collect()
-    sizes = {r["kind"]: r["n"] for r in total}
-    tokens = sizes.get(0, 0)
-    hot = found.filter((F.col("kind") == 2) & (F.col("n") > tokens * HOT)).orderBy(F.desc("n")).limit(int(1 / HOT)).collect()
-    return [r["word"] for r in hot], tokens, sizes.get(1, 0)
-
-
-def bucketed(docs: DataFrame, hot: list[int], buckets: int) -> DataFrame:
-    """Every token of every text, packed per chunk of texts and bucket (BLOB)."""
-    split = np.array(sorted(hot), np.int64).view(np.uint64)
-
-    def pack(ids, texts, train) -> Iterator[dict]:
-        names: dict[bytes, int] = {END: 0}
-        own = []
-        for t in texts:
-            words = (t or "").encode().lower().split()
-            for w in words:
-                if w not in names:
-                    names[w] = len(names)
-            own.append(np.fromiter(map(names.__getitem__, [END, *words, END]), np.int32, len(words) + 2))
-        hashes = _hashed(names)
-        names_by_hash = np.argsort(hashes)
-        rank = np.empty(len(hashes), np.int32)
-        rank[names_by_hash] = np.arange(len(hashes))
-        word = np.concatenate([x[1:] for x in own])
-        context = rank[np.concatenate([x[:-1] for x in own])]
-        doc = np.repeat(np.arange(len(own), dtype=np.int32), [len(x) - 1 for x in own])
-        is_hot = np.isin(hashes, split)
-        place = (hashes >> np.uint64(20)) % np.uint64(buckets)
-        bucket = place[word].astype(np.int64)
-        h = is_hot[word]
-        bucket[h] = (bucket[h] + (hashes[names_by_hash[context[h]]] % np.uint64(PARTS)).astype(np.int64)) % buckets
-        order = np.lexsort((doc, context, word, bucket))
-        bucket, word, context, doc = bucket[order], word[order], context[order], doc[order]
-        cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-        doc_ids, learnt = np.array([i if i is not None else -1 for i in ids], np.int64), np.array(train, np.uint8)
-        for a, z in zip(cuts, [*cuts[1:], len(bucket)], strict=True):
-            starts = a + np.flatnonzero(np.diff(word[a:z], prepend=-1))
-            used, index = np.unique(doc[a:z], return_inverse=True)
-            kinds, which = np.unique(context[a:z], return_inverse=True)
-            yield _row(int(bucket[a]), -1, TOKENS, {"doc_ids": doc_ids[used], "train": learnt[used], "words": hashes[word[starts]], "runs": _narrow(np.diff([*starts, z])), "kinds": hashes[names_by_hash[kinds]], "contexts": _narrow(which), "places": _narrow(index)})
+
+@dataclass(frozen=True)
+class Deal:
+    """Which bucket a context, and which owner a word, belongs to."""
+
+    buckets: int
+    split: np.ndarray  # hashes of split contexts, ascending
+
+    def place(self, hashes: np.ndarray) -> np.ndarray:
+        return ((hashes >> np.uint64(20)) % np.uint64(self.buckets)).astype(np.int64)
+
+    def split_number(self, hashes: np.ndarray) -> np.ndarray:
+        """Places in split, -1 for others."""
+        if not len(self.split):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.split, hashes), len(self.split) - 1)
+        return np.where(self.split[at] == hashes, at, -1)
+
+
+def dealt(docs: DataFrame) -> tuple[Deal, int]:
+    """How contexts are dealt out, and the number of tokens. At most 2 * MOST_SPLIT words come to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = ([], [], []), 0
+        for b in (x for batch in batches for x in batch_blocks(batch, "text", 8_000_000, 10_000)):
+            words: dict[bytes, int] = {}
+            for t in b.column("text").to_pylist():
+                for w in (t or "").encode().lower().split():
+                    words[w] = words.get(w, 0) + 1
+            words[END] = b.num_rows
+            n = sum(words.values())
+            often = {w: c for w, c in words.items() if c > n * LOOK}
+            yield pa.RecordBatch.from_pydict({"word": pa.array([0, *_hashed(often).view(np.int64).tolist()], pa.int64()), "all": [True] + [False] * len(often), "n": pa.array([n, *often.values()], pa.int64())})
+
+    found = docs.select("text").mapInArrow(run, "word long, all boolean, n long").groupBy("all", "word").agg(F.sum("n").alias("n"))
+    found = found.orderBy(F.desc("all"), F.desc("n")).limit(2 * MOST_SPLIT).collect()
+    tokens = sum(r["n"] for r in found if r["all"])
+    buckets = max(8, -(-tokens // BUCKET_TOKENS))
+    least = max(tokens / (4 * buckets), tokens / MOST_SPLIT)
+    split = np.array([r["word"] for r in found if not r["all"] and r["n"] > least], np.int64).view(np.uint64)
+    return Deal(buckets, np.sort(split)), tokens
 
-        def done() -> Iterator[pa.RecordBatch]:
-            rows = []
-            for row in pack(*held):
-                rows.append(row)
-                if len(rows) == 64:
-                    yield pa.RecordBatch.from_pylist(rows, SCHEMA)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, SCHEMA)
 
-        for b in batches:
-            ids, texts, train = (b.column(c).to_pylist() for c in ("doc_id", "text", "train"))
-            for part in blocks(texts):
-                for x, y in zip(held, (ids[part], texts[part], train[part]), strict=True):
-                    x.extend(y)
-                size += sum(len(t or "") for t in texts[part])
-                if size > CHUNK_CHARS:
-                    yield from done()
-                    held, size = ([], [], []), 0
-        if held[0]:
-            yield from done()
-
-    return docs.select("doc_id", "text", "train").mapInArrow(run, BLOB)
-
-
-def merged(blobs: DataFrame, buckets: int) -> DataFrame:
-    """One row a bucket: its tokens by word, context and document."""
-
-    def merge(table):
-        doc_ids, train, words, contexts, docs, at = [], [], [], [], [], 0
-        for v in table.column("values"):
-            r = _unpacked(v.as_py())
-            words.append(np.repeat(r["words"], r["runs"]))
-            contexts.append(r["kinds"][r["contexts"]])
-            docs.append(r["places"].astype(np.uint32) + np.uint32(at))
-            doc_ids.append(r["doc_ids"])
-            train.append(r["train"])
-            at += len(r["doc_ids"])
-        words, contexts, docs, doc_ids, train = map(np.concatenate, (words, contexts, docs, doc_ids, train))
-        # Rows of a document in one bucket come from one chunk, so (doc_id, place) names a document.
-        rank = np.argsort(doc_ids, kind="stable")
-        back = np.empty(len(rank), np.uint32)
-        back[rank] = np.arange(len(rank))
-        docs = back[docs]
-        order = np.lexsort((docs, contexts, words))
-        words, contexts, docs = words[order], contexts[order], docs[order]
-        starts = np.flatnonzero(np.diff(words, prepend=~words[:1]))
-        kinds, which = np.unique(contexts, return_inverse=True)
-        row = {"doc_ids": doc_ids[rank], "train": train[rank], "words": words[starts], "runs": np.diff([*starts, len(words)]).astype(np.uint32), "kinds": kinds, "contexts": _narrow(which), "places": _narrow(docs)}
-        return pa.Table.from_pylist([_row(table.column("bucket")[0].as_py(), -1, TOKENS, row)], SCHEMA)
-
-    return blobs.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(merge, BLOB)
+# --- chunks
 
 
-@dataclass
-class Bucket:
-    """A bucket's tokens and, for each pair of word and context met in training, its customers."""
-
-    number: int
-    doc_ids: np.ndarray
-    words: np.ndarray
-    kinds: np.ndarray  # hashes of the contexts, ascending
-    word_of: np.ndarray  # of each token
-    doc: np.ndarray
-    pair_of: np.ndarray  # pair of each token
-    pair_word: np.ndarray
-    pair_context: np.ndarray  # place in kinds
-    customers: np.ndarray  # training tokens of each pair
+CHUNKS = "chunk long, tokens binary, words binary, places binary"
 
-    @classmethod
-    def of_row(cls, number: int, r: dict) -> Bucket:
-        doc_ids, train, runs, context, doc = r["doc_ids"], r["train"], r["runs"], r["contexts"].astype(np.int64), r["places"].astype(np.int64)
-        word_of = np.repeat(np.arange(len(runs)), runs)
-        change = np.diff(context, prepend=-1) != 0
-        change[np.cumsum(runs) - runs] = True
-        first = np.flatnonzero(change)
-        pair_of = np.cumsum(change) - 1
-        customers = np.bincount(pair_of, train[doc], len(first)).astype(np.int64)
-        return cls(number, doc_ids, r["words"], r["kinds"], word_of, doc, pair_of, word_of[first], context[first], customers)
+
+def numbered(docs: DataFrame, deal: Deal) -> DataFrame:
+    """Chunks of texts from docs(doc_id, text, train): tokens, their words' hashes, and where those belong."""
+
+    def pack(number: int, ids: list, train: list, own: list[np.ndarray], names: Numbers) -> pa.RecordBatch:
+        hashes = _hashed(names)
+        order = np.argsort(hashes)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        lengths = np.array([len(x) for x in own])
+        tokens = {"ids": np.array([i or 0 for i in ids], np.int64), "null": np.array([i is None for i in ids]), "train": np.array(train, bool), "lengths": _narrow(lengths), "tokens": _planes(rank[np.concatenate(own)])}
+        places = {"place": _narrow(deal.place(hashes[order])), "split": deal.split_number(hashes[order]).astype(np.int16)}
+        return pa.RecordBatch.from_pydict({"chunk": [number], "tokens": [_packed(tokens)], "words": [_packed({"hashes": hashes[order]})], "places": [_packed(places)]})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, size, held = TaskContext.get().partitionId() << 24, 0, ([], [], [], Numbers({END: 0}))
+        for b in (x for batch in batches for x in batch_blocks(batch)):
+            ids, train, own, names = held
+            ids += b.column("doc_id").to_pylist()
+            train += b.column("train").to_pylist()
+            for t in b.column("text").to_pylist():
+                words = (t or "").encode().lower().split()
+                size += len(t or "")
+                words.append(END)
+                own.append(np.fromiter(map(names.__getitem__, words), np.int32, len(words)))
+            if size > CHUNK_BYTES:
+                yield pack(number, *held)
+                number, size, held = number + 1, 0, ([], [], [], Numbers({END: 0}))
+        if held[0]:
+            yield pack(number, *held)
+
+    return docs.select("doc_id", "text", "train").mapInArrow(run, CHUNKS)
 
 
 @dataclass
-class Pairs:
-    """A bucket's pairs of word and context, and what was drawn for them."""
+class Chunk:
+    """A chunk's tokens and its distinct pairs, by bucket, context and word."""
 
-    number: int
-    words: np.ndarray
-    kinds: np.ndarray
+    tokens: np.ndarray  # places of words by hash
+    lengths: np.ndarray
+    split: np.ndarray  # number of each word among split contexts, or -1
+    context: np.ndarray  # of each pair
     word: np.ndarray
-    context: np.ndarray
-    customers: np.ndarray
-    tables: list[np.ndarray]  # by sample
-    below: np.ndarray | None = None  # customers of each context, over all buckets
-    served: list[np.ndarray] | None = None  # the parent's customers of each word, by sample
-    seated: list[np.ndarray] | None = None  # the parent's tables of each word, by sample
+    bucket: np.ndarray
+    pair_of: np.ndarray  # pair of each token
 
     @classmethod
-    def of(cls, b: Bucket) -> Pairs:
-        return cls(b.number, b.words, b.kinds, b.pair_word, b.pair_context, b.customers, [np.minimum(b.customers, 1)]).with_parent(lambda s, m: np.minimum(m, 1))
+    def of(cls, r: dict, places: dict) -> Chunk:
+        tokens, place, split = _whole(r["tokens"]), places["place"].astype(np.int64), places["split"].astype(np.int64)
+        before = np.empty_like(tokens)
+        before[1:], before[0] = tokens[:-1], tokens[-1]  # a text ends where the next begins, with END
+        codes, pair_of = np.unique(before * len(place) + tokens, return_inverse=True)
+        context, word = np.divmod(codes, len(place))
+        bucket = np.where(split[context] >= 0, place[word], place[context])
+        order = np.argsort(bucket, kind="stable")
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        return cls(tokens, r["lengths"].astype(np.int64), split, context[order], word[order], bucket[order], back[pair_of])
+
+    def runs(self) -> Iterator[tuple[int, slice]]:
+        """Each bucket's pairs."""
+        cuts = [*np.flatnonzero(np.diff(self.bucket, prepend=-1)).tolist(), len(self.bucket)]
+        for a, z in zip(cuts, cuts[1:], strict=False):
+            yield int(self.bucket[a]), slice(a, z)
+
+
+def _new(x: np.ndarray) -> np.ndarray:
+    """Where a sorted array's values begin."""
+    return np.flatnonzero(np.diff(x, prepend=x[:1] - 1)) if len(x) else np.zeros(0, np.int64)
+
+
+def sent(chunks: DataFrame) -> DataFrame:
+    """Every chunk's distinct pairs and their training tokens, a row for each bucket."""
+
+    def pairs(r: dict) -> Iterator[dict]:
+        own, hashes = _unpacked(r["tokens"]), _unpacked(r["words"])["hashes"]
+        c = Chunk.of(own, _unpacked(r["places"]))
+        customers = np.bincount(c.pair_of, np.repeat(own["train"], c.lengths), len(c.word)).astype(np.int64)
+        for bucket, part in c.runs():
+            context, first = c.context[part], _new(c.context[part])
+            known, at = np.unique(c.word[part], return_inverse=True)
+            yield _row(SENT, bucket, r["chunk"], {"kinds": hashes[context[first]], "runs": _narrow(np.diff([*first, len(context)])), "words": hashes[known], "at": _narrow(at), "customers": _narrow(customers[part])})
 
-    @classmethod
-    def unpacked(cls, number: int, r: dict) -> Pairs:
-        wide = {k: r[k].astype(np.int64) for k in ("word", "context", "customers")}
-        return cls(number, **{**r, **wide, "tables": [t.astype(np.float64) for t in r["tables"]]})
-
-    def with_parent(self, seats) -> Pairs:
-        """Takes the tables as the parent's customers and seats them by seats(sample, customers)."""
-        self.served = [self.per_word(t) for t in self.tables]
-        self.seated = [seats(s, m) for s, m in enumerate(self.served)]
-        return self
-
-    def rows(self, shards: int, hot: np.ndarray) -> Iterator[dict]:
-        """The pairs, the questions to the shards of contexts, and the bucket's part of the parent's totals."""
-        kept = {"words": self.words, "kinds": self.kinds, "below": self.below, "served": self.served, "seated": self.seated}
-        kept |= {k: _narrow(getattr(self, k)) for k in ("word", "context", "customers")}
-        yield _row(self.number, -1, PAIRS, kept | {"tables": [_narrow(t) for t in self.tables]})
-        totals = [np.bincount(self.context, x, len(self.kinds)) for x in (self.customers, *self.tables)]
-        shard = (self.kinds % np.uint64(shards)).astype(np.int64)
-        for j in np.unique(shard):
-            own = shard == j
-            yield _row(self.number, int(j), ASKED, {"kinds": self.kinds[own], "totals": [_narrow(x[own]) for x in totals]})
-        count, split = self.per_word(self.customers), np.isin(self.words, hot)
-        found = {int(self.words[i]): [count[i], *(m[i] for m in self.served)] for i in np.flatnonzero(split)}
-        yield _row(self.number, -1, TOTALS, {"sums": np.array([count.sum(), ((count > 0) & ~split).sum(), *(m.sum() for m in self.served), *(t[~split].sum() for t in self.seated)], float), "hot": found})
-
-    def per_word(self, x: np.ndarray) -> np.ndarray:
-        return np.bincount(self.word, x, len(self.words))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in (b.slice(i, 1) for b in batches for i in range(b.num_rows)):
+            rows: list[dict] = []
+            for row in pairs(chunk.to_pylist()[0]):
+                rows.append(row)
+                if len(rows) == 64:
+                    yield pa.RecordBatch.from_pylist(rows, SCHEMA)
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, SCHEMA)
+
+    return chunks.select("chunk", "tokens", "words", "places").mapInArrow(run, BLOB)
+
+
+# --- buckets
+
+
+def merged(pairs: DataFrame, deal: Deal) -> DataFrame:
+    """What buckets keep, draw and tell owners, from the chunks' pairs. Every pair has one table."""
+
+    def merge(table: pa.Table) -> pa.Table:
+        parts = _read(table)[SENT]
+        bucket = parts[0][0]
+        kinds, kind_at = np.unique(np.concatenate([x["kinds"] for *_, x in parts]), return_inverse=True)
+        words, word_at = np.unique(np.concatenate([x["words"] for *_, x in parts]), return_inverse=True)
+        kind_cuts = np.cumsum([len(x["kinds"]) for *_, x in parts])[:-1]
+        kind_at, word_at = np.split(kind_at, kind_cuts), np.split(word_at, np.cumsum([len(x["words"]) for *_, x in parts])[:-1])
+        codes = [np.repeat(k, x["runs"]) * len(words) + w[x["at"]] for k, w, (*_, x) in zip(kind_at, word_at, parts, strict=True)]
+        pairs, pair_at = np.unique(np.concatenate(codes), return_inverse=True)
+        customers = np.bincount(pair_at, np.concatenate([x["customers"] for *_, x in parts])).astype(np.int64)
+        rows = [_row(PLACES, bucket, chunk, {"pairs": _steps(p), "kinds": _steps(k)}) for p, k, (_, chunk, _) in zip(np.split(pair_at, np.cumsum([len(x) for x in codes])[:-1]), kind_at, parts, strict=True)]
+        kind, word = np.divmod(pairs, len(words))
+        number, drawn_ = deal.split_number(kinds), customers > 1
+        below = np.bincount(kind, customers, len(kinds)).astype(np.int64)
+        single = np.bincount(kind, customers == 1, len(kinds)).astype(np.int64)
+        rows.append(_row(KEPT, bucket, -1, {"customers": _narrow(customers), "below": _narrow(below), "single": _narrow(single)}))
+        # The parent's words, in their owners' order; those with pairs to draw are told about again and again.
+        count, once, often = (np.bincount(word, x, len(words)).astype(np.int64) for x in (customers, customers == 1, drawn_))
+        owner = deal.place(words)
+        order = np.lexsort((words, owner))
+        order = order[count[order] > 0]
+        told = order[often[order] > 0]
+        rank = np.full(len(words), -1)
+        rank[told] = np.arange(len(told))
+        owners, n_told = np.unique(owner[told], return_counts=True)
+        mine, at = np.unique(kind[drawn_], return_inverse=True)
+        rows.append(_row(DRAW, bucket, -1, {"kinds": _steps(mine), "below": _narrow(below[mine]), "single": _narrow(single[mine]), "split": number[mine].astype(np.int32), "context": _narrow(at), "word": _narrow(rank[word[drawn_]]), "customers": _narrow(customers[drawn_]), "owners": owners, "told": n_told}))
+        for o in np.unique(owner[order]):
+            own = order[owner[order] == o]
+            rows.append(_row(TOLD, bucket, o, {"words": words[own], "count": _narrow(count[own]), "once": _narrow(once[own]), "often": _narrow(often[own])}))
+        rows.append(_row(OWN_KINDS, bucket, bucket, {"kinds": kinds}))
+        return _table(rows + [_sums(SPLIT_CONTEXT, number[i], [below[i], single[i], *[(drawn_ & (kind == i)).sum()] * SAMPLES]) for i in np.flatnonzero(number >= 0)])
+
+    return pairs.repartition(deal.buckets, "bucket").groupBy("bucket").applyInArrow(merge, BLOB)
 
 
 @functools.cache
@@ -323,206 +364,243 @@ def drawn(c: np.ndarray, weight: np.ndarray, d: float, rng: np.random.Generator)
     return np.minimum(out, c)
 
 
-def seat(c: np.ndarray, weight: np.ndarray, d: float, rng: np.random.Generator) -> list[np.ndarray]:
-    """Tables of each pair in each sample. weight: of a new table, of each pair or of each sample and pair."""
-    return [drawn(c, w, d, rng) for w in np.broadcast_to(weight, (SAMPLES, len(c)))]
-
-
 @dataclass
 class Parent:
-    """What every task knows: the parent's totals, and what it holds of split words."""
+    """What every task knows: totals, and what split contexts and their words hold."""
 
     tokens: int  # in training
     known: int  # distinct words of training
-    customers: np.ndarray  # training tokens of each split word
-    tables: list[np.ndarray]  # the parent's customers of each split word, by sample
     served: list[float]  # the parent's customers, by sample
     seated: list[float]  # the parent's tables, by sample
-    hot: dict[int, int]  # places of split words
-    shared: list[np.ndarray] = field(default_factory=list)  # the parent's tables of each split word, by sample
-
-    def totals(self, p: Pairs) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-        """Training tokens, the parent's customers and its tables of each word; of split words, over all buckets."""
-        count, served, seated = p.per_word(p.customers), [m.copy() for m in p.served], [t.copy() for t in p.seated]
-        for i in np.flatnonzero(np.isin(p.words, np.array(list(self.hot), np.uint64))):
-            at = self.hot[int(p.words[i])]
-            count[i] = self.customers[at]
-            for m, x in zip([*served, *seated], [*self.tables, *self.shared], strict=True):
-                m[i] = x[at]
-        return count, served, seated
+    below: np.ndarray | None = None  # customers of each split context
+    single: np.ndarray | None = None  # its pairs of one customer
+    tables: np.ndarray | None = None  # its tables, by sample
+    count: np.ndarray | None = None  # training tokens of each split context as a word
+    word_served: np.ndarray | None = None  # the parent's customers of that word, by sample
+    word_seated: np.ndarray | None = None  # the parent's tables of that word, by sample
+
+    @classmethod
+    def of(cls, tables: list[DataFrame], split: int) -> Parent:
+        """From the sums in tables. Spark adds them up; a few numbers for each split context come to the driver."""
+        rows = tables[0]
+        for t in tables[1:]:
+            rows = rows.unionByName(t)
+        found = rows.filter(F.col("kind") >= TOTAL).select("kind", "bucket", F.posexplode("sums").alias("at", "x")).groupBy("kind", "bucket", "at").agg(F.sum("x").alias("x"))
+        size = {TOTAL: (1, 2 + 2 * SAMPLES), SPLIT_CONTEXT: (split, 2 + SAMPLES), SPLIT_WORD: (split, 1 + 2 * SAMPLES)}
+        out = {k: np.zeros(n) for k, n in size.items()}
+        for r in found.collect():
+            out[r["kind"]][r["bucket"], r["at"]] = r["x"]
+        total, context, word = out[TOTAL][0], out[SPLIT_CONTEXT].T, out[SPLIT_WORD].T
+        return cls(int(total[0]), int(total[1]), total[2 : 2 + SAMPLES].tolist(), total[2 + SAMPLES :].tolist(), context[0], context[1], context[1] + context[2:], word[0], word[1 : 1 + SAMPLES], word[1 + SAMPLES :])
 
     def new_table(self, s: int) -> float:
         """Weight of a new table of any word."""
         return (STRENGTH[0] + DISCOUNT[0] * self.seated[s]) / (self.known + 1)
 
-    def word_chance(self, m: np.ndarray, s: int, tables: np.ndarray | None = None) -> np.ndarray:
-        """The parent's predictive probability of words with m customers there; tables: one each where any."""
-        tables = m > 0 if tables is None else tables
-        return (np.maximum(m - DISCOUNT[0] * tables, 0) + self.new_table(s)) / (STRENGTH[0] + self.served[s])
-
-
-def _parent(scanned: DataFrame, scan: int, last: Parent | None) -> Parent:
-    """The parent after a scan; seats split words, given the last one. A bucket sends a few numbers and those of the split words it holds a part of."""
-    sums, hot = 0, {}
-    for r in scanned.filter(F.col("kind") == TOTALS).orderBy("bucket").toLocalIterator():
-        x = _unpacked(r["values"])
-        sums = sums + x["sums"]
-        for w, n in x["hot"].items():
-            hot[w] = hot.get(w, 0) + np.array(n)
-    n = (len(sums) - 2) // 2
-    split = np.array([hot[w] for w in sorted(hot)]).reshape(len(hot), n + 1).T
-    known, rng = int(sums[1] + (split[0] > 0).sum()), np.random.default_rng([12, scan])
-    shared = [np.minimum(m, 1) if last is None else drawn(m, np.full(len(m), last.new_table(min(s, len(last.seated) - 1))), DISCOUNT[0], rng) for s, m in enumerate(split[1:])]
-    seated = [float(t + x.sum()) for t, x in zip(sums[2 + n :], shared, strict=True)]
-    return Parent(int(sums[0]), known, split[0], list(split[1:]), sums[2 : 2 + n].tolist(), seated, {w: i for i, w in enumerate(sorted(hot))}, shared)
-
-
-def _answered(table: pa.Table) -> pa.Table:
-    """What the buckets asked a shard of contexts: totals over all buckets, in each one's order."""
-    asked = [_unpacked(v.as_py()) for v in table.column("values")]
-    _, at = np.unique(np.concatenate([x["kinds"] for x in asked]), return_inverse=True)
-    totals = [_narrow(np.bincount(at, np.concatenate(parts))[at]) for parts in zip(*(x["totals"] for x in asked), strict=True)]
-    cuts = np.cumsum([len(x["kinds"]) for x in asked])[:-1]
-    split = zip(*(np.split(x, cuts) for x in totals), strict=True)
-    return pa.Table.from_pylist([_row(b.as_py(), j.as_py(), ANSWERED, {"totals": list(x)}) for b, j, x in zip(table.column("bucket"), table.column("shard"), split, strict=True)], SCHEMA)
-
-
-def _with_answers(scanned: DataFrame) -> DataFrame:
-    """The pairs of all buckets and the totals of their contexts."""
-    answers = scanned.filter(F.col("kind") == ASKED).groupBy("shard").applyInArrow(_answered, BLOB)
-    return scanned.filter(F.col("kind") == PAIRS).unionByName(answers)
-
-
-def _received(table: pa.Table, shards: int) -> tuple[Pairs, list[np.ndarray], dict | None]:
-    """A bucket's pairs, tables of its contexts by sample, and its tokens if they are there."""
-    rows = [(r["kind"], r["shard"], r["bucket"], _unpacked(r["values"])) for r in table.to_pylist()]
-    ((number, held),) = [(b, x) for kind, _, b, x in rows if kind == PAIRS]
-    pairs = Pairs.unpacked(number, held)
-    shard, totals = (pairs.kinds % np.uint64(shards)).astype(np.int64), np.zeros((1 + len(pairs.tables), len(pairs.kinds)))
-    for kind, j, _, x in rows:
-        if kind == ANSWERED:
-            totals[:, shard == j] = x["totals"]
-    pairs.below = totals[0]
-    return pairs, list(totals[1:]), next((x for kind, *_, x in rows if kind == TOKENS), None)
-
-
-def counted(packed: DataFrame, hot: list[int], shards: int) -> DataFrame:
-    """The first scan: every pair met in training has one table."""
-    split = np.array(hot, np.int64).view(np.uint64)
+    def word_chance(self, m: np.ndarray, t: np.ndarray, s: int) -> np.ndarray:
+        """The parent's predictive probability of words with m customers at t tables there."""
+        return (np.maximum(m - DISCOUNT[0] * t, 0) + self.new_table(s)) / (STRENGTH[0] + self.served[s])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for number, values in zip(b.column("bucket"), b.column("values"), strict=True):
-                bucket = Bucket.of_row(number.as_py(), _unpacked(values.as_py()))
-                yield pa.RecordBatch.from_pylist(list(Pairs.of(bucket).rows(shards, split)), SCHEMA)
 
-    return packed.mapInArrow(run, BLOB)
+def _owner_rows(owner: int, own: dict, served: list[np.ndarray], seated: list[np.ndarray]) -> pa.Table:
+    """An owner's words with the parent's customers and tables, its answers to buckets, and its sums."""
+    rows = [_row(OWNED, owner, owner, own | {"served": [_narrow(m) for m in served], "seated": [_narrow(t) for t in seated]})]
+    for bucket, steps in own["users"]:
+        at = _walked(steps)
+        rows.append(_row(ANSWERS, bucket, owner, {"served": [_narrow(m[at]) for m in served], "seated": [_narrow(t[at]) for t in seated]}))
+    rows.append(_sums(TOTAL, 0, [own["count"].sum(dtype=np.int64), len(own["count"]), *(m.sum() for m in served), *(t.sum() for t in seated)]))
+    return _table(rows + [_sums(SPLIT_WORD, n, [own["count"][i], *(m[i] for m in served), *(t[i] for t in seated)]) for i, n in own["split"]])
 
 
-def sampled(scanned: DataFrame, scan: int, parent: Parent, hot: list[int], buckets: int, shards: int) -> DataFrame:
-    """A scan that seats every bucket's customers and the parent's, given the parent and the tables of the last one."""
-    split = np.array(hot, np.int64).view(np.uint64)
+def owned(kept: DataFrame, deal: Deal) -> DataFrame:
+    """Owners' words from what the buckets told; every word has one table of the parent."""
 
     def run(table: pa.Table) -> pa.Table:
-        pairs, tables, _ = _received(table, shards)
-        _, served, seated = parent.totals(pairs)
-        new = [(STRENGTH[1] + DISCOUNT[1] * x[pairs.context]) * parent.word_chance(m, s, t)[pairs.word] for s, (x, m, t) in enumerate(zip(tables, served, seated, strict=True))]
-        rng = np.random.default_rng([11, scan, pairs.number])
-        pairs.tables = seat(pairs.customers, np.array(new), DISCOUNT[1], rng)
-        pairs.with_parent(lambda s, m: drawn(m, np.full(len(m), parent.new_table(min(s, len(tables) - 1))), DISCOUNT[0], rng))
-        return pa.Table.from_pylist(list(pairs.rows(shards, split)), SCHEMA)
-
-    return _with_answers(scanned).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(run, BLOB)
+        r = _read(table)
+        told, owner = r.get(TOLD, []), table.column("peer")[0].as_py()
+        none = np.zeros(0, np.uint64)
+        words, at = np.unique(np.concatenate([none, *(x["words"] for *_, x in told)]), return_inverse=True)
+        cuts = np.split(at, np.cumsum([len(x["words"]) for *_, x in told]))[: len(told)]
+        count, once, often = (np.bincount(at, np.concatenate([none, *(x[c] for *_, x in told)]), len(words)).astype(np.int64) for c in ("count", "once", "often"))
+        number, kinds_at = deal.split_number(words), np.zeros(0, np.int64)
+        for *_, x in r.get(OWN_KINDS, []):
+            found = np.minimum(np.searchsorted(words, x["kinds"]), max(len(words) - 1, 0))
+            kinds_at = np.where(words[found] == x["kinds"], found + 1, 0) if len(words) else np.zeros(len(x["kinds"]), np.int64)
+        own = {"count": _narrow(count), "once": _narrow(once), "kinds_at": _narrow(kinds_at), "split": [(int(i), int(number[i])) for i in np.flatnonzero(number >= 0)]}
+        own["users"] = [(b, _steps(p[x["often"] > 0])) for p, (b, _, x) in zip(cuts, told, strict=True) if (x["often"] > 0).any()]
+        served = once + often
+        return _owner_rows(owner, own, [served] * SAMPLES, [np.minimum(served, 1)] * SAMPLES)
+
+    return kept.filter(F.col("kind").isin(TOLD, OWN_KINDS)).repartition(deal.buckets, "peer").groupBy("peer").applyInArrow(run, BLOB)
+
+
+def scanned(rows: DataFrame, scan: int, parent: Parent, deal: Deal) -> DataFrame:
+    """Draws the tables of the buckets' pairs, given the parent. rows: DRAW, ANSWERS and the last TABLES."""
 
+    def run(table: pa.Table) -> pa.Table:
+        r = _read(table)
+        ((bucket, _, x),) = r[DRAW]
+        n, customers, context, word, split = len(x["customers"]), x["customers"].astype(np.int64), x["context"].astype(np.int64), x["word"].astype(np.int64), x["split"]
+        last = r[TABLES][0][2]["tables"] if TABLES in r else [np.ones(n)] * SAMPLES
+        answers, rng, rows = r.get(ANSWERS, []), np.random.default_rng([11, scan, bucket]), []
+        half, tables, theta, d = rng.random(n) < 0.5, [], STRENGTH[1], DISCOUNT[1]
+        for s in range(SAMPLES):
+            m, t = (np.concatenate([a[c][s] for *_, a in answers]).astype(float) if answers else np.zeros(0) for c in ("served", "seated"))
+            chance, now = parent.word_chance(m, t, s)[word], last[s].astype(np.float64)
+            for part in (half, ~half):
+                held = x["single"] + np.bincount(context, now, len(x["single"]))
+                held = np.where(split >= 0, parent.tables[s][split] if len(deal.split) else 0, held)
+                now[part] = drawn(customers[part], (theta + d * held[context[part]]) * chance[part], d, rng)
+            tables.append(now)
+        rows.append(_row(TABLES, bucket, -1, {"tables": [_narrow(t) for t in tables]}))
+        sums = [np.bincount(word, t, int(x["told"].sum())) for t in tables]
+        ends = np.cumsum(x["told"])
+        rows += [_row(TELLS, bucket, o, {"tables": [_narrow(t[z - k : z]) for t in sums]}) for o, k, z in zip(x["owners"], x["told"], ends, strict=True)]
+        return _table(rows + [_sums(SPLIT_CONTEXT, split[i], [0, 0, *(t[context == i].sum() for t in tables)]) for i in np.flatnonzero(split >= 0)])
 
-#: A document's sums in one bucket, and how they travel.
-SUMS = {"n_tokens": np.uint32, "n_known": np.uint32, "base_score": np.float64, "score": np.float32}
-
+    return rows.repartition(deal.buckets, "bucket").groupBy("bucket").applyInArrow(run, BLOB)
 
-def _added(parts: list[tuple]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    """Sums of documents over several buckets, ascending by doc_id."""
-    ids, at = np.unique(np.concatenate([ids for ids, _ in parts]), return_inverse=True)
-    return ids, {k: np.bincount(at, np.concatenate([total[k] for _, total in parts]), len(ids)) for k in SUMS}
 
+def seated(rows: DataFrame, scan: int, parent: Parent, deal: Deal) -> DataFrame:
+    """Draws the parent's tables of the owners' words. rows: OWNED and TELLS."""
 
-def _by_range(ids: np.ndarray, total: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Sums of documents, packed by ranges of doc_id."""
-    group = ids >> DOC_BITS
-    cuts = [*np.flatnonzero(np.diff(group, prepend=group[:1] - 1)).tolist(), len(group)]
-    low = (ids & ((1 << DOC_BITS) - 1)).astype(np.uint16)
-    columns = {"low": low, **{k: total[k].astype(kind) for k, kind in SUMS.items()}}
-    for i in range(0, len(cuts) - 1, 512):
-        spans = list(zip(cuts[i : i + 512], cuts[i + 1 : i + 513], strict=False))
-        yield pa.RecordBatch.from_pydict({"range": group[[x for x, _ in spans]], **{k: pa.array([v[x:y].tobytes() for x, y in spans], pa.binary()) for k, v in columns.items()}})
+    def run(table: pa.Table) -> pa.Table:
+        r = _read(table)
+        ((_, owner, own),) = r[OWNED]
+        users, rng = dict(own["users"]), np.random.default_rng([12, scan, owner])
+        served = [own["once"].astype(np.int64) for _ in range(SAMPLES)]
+        for bucket, _, x in r.get(TELLS, []):
+            at = _walked(users[bucket])
+            for m, t in zip(served, x["tables"], strict=True):
+                m[at] += t
+        seats = [drawn(m, np.full(len(m), parent.new_table(s)), DISCOUNT[0], rng) for s, m in enumerate(served)]
+        return _owner_rows(owner, {k: own[k] for k in ("count", "once", "kinds_at", "split", "users")}, served, seats)
 
+    return rows.repartition(deal.buckets, "peer").groupBy("peer").applyInArrow(run, BLOB)
 
-def fitted(scratch: Scratch, packed: DataFrame, hot: list[int], buckets: int, shards: int) -> tuple[DataFrame, Parent]:
-    """All scans: the rows of the last one and the parent then."""
-    last = scratch.table(counted(packed, hot, shards), "scan-0")
-    parent = _parent(last, 0, None)
-    for scan in range(1, SCANS + 1):
-        last = scratch.table(sampled(last, scan, parent, hot, buckets, shards), f"scan-{scan}")
-        parent = _parent(last, scan, parent)
-        scratch.drop(f"scan-{scan - 1}")
-    return last, parent
 
+def of_kind(table: DataFrame, *kinds: int) -> DataFrame:
+    return table.filter(F.col("kind").isin(*kinds))
 
-def score(scratch: Scratch, docs: DataFrame, held_out) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every text (log10).
 
-    Learns from rows where held_out is false or null. A null text is an empty one: one token, its end.
-    Rows that repeat a doc_id count as one document with all their tokens; null doc_ids are one document of
-    that name. An empty table gives an empty one. Texts count whole; other columns are not read.
+@dataclass
+class Fit:
+    """Tables in the shared folder: what buckets keep, the last TABLES (none without scans) and the last owners; the parent."""
+
+    kept: DataFrame
+    tables: DataFrame | None
+    owners: DataFrame
+    parent: Parent
+
+
+def fitted(scratch: Scratch, chunks: DataFrame, deal: Deal, scans: int = SCANS) -> Fit:
+    kept = scratch.table(merged(sent(chunks), deal), "buckets")
+    owners, tables = scratch.table(owned(kept, deal), "owners-0"), None
+    parent = Parent.of([kept, owners], len(deal.split))
+    for scan in range(1, scans + 1):
+        given = of_kind(kept, DRAW).unionByName(of_kind(owners, ANSWERS))
+        new = scratch.table(scanned(given if tables is None else given.unionByName(of_kind(tables, TABLES)), scan, parent, deal), f"tables-{scan}")
+        seats = scratch.table(seated(of_kind(owners, OWNED).unionByName(of_kind(new, TELLS)), scan, parent, deal), f"owners-{scan}")
+        first, parent = parent, Parent.of([new, seats], len(deal.split))
+        parent = replace(parent, below=first.below, single=first.single, tables=first.single + parent.tables)
+        for name in (f"tables-{scan - 1}", f"owners-{scan - 1}"):
+            scratch.drop(name)
+        tables, owners = new, seats
+    return Fit(kept, tables, owners, parent)
+
+
+# --- scores
+
+
+def _heard(table: pa.Table) -> pa.Table:
+    """A bucket's counts for every chunk that asked, in the chunk's order."""
+    r = _read(table)
+    if KEPT not in r:
+        return _table([])
+    (bucket, _, kept), (_, _, draw), (_, _, own) = r[KEPT][0], r[DRAW][0], r[OWNED][0]
+    customers, kinds_at, mine = kept["customers"], own["kinds_at"].astype(np.int64), _walked(draw["kinds"])
+    tables = r[TABLES][0][2]["tables"] if TABLES in r else [np.ones(len(draw["customers"]), np.uint8)] * SAMPLES
+    at_drawn = np.cumsum(customers > 1) - 1
+    held = []
+    for t in tables:
+        of_kind_ = kept["single"].astype(np.int64)
+        of_kind_[mine] += np.bincount(draw["context"], t, len(mine)).astype(np.int64)
+        held.append(of_kind_)
+
+    def of_words(x: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.zeros(1, np.int64), x])[kinds_at[kinds]]
+
+    rows = []
+    for _, chunk, x in r[PLACES]:
+        pairs, kinds = _walked(x["pairs"]), _walked(x["kinds"])
+        c = customers[pairs]
+        found = at_drawn[pairs[c > 1]]
+        rows.append(_row(HEARD, chunk, bucket, {
+            "customers": _narrow(c), "tables": [_narrow(t[found]) for t in tables], "below": _narrow(kept["below"][kinds]), "held": [_narrow(h[kinds]) for h in held],
+            "count": _narrow(of_words(own["count"], kinds)), "served": [_narrow(of_words(m, kinds)) for m in own["served"]], "seated": [_narrow(of_words(t, kinds)) for t in own["seated"]],
+        }))
+    return _table(rows)
+
+
+def _scored(table: pa.Table, parent: Parent) -> pa.Table:
+    """A chunk's documents, from its tokens and what the buckets answered."""
+    r = _read(table)
+    ((_, _, own),), ((_, _, places),) = r[TOKENS], r[WORDS]
+    c, theta, d = Chunk.of(own, places), STRENGTH[1], DISCOUNT[1]
+    customers, below, count = np.zeros(len(c.word)), np.zeros(len(c.word)), np.zeros(len(c.split))
+    tables, held = np.zeros((SAMPLES, len(c.word))), np.zeros((SAMPLES, len(c.word)))
+    served, seated = np.zeros((SAMPLES, len(c.split))), np.zeros((SAMPLES, len(c.split)))
+    for (bucket, part), (_, peer, x) in zip(c.runs(), r[HEARD], strict=True):
+        assert bucket == peer
+        kinds, at = np.unique(c.context[part], return_inverse=True)
+        customers[part], below[part], count[kinds] = x["customers"], x["below"][at], x["count"]
+        for s in range(SAMPLES):
+            held[s, part], served[s, kinds], seated[s, kinds] = x["held"][s][at], x["served"][s], x["seated"][s]
+            own_tables = np.minimum(x["customers"], 1).astype(float)
+            own_tables[x["customers"] > 1] = x["tables"][s]
+            tables[s, part] = own_tables
+    split, of_pair = c.split >= 0, c.split[c.context]
+    if split.any():
+        number, pairs = c.split[split], of_pair >= 0
+        count[split], below[pairs] = parent.count[number], parent.below[of_pair[pairs]]
+        served[:, split], seated[:, split], held[:, pairs] = parent.word_served[:, number], parent.word_seated[:, number], parent.tables[:, of_pair[pairs]]
+    chance = np.zeros(len(c.word))
+    for s in range(SAMPLES):
+        word = parent.word_chance(served[s], seated[s], s)[c.word]
+        chance += (np.maximum(customers - d * tables[s], 0) + (theta + d * held[s]) * word) / (theta + below) / SAMPLES
+    starts, base = np.cumsum(c.lengths) - c.lengths, np.log10((count + 0.5) / (parent.tokens + 0.5 * (parent.known + 1)))
+    return pa.table({
+        "doc_id": pa.array(own["ids"], mask=own["null"]), "held_out": ~own["train"], "n_tokens": c.lengths, "n_known": np.add.reduceat((count > 0).astype(np.int64)[c.tokens], starts),
+        "train_tokens": np.full(len(starts), parent.tokens), "base_score": np.add.reduceat(base[c.tokens], starts), "score": np.add.reduceat(np.log10(chance)[c.pair_of], starts),
+    })
+
+
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def score(scratch: Scratch, docs: DataFrame, held_out, scans: int = SCANS) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10) of every text, a row each.
+
+    Learns from rows where held_out is false or null. A null text is an empty one: one token, its end. Rows
+    that repeat a doc_id and rows with a null one are texts of their own. An empty table gives an empty one.
+    Texts count whole; other columns are not read. The perplexity of a set is 10 ** (-sum(score) / sum(n_tokens)).
     """
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long")).alias("doc_id"), "text", (~F.coalesce(held_out, F.lit(False))).alias("train"))
-    hot, tokens, _ = hot_words(own)
-    buckets = max(8, -(-tokens // BUCKET_TOKENS))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (~F.coalesce(held_out, F.lit(False))).alias("train"))
+    deal, tokens = dealt(own)
     if not tokens:
-        return scratch.spark.createDataFrame([], "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    shards = -(-buckets // SHARD_BUCKETS)
-    packed = scratch.table(merged(bucketed(own, hot, buckets), buckets), "buckets")
-    last, parent = fitted(scratch, packed, hot, buckets, shards)
-
-    def sums(table: pa.Table) -> tuple:
-        d, theta = DISCOUNT[1], STRENGTH[1]
-        p, tables, tokens = _received(table, shards)
-        b = Bucket.of_row(p.number, tokens)
-        count, served, seated = parent.totals(p)
-        chance = np.zeros(len(p.customers))
-        for s in range(SAMPLES):
-            kept = np.maximum(p.customers - d * p.tables[s], 0)
-            chance += (kept + (theta + d * tables[s][p.context]) * parent.word_chance(served[s], s, seated[s])[p.word]) / (theta + p.below[p.context]) / SAMPLES
-        base = np.log10(count + 0.5)
-        return b.doc_ids, {
-            "n_tokens": np.bincount(b.doc, minlength=len(b.doc_ids)),
-            "n_known": np.bincount(b.doc, (count > 0)[b.word_of], len(b.doc_ids)).astype(np.int64),
-            "base_score": np.bincount(b.doc, base[b.word_of], len(b.doc_ids)),
-            "score": np.bincount(b.doc, np.log10(chance)[b.pair_of], len(b.doc_ids)),
-        }
-
-    def run(table: pa.Table) -> pa.Table:
-        held: list[tuple] = []
-        number = table.column("bucket").to_numpy()
-        for n in np.unique(number):
-            held.append(sums(table.filter(pa.array(number == n))))
-        return pa.Table.from_batches(list(_by_range(*_added(held))))
-
-    def add_up(table):
-        low = np.frombuffer(b"".join(table.column("low").to_pylist()), np.uint16).astype(np.int64)
-        used, at = np.unique(low, return_inverse=True)
-        sums = {k: np.bincount(at, np.frombuffer(b"".join(table.column(k).to_pylist()), kind), len(used)) for k, kind in SUMS.items()}
-        sums = {k: v.astype(np.int64) if k[0] == "n" else v for k, v in sums.items()}
-        return pa.table({"doc_id": (table.column("range")[0].as_py() << DOC_BITS) + used, **sums})
-
-    group = F.floor(F.col("bucket") / GROUP)
-    parts = _with_answers(last).unionByName(packed).repartition(-(-buckets // GROUP), group).groupBy(group).applyInArrow(run, "range long, low binary, n_tokens binary, n_known binary, base_score binary, score binary")
-    out = parts.groupBy("range").applyInArrow(add_up, "doc_id long, n_tokens long, n_known long, base_score double, score double")
-    shift = math.log10(parent.tokens + 0.5 * (parent.known + 1))
-    out = out.withColumn("base_score", F.col("base_score") - F.col("n_tokens") * shift).withColumn("train_tokens", F.lit(parent.tokens).cast("long"))
-    return out.select("doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+        return scratch.spark.createDataFrame([], SCORES)
+    chunks = scratch.table(numbered(own, deal), "chunks")
+    fit = fitted(scratch, chunks, deal, scans)
+    parent, known = fit.parent, of_kind(fit.kept, KEPT, DRAW, PLACES).unionByName(of_kind(fit.owners, OWNED))
+    if fit.tables is not None:
+        known = known.unionByName(of_kind(fit.tables, TABLES))
+    heard = known.repartition(deal.buckets, "bucket").groupBy("bucket").applyInArrow(_heard, BLOB)
+    both = heard
+    for kind, column in ((TOKENS, "tokens"), (WORDS, "places")):
+        both = both.unionByName(chunks.select(F.lit(kind).alias("kind"), F.col("chunk").alias("bucket"), F.lit(-1).cast("long").alias("peer"), F.col(column).alias("values"), F.lit(None).cast("array<double>").alias("sums")))
+    return both.groupBy("bucket").applyInArrow(lambda t: _scored(t, parent), SCORES)
 
 
 def score_rows(scratch: Scratch, docs: DataFrame) -> DataFrame:
     """score() with the documents whose crc32(doc_id) mod 5 is 1 held out."""
-    out = score(scratch, docs, remainder() == 1)
-    return out.select("doc_id", F.coalesce(remainder() == 1, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return score(scratch, docs, remainder() == 1)

@@ -100,49 +100,91 @@ def test_language_model(spark):
     assert pitman_yor.score_rows(Scratch(spark, "t"), docs(spark, [])).count() == 0
 
 
-def test_contexts_are_words(spark):
-    """Two contexts whose hashes agree in their low 17 bits keep their own customers; every count is one."""
-    import xxhash
-
-    seen, pair = {}, None
-    while pair is None:
-        w = f"w{len(seen)}"
-        pair = (seen[h], w) if (h := xxhash.xxh64_intdigest(w.encode()) % 2**17) in seen else seen.setdefault(h, w) and None
-    u, v = pair
-    ids = {zlib.crc32(str(i).encode()) % 5 == 1: i for i in range(50)}
-    rows = [(ids[False], f"{u} a {v} b"), (ids[True], f"{u} a {u} b zz")]
-    out = {r.doc_id: r for r in pitman_yor.score_rows(Scratch(spark, "t"), docs(spark, rows)).collect()}
-    (d0, d), (t0, t), learnt = pitman_yor.DISCOUNT, pitman_yor.STRENGTH, ["\n", u, "a", v, "b", "\n"]
-    met = list(zip(learnt, learnt[1:], strict=False))
-    for i, text in rows:
-        words, score = ["\n", *text.split(), "\n"], 0.0
-        for x, w in zip(words, words[1:], strict=False):
-            parent = ((1 - d0) * (w in learnt) + (t0 + d0 * 5) / 6) / (t0 + 5)
-            n = sum(y == x for y, _ in met)
-            score += math.log10((max(met.count((x, w)) - d, 0) + (t + d * n) * parent) / (t + n))
-        assert math.isclose(out[i].score, score, rel_tol=1e-5)
-
-
-def test_document_sums_over_buckets():
-    """Sums of documents in several buckets; ranges keep ascending ids, negative ones too."""
-    def one(ids, x):
-        return np.array(ids, np.int64), {k: np.full(len(ids), x, float) for k in pitman_yor.SUMS}
-
-    ids, total = pitman_yor._added([one([-1, 3, 9000], 1), one([3, 20_000], 2)])
-    assert ids.tolist() == [-1, 3, 9000, 20_000] and all(v.tolist() == [1, 3, 1, 2] for v in total.values())
-    (batch,) = pitman_yor._by_range(ids, total)
-    low = [np.frombuffer(x, np.uint16).tolist() for x in batch.column("low").to_pylist()]
-    ranges = batch.column("range").to_pylist()
-    assert [(r << pitman_yor.DOC_BITS) + x for r, own in zip(ranges, low, strict=True) for x in own] == ids.tolist()
+def seatings(fit, deal, pairs):
+    """customers of each pair, its tables by sample, the parent's tables of each word by sample: as the operator has them."""
+    hashed = lambda w: int(pitman_yor._hashed([w])[0])
+    split, place = set(deal.split.tolist()), lambda w: (hashed(w) >> 20) % deal.buckets
+    rows = {}
+    for t in filter(None, (fit.kept, fit.tables, fit.owners)):
+        for r in t.filter("values is not null").collect():
+            rows.setdefault((r.kind, r.bucket), []).append(pitman_yor._unpacked(r["values"]))
+    of_bucket, of_owner, tables, parents = {}, {}, {}, {}
+    for u, v in pairs:
+        of_bucket.setdefault(place(v if hashed(u) in split else u), set()).add((u, v))
+        if pairs[u, v]:
+            of_owner.setdefault(place(v), set()).add(v)
+    for b, own in of_bucket.items():
+        own = sorted(own, key=lambda p: (hashed(p[0]), hashed(p[1])))
+        assert rows[pitman_yor.KEPT, b][0]["customers"].tolist() == [pairs[p] for p in own]
+        drawn = [p for p in own if pairs[p] > 1]
+        found = rows[pitman_yor.TABLES, b][0]["tables"] if (pitman_yor.TABLES, b) in rows else [np.ones(len(drawn), int)] * pitman_yor.SAMPLES
+        tables |= {p: [min(pairs[p], 1)] * pitman_yor.SAMPLES for p in own} | {p: [int(t[i]) for t in found] for i, p in enumerate(drawn)}
+    for o, own in of_owner.items():
+        x = rows[pitman_yor.OWNED, o][0]
+        for i, w in enumerate(sorted(own, key=hashed)):
+            parents[w] = [int(t[i]) for t in x["seated"]]
+            assert [int(m[i]) for m in x["served"]] == [sum(t[s] for (_, v), t in tables.items() if v == w) for s in range(pitman_yor.SAMPLES)]
+    return tables, parents
+
+
+@pytest.mark.parametrize("scans", [0, 1, 3])
+def test_scores_against_plain_restaurants(spark, monkeypatch, scans):
+    """The model's own seating, but every sum and probability by plain code; contexts are split and whole, rows repeat doc_ids."""
+    monkeypatch.setattr(pitman_yor, "BUCKET_TOKENS", 400)
+    monkeypatch.setattr(pitman_yor, "CHUNK_BYTES", 9_000)
+    rng = np.random.default_rng(7)
+    rows = [(i, " ".join(f"w{min(x, 60)}" for x in rng.zipf(1.4, rng.integers(0, 60)))) for i in range(130)]
+    rows += [(None, "w1 w2 w1"), (None, "W1 zzz"), (-1, "w2 w2"), (7, "w1 other"), (7, None), (8, "")]
+    held = [i is not None and zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in rows]
+    words = [[*(t or "").encode().lower().split(), b"\n"] for _, t in rows]
+    met = [list(zip([b"\n", *w], w, strict=False)) for w in words]
+    pairs = dict.fromkeys((p for own in met for p in own), 0)
+    for own, h in zip(met, held, strict=True):
+        for p in own:
+            pairs[p] += not h
+    kept, fitted = [], pitman_yor.fitted
+    monkeypatch.setattr(pitman_yor, "fitted", lambda *a: kept.append((a[2], fitted(*a))) or kept[0][1])
+    out = pitman_yor.score(Scratch(spark, "t"), docs(spark, rows).repartition(3), pitman_yor.remainder() == 1, scans).collect()
+    deal, fit = kept[0]
+    assert 0 < len(deal.split) < 30 and deal.buckets >= 8
+    tables, parents = seatings(fit, deal, pairs)
+    assert scans == 0 or len({t for own in tables.values() for t in own}) > 2 and any(max(t) > 1 for t in parents.values())
+    (d0, d), (t0, t) = pitman_yor.DISCOUNT, pitman_yor.STRENGTH
+    samples, known = range(pitman_yor.SAMPLES), {v for (_, v), n in pairs.items() if n}
+    below = {u: sum(n for (x, _), n in pairs.items() if x == u) for u, _ in pairs}
+    held_t = {u: [sum(k[s] for (x, _), k in tables.items() if x == u) for s in samples] for u in below}
+    served = {w: [sum(k[s] for (_, v), k in tables.items() if v == w) for s in samples] for w in known}
+    all_served, all_seated = ([sum(x[s] for x in y.values()) for s in samples] for y in (served, parents))
+
+    def word_chance(w, s):
+        m, k = (served[w][s], parents[w][s]) if w in known else (0, 0)
+        return (m - d0 * k + (t0 + d0 * all_seated[s]) / (len(known) + 1)) / (t0 + all_served[s])
+
+    def chance(p):
+        return sum((pairs[p] - d * tables[p][s] + (t + d * held_t[p[0]][s]) * word_chance(p[1], s)) / (t + below[p[0]]) for s in samples) / len(samples)
+
+    tokens = Counter(w for own, h in zip(words, held, strict=True) for w in own if not h)
+    n, want = sum(tokens.values()), []
+    for (i, _), own, h, ps in zip(rows, words, held, met, strict=True):
+        base = sum(math.log10((tokens[w] + 0.5) / (n + 0.5 * (len(tokens) + 1))) for w in own)
+        want.append((str(i), h, len(own), sum(w in tokens for w in own), n, base, sum(math.log10(chance(p)) for p in ps)))
+    got = sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in out)
+    assert len(got) == len(rows)
+    for g, w in zip(got, sorted(want), strict=True):
+        assert g[:5] == w[:5] and np.allclose(g[5:], w[5:], rtol=1e-11)
+    # Chances of all words after a context, one unknown word among them, sum to one.
+    for u in [b"\n", b"w1", b"w60"]:
+        total = sum(chance((u, w)) if (u, w) in pairs else sum((t + d * held_t[u][s]) * word_chance(w, s) / (t + below[u]) for s in samples) / len(samples) for w in [*known, b"not-there"])
+        assert math.isclose(total, 1)
 
 
 def test_restaurants_keep_their_customers():
     rng = np.random.default_rng(0)
     c = np.array([0, 1, 2, 5, 24, 25, 1000])
-    few, many = pitman_yor.seat(c, np.full(len(c), 1e-6), 0.5, rng), pitman_yor.seat(c, np.full(len(c), 1e6), 0.5, rng)
-    for s in few + many:
+    few, many = (pitman_yor.drawn(c, np.full(len(c), w), 0.5, rng) for w in (1e-6, 1e6))
+    for s in (few, many):
         assert ((s >= np.minimum(c, 1)) & (s <= c)).all()
-    assert few[0][3] == 1 and many[0][3] == 5
+    assert few[3] == 1 and many[3] == 5
 
 
 def test_tables_follow_their_distribution(monkeypatch):
@@ -162,25 +204,6 @@ def test_tables_follow_their_distribution(monkeypatch):
         assert exact.std() > 0 and abs(exact.mean() - limit.mean()) < 0.02 * exact.mean() and abs(exact.std() - limit.std()) < 0.05 * exact.std()
 
 
-def test_parent_is_seated(spark):
-    """Words met in several contexts hold several tables of the parent, others in every sample; split words too."""
-    own = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").withColumn("train", F.lit(True))
-    hot, tokens, _ = pitman_yor.hot_words(own)
-    assert hot
-    scratch = Scratch(spark, "t")
-    packed = scratch.table(pitman_yor.merged(pitman_yor.bucketed(own, hot, 8), 8), "buckets")
-    _, parent = pitman_yor.fitted(scratch, packed, hot, 8, 2)
-    assert parent.tokens == tokens and len(set(parent.seated)) > 1
-    assert all(k > 1.1 * parent.known and k < m for k, m in zip(parent.seated, parent.served, strict=True))
-    assert any((x > 1).any() for x in parent.shared)
-
-
-def test_word_chances_sum_to_one():
-    parent = pitman_yor.Parent(10, 3, np.zeros(1), [np.zeros(1)], [6.0], [3.0], {})
-    m = np.array([1.0, 2.0, 3.0, 0.0])
-    assert math.isclose(parent.word_chance(m, 0).sum(), 1.0)
-
-
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
