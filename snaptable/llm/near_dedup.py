@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .encode import blocks
-from .scratch import Scratch
+from .encode import batch_blocks
+from .scratch import Scratch, fresh
 
 WORDS, PERCENT = 5, 75
 K = 48
@@ -76,28 +76,27 @@ def sketched(docs: DataFrame, k: int = K, size: int = WORDS) -> DataFrame:
         import xxhash
 
         shingler = Shingler(size)
-        for b in batches:
-            ids, texts = b.column("doc_id"), b.column("text").to_pylist()
-            for part in blocks(texts, 8_000_000):
-                sets = list(shingler.sets(texts[part]))
-                yield pa.RecordBatch.from_pydict(
-                    {"doc_id": ids[part.start : part.stop], "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "print": pa.array([xxhash.xxh128_digest(s.tobytes()) for s in sets], pa.binary()), "sketch": pa.array([s[:k].tolist() for s in sets], pa.list_(pa.int64()))}
-                )
+        for b in (x for batch in batches for x in batch_blocks(batch, "text", 8_000_000, 10_000)):
+            sets = list(shingler.sets(b.column("text").to_pylist()))
+            yield pa.RecordBatch.from_pydict(
+                {"doc_id": b.column("doc_id"), "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "print": pa.array([xxhash.xxh128_digest(s.tobytes()) for s in sets], pa.binary()), "sketch": pa.array([s[:k].tolist() for s in sets], pa.list_(pa.int64()))}
+            )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, print binary, sketch array<long>")
 
 
 def full_sets(docs: DataFrame, size: int = WORDS) -> DataFrame:
-    """rep, shingles (bytes) of documents(rep, text)."""
+    """print, shingles (bytes) of the texts of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         shingler = Shingler(size)
-        for b in batches:
-            ids, texts = b.column("rep"), b.column("text").to_pylist()
-            for part in blocks(texts, 8_000_000):
-                yield pa.RecordBatch.from_pydict({"rep": ids[part.start : part.stop], "shingles": pa.array([s.tobytes() for s in shingler.sets(texts[part])], pa.binary())})
+        for b in (x for batch in batches for x in batch_blocks(batch, "text", 8_000_000, 10_000)):
+            sets = [s.tobytes() for s in shingler.sets(b.column("text").to_pylist())]
+            yield pa.RecordBatch.from_pydict({"print": pa.array([xxhash.xxh128_digest(s) for s in sets], pa.binary()), "shingles": pa.array(sets, pa.binary())})
 
-    return docs.select("rep", "text").mapInArrow(run, "rep long, shingles binary")
+    return docs.select("text").mapInArrow(run, "print binary, shingles binary")
 
 
 def _shared(a: np.ndarray, b: np.ndarray) -> int:
@@ -142,10 +141,11 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "set_a", "set_b").mapInArrow(keep, "a long, b long")
 
 
-def _prefix_lists(values: DataFrame, needed) -> DataFrame:
+def _prefix_lists(scratch: Scratch, values: DataFrame, needed, name: str) -> DataFrame:
     """value, often, rep, n, left: under its rarest shared values, all but needed - 1, from values(value, rep,
-    n, size). often: sets with the value; left: values of the set from this one on, rarest first."""
-    often = values.groupBy("value").count().filter("count > 1")
+    n, size). often: sets with the value; left: values of the set from this one on, rarest first. Counts are a
+    table of their own, so that the join with them can split the sets of a very common value."""
+    often = scratch.table(values.groupBy("value").count().filter("count > 1"), name)
     found = values.join(often, "value").groupBy("rep").agg(F.first("n").alias("n"), F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("count", "value"))).alias("found"))
     kept = F.size("found") - needed + 1
     lists = found.filter(kept > 0).select("rep", "n", F.size("found").alias("shared"), F.posexplode(F.slice("found", F.lit(1), kept)).alias("at", "x"))
@@ -179,34 +179,58 @@ def _merged_labels(scratch: Scratch, labels: DataFrame | None, found: DataFrame,
     return scratch.table(both.join(moved, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), f"{name}-labels")
 
 
-def linked(scratch: Scratch, docs: DataFrame, k: int = K, t: int = T, rounds: int = ROUNDS, size: int = WORDS) -> DataFrame:
+def linked(scratch: Scratch, docs: DataFrame, k: int = K, t: int = T, rounds: int = ROUNDS, size: int = WORDS, exact: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs(doc_id, text, ...).
 
     A text without words (or null) has no shingles and is its own component. Rows that repeat a doc_id are
-    one document with several texts and share a component. A null doc_id has no component and is kept.
-    Texts of any length count whole; an empty table gives an empty one; other columns are not read.
+    one document with several texts: all of them link it, and they share a component. A null doc_id has no
+    component and is kept. Texts of any length count whole; an empty table gives an empty one; other columns
+    are not read. With exact, sketches are left out and the prefix filter on full sets compares all classes:
+    nothing rests on chance then, but every shingle of every class is shuffled.
     """
     rows = scratch.table(sketched(docs, k, size), "sketches")
     named = rows.filter("doc_id is not null and n_shingles > 0")
-    classes = scratch.table(named.groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "classes")
-    copies = named.select("doc_id", "print").join(classes.select("print", "rep"), "print").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).filter("a <> b")
-    copies = scratch.table(copies.distinct(), "copies")
-
+    # A class is known by a number, as its texts may share a doc_id with those of another one.
+    classes = named.groupBy("print").agg(F.min("doc_id").alias("low"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    classes = scratch.table(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    members = scratch.table(named.select("doc_id", "print").join(classes.select("print", "rep"), "print").select("doc_id", "rep").distinct(), "members")
+    if exact:
+        comps = _merged_labels(scratch, None, _exact_rest(scratch, classes.select("rep", F.col("rep").alias("comp")), _sets_of(scratch, docs, classes, size)), "comps")
+    else:
+        comps = _sketch_links(scratch, docs, classes, k, t, rounds, size)
+    several = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a < b").select("doc_id", "a")
+    several = members.join(several, "doc_id").select("a", F.col("rep").alias("b")).filter("a <> b")
+    if not several.isEmpty():
+        comps = _merged_labels(scratch, comps, several, "repeated")
+    # The smallest doc_id of each component, then of each class and document that has another name.
+    own = classes.select("rep", "low").join(comps.select(F.col("node").alias("rep"), "comp"), "rep", "left") if comps is not None else classes.select("rep", "low", F.col("rep").alias("comp"))
+    own = own.withColumn("comp", F.coalesce("comp", "rep"))
+    least = own.groupBy("comp").agg(F.min("low").alias("component_id"))
+    moved = members.join(own.join(least, "comp").select("rep", "component_id"), "rep").filter("doc_id <> component_id").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    out = rows.select("doc_id", "n_shingles").join(moved, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def _sets_of(scratch: Scratch, docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
+    """rep, n, shingles of classes(print, rep, low, n): one set each, from the texts of its smallest doc_id."""
+    text = docs.select(F.col("doc_id").cast("long").alias("low"), "text").join(classes.select("low").distinct(), "low", "left_semi")
+    return scratch.table(full_sets(text, size), "sets").join(classes.select("print", "rep", "n"), "print").select("rep", "n", "shingles").dropDuplicates(["rep"])
+
+
+def _sketch_links(scratch: Scratch, docs: DataFrame, classes: DataFrame, k: int, t: int, rounds: int, size: int) -> DataFrame | None:
+    """node, comp of linked classes, or None."""
     values = classes.select("rep", "n", F.size("sketch").alias("size"), F.explode("sketch").alias("value"))
     needed = F.least(F.lit(t), F.ceil(F.col("size") * PERCENT / 100)).cast("int")
-    lists = scratch.table(_prefix_lists(values, needed), "prefixes")
-    reach = lists.join(lists.groupBy("value").count(), "value").groupBy("rep").agg(F.sum("count").alias("reach"))
+    lists = scratch.table(_prefix_lists(scratch, values, needed, "often"), "prefixes")
+    reach = lists.groupBy("rep").agg(F.sum("often").alias("reach"))
     lists = scratch.table(_in_several(lists.join(reach, "rep"), None), "lists")
-    members = lists.select("rep").distinct()
-    text = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(members, "rep")
-    sets = scratch.table(full_sets(text, size), "sets").join(classes.select("rep", "print", "n"), "rep").filter(F.length("shingles") == 8 * F.col("n"))
-    sets = sets.select("rep", "n", "shingles").dropDuplicates(["rep"])
+    sets = _sets_of(scratch, docs, classes.join(lists.select("rep").distinct(), "rep", "left_semi"), size)
 
     comps = None
     for number in range(rounds):
         # First those in the longest lists, as an original is among its copies, then the smallest, then any.
         order = -F.col("reach") if number == 0 else F.lit(0).cast("long") if number == 1 else F.xxhash64("rep", F.lit(number))
-        pivot = lists.groupBy("value").agg(F.min_by(F.struct("rep", "n", "comp"), F.struct(order, "rep")).alias("p"))
+        pivot = scratch.table(lists.groupBy("value").agg(F.min_by(F.struct("rep", "n", "comp"), F.struct(order, "rep")).alias("p")), f"pivots-{number}")
         pairs = lists.join(pivot, "value").filter((F.col("comp") != F.col("p.comp")) & (100 * F.least("n", "p.n") >= PERCENT * F.greatest("n", "p.n")))
         pairs = pairs.groupBy(F.col("rep").alias("a"), F.col("p.rep").alias("b")).count()
         pairs = pairs.groupBy("a").agg(F.max_by("b", F.struct("count", -F.col("b"))).alias("b"))
@@ -219,17 +243,13 @@ def linked(scratch: Scratch, docs: DataFrame, k: int = K, t: int = T, rounds: in
         if lists.isEmpty():
             break
     if not lists.isEmpty():
-        comps = _merged_labels(scratch, comps, _exact_rest(scratch, lists, sets), "comps")
-    # A document's class, then the class's component; a null or unlisted one stands for itself.
-    named = rows.join(copies.groupBy(F.col("a").alias("doc_id")).agg(F.min("b").alias("rep")), "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
-    if comps is not None:
-        named = named.join(comps.select(F.col("node").alias("rep"), "comp"), "rep", "left")
-        named = named.withColumn("rep", F.coalesce("comp", "rep"))
-    return named.select("doc_id", "n_shingles", F.col("rep").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("rep"), F.lit(True)).alias("kept"))
+        rest = scratch.table(lists.groupBy("rep").agg(F.first("comp").alias("comp")), "rest")
+        comps = _merged_labels(scratch, comps, _exact_rest(scratch, rest, sets), "comps")
+    return comps
 
 
-def _exact_rest(scratch: Scratch, lists: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between components among what the lists still hold. A pair at the threshold shares one of the
+def _exact_rest(scratch: Scratch, rest: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between components of rest(rep, comp). A pair at the threshold shares one of the
     rarest quarter of either's shingles, so each set is listed under those only. The first one they share
     leaves enough of both sets to meet the threshold, so others are no candidates; that keeps sets of one
     common passage apart. Of the smaller set it lies in the rarest seventh. Sets meet by class of size, too,
@@ -243,10 +263,9 @@ def _exact_rest(scratch: Scratch, lists: DataFrame, sets: DataFrame) -> DataFram
                     part = s[i : i + 10_000]
                     yield pa.RecordBatch.from_pydict({"rep": np.full(len(part), row["rep"]), "n": np.full(len(part), row["n"]), "value": part})
 
-    rest = scratch.table(lists.groupBy("rep").agg(F.first("comp").alias("comp")), "rest")
     values = sets.join(rest, "rep").select("rep", "n", "shingles").mapInArrow(spread, "rep long, n long, value long")
     values = scratch.table(values.withColumn("size", F.col("n")), "rest-values")
-    exact = _prefix_lists(values, F.ceil(F.col("size") * PERCENT / 100).cast("int"))
+    exact = _prefix_lists(scratch, values, F.ceil(F.col("size") * PERCENT / 100).cast("int"), "rest-often")
     exact = scratch.table(_in_several(exact.drop("comp"), rest.select(F.col("rep").alias("node"), "comp")), "rest-lists")
     both, size = 100 + PERCENT, F.floor(F.log("n") / math.log(100 / PERCENT)).cast("int")
     x = exact.withColumn("class", F.explode(F.array(size, size - 1))).alias("x")
@@ -260,5 +279,6 @@ def _exact_rest(scratch: Scratch, lists: DataFrame, sets: DataFrame) -> DataFram
 
 def without_near_copies(scratch: Scratch, docs: DataFrame) -> DataFrame:
     """docs with one document of each component, the one with the smallest doc_id; columns as they were."""
-    dropped = linked(scratch, docs).filter("not kept").select(F.col("doc_id").alias("dropped_")).distinct()
-    return docs.join(dropped, F.col("doc_id").cast("long") == F.col("dropped_"), "left_anti").select(*docs.columns)
+    name = fresh("dropped", docs.columns)
+    dropped = linked(scratch, docs).filter("not kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(dropped, F.col("doc_id").cast("long") == F.col(name), "left_anti").select(*docs.columns)

@@ -8,6 +8,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """name, or the first of name_, name__, ... that no column has (in any case of letters)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; where it is unset and the master is local, a new temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

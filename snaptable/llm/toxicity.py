@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .encode import batch_blocks
-from .scratch import Scratch
+from .scratch import Scratch, fresh
 
 TERM = re.compile(rb"[a-z\x80-\xff]+")
 #: Labelled rows that fitting uses at most, those with the smallest hash of doc_id.
@@ -143,7 +143,5 @@ def toxicity_rows(scratch: Scratch, docs: DataFrame, labels: DataFrame) -> DataF
 
 def without_toxic(scratch: Scratch, docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """docs less those that score at or above the threshold; columns as they were."""
-    name = "toxic_score"
-    while name in docs.columns:
-        name += "_"
+    name = fresh("toxic_score", docs.columns)
     return scored(docs, train(scratch, docs, labels), name).filter(F.col(name) < threshold).drop(name)

@@ -52,10 +52,10 @@ def near_rows():
     return [(10 * i + 3, t) for i, t in enumerate(rows)]
 
 
-@pytest.mark.parametrize("rounds", [0, 4])
-def test_near_dedup_against_brute_force(spark, rounds):
+@pytest.mark.parametrize("options", [{"rounds": 0}, {"rounds": 4}, {"exact": True}])
+def test_near_dedup_against_brute_force(spark, options):
     rows = near_rows()
-    out = {r.doc_id: r for r in near_dedup.linked(Scratch(spark, "t"), docs(spark, rows), rounds=rounds).collect()}
+    out = {r.doc_id: r for r in near_dedup.linked(Scratch(spark, "t"), docs(spark, rows), **options).collect()}
     assert {d: r.component_id for d, r in out.items()} == brute_components(rows)
     assert {d: r.n_shingles for d, r in out.items()} == {d: len(shingles(t)) for d, t in rows}
     assert all(r.kept == (d == r.component_id) for d, r in out.items())
@@ -74,11 +74,24 @@ def test_near_dedup_at_the_threshold(spark, rounds):
     assert {r.doc_id: r.component_id for r in out} == brute_components(rows)
 
 
+@pytest.mark.parametrize("exact", [False, True])
+def test_near_dedup_of_several_texts_under_one_doc_id(spark, exact):
+    """Two texts of one doc_id that have a near copy each, both of classes with the same smallest doc_id, and a chain through one."""
+    text = {c: [f"{c}{i}" for i in range(40)] for c in "abcd"}
+    near = lambda c: " ".join([*text[c][:-1], "other"])
+    full = lambda c: " ".join(text[c])
+    rows = [(1, full("a")), (1, full("b")), (7, near("b")), (5, near("a")), (9, full("c")), (9, full("d")), (3, near("d")), (4, near("c")), (1, ""), (20, "x y")]
+    out = near_dedup.linked(Scratch(spark, "t"), docs(spark, rows), exact=exact).collect()
+    assert {(r.doc_id, r.component_id) for r in out} == {(1, 1), (7, 1), (5, 1), (9, 3), (3, 3), (4, 3), (20, 20)}
+    assert len(out) == len(rows) and all(r.kept == (r.doc_id == r.component_id) for r in out)
+
+
 def test_near_dedup_nulls_repeats_and_empty(spark):
     own = docs(spark, [(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f")])
     got = Counter((r.doc_id, r.component_id, r.kept) for r in near_dedup.linked(Scratch(spark, "t"), own).collect())
     assert got == {(None, None, True): 1, (1, 1, True): 2, (2, 1, False): 1}
     assert near_dedup.linked(Scratch(spark, "t"), own.limit(0)).count() == 0
+    own = own.withColumn("dropped", F.lit(1)).withColumn("rep", F.lit("mine"))
     kept = near_dedup.without_near_copies(Scratch(spark, "t"), own)
     assert kept.columns == own.columns and kept.count() == 3
 
