@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from snaptable.llm import packing
 from snaptable.llm.encode import Encoder, cut_before_spaces, cut_words, encoder
 from snaptable.llm.packing import pack
 from snaptable.llm.pieces import token_pieces
@@ -89,6 +90,33 @@ def test_pieces_and_packing(spark):
         pack(Scratch(spark, "t"), pieces, capacity=32).collect()
 
 
+def test_crossovers_beat_best_fit(spark):
+    """Planted triples that fill bins to the brim: best fit by size misses the bound, the islands come nearer by crossover and migration."""
+    rng, capacity = np.random.default_rng(1), 2048
+    x, y = rng.integers(520, 900, 400), rng.integers(520, 620, 400)
+    sizes = np.concatenate([x, y, capacity - x - y])
+    greedy = len(np.unique(packing.first_packing(sizes, capacity, 0.0, rng)))
+    items = spark.createDataFrame([(i, int(n)) for i, n in enumerate(sizes)], "uid long, length long")
+    e = packing.Evolution(generations=60, patience=30, epochs=3)
+    state = packing.evolved(items, capacity, 1, e).collect()
+    bins = min(-packing.fitness(np.frombuffer(r.packings[0], np.int32), sizes[np.frombuffer(r.uids, np.int64)], capacity)[0] for r in state)
+    assert 400 <= bins < greedy
+    assert [r.arrived for r in state] == [2] * 3 and all(r.crossovers >= 30 for r in state)
+    single = packing.Evolution(epochs=1, generations=0)
+    start = min(-packing.fitness(np.frombuffer(r.packings[0], np.int32), sizes[np.frombuffer(r.uids, np.int64)], capacity)[0] for r in packing.evolved(items, capacity, 1, single).collect())
+    assert bins < start <= greedy
+
+
+def test_packing_keeps_columns(spark):
+    own = spark.createDataFrame([(5, 10, "a", 1, 9)] * 3 + [(None, 20, None, 2, 9)], "uid long, length long, Offset string, shard int, bin int")
+    out = pack(Scratch(spark, "t"), own, capacity=20).collect()
+    assert sorted(map(str, ((r.uid, r.length, r.shard, r.bin) for r in out))) == sorted(map(str, [(5, 10, 1, 9)] * 3 + [(None, 20, 2, 9)]))
+    assert sorted(r.offset for r in out) == [0, 0, 0, 10] and len({r.sequence_id for r in out}) == 3
+    for bad in (None, 0):
+        with pytest.raises(Exception, match="a piece is null, empty"):
+            pack(Scratch(spark, "t"), spark.createDataFrame([(bad,)], "length long")).collect()
+
+
 def test_packing_is_near_the_bound(spark):
     rng = np.random.default_rng(1)
     sizes = rng.integers(1, 2049, 3000).tolist()
