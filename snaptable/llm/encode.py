@@ -85,7 +85,7 @@ class Encoder:
             return cut
         parts = [self.cut(t) for t in texts]
         if self.chars > MEMO_CHARS:
-            self.memo, self.words, self.chars = {"": b""}, {}, 0
+            self.forget()
         new = list(set().union(*parts).difference(self.memo))
         for part, plain in zip(new, self._normal(new), strict=True):
             self.memo[part] = b"".join([self.words.get(w) or self._word(w) for w in self.pattern.findall(plain)])
@@ -93,6 +93,9 @@ class Encoder:
         at = self.memo.__getitem__
         return [b"".join(map(at, p)) for p in parts]
 
+    def forget(self) -> None:
+        self.memo, self.words, self.chars = {"": b""}, {}, 0
+
     def _normal(self, parts: list[str]) -> list[str]:
         if not (normalizer := self.tokenizer.normalizer) or not parts:
             return parts

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .encode import batch_blocks
-from .scratch import Scratch, fresh
+from .scratch import Scratch, fresh, tidied
 
 WORDS, PERCENT = 5, 75
 K = 48
@@ -82,7 +82,7 @@ def sketched(docs: DataFrame, k: int = K, size: int = WORDS) -> DataFrame:
                 {"doc_id": b.column("doc_id"), "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "print": pa.array([xxhash.xxh128_digest(s.tobytes()) for s in sets], pa.binary()), "sketch": pa.array([s[:k].tolist() for s in sets], pa.list_(pa.int64()))}
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, print binary, sketch array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidied(run), "doc_id long, n_shingles long, print binary, sketch array<long>")
 
 
 def full_sets(docs: DataFrame, size: int = WORDS) -> DataFrame:
@@ -96,7 +96,7 @@ def full_sets(docs: DataFrame, size: int = WORDS) -> DataFrame:
             sets = [s.tobytes() for s in shingler.sets(b.column("text").to_pylist())]
             yield pa.RecordBatch.from_pydict({"print": pa.array([xxhash.xxh128_digest(s) for s in sets], pa.binary()), "shingles": pa.array(sets, pa.binary())})
 
-    return docs.select("text").mapInArrow(run, "print binary, shingles binary")
+    return docs.select("text").mapInArrow(tidied(run), "print binary, shingles binary")
 
 
 def _shared(a: np.ndarray, b: np.ndarray) -> int:
@@ -122,7 +122,7 @@ def _estimated(pairs: DataFrame, classes: DataFrame, k: int, t: int) -> DataFram
 
     own = classes.select("rep", "sketch")
     both = pairs.join(own.select(F.col("rep").alias("a"), F.col("sketch").alias("sketch_a")), "a").join(own.select(F.col("rep").alias("b"), F.col("sketch").alias("sketch_b")), "b")
-    return both.select("a", "b", "sketch_a", "sketch_b").mapInArrow(keep, "a long, b long")
+    return both.select("a", "b", "sketch_a", "sketch_b").mapInArrow(tidied(keep), "a long, b long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -138,7 +138,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield batch.filter(pa.array(good, pa.bool_())).select(["a", "b"])
 
     both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("set_a")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("set_b")), "b")
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(keep, "a long, b long")
+    return both.select("a", "b", "set_a", "set_b").mapInArrow(tidied(keep), "a long, b long")
 
 
 def _prefix_lists(scratch: Scratch, values: DataFrame, needed, name: str) -> DataFrame:
@@ -263,7 +263,7 @@ def _exact_rest(scratch: Scratch, rest: DataFrame, sets: DataFrame) -> DataFrame
                     part = s[i : i + 10_000]
                     yield pa.RecordBatch.from_pydict({"rep": np.full(len(part), row["rep"]), "n": np.full(len(part), row["n"]), "value": part})
 
-    values = sets.join(rest, "rep").select("rep", "n", "shingles").mapInArrow(spread, "rep long, n long, value long")
+    values = sets.join(rest, "rep").select("rep", "n", "shingles").mapInArrow(tidied(spread), "rep long, n long, value long")
     values = scratch.table(values.withColumn("size", F.col("n")), "rest-values")
     exact = _prefix_lists(scratch, values, F.ceil(F.col("size") * PERCENT / 100).cast("int"), "rest-often")
     exact = scratch.table(_in_several(exact.drop("comp"), rest.select(F.col("rep").alias("node"), "comp")), "rest-lists")

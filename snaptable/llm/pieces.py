@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .encode import blocks, cut_before_spaces, encoder
+from .encode import batch_blocks, cut_before_spaces, encoder
+from .scratch import tidied
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -24,15 +25,14 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 2
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer, cut)
-        for batch in batches:
-            doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for part in blocks(texts):
-                rows: list[tuple] = []
-                for doc_id, x in zip(doc_ids[part], enc.encode(texts[part]), strict=True):
-                    ids = np.append(np.frombuffer(x, enc.dtype), enc.dtype.type(end_id)).astype("<u4")
-                    cuts = [0, *range(len(ids) % capacity or capacity, len(ids), capacity), len(ids)]
-                    rows += [(doc_id, k, a, b - a, zlib.crc32(ids[a:b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
-                d, k, a, n, c = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(d, pa.int64()), "piece": pa.array(k, pa.int32()), "start": pa.array(a, pa.int64()), "length": pa.array(n, pa.int64()), "ids_crc32": pa.array(c, pa.int64())})
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(make, PIECES)
+        for batch in (x for b in batches for x in batch_blocks(b, rows=2_000)):
+            rows: list[tuple] = []
+            for doc_id, x in zip(batch.column("doc_id").to_pylist(), enc.encode(batch.column("text").to_pylist()), strict=True):
+                ids = np.append(np.frombuffer(x, enc.dtype), enc.dtype.type(end_id)).astype("<u4")
+                cuts = [0, *range(len(ids) % capacity or capacity, len(ids), capacity), len(ids)]
+                rows += [(doc_id, k, a, b - a, zlib.crc32(ids[a:b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+            d, k, a, n, c = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(d, pa.int64()), "piece": pa.array(k, pa.int32()), "start": pa.array(a, pa.int64()), "length": pa.array(n, pa.int64()), "ids_crc32": pa.array(c, pa.int64())})
+        enc.forget()
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidied(make), PIECES)

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .encode import batch_blocks
-from .scratch import Scratch
+from .scratch import Scratch, give_back, tidied
 from .toxicity import remainder
 
 #: A word with more than this share of a chunk's tokens is counted when contexts to split are sought.
@@ -93,6 +93,17 @@ def _read(table: pa.Table) -> dict[int, list[tuple[int, int, dict]]]:
     return {k: sorted(v, key=lambda x: x[:2]) for k, v in out.items()}
 
 
+def _tidy(run):
+    """run for applyInArrow; memory is given back after each group."""
+
+    def tidy(table: pa.Table) -> pa.Table:
+        out = run(table)
+        give_back()
+        return out
+
+    return tidy
+
+
 def _narrow(x: np.ndarray) -> np.ndarray:
     """Whole numbers in the smallest type that holds them."""
     return x.astype(np.min_scalar_type(int(x.max(initial=0))))
@@ -163,7 +174,7 @@ def dealt(docs: DataFrame) -> tuple[Deal, int]:
             often = {w: c for w, c in words.items() if c > n * LOOK}
             yield pa.RecordBatch.from_pydict({"word": pa.array([0, *_hashed(often).view(np.int64).tolist()], pa.int64()), "all": [True] + [False] * len(often), "n": pa.array([n, *often.values()], pa.int64())})
 
-    found = docs.select("text").mapInArrow(run, "word long, all boolean, n long").groupBy("all", "word").agg(F.sum("n").alias("n"))
+    found = docs.select("text").mapInArrow(tidied(run), "word long, all boolean, n long").groupBy("all", "word").agg(F.sum("n").alias("n"))
     found = found.orderBy(F.desc("all"), F.desc("n")).limit(2 * MOST_SPLIT).collect()
     tokens = sum(r["n"] for r in found if r["all"])
     buckets = max(8, -(-tokens // BUCKET_TOKENS))
@@ -208,7 +219,7 @@ def numbered(docs: DataFrame, deal: Deal) -> DataFrame:
         if held[0]:
             yield pack(number, *held)
 
-    return docs.select("doc_id", "text", "train").mapInArrow(run, CHUNKS)
+    return docs.select("doc_id", "text", "train").mapInArrow(tidied(run), CHUNKS)
 
 
 @dataclass
@@ -271,7 +282,7 @@ def sent(chunks: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, SCHEMA)
 
-    return chunks.select("chunk", "tokens", "words", "places").mapInArrow(run, BLOB)
+    return chunks.select("chunk", "tokens", "words", "places").mapInArrow(tidied(run), BLOB)
 
 
 # --- buckets
@@ -313,7 +324,7 @@ def merged(pairs: DataFrame, deal: Deal) -> DataFrame:
         rows.append(_row(OWN_KINDS, bucket, bucket, {"kinds": kinds}))
         return _table(rows + [_sums(SPLIT_CONTEXT, number[i], [below[i], single[i], *[(drawn_ & (kind == i)).sum()] * SAMPLES]) for i in np.flatnonzero(number >= 0)])
 
-    return pairs.repartition(deal.buckets, "bucket").groupBy("bucket").applyInArrow(merge, BLOB)
+    return pairs.repartition(deal.buckets, "bucket").groupBy("bucket").applyInArrow(_tidy(merge), BLOB)
 
 
 @functools.cache
@@ -431,7 +442,7 @@ def owned(kept: DataFrame, deal: Deal) -> DataFrame:
         served = once + often
         return _owner_rows(owner, own, [served] * SAMPLES, [np.minimum(served, 1)] * SAMPLES)
 
-    return kept.filter(F.col("kind").isin(TOLD, OWN_KINDS)).repartition(deal.buckets, "peer").groupBy("peer").applyInArrow(run, BLOB)
+    return kept.filter(F.col("kind").isin(TOLD, OWN_KINDS)).repartition(deal.buckets, "peer").groupBy("peer").applyInArrow(_tidy(run), BLOB)
 
 
 def scanned(rows: DataFrame, scan: int, parent: Parent, deal: Deal) -> DataFrame:
@@ -458,7 +469,7 @@ def scanned(rows: DataFrame, scan: int, parent: Parent, deal: Deal) -> DataFrame
         rows += [_row(TELLS, bucket, o, {"tables": [_narrow(t[z - k : z]) for t in sums]}) for o, k, z in zip(x["owners"], x["told"], ends, strict=True)]
         return _table(rows + [_sums(SPLIT_CONTEXT, split[i], [0, 0, *(t[context == i].sum() for t in tables)]) for i in np.flatnonzero(split >= 0)])
 
-    return rows.repartition(deal.buckets, "bucket").groupBy("bucket").applyInArrow(run, BLOB)
+    return rows.repartition(deal.buckets, "bucket").groupBy("bucket").applyInArrow(_tidy(run), BLOB)
 
 
 def seated(rows: DataFrame, scan: int, parent: Parent, deal: Deal) -> DataFrame:
@@ -476,7 +487,7 @@ def seated(rows: DataFrame, scan: int, parent: Parent, deal: Deal) -> DataFrame:
         seats = [drawn(m, np.full(len(m), parent.new_table(s)), DISCOUNT[0], rng) for s, m in enumerate(served)]
         return _owner_rows(owner, {k: own[k] for k in ("count", "once", "kinds_at", "split", "users")}, served, seats)
 
-    return rows.repartition(deal.buckets, "peer").groupBy("peer").applyInArrow(run, BLOB)
+    return rows.repartition(deal.buckets, "peer").groupBy("peer").applyInArrow(_tidy(run), BLOB)
 
 
 def of_kind(table: DataFrame, *kinds: int) -> DataFrame:
@@ -594,11 +605,11 @@ def score(scratch: Scratch, docs: DataFrame, held_out, scans: int = SCANS) -> Da
     parent, known = fit.parent, of_kind(fit.kept, KEPT, DRAW, PLACES).unionByName(of_kind(fit.owners, OWNED))
     if fit.tables is not None:
         known = known.unionByName(of_kind(fit.tables, TABLES))
-    heard = known.repartition(deal.buckets, "bucket").groupBy("bucket").applyInArrow(_heard, BLOB)
+    heard = known.repartition(deal.buckets, "bucket").groupBy("bucket").applyInArrow(_tidy(_heard), BLOB)
     both = heard
     for kind, column in ((TOKENS, "tokens"), (WORDS, "places")):
         both = both.unionByName(chunks.select(F.lit(kind).alias("kind"), F.col("chunk").alias("bucket"), F.lit(-1).cast("long").alias("peer"), F.col(column).alias("values"), F.lit(None).cast("array<double>").alias("sums")))
-    return both.groupBy("bucket").applyInArrow(lambda t: _scored(t, parent), SCORES)
+    return both.groupBy("bucket").applyInArrow(_tidy(lambda t: _scored(t, parent)), SCORES)
 
 
 def score_rows(scratch: Scratch, docs: DataFrame) -> DataFrame:

@@ -24,7 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .encode import blocks, cut_words, encoder
+from .encode import batch_blocks, cut_words, encoder
+from .scratch import tidied
 
 MANIFEST = "shard int, tokens_file string, places_file string, n_docs long, n_tokens long, first_batch long, batch_bytes long"
 PLACES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
@@ -119,19 +120,18 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
         fs, root = pafs.FileSystem.from_uri(folder)
         fs.create_dir(root, recursive=True)
         names = [f"{kind}-{shard:06d}-{own}.arrows" for kind in ("tokens", "places")]
-        for batch in batches:
-            ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
-            for part in blocks(texts):
-                if seqs is None:
-                    out, side = (fs.open_output_stream(f"{root}/{x}") for x in names)
-                    seqs, places = SequenceWriter(out, enc.dtype, length, rows), pa.ipc.new_stream(side, PLACES)
-                found = [np.append(np.frombuffer(x, enc.dtype), enc.dtype.type(end_id)) for x in enc.encode(texts[part])]
-                for x in found:
-                    seqs.add(x)
-                n = np.array([len(x) for x in found], np.int64)
-                starts = local + np.cumsum(n) - n
-                places.write_batch(pa.record_batch([ids[part.start : part.stop], pa.array(starts), pa.array(n)], schema=PLACES))
-                local, n_docs = local + int(n.sum()), n_docs + len(found)
+        for batch in (x for b in batches for x in batch_blocks(b, rows=2_000)):
+            if seqs is None:
+                out, side = (fs.open_output_stream(f"{root}/{x}") for x in names)
+                seqs, places = SequenceWriter(out, enc.dtype, length, rows), pa.ipc.new_stream(side, PLACES)
+            found = [np.append(np.frombuffer(x, enc.dtype), enc.dtype.type(end_id)) for x in enc.encode(batch.column("text").to_pylist())]
+            for x in found:
+                seqs.add(x)
+            n = np.array([len(x) for x in found], np.int64)
+            starts = local + np.cumsum(n) - n
+            places.write_batch(pa.record_batch([batch.column("doc_id"), pa.array(starts), pa.array(n)], schema=PLACES))
+            local, n_docs = local + int(n.sum()), n_docs + len(found)
+        enc.forget()
         if seqs is not None:
             for x in (seqs, places, out, side):
                 x.close()
@@ -141,7 +141,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
     ordered = ordered.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
-    return ordered.mapInArrow(write, MANIFEST)
+    return ordered.mapInArrow(tidied(write), MANIFEST)
 
 
 def with_starts(manifest: DataFrame) -> DataFrame:

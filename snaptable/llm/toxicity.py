@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .encode import batch_blocks
-from .scratch import Scratch, fresh
+from .scratch import Scratch, fresh, tidied
 
 TERM = re.compile(rb"[a-z\x80-\xff]+")
 #: Labelled rows that fitting uses at most, those with the smallest hash of doc_id.
@@ -106,7 +106,7 @@ def train(scratch: Scratch, docs: DataFrame, labels: DataFrame, sample: int = SA
         m = fit(found, table.column("toxic").to_numpy().astype(float))
         return pa.table({"keys": pa.array([m.keys], pa.list_(pa.int64())), "bias": [m.bias], "linear": pa.array([m.linear.tolist()], pa.list_(pa.float64())), "factors": pa.array([m.factors.ravel().tolist()], pa.list_(pa.float64()))})
 
-    gathered = scratch.table(rows.select("doc_id", "toxic", "text").mapInArrow(featurise, "doc_id long, toxic int, terms binary"), "terms")
+    gathered = scratch.table(rows.select("doc_id", "toxic", "text").mapInArrow(tidied(featurise), "doc_id long, toxic int, terms binary"), "terms")
     gathered = gathered.orderBy(F.xxhash64("doc_id"), "doc_id", "terms").limit(sample)  # of rows that repeat a doc_id too
     model = gathered.groupBy().applyInArrow(learn, "keys array<long>, bias double, linear array<double>, factors array<double>")
     row = scratch.table(model, "model").first()
@@ -127,7 +127,7 @@ def scored(docs: DataFrame, machine: Machine, column: str = "toxic_score") -> Da
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], pa.array(scores, pa.float64())], names=[*kept, column])
 
     schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in docs.schema if f.name in kept], T.StructField(column, T.DoubleType())])
-    return docs.select(*kept).mapInArrow(run, schema)
+    return docs.select(*kept).mapInArrow(tidied(run), schema)
 
 
 def remainder(doc_id: str = "doc_id", by: int = 5):
