@@ -73,7 +73,7 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_vp_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nearest(Scratch(spark, "op10"), table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+    return nearest(Scratch(spark, "op10"), table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, factor=5.0)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
