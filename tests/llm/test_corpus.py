@@ -246,10 +246,22 @@ def test_toxicity_odd_inputs(spark):
 
 def test_raking_meets_targets(spark):
     cells = spark.createDataFrame([("a", "x", "p", 100), ("a", "y", "q", 50), ("b", "x", "q", 10), ("b", "y", "p", 40)], "source string, lang string, topic string, tokens long")
-    out = mixing.rake(cells, {"source": {"a": 0.5, "b": 0.5}, "lang": {"x": 0.3, "y": 0.7}, "topic": {"p": 0.4, "q": 0.6, "gone": 3.0}}, rounds=8).toPandas()
+    targets = {"source": {"a": 0.5, "b": 0.5}, "lang": {"x": 0.3, "y": 0.7}, "topic": {"p": 0.4, "q": 0.6, "gone": 3.0}}
+    out = mixing.bounded(Scratch(spark, "t"), cells, 0.01, targets, rounds=12).toPandas()
     assert np.allclose(out.groupby("source").weight.sum(), 0.5, atol=0.03) and np.allclose(out.groupby("lang").weight.sum(), [0.3, 0.7], atol=0.03)
 
 
+def test_mixing_equals_its_sql(spark):
+    import duckdb
+
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = sorted(con.execute(mixing.ORACLE).fetchall(), key=str)
+    got = sorted((tuple(r) for r in mixing.mixed_rows(Scratch(spark, "t"), spark.read.parquet(f"{sf}/documents.parquet")).select("doc_id", "source", "lang", "topic", "n_tokens", "probability").collect()), key=str)
+    assert got == want and len(got) > 100
+
+
 def test_draw_meets_targets_within_bounds(spark):
     """Expected shares of the draw itself, where raking alone asks small cells for more than they have."""
     sizes = {("a", "x", "prose"): 1000, ("a", "y", "prose"): 300, ("a", "x", "table"): 200, ("b", "x", "prose"): 20, ("b", "y", "table"): 160, ("b", "x", "table"): 40, ("a", "y", "table"): 80, ("b", "y", "prose"): 200}
@@ -264,12 +276,20 @@ def test_draw_meets_targets_within_bounds(spark):
         assert np.allclose(out.groupby(m).weight.sum()[list(shares)], list(shares.values()), atol=1e-3)
     assert mixing.gaps(found).filter("abs(gap) > 0.001").isEmpty()
     # A source that has less than its target is kept whole, and the budget is still met.
-    few = mixing.bounded(Scratch(spark, "t"), cells, 0.5, {"source": {"a": 0.1, "b": 0.9}}).toPandas()
+    few = mixing.bounded(Scratch(spark, "t"), cells, 0.5, {"source": {"a": 0.1, "b": 0.9}}, rounds=30).toPandas()
     assert math.isclose(few.weight.sum(), 1, rel_tol=1e-2) and np.allclose(few[few.source == "b"].weight * total / 2, few[few.source == "b"].tokens, rtol=0.02)
 
 
 def test_mixing_odd_inputs(spark):
-    own = docs(spark, [(None, None), (1, ""), (2, "a b"), (2, "a b"), (3, "w " * 20_000)]).withColumn("mix_rate", F.lit(9)).drop("mix_rate")
-    got = mixing.mixed(Scratch(spark, "t"), own, fraction=1e9).select(*own.columns)
-    assert got.count() == 5 and got.columns == own.columns
+    own = docs(spark, [(None, None), (1, ""), (2, "a b"), (2, "a b"), (3, "w " * 20_000)])
+    for c in ("mix_rate", "mix_tokens", "Mix_topic", "mix_salt", "bound", "tokens"):
+        own = own.withColumn(c, F.lit("mine"))
+    for fraction, cells in ((1e9, mixing.BROADCAST_CELLS), (1e9, 0)):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(mixing, "BROADCAST_CELLS", cells)
+            got = mixing.mixed(Scratch(spark, "t"), own, fraction=fraction)
+            names = mixing.added(own)
+            assert got.columns == [*own.columns, *names.values()] and names["rate"] == "mix_rate_" and names["source"] == "mix_source"
+            assert sorted(map(str, got.select(*own.columns).collect())) == sorted(map(str, own.collect()))
+            assert {r[names["tokens"]] for r in got.collect()} == {0, 2, 20_000}
     assert mixing.mixed(Scratch(spark, "t"), own.limit(0)).count() == 0
