@@ -5,7 +5,9 @@ assistant and everybody else as a named user; the mask marks the assistant's con
 would be trained on. System turns belong to no participant, are never masked in and keep their role.
 
 A rendering comes in parts: the turns of a conversation are dealt to blocks of `block` consecutive turn
-numbers, so that an endless dialogue never lies in one row. A part says at which character it starts.
+numbers, so that an endless dialogue never lies in one row. A part says at which character it starts. Texts
+are shuffled once, to their part; who takes part and where parts start comes from counts and lengths alone,
+and joins them by conversation and part, so the parts of a hot conversation stay spread over the tasks.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 
 #: Format of a turn.
 OPEN, MIDDLE, CLOSE = "<|", "|>\n", "\n<|end|>\n"
+ASSISTANT, NAMED = "assistant", "user name="
 
 
 def rotate(turns: DataFrame, block: int = 1024, system: str = "system") -> DataFrame:
@@ -27,26 +30,38 @@ def rotate(turns: DataFrame, block: int = 1024, system: str = "system") -> DataF
     conversation of its own; a null turn comes first. Turns with the same number are ordered by role and
     text, and repeated rows are rendered as often as they occur. A conversation of system turns only has no
     participant and no rendering; an empty table gives none. Other columns are ignored. Everything is
-    DataFrame operations; groups are single blocks, so a hot conversation is spread over its blocks.
+    DataFrame operations. Rows of one turn number, and those of null turns, lie in one part however many.
     """
     role = F.when(F.coalesce(F.col("role"), F.lit("")) == "", "unknown").otherwise(F.col("role"))
+    id_type = turns.schema["conv_id"].dataType
     own = turns.select(
-        F.col("conv_id"),
+        F.coalesce(F.col("conv_id"), F.lit(0).cast(id_type)).alias("id"),
+        F.col("conv_id").isNull().alias("no_id"),
         F.coalesce(F.floor(F.col("turn") / block), F.lit(-1)).alias("part"),
         F.col("turn"),
         role.alias("role"),
         F.coalesce("text", F.lit("")).alias("content"),
     )
+    key = ["id", "no_id"]
     line = F.struct("turn", "role", "content")
-    parts = own.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list(line)).alias("lines"))
-    people = own.filter(F.col("role") != system).select("conv_id", F.col("role").alias("assistant")).distinct()
-    both = parts.withColumn("key", F.coalesce(F.col("conv_id").cast("string"), F.lit("null"))).join(
-        people.select(F.coalesce(F.col("conv_id").cast("string"), F.lit("null")).alias("key"), "assistant"), "key"
-    )
+    parts = own.groupBy(*key, "part").agg(F.sort_array(F.collect_list(line)).alias("lines"))
+    # Counts and lengths of each role in each part: from here on without texts.
+    roles = own.groupBy(*key, "part", "role").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("content")).alias("chars"))
+    named = F.length(F.when(F.col("role") == system, F.lit(system)).otherwise(F.concat(F.lit(NAMED), "role")))
+    length = F.col("chars") + F.col("n") * (named + len(OPEN + MIDDLE + CLOSE))
+    places = roles.groupBy(*key, "part").agg(F.sum(length).alias("length"))
+    before = Window.partitionBy(*key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    places = places.withColumn("at", F.coalesce(F.sum("length").over(before), F.lit(0))).drop("length")
+    people = roles.filter(F.col("role") != system).select(*key, F.col("role").alias("assistant")).distinct()
+    starts = places.join(people, key).join(roles.select(*key, "part", F.col("role").alias("assistant"), "n"), [*key, "part", "assistant"], "left")
+    before = Window.partitionBy(*key, "assistant").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    shorter = F.length("assistant") + len(NAMED) - len(ASSISTANT)
+    starts = starts.withColumn("part_start", F.col("at") - shorter * F.coalesce(F.sum(F.coalesce("n", F.lit(0))).over(before), F.lit(0))).drop("at", "n")
+    both = parts.join(starts, [*key, "part"])
     shown = F.transform(
         "lines",
         lambda x: F.struct(
-            F.concat(F.lit(OPEN), F.when(x["role"] == F.col("assistant"), "assistant").when(x["role"] == system, system).otherwise(F.concat(F.lit("user name="), x["role"])), F.lit(MIDDLE)).alias("head"),
+            F.concat(F.lit(OPEN), F.when(x["role"] == F.col("assistant"), ASSISTANT).when(x["role"] == system, system).otherwise(F.concat(F.lit(NAMED), x["role"])), F.lit(MIDDLE)).alias("head"),
             x["content"].alias("content"),
             (x["role"] == F.col("assistant")).alias("own"),
         ),
@@ -60,9 +75,9 @@ def rotate(turns: DataFrame, block: int = 1024, system: str = "system") -> DataF
         spans = F.when(x["own"], F.concat(state["spans"], span)).otherwise(state["spans"])
         return F.struct((at + F.length(x["content"]) + len(CLOSE)).alias("at"), spans.alias("spans"))
 
-    walked = both.withColumn("shown", shown).select("conv_id", "assistant", "part", F.size("lines").cast("long").alias("n_turns"), F.array_join(rendered, "").alias("text"), F.aggregate("shown", start, step).alias("walk"))
-    before = Window.partitionBy("conv_id", "assistant").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return walked.select("conv_id", "assistant", "part", (F.sum("walk.at").over(before) - F.col("walk.at")).alias("part_start"), "n_turns", "text", F.col("walk.spans").alias("mask"))
+    spans = F.aggregate("shown", start, step)["spans"]
+    conv_id = F.when(~F.col("no_id"), F.col("id")).alias("conv_id")
+    return both.withColumn("shown", shown).select(conv_id, "assistant", "part", "part_start", F.size("lines").cast("long").alias("n_turns"), F.array_join(rendered, "").alias("text"), spans.alias("mask"))
 
 
 def rotation_rows(turns: DataFrame) -> DataFrame:

@@ -62,6 +62,21 @@ def test_rotation(spark):
     assert not [r for r in out if r.conv_id == 8] and chat.rotate(frame.limit(0)).count() == 0
 
 
+def test_rotation_of_odd_ids(spark):
+    """A null conversation is not the one called null; the participants of each stay in it. Many parts, one of them before zero."""
+    rows = [("null", 0, "ann", "a"), (None, 0, "bob", "b"), ("0", 0, "cy", "c")] + [("hot", t, r, "x" * ((t or 0) % 5)) for t in (None, -3, *range(0, 60, 2)) for r in ("ann", "bob", "system")]
+    out = chat.rotate(spark.createDataFrame(rows, "conv_id string, turn long, role string, text string"), block=8).collect()
+    assert {(r.conv_id, r.assistant) for r in out} == {("null", "ann"), (None, "bob"), ("0", "cy"), ("hot", "ann"), ("hot", "bob")}
+    for person in ("ann", "bob"):
+        own = sorted((r for r in out if r.conv_id == "hot" and r.assistant == person), key=lambda r: r.part)
+        hot = [r[1:] for r in rows if r[0] == "hot"]
+        text, mask = plain_rotation([r for r in hot if r[0] is None], person)
+        late, later = plain_rotation([r for r in hot if r[0] is not None], person)
+        text, mask = text + late, mask + [(a + len(text), n) for a, n in later]
+        assert own[0].part == -1 and own[0].n_turns == 6 and len(own) == 9 and "".join(r.text for r in own) == text
+        assert [(r.part_start + m.start, m.length) for r in own for m in r["mask"]] == mask
+
+
 def brute(ids, vectors, k=20):
     out = {}
     for i in np.flatnonzero(ids % 20 == 0):
