@@ -135,15 +135,3 @@ def batch_blocks(batch, column: str = "text", size: int = 2_000_000, rows: int =
             start, held = i + 1, 0
     if start < len(sizes):
         yield batch.slice(start)
-
-
-def blocks(texts: list[str | None], chars: int = 2_000_000) -> Iterable[slice]:
-    """Slices of about so many characters, one text at least."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= chars:
-            yield slice(start, i + 1)
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield slice(start, len(texts))

@@ -25,6 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .encode import batch_blocks
+from .scratch import tidied
+
 
 def _zigzag() -> np.ndarray:
     """Natural position of each coefficient in the order of rising diagonals, turning at each."""
@@ -377,21 +380,16 @@ def padded(text: str | None) -> tuple[int, bytes]:
 
 def encode_media(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and media (a JPEG) of every text. A null text is an empty one: 64 zero bytes. Repeated
-    rows and null doc_ids stay; other columns are not read. No shuffle; one text at a time is in memory."""
+    rows and null doc_ids stay; other columns are not read. No shuffle; about 2 MB of texts, one at least, are
+    worked on at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in batch_slices(batch):
-                found = [padded(t) for t in part.column("text").to_pylist()]
-                media = pa.array([encode_payload(p) for _, p in found], pa.binary())
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "n_bytes": pa.array([n for n, _ in found], pa.int64()), "media": media})
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
-
+        for part in (x for batch in batches for x in batch_blocks(batch)):
+            found = [padded(t) for t in part.column("text").to_pylist()]
+            media = pa.array([encode_payload(p) for _, p in found], pa.binary())
+            yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "n_bytes": pa.array([n for n, _ in found], pa.int64()), "media": media})
 
-def batch_slices(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
-    for i in range(0, batch.num_rows, rows):
-        yield batch.slice(i, rows)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidied(run), "doc_id long, n_bytes long, media binary")
 
 
 def decode_media(media: DataFrame, column: str = "media") -> DataFrame:
@@ -399,17 +397,16 @@ def decode_media(media: DataFrame, column: str = "media") -> DataFrame:
     kept = [c for c in media.columns if c not in (column, "width", "height", "rgb")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in batch_slices(batch, 50):
-                tensors = [to_rgb(read_coefficients(m)) if m is not None else None for m in part.column(column).to_pylist()]
-                out = {c: part.column(c) for c in kept}
-                out["width"] = pa.array([t if t is None else t.shape[1] for t in tensors], pa.int32())
-                out["height"] = pa.array([t if t is None else t.shape[0] for t in tensors], pa.int32())
-                out["rgb"] = pa.array([t if t is None else t.tobytes() for t in tensors], pa.binary())
-                yield pa.RecordBatch.from_pydict(out)
+        for part in (x for batch in batches for x in batch_blocks(batch, column, 1_000_000, 50)):
+            tensors = [to_rgb(read_coefficients(m)) if m is not None else None for m in part.column(column).to_pylist()]
+            out = {c: part.column(c) for c in kept}
+            out["width"] = pa.array([t if t is None else t.shape[1] for t in tensors], pa.int32())
+            out["height"] = pa.array([t if t is None else t.shape[0] for t in tensors], pa.int32())
+            out["rgb"] = pa.array([t if t is None else t.tobytes() for t in tensors], pa.binary())
+            yield pa.RecordBatch.from_pydict(out)
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in media.schema if f.name in kept), "width int, height int, rgb binary"])
-    return media.select(*kept, column).mapInArrow(run, schema)
+    return media.select(*kept, column).mapInArrow(tidied(run), schema)
 
 
 DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -426,9 +423,8 @@ def media_digest(media: DataFrame) -> DataFrame:
         return {"doc_id": doc_id, "n_bytes": n, "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-64:]), "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "feature": feature}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in batch_slices(batch):
-                rows = [digest(r["doc_id"], r["n_bytes"], r["media"]) for r in part.to_pylist()]
-                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([(n, pa.string() if k == "string" else pa.int64()) for n, k in (x.split() for x in DIGEST.split(", "))]))
+        for part in (x for batch in batches for x in batch_blocks(batch, "media")):
+            rows = [digest(r["doc_id"], r["n_bytes"], r["media"]) for r in part.to_pylist()]
+            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([(n, pa.string() if k == "string" else pa.int64()) for n, k in (x.split() for x in DIGEST.split(", "))]))
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, DIGEST)
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(tidied(run), DIGEST)

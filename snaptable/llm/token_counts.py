@@ -3,7 +3,8 @@
 The distinct pre-tokens of a chunk of texts, in order, are the paths of a trie: what a pre-token shares
 with the one before it is their common prefix. The forward scores (best log-probability of each prefix and
 the tokens it takes) are kept on the current path, so a shared prefix is scored once; the count at a
-pre-token's last node is stored and every text sums the counts of its pre-tokens.
+pre-token's last node is stored and every text sums the counts of its pre-tokens. Walked in order, the trie
+is never held whole: its memory is one path and the terminal counts.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .encode import blocks
+from .encode import batch_blocks
+from .scratch import tidied
 
 _MODELS: dict = {}
 
@@ -88,15 +90,14 @@ def count_tokens(docs: DataFrame, model: str, chunk_chars: int = 24_000_000) ->
             at = {w: counts[w.decode()] for w in names}.__getitem__
             return pa.RecordBatch.from_pydict({"doc_id": pa.array([d for d, _ in held], pa.int64()), "n_pretokens": pa.array([len(w) for _, w in held], pa.int64()), "n_tokens": pa.array([sum(map(at, w)) for _, w in held], pa.int64())})
 
-        for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for part in blocks(texts):
-                held += [(d, [names.setdefault(w, w) for w in (t or "").encode().split()]) for d, t in zip(ids[part], texts[part], strict=True)]
-                size += sum(len(t or "") for t in texts[part])
-                if size >= chunk_chars:
-                    yield done()
-                    held, names, size = [], {}, 0
+        for batch in (x for b in batches for x in batch_blocks(b, rows=2_000)):
+            for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                held.append((d, [names.setdefault(w, w) for w in (t or "").encode().split()]))
+                size += len(t or "")
+            if size >= chunk_chars:
+                yield done()
+                held, names, size = [], {}, 0
         if held:
             yield done()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_pretokens long, n_tokens long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidied(run), "doc_id long, n_pretokens long, n_tokens long")
