@@ -40,7 +40,9 @@ def _text(c: Column, kind: T.DataType) -> Column:
     if isinstance(kind, T.TimestampType):
         return F.unix_micros(c).cast("string")
     if isinstance(kind, T.TimestampNTZType):
-        return F.unix_micros(c.cast("timestamp")).cast("string")  # the session's zone is UTC
+        # By its fields, which no session zone moves.
+        day, second = F.unix_date(c.cast("date")).cast("long"), (F.extract(F.lit("SECOND"), c) * 1_000_000).cast("long")
+        return (((day * 24 + F.hour(c)) * 60 + F.minute(c)) * 60_000_000 + second).cast("string")
     if isinstance(kind, T.BinaryType):
         return F.base64(c)
     if isinstance(kind, T.DateType):
@@ -91,7 +93,10 @@ def decode(c: Column, kind: T.DataType) -> Column:
     if isinstance(kind, T.TimestampType):
         return F.timestamp_micros(text.cast("long"))
     if isinstance(kind, T.TimestampNTZType):
-        return F.timestamp_micros(text.cast("long")).cast("timestamp_ntz")
+        micros, day = text.cast("long"), 86_400_000_000
+        seconds = F.pmod(micros, F.lit(day)).cast("decimal(18,0)") / F.lit(1_000_000).cast("decimal(7,0)")
+        zero = F.lit(0)
+        return F.expr("timestamp_ntz'1970-01-01 00:00:00'") + F.make_dt_interval(F.round((micros - F.pmod(micros, F.lit(day))) / day).cast("int"), zero, zero, seconds.cast("decimal(18,6)"))
     if isinstance(kind, T.BinaryType):
         return F.unbase64(text)
     return text.cast(kind)

@@ -131,7 +131,7 @@ def total(df: DataFrame, filter=None) -> DataFrame:
     return df.filter(where(df.schema, filter)).agg(F.count(F.lit(1)).alias("total"))
 
 
-def documents(df: DataFrame, key: list[str], **page) -> DataFrame:
-    """One page as indented JSON texts."""
+def documents(df: DataFrame, key: list[str], pretty: bool = True, **page) -> DataFrame:
+    """One page as JSON texts, indented unless told otherwise."""
     found = find(df, key, **page)
-    return found.select(relaxed(found).alias("document"))
+    return found.select(relaxed(found, pretty).alias("document"))

@@ -42,11 +42,16 @@ def of_change(changes: DataFrame, change: str) -> DataFrame:
     return changes.filter(F.col("change") == change)
 
 
-def page(changes: DataFrame, collection: str, change: str, offset: int = 0, limit: int = PAGE) -> tuple[DataFrame, int]:
-    """One page of changed keys in key order, and how many there are. Limits outside 1..500 become 500."""
+def page(changes: DataFrame, collection: str, change: str, offset: int = 0, limit: int = PAGE) -> DataFrame:
+    """One page of changed keys in key order. Limits outside 1..500 become 500."""
     found = of_change(changes, change).filter(F.col("collection") == collection).select("id")
     limit = limit if 0 < limit <= PAGE else PAGE
-    return found.orderBy("id").offset(max(0, offset)).limit(limit), found.count()
+    return found.orderBy("id").offset(max(0, offset)).limit(limit)
+
+
+def page_total(changes: DataFrame, collection: str, change: str) -> DataFrame:
+    """total of the keys that page() goes through; summary() has all of them at once."""
+    return of_change(changes, change).filter(F.col("collection") == collection).agg(F.count(F.lit(1)).alias("total"))
 
 
 def content(changes: DataFrame, objects: DataFrame) -> DataFrame:

@@ -54,7 +54,7 @@ def kept(snapshots: DataFrame, keep_last: int = KEEP, scope: str | None = None)
         return snapshots.filter(is_tagged(F.col("tags")))
     if scope is None:
         last = snapshots.orderBy(*newest).limit(keep_last).select("snapshot_id").withColumn("last_", F.lit(True))
-        both = snapshots.join(F.broadcast(last), "snapshot_id", "left")
+        both = snapshots.join(last, "snapshot_id", "left")
         return both.filter(is_tagged(F.col("tags")) | F.coalesce("last_", F.lit(False))).select(*snapshots.columns)
     ranked = snapshots.withColumn("rank_", F.row_number().over(Window.partitionBy(scope).orderBy(*newest)))
     return ranked.filter(is_tagged(F.col("tags")) | (F.col("rank_") <= keep_last)).drop("rank_")

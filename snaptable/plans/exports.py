@@ -23,14 +23,14 @@ class Exports:
 
     def catalog(self) -> DataFrame:
         path = f"{self.root}/catalog.parquet"
+        files.put_back(self.spark, path)
         return self.spark.read.schema(CATALOG).parquet(path) if files.exists(self.spark, path) else self.spark.createDataFrame([], CATALOG)
 
     def _save(self, catalog: DataFrame) -> None:
         staged = f"{self.root}/_catalog"
         files.delete(self.spark, staged)
         catalog.coalesce(1).write.parquet(staged)
-        files.delete(self.spark, f"{self.root}/catalog.parquet")
-        files.rename(self.spark, staged, f"{self.root}/catalog.parquet")
+        files.swap_in(self.spark, staged, f"{self.root}/catalog.parquet")
 
     def create(self, db: Database, name: str, format: str = "parquet", now: datetime | None = None) -> None:
         """Copy every table as Parquet or gzip JSON lines and add a row to the catalog."""

@@ -19,14 +19,18 @@ from ..sources.database import Database
 from ..sources.store import SNAPSHOTS, Store
 
 ROWS = "collection string, id string, hash string, canonical string"
+REFS = "collection string, id string, hash string"
+
+
+def tables(db: Database, pinned: Mapping[str, list[tuple[str, int, int]]] | None = None) -> dict[str, DataFrame]:
+    """Every table, or exactly the pinned files of it; one without files is read for its schema."""
+    return {name: db.read(name, [p for p, *_ in pinned[name]] if pinned and pinned.get(name) else None) for name in pinned or db.names()}
 
 
 def scanned(db: Database, pinned: Mapping[str, list[tuple[str, int, int]]] | None = None) -> DataFrame:
     """collection, id, hash, canonical of every row of every table: one frame, one job."""
     out = db.spark.createDataFrame([], ROWS)
-    for name in db.names():
-        paths = [p for p, *_ in pinned[name]] if pinned and pinned.get(name) else None
-        df = db.read(name, paths)
+    for name, df in tables(db, pinned).items():
         own = encoded(df, db.key(name, df)).select(F.lit(name).alias("collection"), "id", "hash", "canonical")
         out = out.unionByName(own)
     return out
@@ -46,22 +50,26 @@ class Repository:
     # --- create
 
     def create(self, db: Database, message: str = "", *, now: datetime | None = None, snapshot_id: str | None = None, indexes: Mapping[str, Sequence[Mapping]] | None = None) -> Row:
-        """Take a snapshot. Rows are encoded once into a staging table; objects and refs are read from it."""
+        """Take a snapshot of the files that are there now. Keys and hashes of all rows are staged; only rows whose
+        hash is new are read again for their texts, by the same files. Indexes default to the declared ones."""
         now, snapshot_id = now or datetime.now(UTC).replace(tzinfo=None), snapshot_id or uuid.uuid4().hex
         history_ = self.store.snapshots()
         if not history_.filter(F.col("snapshot_id") == snapshot_id).isEmpty():
             raise BadRequest(f"snapshot {snapshot_id} is there already")
         pinned, staging = db.pin(), f"{self.store.path}/_staging-{snapshot_id}"
-        scanned(db, pinned).write.mode("overwrite").parquet(staging)
-        rows = self.spark.read.schema(ROWS).parquet(staging)
+        scanned(db, pinned).select("collection", "id", "hash").write.mode("overwrite").parquet(f"{staging}/refs")
+        rows = self.spark.read.schema(REFS).parquet(f"{staging}/refs")
         checks.require_unique(rows, ["collection", "id"], "the database")
-        new = self.store.put(rows, snapshot_id)
+        rows.select("hash").distinct().join(self.store.hashes(), "hash", "left_anti").write.mode("overwrite").parquet(f"{staging}/new")
+        hashes = self.spark.read.schema("hash string").parquet(f"{staging}/new")
+        new = 0 if hashes.isEmpty() else self.store.put(scanned(db, pinned).select("hash", "canonical").join(hashes, "hash", "left_semi"), snapshot_id)
         self.store.write_refs(snapshot_id, rows)
         counted = {r["collection"]: r["n"] for r in rows.groupBy("collection").agg(F.count(F.lit(1)).alias("n")).collect()}
         collections = {}
-        for name in db.names():
-            df = db.read(name)
-            own = [(i["name"], list(i["columns"]), i.get("options") or None) for i in (indexes or {}).get(name, [])]
+        declared = db.declared()
+        for name, df in tables(db, pinned).items():
+            given = (indexes or {}).get(name, declared.get(name, {}).get("indexes", []))
+            own = [(i["name"], list(i["columns"]), i.get("options") or None) for i in given]
             collections[name] = (counted.get(name, 0), df.schema.json(), db.key(name, df), own)
         last = history.latest(history_).collect()
         seq = (history_.agg(F.max("seq")).first()[0] or 0) + 1
@@ -115,8 +123,9 @@ class Repository:
         """Write a snapshot's collections, or one, into target; collection, docs written.
 
         insert: a key that is there is an error. upsert: overwritten by key. drop: the collection is replaced,
-        after a safety snapshot of target (in `safety`, a repository of target; default: one beside this).
-        Everything is written and checked before the first collection is put in place.
+        after a safety snapshot of what is to be replaced (in `safety`, a repository of target; default: one
+        beside this), by the keys that target or else the snapshot knows. Everything is written and checked
+        before the first collection is put in place; target then knows the keys and indexes too.
         """
         if mode not in ("insert", "upsert", "drop"):
             raise BadRequest(f"unknown mode {mode!r}")
@@ -128,8 +137,11 @@ class Repository:
         checks.require_complete(refs, self.store.objects())
         there = target.names()
         if mode == "drop" and there:
-            (safety or Repository(self.spark, self.root, target.path)).create(target, f"before restore of {snapshot['snapshot_id']}", now=now)
-        staging, counted = f"{target.path}/_restore-{uuid.uuid4().hex[:8]}", []
+            replaced = [n for n in names if n in there]
+            keys = {n: list(snapshot["collections"][n]["key"]) for n in replaced} | {n: d["key"] for n, d in target.declared().items()} | target.keys
+            own = Database(self.spark, target.path, {n: k for n, k in keys.items() if n in replaced and set(k) <= set(target.read(n).columns)}, replaced)
+            (safety or Repository(self.spark, self.root, target.path)).create(own, f"before restore of {snapshot['snapshot_id']}", now=now)
+        staging, there_at = f"{target.path}/_restore-{uuid.uuid4().hex[:8]}", target.entries()
         for name in names:
             own, key = self.rows(snapshot["snapshot_id"], name), list(snapshot["collections"][name]["key"])
             if mode != "drop" and name in there:
@@ -142,29 +154,32 @@ class Repository:
                     if not checks.unique_violations(written, index["columns"], options.get("sparse") == "true").limit(1).isEmpty():
                         files.delete(self.spark, staging)
                         raise BadRequest(f"unique index {index['name']} of {name} would be violated")
-            counted.append((name, snapshot["collections"][name]["doc_count"]))
+        docs = refs.groupBy("collection").agg(F.count(F.lit(1)).alias("docs"))
+        docs = self.spark.createDataFrame([(n,) for n in names], "collection string").join(docs, "collection", "left")
+        docs = [tuple(r) for r in docs.select("collection", F.coalesce("docs", F.lit(0))).collect()]
         for name in names:
-            if name in there:
-                files.delete(self.spark, target.location(name))
-            files.rename(self.spark, f"{staging}/{name}", f"{target.path}/{name}.parquet")
+            target.put(name, f"{staging}/{name}", there_at.get(name))
+            about = snapshot["collections"][name]
+            target.declare(name, about["key"], [{"name": i["name"], "columns": list(i["columns"]), "options": i["options"]} for i in about["indexes"] or []])
         files.delete(self.spark, staging)
-        return self.spark.createDataFrame(counted, "collection string, docs long")
+        return self.spark.createDataFrame(docs, "collection string, docs long")
 
     # --- garbage collection
 
     def gc(self, keep_last: int = history.KEEP) -> DataFrame:
         """Prune snapshots neither tagged nor among the last; sweep what only they referred to. One row of counts.
 
-        Survivors become a new generation, live with the shorter history in one swap; refs go after it.
+        What prefixes that lose objects keep becomes their new generation, live with the shorter history in one
+        swap; refs go after it, and generations that have not been live for a while.
         """
         snapshots = self.store.snapshots()
         kept = history.kept(snapshots, keep_last)
         gone = [r["snapshot_id"] for r in history.pruned(snapshots, kept).select("snapshot_id").collect()]
         marked = history.referenced(self.store.refs(), kept)
-        swept = history.unreferenced(self.store.hashes(), marked).count()
-        generation = self.store.rewrite_objects(self.store.objects().join(marked, "hash", "left_semi")) if swept else None
+        generations, swept = self.store.without(history.unreferenced(self.store.hashes(), marked))
         if gone or swept:
-            self.store.commit(kept if gone else None, generation)
+            self.store.commit(kept if gone else None, generations)
         for snapshot_id in gone:
             self.store.delete_refs(snapshot_id)
+        self.store.expire()
         return self.spark.createDataFrame([(len(gone), swept)], "snapshots_deleted long, objects_deleted long")

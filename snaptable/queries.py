@@ -15,8 +15,9 @@ from .functions.columns import mask_credentials, tag_append
 from .operators import browse, checks, diff, history, mutate
 from .plans.exports import Exports
 from .plans.repository import Repository
+from .sources import files
 from .sources.database import Database, counts
-from .sources.store import new_objects
+from .sources.store import Store, new_objects
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -38,8 +39,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder beside the session's checkpoints; where none are set, a temporary one (local sessions)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-store-')}"
+    """A new folder beside the session's checkpoints; where none are set, a temporary one, in local sessions only."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='spark-store-')}"
     return f"{base.rstrip('/')}/store-{uuid.uuid4().hex[:12]}"
 
 
@@ -119,12 +124,12 @@ def diff_identical(spark, sf_dir):
 
 @query(f"SELECT id FROM ({ORDER_CHANGES}) WHERE change = 'modified' ORDER BY id LIMIT 50 OFFSET 100")
 def diff_page_modified(spark, sf_dir):
-    return diff.page(order_changes(spark, sf_dir), "orders", "modified", 100, 50)[0]
+    return diff.page(order_changes(spark, sf_dir), "orders", "modified", 100, 50)
 
 
 @query("SELECT '' AS id WHERE false")
 def diff_page_past_end(spark, sf_dir):
-    return diff.page(order_changes(spark, sf_dir), "orders", "added", 10**8, 50)[0]
+    return diff.page(order_changes(spark, sf_dir), "orders", "added", 10**8, 50)
 
 
 DOC_JSON = "to_json({'doc_id': {'$numberLong': doc_id::VARCHAR}, 'text': text, 'lang': {0}, 'source': source, 'n_chars': {'$numberLong': n_chars::VARCHAR}})::VARCHAR"
@@ -176,9 +181,12 @@ def collection_counts(spark, sf_dir):
     return counts({**tables, "none": tables["documents"].filter("doc_id < 0")})
 
 
-@query()
+ALL_TABLES = (*TABLES, "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS collection, CAST(count(*) AS BIGINT) AS doc_count, true AS has_bytes FROM {t}" for t in ALL_TABLES))
 def collection_stats(spark, sf_dir):
-    return Database(spark, sf_dir).stats()
+    return Database(spark, sf_dir).stats().select("collection", "doc_count", (F.col("storage_size") > 0).alias("has_bytes"))
 
 
 # --- histories: every order is a snapshot of its customer's database, tagged with its priority when finished
@@ -309,12 +317,99 @@ def restore_upsert(spark, sf_dir):
 
 @query("SELECT 's2' AS snapshot_id, 's1' AS parent_id, CAST((SELECT count(*) FROM orders WHERE o_orderkey % 7 <> 0) AS BIGINT) AS doc_count, CAST((SELECT count(*) FROM orders WHERE o_orderkey % 7 <> 0 AND (o_orderkey % 5 = 0 OR o_orderkey % 7 = 1)) AS BIGINT) AS new_objects UNION ALL SELECT 's1', NULL, CAST((SELECT count(*) FROM orders WHERE o_orderkey % 7 <> 1) AS BIGINT), CAST((SELECT count(*) FROM orders WHERE o_orderkey % 7 <> 1) AS BIGINT)")
 def snapshot_log(spark, sf_dir):
-    root, both = scratch(spark), states(read(spark, sf_dir, "orders"), "o_orderkey", "o_orderpriority")
+    repository, _ = _two_snapshots(spark, sf_dir)
+    return repository.log().select("snapshot_id", "parent_id", "doc_count", "new_objects")
+
+
+def _two_snapshots(spark, sf_dir) -> tuple[Repository, str]:
+    """s1 and s2: the two states of orders."""
+    root = scratch(spark)
     repository = Repository(spark, f"{root}/store", "db")
-    for n, state in enumerate(both, 1):
+    for n, state in enumerate(states(read(spark, sf_dir, "orders"), "o_orderkey", "o_orderpriority"), 1):
         state.write.parquet(f"{root}/db{n}/orders.parquet")
         repository.create(Database(spark, f"{root}/db{n}"), now=NOW, snapshot_id=f"s{n}")
-    return repository.log().select("snapshot_id", "parent_id", "doc_count", "new_objects")
+    return repository, root
+
+
+@query(ORDER_CHANGES)
+def diff_two_snapshots(spark, sf_dir):
+    return _two_snapshots(spark, sf_dir)[0].diff("s1", "s2").select("collection", "id", "change")
+
+
+@query("SELECT 's1' AS snapshot_id, 'keep,again' AS tags, (SELECT count(*) FROM orders WHERE o_orderkey % 7 <> 1) AS doc_count UNION ALL SELECT 's2', '', (SELECT count(*) FROM orders WHERE o_orderkey % 7 <> 0)")
+def tag_snapshot(spark, sf_dir):
+    repository, _ = _two_snapshots(spark, sf_dir)
+    for tag in ("keep", "again", "keep"):
+        repository.tag("s1", tag)
+    return repository.log().select("snapshot_id", F.array_join("tags", ",").alias("tags"), "doc_count")
+
+
+@query(
+    """SELECT CAST(1 AS BIGINT) AS snapshots_deleted, (SELECT count(*) FROM orders WHERE o_orderkey % 7 <> 1 AND (o_orderkey % 7 = 0 OR o_orderkey % 5 = 0)) AS objects_deleted,
+ (SELECT count(*) FROM orders WHERE o_orderkey % 7 <> 0) AS objects_left, (SELECT count(*) FROM orders WHERE o_orderkey % 7 <> 0) AS refs_left"""
+)
+def gc_through_store(spark, sf_dir):
+    repository, _ = _two_snapshots(spark, sf_dir)
+    done = repository.gc(1)
+    left = repository.store.hashes().select(F.lit(1).alias("o"), F.lit(0).alias("r")).unionByName(repository.store.refs().select(F.lit(0).alias("o"), F.lit(1).alias("r")))
+    return done.join(left.agg(F.sum("o").alias("objects_left"), F.sum("r").alias("refs_left")))
+
+
+@query("SELECT 'restored' AS state, c_custkey, c_mktsegment FROM customer UNION ALL SELECT 'safety', c_custkey, 'own' FROM customer WHERE c_custkey % 3 = 0")
+def restore_drop_safety(spark, sf_dir):
+    root, customers = scratch(spark), read(spark, sf_dir, "customer").select("c_mktsegment", "c_custkey")
+    customers.write.parquet(f"{root}/db/customer.parquet")
+    repository = Repository(spark, f"{root}/store", "db")
+    repository.create(Database(spark, f"{root}/db", {"customer": ["c_custkey"]}), now=NOW, snapshot_id="s1")
+    customers.filter("c_custkey % 3 = 0").withColumn("c_mktsegment", F.lit("own")).write.parquet(f"{root}/target/customer.parquet")
+    target, safety = Database(spark, f"{root}/target"), Repository(spark, f"{root}/safety", "target")
+    repository.restore("s1", target, mode="drop", safety=safety, now=NOW)
+    before = safety.rows(safety.log().first()["snapshot_id"], "customer")
+    both = target.read("customer").withColumn("state", F.lit("restored")).unionByName(before.withColumn("state", F.lit("safety")))
+    return both.select("state", "c_custkey", "c_mktsegment")
+
+
+@query("SELECT 'customer' AS collection, (SELECT count(*) FROM customer) AS docs UNION ALL SELECT 'nation', (SELECT count(*) FROM nation)")
+def restored_counts(spark, sf_dir):
+    repository, root = _snapshot(spark, sf_dir, "nation", "customer")
+    return repository.restore("s1", Database(spark, f"{root}/restored"))
+
+
+TEXTS = "SELECT DISTINCT sha256(text) AS hash, text AS canonical, doc_id % 2 = 0 AS even FROM documents"
+
+
+def _texts(spark, sf_dir) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", content_hash(F.col("text")).alias("hash"), F.col("text").alias("canonical"))
+
+
+@query(f"WITH t AS ({TEXTS}) SELECT DISTINCT hash, canonical FROM t WHERE even AND hash IN (SELECT sha256(text) FROM documents WHERE doc_id % 3 = 0)")
+def objects_get(spark, sf_dir):
+    store, texts = Store(spark, scratch(spark), "db"), _texts(spark, sf_dir)
+    store.put(texts.filter("doc_id % 2 = 0"), "even")
+    asked = texts.filter("doc_id % 3 = 0").join(store.hashes(), "hash", "left_semi")
+    return store.get(asked.select("hash"))
+
+
+@query("SELECT doc_id, sha256(text) IN (SELECT sha256(text) FROM documents WHERE doc_id % 2 = 0) AS stored FROM documents WHERE text IS NOT NULL")
+def objects_have(spark, sf_dir):
+    store, texts = Store(spark, scratch(spark), "db"), _texts(spark, sf_dir).filter("canonical is not null")
+    store.put(texts.filter("doc_id % 2 = 0"), "even")
+    return store.have(texts.select("doc_id", "hash")).select("doc_id", "stored")
+
+
+@query("SELECT DISTINCT sha256(text) AS hash FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 3 = 0)")
+def objects_deleted(spark, sf_dir):
+    store, texts = Store(spark, scratch(spark), "db"), _texts(spark, sf_dir)
+    store.put(texts, "all")
+    store.delete_objects(texts.filter("doc_id % 3 = 0").select("hash"))
+    return store.hashes()
+
+
+@query("SELECT 's2' AS snapshot_id, count(*) AS refs FROM orders WHERE o_orderkey % 7 <> 0")
+def refs_deleted(spark, sf_dir):
+    repository, _ = _two_snapshots(spark, sf_dir)
+    repository.store.delete_refs("s1")
+    return repository.store.refs().groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("refs"))
 
 
 # --- browsing and editing
@@ -355,6 +450,26 @@ def batch_delete(spark, sf_dir):
     return mutate.delete(part, part.filter("p_partkey % 4 = 0"), ["p_partkey"])
 
 
+@query("SELECT to_json({'n_nationkey': n_nationkey, 'n_name': n_name, 'n_regionkey': n_regionkey})::VARCHAR AS document, (SELECT count(*) FROM nation WHERE n_regionkey < 3) AS total FROM nation WHERE n_regionkey < 3 ORDER BY n_name DESC, n_nationkey LIMIT 50 OFFSET 2")
+def document_page_json(spark, sf_dir):
+    nations, wanted = read(spark, sf_dir, "nation"), {"n_regionkey": {"$lt": 3}}
+    page = browse.documents(nations, ["n_nationkey"], pretty=False, filter=wanted, sort={"n_name": -1}, skip=2)
+    return page.join(browse.total(nations, wanted))
+
+
+@query("SELECT p_partkey, p_size FROM part WHERE p_size % 5 = 0 OR p_brand LIKE '%3'")
+def missing_key(spark, sf_dir):
+    part = read(spark, sf_dir, "part")
+    own = part.withColumn("k1", F.when(F.col("p_size") % 5 != 0, F.col("p_size"))).withColumn("k2", F.when(~F.col("p_brand").endswith("3"), F.col("p_brand")))
+    return checks.rows_without_key(own, ["k1", "k2"]).select("p_partkey", "p_size")
+
+
+@query(f"SELECT false AS empty, count(*) AS changes FROM ({ORDER_CHANGES})")
+def diff_emptiness(spark, sf_dir):
+    changes = order_changes(spark, sf_dir)
+    return changes.agg(F.lit(diff.is_empty(changes)).alias("empty"), F.count(F.lit(1)).alias("changes"))
+
+
 # --- exports
 
 
@@ -374,6 +489,15 @@ def export_roundtrip(spark, sf_dir):
     return target.read("documents")
 
 
+@query("SELECT 'kept' AS name, CAST((SELECT count(*) FROM nation) AS BIGINT) AS doc_count, false AS still_there")
+def export_delete(spark, sf_dir):
+    exports, source = Exports(spark, scratch(spark)), Database(spark, sf_dir, only=["nation"])
+    for name in ("kept", "gone"):
+        exports.create(source, name, now=NOW)
+    exports.delete("gone")
+    return exports.catalog().select("name", "doc_count", F.lit(files.exists(spark, f"{exports.root}/exports/gone")).alias("still_there"))
+
+
 # --- checks
 
 

@@ -1,9 +1,14 @@
-"""A database: a directory with one Parquet (or JSON-lines) table a collection."""
+"""A database: a directory with one Parquet (or JSON-lines) table a collection.
+
+Keys and indexes may be declared in the file _declared.json beside the tables; restores write it.
+"""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,7 +20,8 @@ _SUFFIXES = (".parquet", ".json", ".jsonl")
 
 
 class Database:
-    """Reads the tables under a directory. keys names each table's key columns; default: its first column."""
+    """Reads the tables under a directory. keys names each table's key columns; default: the declared ones, else
+    the first column."""
 
     def __init__(self, spark: SparkSession, path: str, keys: Mapping[str, Sequence[str]] | None = None, only: Sequence[str] | None = None):
         self.spark, self.path, self.keys, self.only = spark, path.rstrip("/"), dict(keys or {}), only
@@ -51,7 +57,16 @@ class Database:
         return self.spark.read.json(list(pinned)) if plain else self.spark.read.parquet(*pinned)
 
     def key(self, collection: str, df: DataFrame | None = None) -> list[str]:
-        return list(self.keys.get(collection) or [(df if df is not None else self.read(collection)).columns[0]])
+        own = self.keys.get(collection) or self.declared().get(collection, {}).get("key")
+        return list(own or [(df if df is not None else self.read(collection)).columns[0]])
+
+    def declared(self) -> dict[str, dict]:
+        """Collection -> {"key": columns, "indexes": [{"name", "columns", "options"}]}."""
+        return json.loads(files.read_text(self.spark, f"{self.path}/_declared.json") or "{}")
+
+    def declare(self, collection: str, key: Sequence[str], indexes: Sequence[Mapping] = ()) -> None:
+        known = self.declared() | {collection: {"key": list(key), "indexes": [dict(i) for i in indexes]}}
+        files.swap_text(self.spark, f"{self.path}/_declared.json", json.dumps(known))
 
     def pin(self) -> dict[str, list[tuple[str, int, int]]]:
         """Every collection's files, with size and time: what a point-in-time read reads, and whether it held."""
@@ -59,14 +74,19 @@ class Database:
 
     def stats(self) -> DataFrame:
         """collection, doc_count, storage_size, sorted; zeros for a table that cannot be read."""
-        rows = []
+        tables, sizes = {}, []
         for c, p in self.entries().items():
             try:
-                n = self.read(c).count()
-                rows.append((c, n, sum(size for _, size, _ in files.data_files(self.spark, p))))
-            except Exception:  # an unreadable table must not hide the others
-                rows.append((c, 0, 0))
-        return self.spark.createDataFrame(rows, "collection string, doc_count long, storage_size long").orderBy("collection")
+                tables[c] = self.read(c)
+                sizes.append((c, sum(size for _, size, _ in files.data_files(self.spark, p))))
+            except PySparkException:  # no schema can be read; that must not hide the others
+                sizes.append((c, 0))
+        sized = self.spark.createDataFrame(sizes, "collection string, storage_size long")
+        if tables:
+            sized = sized.join(counts(tables), "collection", "left")
+        else:
+            sized = sized.withColumn("doc_count", F.lit(0))
+        return sized.select("collection", F.coalesce("doc_count", F.lit(0)).cast("long").alias("doc_count"), "storage_size").orderBy("collection")
 
     def create(self, collection: str, schema: T.StructType | str) -> None:
         """An empty table of that schema."""
@@ -83,9 +103,14 @@ class Database:
         staged = f"{self.path}/_staged-{collection}"
         files.delete(self.spark, staged)
         df.write.parquet(staged)
-        if old:
+        self.put(collection, staged, old)
+
+    def put(self, collection: str, staged: str, old: str | None = None) -> None:
+        """A written table becomes the collection's, in place of old."""
+        path = f"{self.path}/{collection}.parquet"
+        files.swap_in(self.spark, staged, path)
+        if old and old != path:  # it had another suffix
             files.delete(self.spark, old)
-        files.rename(self.spark, staged, f"{self.path}/{collection}.parquet")
 
 
 def counts(tables: Mapping[str, DataFrame]) -> DataFrame:

@@ -51,6 +51,32 @@ def rename(spark: SparkSession, old: str, new: str) -> None:
         raise OSError(f"cannot rename {old} to {new}")
 
 
+def swap_in(spark: SparkSession, staged: str, path: str) -> None:
+    """staged takes the place of path, if anything is there. The old one is put aside, not deleted, until the new
+    one stands; where a crash left it aside alone, put_back() brings it back."""
+    put_back(spark, path)
+    aside = _aside(path)
+    if exists(spark, path):
+        rename(spark, path, aside)
+    rename(spark, staged, path)
+    delete(spark, aside)
+
+
+def put_back(spark: SparkSession, path: str) -> None:
+    """Undo or finish a swap that a crash cut short."""
+    aside = _aside(path)
+    if exists(spark, aside):
+        if exists(spark, path):
+            delete(spark, aside)
+        else:
+            rename(spark, aside, path)
+
+
+def _aside(path: str) -> str:
+    folder, _, name = path.rpartition("/")
+    return f"{folder}/_aside-{name}"
+
+
 def read_text(spark: SparkSession, path: str) -> str | None:
     fs, p = _at(spark, path)
     if not fs.exists(p):

@@ -1,12 +1,14 @@
 """A store: the objects, refs and snapshots of one database, as Parquet tables in generations.
 
-    <root>/<database>-<h8>/CURRENT               the live generation of snapshots and of objects
-                          /snapshots/g=<n>       a row a snapshot; written anew at each commit
-                          /objects/g=<n>/b=<id>  hash, canonical; a batch a snapshot, one after a sweep
+    <root>/<database>-<h8>/CURRENT                     the live generation of snapshots and of each prefix of objects
+                          /snapshots/g=<n>             a row a snapshot; written anew at each commit
+                          /objects/p=<x>/g=<n>/b=<id>  hash, canonical of hashes that begin with that hex digit;
+                                                       a batch a snapshot, one after a sweep
                           /docrefs/snapshot_id=<id>/collection=<name>
 
-Data is written first and CURRENT swapped last, so a crash leaves only data nothing refers to. There is
-one writer to a store at a time.
+Data is written first and CURRENT swapped last, so a crash leaves only data nothing refers to. Generations
+that are no longer live stay for a while, so frames that read them go on working; expire() removes them. A
+sweep rewrites only the prefixes that lose objects. There is one writer to a store at a time.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +24,10 @@ from pyspark.sql import functions as F
 from ..errors import MissingObjects
 from . import files
 
-OBJECTS = "hash string, canonical string"
+OBJECTS = "hash string, canonical string, p string, g string, b string"
+PREFIXES = tuple("0123456789abcdef")
+#: How long generations stay after they were written, if they are not live.
+KEPT = timedelta(days=1)
 REFS = "id string, hash string, snapshot_id string, collection string"
 INDEX = "struct<name:string,columns:array<string>,options:map<string,string>>"
 SNAPSHOTS = (
@@ -40,8 +46,9 @@ class Store:
         self.spark, self.database, self.path = spark, database, directory(root, database)
 
     def current(self) -> dict[str, int]:
+        """Generations by "snapshots" and prefix of objects; those not named are 0."""
         text = files.read_text(self.spark, f"{self.path}/CURRENT")
-        return json.loads(text) if text else {"snapshots": 0, "objects": 0}
+        return dict.fromkeys(("snapshots", *PREFIXES), 0) | (json.loads(text) if text else {})
 
     def _read(self, path: str, schema: str) -> DataFrame:
         if not files.exists(self.spark, path):
@@ -51,16 +58,26 @@ class Store:
     # --- objects
 
     def objects(self) -> DataFrame:
-        return self._read(f"{self.path}/objects/g={self.current()['objects']}", f"{OBJECTS}, b string").select("hash", "canonical")
+        now = self.current()
+        live = F.concat("p", F.lit("/"), "g").isin([f"{p}/{now[p]}" for p in PREFIXES])
+        return self._read(f"{self.path}/objects", OBJECTS).filter(live).select("hash", "canonical")
 
     def hashes(self) -> DataFrame:
         return self.objects().select("hash")
 
+    def _write(self, objects: DataFrame, generations: dict[str, int], batch: str) -> None:
+        """objects as one batch of these generations, sorted by hash, a file a prefix at least; written again, it is replaced."""
+        for p, g in generations.items():
+            files.delete(self.spark, f"{self.path}/objects/p={p}/g={g}/b={batch}")
+        of = F.create_map(*[F.lit(x) for p, g in generations.items() for x in (p, str(g))])
+        rows = objects.select("hash", "canonical", F.substring("hash", 1, 1).alias("p")).withColumn("g", of[F.col("p")]).withColumn("b", F.lit(batch))
+        rows.repartitionByRange("hash").sortWithinPartitions("p", "hash").write.mode("append").partitionBy("p", "g", "b").parquet(f"{self.path}/objects")
+
     def put(self, encoded: DataFrame, batch: str) -> int:
         """Store the objects that are not there yet, once each; how many those were."""
-        path = f"{self.path}/objects/g={self.current()['objects']}/b={batch}"
-        new_objects(encoded, self.hashes()).write.mode("overwrite").parquet(path)
-        return self._read(path, OBJECTS).count()
+        now = self.current()
+        self._write(new_objects(encoded, self.hashes()), {p: now[p] for p in PREFIXES}, batch)
+        return self._read(f"{self.path}/objects", OBJECTS).filter(F.col("b") == batch).select("hash").count()
 
     def get(self, hashes: DataFrame) -> DataFrame:
         """hash, canonical of the given hashes; one that is not stored is an error."""
@@ -73,18 +90,23 @@ class Store:
         """hashes with a column stored."""
         return hashes.join(self.hashes().distinct().withColumn("stored", F.lit(True)), "hash", "left").withColumn("stored", F.coalesce("stored", F.lit(False)))
 
-    def rewrite_objects(self, kept: DataFrame) -> int:
-        """A new generation holding these objects only; not live until commit names it."""
-        generation = self.current()["objects"] + 1
-        path = f"{self.path}/objects/g={generation}"
-        files.delete(self.spark, path)
-        kept.select("hash", "canonical").write.parquet(f"{path}/b=sweep")
-        return generation
+    def without(self, gone: DataFrame) -> tuple[dict[str, int], int]:
+        """Write new generations of the prefixes that gone(hash) touches; not live until commit names them. With how
+        many objects go."""
+        touched = {r["p"]: r["n"] for r in self.hashes().join(gone.select("hash").distinct(), "hash", "left_semi").groupBy(F.substring("hash", 1, 1).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
+        now = self.current()
+        generations = {p: now[p] + 1 for p in touched}
+        if generations:
+            # What an earlier attempt left under these numbers goes first.
+            for p, g in generations.items():
+                files.delete(self.spark, f"{self.path}/objects/p={p}/g={g}")
+            rest = self.objects().filter(F.substring("hash", 1, 1).isin(list(generations)))
+            self._write(rest.join(gone.select("hash").distinct(), "hash", "left_anti"), generations, "sweep")
+        return generations, sum(touched.values())
 
     def delete_objects(self, hashes: DataFrame) -> None:
         """Forget these objects; those not stored do not matter."""
-        generation = self.rewrite_objects(self.objects().join(hashes.select("hash").distinct(), "hash", "left_anti"))
-        self.commit(objects=generation)
+        self.commit(objects=self.without(hashes)[0])
 
     # --- refs
 
@@ -107,21 +129,26 @@ class Store:
     def snapshots(self) -> DataFrame:
         return self._read(f"{self.path}/snapshots/g={self.current()['snapshots']}", SNAPSHOTS)
 
-    def commit(self, snapshots: DataFrame | None = None, objects: int | None = None) -> None:
-        """Make a new list of snapshots, a new generation of objects, or both, the live ones in one swap."""
-        was = self.current()
-        now = dict(was)
+    def commit(self, snapshots: DataFrame | None = None, objects: dict[str, int] | None = None) -> None:
+        """Make a new list of snapshots, new generations of objects, or both, the live ones in one swap."""
+        now = self.current()
         if snapshots is not None:
             now["snapshots"] += 1
             path = f"{self.path}/snapshots/g={now['snapshots']}"
             files.delete(self.spark, path)
             snapshots.coalesce(1).write.parquet(path)
-        if objects is not None:
-            now["objects"] = objects
-        files.swap_text(self.spark, f"{self.path}/CURRENT", json.dumps(now))
-        for kind in ("snapshots", "objects"):
-            if now[kind] != was[kind]:
-                files.delete(self.spark, f"{self.path}/{kind}/g={was[kind]}")
+        files.swap_text(self.spark, f"{self.path}/CURRENT", json.dumps(now | (objects or {})))
+
+    def expire(self, older: timedelta = KEPT, at: datetime | None = None) -> int:
+        """Remove generations that are not live and were written longer ago; how many."""
+        now, limit, gone = self.current(), ((at or datetime.now(UTC)) - older).timestamp() * 1000, 0
+        for name, folder in [("snapshots", "snapshots"), *((p, f"objects/p={p}") for p in PREFIXES)]:
+            for entry, _, _, changed in files.listing(self.spark, f"{self.path}/{folder}"):
+                number = entry.removeprefix("g=")
+                if number.isdigit() and int(number) < now[name] and changed < limit:
+                    files.delete(self.spark, f"{self.path}/{folder}/{entry}")
+                    gone += 1
+        return gone
 
 
 def new_objects(encoded: DataFrame, stored: DataFrame) -> DataFrame:

@@ -69,3 +69,20 @@ def test_mask_and_tags(spark):
     assert df.filter(~mask_credentials(F.col("url")).eqNullSafe(F.col("want"))).count() == 0
     tags = spark.createDataFrame([(["a"],), (None,), (["t"],)], "tags array<string>").select(tag_append(F.col("tags"), F.lit("t")).alias("tags"))
     assert sorted(r.tags for r in tags.collect()) == [["a", "t"], ["t"], ["t"]]
+
+
+def test_zone_less_timestamps_do_not_follow_the_session(spark):
+    """Hours that a zone skips or repeats, times before 1970 and micros; hashes and values are the same in every zone."""
+    texts = ["2024-03-31 02:30:00.000001", "2024-10-27 02:30:00", "1969-12-31 23:59:59.999999", "0001-01-01 00:00:00", "9999-12-31 23:59:59.999999"]
+    own = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k int, t string").withColumn("t", F.col("t").cast("timestamp_ntz"))
+    found, was = [], spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "Europe/Berlin", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            coded = encoded(own, ["k"])
+            found.append([(r.hash, r.canonical) for r in coded.orderBy("id").collect()])
+            assert own.exceptAll(decoded(coded, own.schema)).isEmpty()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", was)
+    assert found[0] == found[1] == found[2]
+    assert '"-1"' in found[0][2][1] and f'"{1711852200 * 10**6 + 1}"' in found[0][0][1]

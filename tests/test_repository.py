@@ -1,4 +1,4 @@
-from datetime import datetime, timedelta
+from datetime import UTC, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +7,7 @@ from snaptable.errors import BadRequest, KeyProblem, MissingObjects, NotFound
 from snaptable.operators import checks, history, mutate
 from snaptable.plans.exports import Exports
 from snaptable.plans.repository import Repository
+from snaptable.sources import files
 from snaptable.sources.database import Database
 from snaptable.sources.store import Store, new_objects
 from snaptable.streaming.periodic import periodic
@@ -110,15 +111,20 @@ def test_restore_checks_unique_indexes_and_objects(spark, tmp_path, repo):
 
 def test_objects(spark, tmp_path):
     store = Store(spark, str(tmp_path), "d")
-    own = spark.createDataFrame([("h1", "doc-1"), ("h2", "doc-2"), ("h1", "doc-1")], "hash string, canonical string")
+    own = spark.createDataFrame([("a1", "doc-1"), ("b2", "doc-2"), ("a1", "doc-1")], "hash string, canonical string")
     assert store.put(own, "one") == 2 and store.put(own, "two") == 0 and store.hashes().count() == 2
     assert new_objects(own, store.hashes()).count() == 0
-    some = spark.createDataFrame([("h1",), ("h9",)], "hash string")
-    assert rows(store.have(some)) == [("h1", True), ("h9", False)]
+    some = spark.createDataFrame([("a1",), ("a9",)], "hash string")
+    assert rows(store.have(some)) == [("a1", True), ("a9", False)]
     with pytest.raises(MissingObjects):
         store.get(some)
+    held = store.objects()
     store.delete_objects(some)
-    assert rows(store.objects()) == [("h2", "doc-2")]
+    assert rows(store.objects()) == [("b2", "doc-2")] and held.count() == 2
+    assert {p: g for p, g in store.current().items() if g} == {"a": 1}  # only the prefix that lost something
+    assert store.put(own, "one") == 2 and rows(store.objects()) == [("a1", "doc-1"), ("b2", "doc-2")]
+    assert store.expire() == 0 and store.expire(timedelta(0), datetime.now(UTC) + timedelta(hours=1)) == 1
+    assert rows(store.objects()) == [("a1", "doc-1"), ("b2", "doc-2")]
     many = spark.range(10_007).select(F.lit("c").alias("collection"), F.format_string("id%06d", "id").alias("id"), F.lit("h").alias("hash"))
     store.write_refs("123", many)
     assert store.refs("123").count() == 10_007 and store.refs("123").schema["snapshot_id"].dataType.simpleString() == "string"
@@ -126,6 +132,50 @@ def test_objects(spark, tmp_path):
     assert store.refs("123").count() == 0 and Store(spark, str(tmp_path), "d/").path != Store(spark, str(tmp_path), "d_").path
 
 
+def test_held_frames_outlive_commits(spark, tmp_path, repo):
+    for n in range(2):
+        repo.create(write(spark, tmp_path / "db", a=([(1, f"v{n}")], "k int, v string")), now=T0 + timedelta(hours=n), snapshot_id=f"s{n}")
+    log, content, old = repo.log(), repo.diff_content("s0", "s1"), repo.rows("s0", "a")
+    repo.tag("s1", "x")
+    assert [tuple(r.tags) for r in log.collect()] == [(), ()] and [tuple(r.tags) for r in repo.log().collect()] == [("x",), ()]
+    store = repo.store.objects()
+    assert rows(repo.gc(1)) == [(1, 1)] and store.count() == 2 and repo.store.objects().count() == 1
+
+
+def test_swaps_survive_a_crash(spark, tmp_path):
+    """Between the two renames of a swap nothing stands at the place; the old table comes back, the new one is written again."""
+    db = write(spark, tmp_path / "db", a=AB)
+    files.rename(spark, f"{db.path}/a.parquet", f"{db.path}/_aside-a.parquet")
+    assert db.names() == []
+    files.put_back(spark, f"{db.path}/a.parquet")
+    assert rows(db.read("a")) == [(1, "x"), (2, "y")]
+    files.rename(spark, f"{db.path}/a.parquet", f"{db.path}/_aside-a.parquet")
+    db.replace("a", spark.createDataFrame([(3, "z")], AB[1]))
+    assert rows(db.read("a")) == [(3, "z")] and db.names() == ["a"]
+
+
+def test_restored_keys_and_indexes(spark, tmp_path, repo):
+    index = [{"name": "v1", "columns": ["v"], "options": {"sparse": "true"}}]
+    db = write(spark, tmp_path / "db", a=([("x", 1), ("x", 2)], "v string, k int"))
+    db.keys["a"] = ["v", "k"]
+    repo.create(db, now=T0, snapshot_id="s1", indexes={"a": index})
+    target = write(spark, tmp_path / "t", a=([("y", 1), ("y", 2)], "v string, k int"), other=([(1,), (1,)], "n int"))
+    repo.restore("s1", target, mode="drop", now=T0)  # by v alone neither state has a key, and `other` is left alone
+    assert target.key("a") == ["v", "k"]
+    safety = Repository(spark, repo.root, target.path)
+    assert rows(safety.rows(safety.log().first().snapshot_id, "a")) == [("y", 1), ("y", 2)]
+    again = Repository(spark, f"{tmp_path}/again", "t")
+    row = again.create(Database(spark, target.path, only=["a"]), now=T0)
+    assert row.collections["a"].key == ["v", "k"] and [i.asDict() for i in row.collections["a"].indexes] == index
+
+
+def test_unchanged_rows_are_not_stored_again(spark, tmp_path, repo):
+    db = write(spark, tmp_path / "db", a=AB)
+    repo.create(db, now=T0, snapshot_id="s1")
+    assert repo.create(db, now=T0, snapshot_id="s2").new_objects == 0
+    assert repo.store.objects().count() == 2 and repo.diff("s1", "s2").isEmpty()
+
+
 def test_history(spark):
     own = spark.createDataFrame([(f"s{i}", i, "d", ["t"] if i == 1 else [], T0 + timedelta(hours=9 - i if i == 3 else i)) for i in (2, 3, 1)], "snapshot_id string, seq long, database string, tags array<string>, created_at timestamp")
     assert history.latest(own).first().snapshot_id == "s3"
@@ -175,6 +225,10 @@ def test_collections(spark, tmp_path):
     db.create("b", "k int, v string")
     stats = {r.collection: (r.doc_count, r.storage_size > 0) for r in db.stats().collect()}
     assert stats == {"a": (2, True), "b": (0, True)}
+    (tmp_path / "db/broken.parquet").write_text("no table")
+    assert [(r.collection, r.doc_count, r.storage_size > 0) for r in db.stats().collect()] == [("a", 2, True), ("b", 0, True), ("broken", 0, False)]
+    (tmp_path / "db/broken.parquet").unlink()
+    assert Database(spark, f"{tmp_path}/nothing").stats().count() == 0
     db.drop("a")
     assert db.names() == ["b"]
     with pytest.raises(NotFound):
