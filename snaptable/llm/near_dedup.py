@@ -214,7 +214,7 @@ def linked(scratch: Scratch, docs: DataFrame, k: int = K, t: int = T, rounds: in
 def _sets_of(scratch: Scratch, docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
     """rep, n, shingles of classes(print, rep, low, n): one set each, from the texts of its smallest doc_id."""
     text = docs.select(F.col("doc_id").cast("long").alias("low"), "text").join(classes.select("low").distinct(), "low", "left_semi")
-    return scratch.table(full_sets(text, size), "sets").join(classes.select("print", "rep", "n"), "print").select("rep", "n", "shingles").dropDuplicates(["rep"])
+    return scratch.table(full_sets(text, size).join(classes.select("print", "rep", "n"), "print").dropDuplicates(["print"]).select("rep", "n", "shingles"), "sets")
 
 
 def _sketch_links(scratch: Scratch, docs: DataFrame, classes: DataFrame, k: int, t: int, rounds: int, size: int) -> DataFrame | None:
@@ -222,15 +222,16 @@ def _sketch_links(scratch: Scratch, docs: DataFrame, classes: DataFrame, k: int,
     values = classes.select("rep", "n", F.size("sketch").alias("size"), F.explode("sketch").alias("value"))
     needed = F.least(F.lit(t), F.ceil(F.col("size") * PERCENT / 100)).cast("int")
     lists = scratch.table(_prefix_lists(scratch, values, needed, "often"), "prefixes")
-    reach = lists.groupBy("rep").agg(F.sum("often").alias("reach"))
+    longest = scratch.table(lists.groupBy("value").agg(F.count(F.lit(1)).alias("members")), "list-sizes")
+    reach = lists.join(longest, "value").groupBy("rep").agg(F.sum("members").alias("reach")).join(classes.select("rep", "low"), "rep")
     lists = scratch.table(_in_several(lists.join(reach, "rep"), None), "lists")
     sets = _sets_of(scratch, docs, classes.join(lists.select("rep").distinct(), "rep", "left_semi"), size)
 
     comps = None
     for number in range(rounds):
         # First those in the longest lists, as an original is among its copies, then the smallest, then any.
-        order = -F.col("reach") if number == 0 else F.lit(0).cast("long") if number == 1 else F.xxhash64("rep", F.lit(number))
-        pivot = scratch.table(lists.groupBy("value").agg(F.min_by(F.struct("rep", "n", "comp"), F.struct(order, "rep")).alias("p")), f"pivots-{number}")
+        order = -F.col("reach") if number == 0 else F.lit(0).cast("long") if number == 1 else F.xxhash64("low", F.lit(number))
+        pivot = scratch.table(lists.groupBy("value").agg(F.min_by(F.struct("rep", "n", "comp"), F.struct(order, "low", "rep")).alias("p")), f"pivots-{number}")
         pairs = lists.join(pivot, "value").filter((F.col("comp") != F.col("p.comp")) & (100 * F.least("n", "p.n") >= PERCENT * F.greatest("n", "p.n")))
         pairs = pairs.groupBy(F.col("rep").alias("a"), F.col("p.rep").alias("b")).count()
         pairs = pairs.groupBy("a").agg(F.max_by("b", F.struct("count", -F.col("b"))).alias("b"))
