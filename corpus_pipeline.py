@@ -1,7 +1,13 @@
 """The corpus pipeline: toxicity filter, near-duplicate removal, source mixing, best-fit packing.
 
-Every stage is (spark, docs, sf_dir) -> DataFrame; all but the last return documents' own columns. Each
-stage's result is written as Parquet and read again as the next one's input.
+Every stage is (spark, docs, sf_dir) -> DataFrame; all but the last return documents' own columns, whatever
+they are called, and drop or keep rows without changing them. Each stage's result is written as Parquet and
+read again as the next one's input.
+
+Rows with a null doc_id go through: they are scored, have no near copies, and are drawn like doc_id 0. A null
+text is an empty one: never toxic by its words, no near copy of anything, kept by mixing, one end token in
+packing. Texts of any length count whole; rows that repeat a doc_id are judged each, and removed together by
+near_dedup. Ties are told by doc_id. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -46,7 +52,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", packing),
 ]
 
-#: SQL expresses neither the fitted machine nor the tokenizer; tests hold the stages against plain versions.
+#: SQL expresses neither the fitted machine nor the tokenizer; tests/llm/test_pipeline.py holds every stage and the
+#: whole against plain versions.
 ORACLE_SQL: str | None = None
 
 
