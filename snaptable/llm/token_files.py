@@ -107,12 +107,15 @@ class SequenceFile:
         return np.concatenate(parts) if parts else np.zeros(0, np.uint32)
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int, length: int = 2048, rows: int = 32, cut=cut_words) -> DataFrame:
+def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int, length: int = 2048, rows: int = 32, cut=cut_words, shard_bytes: int = 32 << 20) -> DataFrame:
     """Lazily write docs' shards under folder (a URI all executors reach); one MANIFEST row per shard.
 
-    Shards come from a range partitioning, so each task writes one bounded file and nothing passes
-    through the driver. A task that runs again writes under a new name; only names in the manifest count.
+    Shards come from a range partitioning into one for every shard_bytes of text, so each task writes one file
+    of about that much text and nothing passes through the driver. A task that runs again writes under a new
+    name; only names in the manifest count.
     """
+    # A row counts for its end token and place, too.
+    size = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 32)).first()[0] or 0
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, own = TaskContext.get().partitionId(), uuid.uuid4().hex[:8]
@@ -140,7 +143,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
             )
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
-    ordered = ordered.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
+    ordered = ordered.repartitionByRange(-(-size // shard_bytes) or 1, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
     return ordered.mapInArrow(tidied(write), MANIFEST)
 
 
