@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import uuid
 from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -66,16 +67,14 @@ class Store:
         return self.objects().select("hash")
 
     def _write(self, objects: DataFrame, generations: dict[str, int], batch: str) -> None:
-        """objects as one batch of these generations, sorted by hash, a file a prefix at least; written again, it is replaced."""
-        for p, g in generations.items():
-            files.delete(self.spark, f"{self.path}/objects/p={p}/g={g}/b={batch}")
+        """objects as one batch of these generations, sorted by hash, a file a prefix at least."""
         of = F.create_map(*[F.lit(x) for p, g in generations.items() for x in (p, str(g))])
         rows = objects.select("hash", "canonical", F.substring("hash", 1, 1).alias("p")).withColumn("g", of[F.col("p")]).withColumn("b", F.lit(batch))
         rows.repartitionByRange("hash").sortWithinPartitions("p", "hash").write.mode("append").partitionBy("p", "g", "b").parquet(f"{self.path}/objects")
 
     def put(self, encoded: DataFrame, batch: str) -> int:
         """Store the objects that are not there yet, once each; how many those were."""
-        now = self.current()
+        now, batch = self.current(), f"{batch}-{uuid.uuid4().hex[:8]}"  # a name met before may hold live objects
         self._write(new_objects(encoded, self.hashes()), {p: now[p] for p in PREFIXES}, batch)
         return self._read(f"{self.path}/objects", OBJECTS).filter(F.col("b") == batch).select("hash").count()
 
