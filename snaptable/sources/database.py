@@ -8,6 +8,7 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping, Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ from ..errors import NotFound
 from . import files
 
 _SUFFIXES = (".parquet", ".json", ".jsonl")
+#: What a damaged footer or file raises, by whether Spark wraps it.
+_UNREADABLE = (PySparkException, Py4JJavaError)
 
 
 class Database:
@@ -73,20 +76,26 @@ class Database:
         return {c: files.data_files(self.spark, p) for c, p in self.entries().items()}
 
     def stats(self) -> DataFrame:
-        """collection, doc_count, storage_size, sorted; zeros for a table that cannot be read."""
-        tables, sizes = {}, []
+        """collection, doc_count, storage_size, sorted; a table of which any file cannot be read counts none."""
+        tables, sizes = {}, {}
         for c, p in self.entries().items():
             try:
                 tables[c] = self.read(c)
-                sizes.append((c, sum(size for _, size, _ in files.data_files(self.spark, p))))
-            except PySparkException:  # no schema can be read; that must not hide the others
-                sizes.append((c, 0))
-        sized = self.spark.createDataFrame(sizes, "collection string, storage_size long")
-        if tables:
-            sized = sized.join(counts(tables), "collection", "left")
-        else:
-            sized = sized.withColumn("doc_count", F.lit(0))
-        return sized.select("collection", F.coalesce("doc_count", F.lit(0)).cast("long").alias("doc_count"), "storage_size").orderBy("collection")
+                sizes[c] = sum(size for _, size, _ in files.data_files(self.spark, p))
+            except _UNREADABLE:  # no schema can be read; that must not hide the others
+                sizes[c] = 0
+        return self.spark.createDataFrame([(c, n, sizes[c]) for c, n in self._counted(tables).items()] + [(c, 0, 0) for c in sizes if c not in tables], "collection string, doc_count long, storage_size long").orderBy("collection")
+
+    def _counted(self, tables: Mapping[str, DataFrame]) -> dict[str, int]:
+        """Rows of each table, in one job; if that fails, a job a table, and 0 for those that fail."""
+        if not tables:
+            return {}
+        try:
+            return {r["collection"]: r["doc_count"] for r in counts(tables).collect()}
+        except _UNREADABLE:
+            if len(tables) == 1:
+                return dict.fromkeys(tables, 0)
+            return {c: n for t in tables for c, n in self._counted({t: tables[t]}).items()}
 
     def create(self, collection: str, schema: T.StructType | str) -> None:
         """An empty table of that schema."""

@@ -228,6 +228,10 @@ def test_collections(spark, tmp_path):
     (tmp_path / "db/broken.parquet").write_text("no table")
     assert [(r.collection, r.doc_count, r.storage_size > 0) for r in db.stats().collect()] == [("a", 2, True), ("b", 0, True), ("broken", 0, False)]
     (tmp_path / "db/broken.parquet").unlink()
+    spark.range(5).write.parquet(f"{tmp_path}/db/half.parquet")  # its schema can be read, one of its files not
+    sorted((tmp_path / "db/half.parquet").glob("part-*"))[-1].write_bytes(b"PAR1 cut off")
+    assert [tuple(r)[:2] for r in db.stats().collect()] == [("a", 2), ("b", 0), ("half", 0)]
+    db.drop("half")
     assert Database(spark, f"{tmp_path}/nothing").stats().count() == 0
     db.drop("a")
     assert db.names() == ["b"]
