@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from .chat import ORACLE as CHAT_SQL
 from .chat import rotation_rows
+from .divergence import ORACLE as DIVERGENCE_SQL
+from .divergence import audit
 from .jpeg import encode_media, media_digest
 from .mixing import ORACLE as MIXING_SQL
 from .mixing import mixed_rows
@@ -76,8 +78,12 @@ def op10_vp_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(Scratch(spark, "op10"), table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, factor=5.0)
 
 
+def op13_fp_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(Scratch(spark, "op13"), table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_files, op2_pitman_yor, op3_packing, op4_mixing, op5_toxicity, op6_chat_rotation, op7_progressive_jpeg, op8_token_counts, op9_near_dedup, op10_vp_search)
+    for f in (op1_token_files, op2_pitman_yor, op3_packing, op4_mixing, op5_toxicity, op6_chat_rotation, op7_progressive_jpeg, op8_token_counts, op9_near_dedup, op10_vp_search, op13_fp_divergence)
 }
-ORACLE_SQL: dict[str, str] = {"op4_mixing": MIXING_SQL, "op6_chat_rotation": CHAT_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_mixing": MIXING_SQL, "op6_chat_rotation": CHAT_SQL, "op13_fp_divergence": DIVERGENCE_SQL}
