@@ -19,6 +19,8 @@ from .packing import pack
 from .pieces import token_pieces
 from .pitman_yor import score_rows
 from .scratch import Scratch
+from .slice_codes import ORACLE as CODES_SQL
+from .slice_codes import compress
 from .token_counts import count_tokens
 from .token_files import read_documents, write_token_files
 from .toxicity import toxicity_rows
@@ -78,12 +80,16 @@ def op10_vp_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(Scratch(spark, "op10"), table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, factor=5.0)
 
 
+def op11_slice_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress(Scratch(spark, "op11"), table(spark, sf_dir, "embeddings"))
+
+
 def op13_fp_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(Scratch(spark, "op13"), table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_files, op2_pitman_yor, op3_packing, op4_mixing, op5_toxicity, op6_chat_rotation, op7_progressive_jpeg, op8_token_counts, op9_near_dedup, op10_vp_search, op13_fp_divergence)
+    for f in (op1_token_files, op2_pitman_yor, op3_packing, op4_mixing, op5_toxicity, op6_chat_rotation, op7_progressive_jpeg, op8_token_counts, op9_near_dedup, op10_vp_search, op11_slice_codes, op13_fp_divergence)
 }
-ORACLE_SQL: dict[str, str] = {"op4_mixing": MIXING_SQL, "op6_chat_rotation": CHAT_SQL, "op13_fp_divergence": DIVERGENCE_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_mixing": MIXING_SQL, "op6_chat_rotation": CHAT_SQL, "op11_slice_codes": CODES_SQL, "op13_fp_divergence": DIVERGENCE_SQL}
