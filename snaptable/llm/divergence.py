@@ -19,18 +19,20 @@ language, and so may be the blocks of sources that meet each source there. Nothi
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .encode import batch_blocks
 from .scratch import Scratch, tidied
 
-TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
-_LOWER = {c: c + 32 for c in range(65, 91)}
+#: A term of a lower-cased text in UTF-8: letters and all beyond ASCII.
+TERM = re.compile(rb"[a-z\x80-\xff]+")
 #: Documents of a language that a kept term is in, at least; ranks of terms that are returned.
 LEAST, TOP = 10, 10
 SCALE = 1_000_000_000
@@ -58,23 +60,20 @@ def term_counts(docs: DataFrame) -> DataFrame:
     text, lang, source = (F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[tuple[str, str], dict[str, list[int]]] = {}
+        found: dict[tuple[str, str], dict[bytes, list[int]]] = {}
         size = 0
 
         def sent() -> Iterator[pa.RecordBatch]:
             for (own_lang, own_source), terms in found.items():
                 n = len(terms) + 1
-                columns = {"lang": pa.array([own_lang] * n), "source": pa.array([own_source] * n), "term": pa.array([None, *terms], pa.string())}
+                columns = {"lang": pa.array([own_lang] * n), "source": pa.array([own_source] * n), "term": pa.array([None, *(t.decode() for t in terms)], pa.string())}
                 yield pa.RecordBatch.from_pydict({**columns, "n": pa.array([0, *(x[0] for x in terms.values())], pa.int64()), "docs": pa.array([0, *(x[1] for x in terms.values())], pa.int64())})
 
         for batch in (x for b in batches for x in batch_blocks(b, rows=2_000)):
-            for words, *group in zip(*(batch.column(c).to_pylist() for c in ("text", "lang", "source")), strict=True):
+            for words, *group in zip(pc.cast(batch.column("text"), pa.binary()).to_pylist(), *(batch.column(c).to_pylist() for c in ("lang", "source")), strict=True):
                 own = found.setdefault((group[0], group[1]), {})
                 size -= len(own)
-                in_text: dict[str, int] = {}
-                for w in TERM.findall(words.translate(_LOWER) if not words.isascii() else words.lower()):
-                    in_text[w] = in_text.get(w, 0) + 1
-                for w, n in in_text.items():
+                for w, n in Counter(TERM.findall(words.lower())).items():
                     if entry := own.get(w):
                         entry[0] += n
                         entry[1] += 1

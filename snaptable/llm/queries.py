@@ -12,6 +12,7 @@ from .chat import rotation_rows
 from .divergence import ORACLE as DIVERGENCE_SQL
 from .divergence import audit
 from .jpeg import encode_media, media_digest
+from .licenses import license_digest, scan_licenses
 from .mixing import ORACLE as MIXING_SQL
 from .mixing import mixed_rows
 from .near_dedup import linked
@@ -84,12 +85,16 @@ def op11_slice_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compress(Scratch(spark, "op11"), table(spark, sf_dir, "embeddings"))
 
 
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_digest(scan_licenses(table(spark, sf_dir, "documents")))
+
+
 def op13_fp_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(Scratch(spark, "op13"), table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_files, op2_pitman_yor, op3_packing, op4_mixing, op5_toxicity, op6_chat_rotation, op7_progressive_jpeg, op8_token_counts, op9_near_dedup, op10_vp_search, op11_slice_codes, op13_fp_divergence)
+    for f in (op1_token_files, op2_pitman_yor, op3_packing, op4_mixing, op5_toxicity, op6_chat_rotation, op7_progressive_jpeg, op8_token_counts, op9_near_dedup, op10_vp_search, op11_slice_codes, op12_license_scan, op13_fp_divergence)
 }
 ORACLE_SQL: dict[str, str] = {"op4_mixing": MIXING_SQL, "op6_chat_rotation": CHAT_SQL, "op11_slice_codes": CODES_SQL, "op13_fp_divergence": DIVERGENCE_SQL}
