@@ -2,8 +2,8 @@
 
 A language keeps the terms of at least `least` of its documents. A kept term is a row: its nonzero counts by
 source, sources in order of their totals. Rows are inserted into a tree whose nodes are (source, count), so
-rows that begin alike share a path and only add to its multiplicities. With a source's rate p0 of a term that it lacks,
-a pair's sum over all V terms is
+rows that begin alike share a path and only add to its multiplicities. With a source's rate p0 of a term that it
+lacks, a pair's sum over all V terms is
 
     V * f(p0, q0)                                     as if both lacked every term
     + sum of f(p, q0) - f(p0, q0) over p's terms      and the same for q's
@@ -12,8 +12,8 @@ a pair's sum over all V terms is
 and the last sum is taken once for each node and ancestor of it, times the node's multiplicity. Sums are of
 integers, so a tree can be cut anywhere: each task builds trees of the range of rows it holds.
 
-A source's rates need one row a source, a term's row one entry a source; what is returned for pairs is quadratic in the sources of a
-language, and so may be the blocks of sources that meet each source there. Nothing else is.
+A term's row has an entry a source at most. What is returned for pairs is quadratic in the sources of a language,
+and each source meets the others of its language in blocks for that; nothing else is quadratic.
 """
 
 from __future__ import annotations
@@ -37,7 +37,9 @@ TERM = re.compile(rb"[a-z\x80-\xff]+")
 LEAST, TOP = 10, 10
 SCALE = 1_000_000_000
 #: Entries of a task's counts, nodes of a task's tree, and pairs of sources held before they are sent on.
-ENTRIES, NODES, HELD = 150_000, 200_000, 500_000
+ENTRIES, NODES, HELD = 400_000, 200_000, 500_000
+#: An entry is occurrences + documents * DOCUMENT.
+DOCUMENT = 1 << 40
 #: Sources of a block, about.
 BLOCK = 512
 
@@ -60,25 +62,21 @@ def term_counts(docs: DataFrame) -> DataFrame:
     text, lang, source = (F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[tuple[str, str], dict[bytes, list[int]]] = {}
+        found: dict[tuple[str, str], dict[bytes, int]] = {}
         size = 0
 
         def sent() -> Iterator[pa.RecordBatch]:
             for (own_lang, own_source), terms in found.items():
-                n = len(terms) + 1
-                columns = {"lang": pa.array([own_lang] * n), "source": pa.array([own_source] * n), "term": pa.array([None, *(t.decode() for t in terms)], pa.string())}
-                yield pa.RecordBatch.from_pydict({**columns, "n": pa.array([0, *(x[0] for x in terms.values())], pa.int64()), "docs": pa.array([0, *(x[1] for x in terms.values())], pa.int64())})
+                n, entries = len(terms) + 1, np.array([0, *terms.values()], np.int64)
+                columns = {"lang": pa.array([own_lang] * n), "source": pa.array([own_source] * n), "term": pa.array([None, *terms], pa.binary()).cast(pa.string())}
+                yield pa.RecordBatch.from_pydict({**columns, "n": pa.array(entries % DOCUMENT), "docs": pa.array(entries // DOCUMENT)})
 
         for batch in (x for b in batches for x in batch_blocks(b, rows=2_000)):
             for words, *group in zip(pc.cast(batch.column("text"), pa.binary()).to_pylist(), *(batch.column(c).to_pylist() for c in ("lang", "source")), strict=True):
                 own = found.setdefault((group[0], group[1]), {})
                 size -= len(own)
                 for w, n in Counter(TERM.findall(words.lower())).items():
-                    if entry := own.get(w):
-                        entry[0] += n
-                        entry[1] += 1
-                    else:
-                        own[w] = [n, 1]
+                    own[w] = own.get(w, 0) + n + DOCUMENT
                 size += len(own)
                 if size > ENTRIES:
                     yield from sent()
@@ -148,13 +146,16 @@ def _both_corrections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             held.clear()
 
     for batch in batches:
-        for own, items, times in zip(batch.column("lang").to_pylist(), batch.column("items").to_pylist(), batch.column("times").to_pylist(), strict=True):
+        sources, p, p0 = (batch.column("items").flatten().field(c).to_pylist() for c in ("source", "p", "p0"))
+        start = 0
+        for own, size, times in zip(batch.column("lang").to_pylist(), batch.column("items").value_lengths().to_pylist(), batch.column("times").to_pylist(), strict=True):
             if own != lang or len(tree.parent) > NODES:
                 summed()
                 lang, tree = own, Tree()
                 if len(held) > HELD:
                     yield from sent()
-            tree.insert([(x["source"], x["p"], x["p0"]) for x in items], times)
+            row, start = slice(start, start + size), start + size
+            tree.insert(list(zip(sources[row], p[row], p0[row], strict=True)), times)
     summed()
     yield from sent()
 
