@@ -17,5 +17,13 @@ class MissingObjects(SnaptableError):
     """Stored rows that a snapshot refers to are gone."""
 
 
+class Conflict(SnaptableError):
+    """Another writer has committed since; nothing was changed."""
+
+
+class Damaged(SnaptableError):
+    """A copy is not what was written."""
+
+
 class BadRequest(SnaptableError, ValueError):
     """An argument that has no meaning."""

@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..errors import KeyProblem
+from ..functions.json_text import encoded_documents
 from .checks import require_unique, rows_without_key
 
 
@@ -48,3 +50,9 @@ def delete(table: DataFrame, keys: DataFrame, key: Sequence[str]) -> DataFrame:
     _checked(keys, key)
     _matched_all(table, keys, key)
     return table.join(keys.select(*key), list(key), "left_anti").select(*table.columns)
+
+
+def keyed_documents(documents: DataFrame, key: Sequence[str]) -> DataFrame:
+    """document and id, its key text: JSON documents as the functions above take them, with the key ["id"]."""
+    found = encoded_documents(documents.select("document", F.col("document").alias("line")), key)
+    return found.select(F.col("line").alias("document"), "id")

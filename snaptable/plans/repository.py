@@ -11,28 +11,26 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..errors import BadRequest, NotFound
-from ..functions.canon import decoded, encoded
+from ..errors import BadRequest, MissingObjects, NotFound
+from ..functions.canon import decoded
+from ..functions.json_text import plain_document
 from ..operators import checks, diff, history, mutate
 from ..sources import files
-from ..sources.database import Database
-from ..sources.store import SNAPSHOTS, Store
+from ..sources.database import Database, write
+from ..sources.store import SNAPSHOTS, State, Store
 
-ROWS = "collection string, id string, hash string, canonical string"
-REFS = "collection string, id string, hash string"
+ROWS = "collection string, id string, hash string, canonical string, file string"
+REFS = "collection string, id string, hash string, file string"
+Pinned = Mapping[str, list[tuple[str, int, int]]]
 
 
-def tables(db: Database, pinned: Mapping[str, list[tuple[str, int, int]]] | None = None) -> dict[str, DataFrame]:
-    """Every table, or exactly the pinned files of it; one without files is read for its schema."""
-    return {name: db.read(name, [p for p, *_ in pinned[name]] if pinned and pinned.get(name) else None) for name in pinned or db.names()}
-
-
-def scanned(db: Database, pinned: Mapping[str, list[tuple[str, int, int]]] | None = None) -> DataFrame:
-    """collection, id, hash, canonical of every row of every table: one frame, one job."""
+def scanned(db: Database, pinned: Pinned | None = None, only: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    """collection, id, hash, canonical, file of every row of every table, or exactly of the pinned files, or only of some
+    files: one frame, one job. A table without files is read for its schema."""
     out = db.spark.createDataFrame([], ROWS)
-    for name, df in tables(db, pinned).items():
-        own = encoded(df, db.key(name, df)).select(F.lit(name).alias("collection"), "id", "hash", "canonical")
-        out = out.unionByName(own)
+    for name in only if only is not None else pinned or db.names():
+        own = only[name] if only is not None else [p for p, *_ in pinned[name]] if pinned else None
+        out = out.unionByName(db.encoded(name, own or None).select(F.lit(name).alias("collection"), "id", "hash", "canonical", "file"))
     return out
 
 
@@ -50,34 +48,68 @@ class Repository:
     # --- create
 
     def create(self, db: Database, message: str = "", *, now: datetime | None = None, snapshot_id: str | None = None, indexes: Mapping[str, Sequence[Mapping]] | None = None) -> Row:
-        """Take a snapshot of the files that are there now. Keys and hashes of all rows are staged; only rows whose
-        hash is new are read again for their texts, by the same files. Indexes default to the declared ones."""
+        """Take a snapshot of the files that are there now. Indexes default to the declared ones.
+
+        Keys, hashes and files of all rows are staged. Of the hashes that are not stored, one row each is chosen, and
+        only the files that hold such rows are read again for their texts; the first snapshot reads all. Where another
+        writer commits in between, what it stored or deleted is taken into account before this snapshot is committed.
+        """
         now, snapshot_id = now or datetime.now(UTC).replace(tzinfo=None), snapshot_id or uuid.uuid4().hex
-        history_ = self.store.snapshots()
-        if not history_.filter(F.col("snapshot_id") == snapshot_id).isEmpty():
-            raise BadRequest(f"snapshot {snapshot_id} is there already")
-        pinned, staging = db.pin(), f"{self.store.path}/_staging-{snapshot_id}"
-        scanned(db, pinned).select("collection", "id", "hash").write.mode("overwrite").parquet(f"{staging}/refs")
+        self._require_new(snapshot_id, self.store.state())
+        pinned, staging = db.pin(), f"{self.store.path}/_staging-{uuid.uuid4().hex[:12]}"
+        scanned(db, pinned).select("collection", "id", "hash", "file").write.parquet(f"{staging}/refs")
         rows = self.spark.read.schema(REFS).parquet(f"{staging}/refs")
         checks.require_unique(rows, ["collection", "id"], "the database")
-        rows.select("hash").distinct().join(self.store.hashes(), "hash", "left_anti").write.mode("overwrite").parquet(f"{staging}/new")
-        hashes = self.spark.read.schema("hash string").parquet(f"{staging}/new")
-        new = 0 if hashes.isEmpty() else self.store.put(scanned(db, pinned).select("hash", "canonical").join(hashes, "hash", "left_semi"), snapshot_id)
-        self.store.write_refs(snapshot_id, rows)
         counted = {r["collection"]: r["n"] for r in rows.groupBy("collection").agg(F.count(F.lit(1)).alias("n")).collect()}
-        collections = {}
-        declared = db.declared()
-        for name, df in tables(db, pinned).items():
+        declared, collections = db.declared(), {}
+        for name in pinned:
             given = (indexes or {}).get(name, declared.get(name, {}).get("indexes", []))
             own = [(i["name"], list(i["columns"]), i.get("options") or None) for i in given]
-            collections[name] = (counted.get(name, 0), df.schema.json(), db.key(name, df), own)
-        last = history.latest(history_).collect()
-        seq = (history_.agg(F.max("seq")).first()[0] or 0) + 1
-        row = (snapshot_id, seq, self.store.database, message, [], now, last[0]["snapshot_id"] if last else None, sum(counted.values()), new, db.pin() == pinned, collections)
-        self.store.commit(history_.unionByName(self.spark.createDataFrame([row], SNAPSHOTS)))
-        files.delete(self.spark, staging)
+            collections[name] = (counted.get(name, 0), db.schema_json(name, [p for p, *_ in pinned[name]] or None), db.key(name), own)
+        self.store.write_refs(snapshot_id, rows)
+        staged: dict = {}
+
+        def step(base: State) -> None:
+            self._require_new(snapshot_id, base)
+            if staged.get("for") != (base.objects, base.dead):
+                self.store.unstage(staged.get("batch", {}))
+                staged.update({"batch": self._new_batch(db, pinned, rows, base, f"{staging}/new-{base.number}", snapshot_id), "for": (base.objects, base.dead)})
+            old = self.store.snapshots(base)
+            last = history.latest(old).collect()
+            seq = (old.agg(F.max("seq")).first()[0] or 0) + 1
+            row = (snapshot_id, seq, self.store.database, message, [], now, last[0]["snapshot_id"] if last else None, sum(counted.values()), sum(staged["batch"].values()), db.pin() == pinned, collections)
+            objects = self.store.tidied(base, {**base.objects, **staged["batch"]}, base.dead)
+            self.store.commit(base, old.unionByName(self.spark.createDataFrame([row], SNAPSHOTS)), **objects)
+
+        try:
+            self.store.retried(step)
+        except Exception:
+            self.store.unstage(staged.get("batch", {}))
+            raise
+        finally:
+            files.delete(self.spark, staging)
         return self.get(snapshot_id)
 
+    def _require_new(self, snapshot_id: str, base: State) -> None:
+        if not self.store.snapshots(base).filter(F.col("snapshot_id") == snapshot_id).isEmpty():
+            raise BadRequest(f"snapshot {snapshot_id} is there already")
+
+    def _new_batch(self, db: Database, pinned: Pinned, rows: DataFrame, base: State, staging: str, snapshot_id: str) -> dict[str, int]:
+        """Stage the objects of rows(collection, id, hash, file) that are not stored."""
+        if not base.objects:
+            return self.store.stage(scanned(db, pinned).dropDuplicates(["hash"]), snapshot_id)
+        new = rows.join(self.store.hashes(base), "hash", "left_anti").groupBy("hash").agg(F.min(F.struct("collection", "file")).alias("at"))
+        new.select("hash", "at.collection", "at.file").write.parquet(staging)
+        new = self.spark.read.schema("hash string, collection string, file string").parquet(staging)
+        only: dict[str, list[str]] = {}
+        paths = {c: {files.uri(self.spark, p): p for p, *_ in own} for c, own in pinned.items()}
+        for r in new.select("collection", "file").distinct().collect():  # files, which pinned holds too
+            only.setdefault(r["collection"], []).append(paths[r["collection"]].get(r["file"], r["file"]))
+        if not only:
+            return {}
+        texts = scanned(db, only={c: sorted(own) for c, own in only.items()}).join(new, ["hash", "collection", "file"], "left_semi")
+        return self.store.stage(texts.dropDuplicates(["hash"]), snapshot_id)
+
     # --- history
 
     def log(self, order: str = "desc") -> DataFrame:
@@ -93,17 +125,20 @@ class Repository:
             raise BadRequest("a tag cannot be empty")
         own = self.get(text)["snapshot_id"]
         changed = F.when(F.col("snapshot_id") == own, tag_append(F.col("tags"), F.lit(tag))).otherwise(F.col("tags"))
-        self.store.commit(self.store.snapshots().withColumn("tags", changed))
+        self.store.retried(lambda base: self.store.commit(base, self.store.snapshots(base).withColumn("tags", changed)))
         return self.get(own)
 
     # --- diff
 
     def diff(self, old: str, new: str | None = None, live: Database | None = None) -> DataFrame:
-        """Changes from one snapshot to another, or to the database as it is."""
-        a = self.store.refs(self.get(old)["snapshot_id"])
+        """Changes from one snapshot to another, or to the database as it is. Of two snapshots, only ranges of keys
+        whose digests differ are read."""
         if (new is None) == (live is None):
             raise BadRequest("compare with a snapshot or with a live database")
-        return diff.diff(a, live_refs(live) if live is not None else self.store.refs(self.get(new)["snapshot_id"]))
+        a = self.get(old)["snapshot_id"]
+        if live is not None:
+            return diff.diff(self.store.refs(a), live_refs(live))
+        return diff.diff(*self.store.differing(a, self.get(new)["snapshot_id"]))
 
     def diff_content(self, old: str, new: str) -> DataFrame:
         return diff.content(self.diff(old, new), self.store.objects())
@@ -111,13 +146,12 @@ class Repository:
     # --- restore
 
     def rows(self, text: str, collection: str) -> DataFrame:
-        """A collection as it was, typed."""
+        """A collection as it was: typed rows, or the column document."""
         snapshot = self.get(text)
         if collection not in snapshot["collections"]:
             raise NotFound(f"no collection {collection} in snapshot {snapshot['snapshot_id']}")
         refs = self.store.refs(snapshot["snapshot_id"]).filter(F.col("collection") == collection)
-        schema = T.StructType.fromJson(json.loads(snapshot["collections"][collection]["schema_json"]))
-        return decoded(refs.select("hash").join(self.store.objects(), "hash"), schema)
+        return typed(refs.select("hash").join(self.store.objects(), "hash"), snapshot["collections"][collection]["schema_json"])
 
     def restore(self, text: str, target: Database, collection: str | None = None, mode: str = "insert", safety: Repository | None = None, now: datetime | None = None) -> DataFrame:
         """Write a snapshot's collections, or one, into target; collection, docs written.
@@ -133,53 +167,82 @@ class Repository:
         names = [collection] if collection else sorted(snapshot["collections"])
         if collection and collection not in snapshot["collections"]:
             raise NotFound(f"no collection {collection} in snapshot {snapshot['snapshot_id']}")
-        refs = self.store.refs(snapshot["snapshot_id"]).filter(F.col("collection").isin(*names))
-        checks.require_complete(refs, self.store.objects())
-        there = target.names()
-        if mode == "drop" and there:
-            replaced = [n for n in names if n in there]
-            keys = {n: list(snapshot["collections"][n]["key"]) for n in replaced} | {n: d["key"] for n, d in target.declared().items()} | target.keys
-            own = Database(self.spark, target.path, {n: k for n, k in keys.items() if n in replaced and set(k) <= set(target.read(n).columns)}, replaced)
-            (safety or Repository(self.spark, self.root, target.path)).create(own, f"before restore of {snapshot['snapshot_id']}", now=now)
-        staging, there_at = f"{target.path}/_restore-{uuid.uuid4().hex[:8]}", target.entries()
-        for name in names:
-            own, key = self.rows(snapshot["snapshot_id"], name), list(snapshot["collections"][name]["key"])
-            if mode != "drop" and name in there:
-                own = mutate.insert(target.read(name), own, key) if mode == "insert" else mutate.upsert(target.read(name), own, key)
-            own.write.parquet(f"{staging}/{name}")
-            for index in snapshot["collections"][name]["indexes"] or []:
-                options = index["options"] or {}
-                if options.get("unique") == "true":
-                    written = self.spark.read.schema(own.schema).parquet(f"{staging}/{name}")
-                    if not checks.unique_violations(written, index["columns"], options.get("sparse") == "true").limit(1).isEmpty():
-                        files.delete(self.spark, staging)
-                        raise BadRequest(f"unique index {index['name']} of {name} would be violated")
-        docs = refs.groupBy("collection").agg(F.count(F.lit(1)).alias("docs"))
-        docs = self.spark.createDataFrame([(n,) for n in names], "collection string").join(docs, "collection", "left")
-        docs = [tuple(r) for r in docs.select("collection", F.coalesce("docs", F.lit(0))).collect()]
-        for name in names:
-            target.put(name, f"{staging}/{name}", there_at.get(name))
-            about = snapshot["collections"][name]
-            target.declare(name, about["key"], [{"name": i["name"], "columns": list(i["columns"]), "options": i["options"]} for i in about["indexes"] or []])
-        files.delete(self.spark, staging)
+        there, there_at = target.names(), target.entries()
+        staging = f"{target.path}/_restore-{uuid.uuid4().hex[:8]}"
+        try:
+            texts = self._texts(snapshot, names, f"{staging}/texts")
+            if mode == "drop" and there:
+                replaced = [n for n in names if n in there]
+                keys = {n: list(snapshot["collections"][n]["key"]) for n in replaced} | {n: d["key"] for n, d in target.declared().items()} | target.keys
+                own = Database(self.spark, target.path, {n: k for n, k in keys.items() if n in replaced and (target.is_json(n) or set(k) <= set(target.read(n).columns))}, replaced)
+                (safety or Repository(self.spark, self.root, target.path)).create(own, f"before restore of {snapshot['snapshot_id']}", now=now)
+            for name in names:
+                about = snapshot["collections"][name]
+                schema, key = about["schema_json"], list(about["key"])
+                own = typed(texts.filter(F.col("collection") == name), schema)
+                if mode != "drop" and name in there:
+                    if target.is_json(name) != (schema == ""):
+                        raise BadRequest(f"{name} is of JSON documents on one side only")
+                    merge = mutate.insert if mode == "insert" else mutate.upsert
+                    if schema == "":
+                        keyed = [mutate.keyed_documents(d, key) for d in (target.documents(name), own)]
+                        own = merge(*keyed, ["id"]).select("document")
+                    else:
+                        own = merge(target.read(name), own, key)
+                write(own, f"{staging}/tables/{name}", schema)
+                for index in about["indexes"] or []:
+                    options = index["options"] or {}
+                    if options.get("unique") == "true" and schema:
+                        written = self.spark.read.schema(own.schema).parquet(f"{staging}/tables/{name}")
+                        if not checks.unique_violations(written, index["columns"], options.get("sparse") == "true").limit(1).isEmpty():
+                            raise BadRequest(f"unique index {index['name']} of {name} would be violated")
+            docs = texts.groupBy("collection").agg(F.count(F.lit(1)).alias("docs"))
+            docs = self.spark.createDataFrame([(n,) for n in names], "collection string").join(docs, "collection", "left")
+            docs = [tuple(r) for r in docs.select("collection", F.coalesce("docs", F.lit(0))).collect()]
+            for name in names:
+                about = snapshot["collections"][name]
+                target.put(name, f"{staging}/tables/{name}", there_at.get(name), about["schema_json"])
+                target.declare(name, about["key"], [{"name": i["name"], "columns": list(i["columns"]), "options": i["options"]} for i in about["indexes"] or []])
+        finally:
+            files.delete(self.spark, staging)
         return self.spark.createDataFrame(docs, "collection string, docs long")
 
+    def _texts(self, snapshot: Row, names: Sequence[str], path: str) -> DataFrame:
+        """collection, canonical of the snapshot's rows in these collections, written by collection: one join of its refs
+        with the objects, however many collections there are. Rows that are not stored are an error."""
+        refs = self.store.refs(snapshot["snapshot_id"]).filter(F.col("collection").isin(*names))
+        refs.join(self.store.objects(), "hash", "left").select("collection", "id", "canonical").write.partitionBy("collection").parquet(path)
+        texts = self.spark.read.schema("id string, canonical string, collection string").parquet(path)
+        missing = texts.filter("canonical is null").select("id").limit(3).collect()
+        if missing:
+            raise MissingObjects(f"rows are not stored, among them {', '.join(r['id'] for r in missing)}")
+        return texts
+
     # --- garbage collection
 
     def gc(self, keep_last: int = history.KEEP) -> DataFrame:
-        """Prune snapshots neither tagged nor among the last; sweep what only they referred to. One row of counts.
-
-        What prefixes that lose objects keep becomes their new generation, live with the shorter history in one
-        swap; refs go after it, and generations that have not been live for a while.
-        """
-        snapshots = self.store.snapshots()
-        kept = history.kept(snapshots, keep_last)
-        gone = [r["snapshot_id"] for r in history.pruned(snapshots, kept).select("snapshot_id").collect()]
-        marked = history.referenced(self.store.refs(), kept)
-        generations, swept = self.store.without(history.unreferenced(self.store.hashes(), marked))
-        if gone or swept:
-            self.store.commit(kept if gone else None, generations)
+        """Prune snapshots neither tagged nor among the last; delete objects that only those referred to. One row of
+        counts. Refs go after the commit, and data that has not been live for a while."""
+
+        def step(base: State) -> tuple[list[str], int]:
+            snapshots = self.store.snapshots(base)
+            kept = history.kept(snapshots, keep_last)
+            ids = [r["snapshot_id"] for r in kept.select("snapshot_id").collect()]
+            gone = [r["snapshot_id"] for r in history.pruned(snapshots, kept).select("snapshot_id").collect()]
+            changed, swept = self.store.bury(base, self.store.refs(*ids) if ids else self.spark.createDataFrame([], "hash string"), others=True)
+            if gone or swept:
+                self.store.commit(base, kept if gone else None, **changed)
+            return gone, swept
+
+        gone, swept = self.store.retried(step)
         for snapshot_id in gone:
             self.store.delete_refs(snapshot_id)
         self.store.expire()
         return self.spark.createDataFrame([(len(gone), swept)], "snapshots_deleted long, objects_deleted long")
+
+
+def typed(texts: DataFrame, schema_json: str) -> DataFrame:
+    """Rows of a schema, or documents, from texts(canonical)."""
+    if not schema_json:
+        return texts.select(plain_document(F.col("canonical")).alias("document"))
+    return decoded(texts, T.StructType.fromJson(json.loads(schema_json)))

@@ -412,6 +412,58 @@ def refs_deleted(spark, sf_dir):
     return repository.store.refs().groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("refs"))
 
 
+# --- JSON documents, of which some have a field more, or null, and the rest are written with other white space
+
+LINE = "to_json({'_id': doc_id, 'text': text, 'lang': lang, 'n': {'chars': n_chars, 'half': n_chars / 2}})::VARCHAR"
+JSON_ID = """'{"_id":{"$numberInt":"' || doc_id || '"}}'"""
+
+
+def _document_lines(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Two states of documents as JSON lines."""
+    docs = read(spark, sf_dir, "documents")
+    line = F.to_json(F.struct(F.col("doc_id").alias("_id"), "text", "lang", F.struct(F.col("n_chars").alias("chars"), (F.col("n_chars") / 2).alias("half")).alias("n")), {"ignoreNullFields": "false"})
+    spaced = F.concat(F.lit("{ "), F.substring(line, F.lit(2), F.length(line)), F.lit(" "))
+    more = F.when(F.col("doc_id") % 10 == 0, ',"new":{"list":[1,true]}}').when(F.col("doc_id") % 10 == 5, ',"new":null}')
+    changed = F.when(F.col("doc_id") % 5 == 0, F.concat(F.substring(line, F.lit(1), F.length(line) - 1), more)).otherwise(spaced)
+    return docs.filter("doc_id % 7 <> 1").select(line.alias("value")), docs.filter("doc_id % 7 <> 0").select(changed.alias("value"))
+
+
+def _json_snapshots(spark, sf_dir) -> tuple[Repository, str]:
+    root = scratch(spark)
+    repository = Repository(spark, f"{root}/store", "db")
+    for n, state in enumerate(_document_lines(spark, sf_dir), 1):
+        state.write.text(f"{root}/db{n}/documents.json")
+        repository.create(Database(spark, f"{root}/db{n}"), now=NOW, snapshot_id=f"s{n}")
+    return repository, root
+
+
+@query(f"SELECT 'documents' AS collection, {JSON_ID} AS id, {CHANGE.format('doc_id')} AS change FROM documents WHERE {CHANGED.format('doc_id')}")
+def json_documents_diff(spark, sf_dir):
+    return _json_snapshots(spark, sf_dir)[0].diff("s1", "s2").select("collection", "id", "change")
+
+
+@query(f"SELECT {LINE} AS document FROM documents WHERE doc_id % 7 <> 1")
+def json_documents_restored(spark, sf_dir):
+    repository, root = _json_snapshots(spark, sf_dir)
+    target = Database(spark, f"{root}/restored")
+    repository.restore("s1", target)
+    return target.documents("documents")
+
+
+@query("SELECT 's1' AS snapshot_id, true AS same, CAST(count(*) FILTER (doc_id % 7 <> 1) AS BIGINT) AS doc_count FROM documents UNION ALL SELECT 's2', false, CAST(count(*) FILTER (doc_id % 7 <> 0) AS BIGINT) FROM documents")
+def json_upsert_makes_same(spark, sf_dir):
+    """s1 restored over s2's documents after those that s1 lacks were deleted: which snapshot the target then equals."""
+    repository, root = _json_snapshots(spark, sf_dir)
+    target = Database(spark, f"{root}/target")
+    repository.restore("s2", target)
+    keyed = mutate.keyed_documents(target.documents("documents"), ["_id"])
+    extra = repository.diff("s1", "s2").filter("change = 'added'").select("id")
+    target.replace("documents", mutate.delete(keyed, extra, ["id"]).select("document"), "")
+    repository.restore("s1", target, mode="upsert")
+    same = [(name, diff.is_empty(repository.diff(name, live=target))) for name in ("s1", "s2")]
+    return spark.createDataFrame(same, "snapshot_id string, same boolean").join(repository.log().select("snapshot_id", "doc_count"), "snapshot_id")
+
+
 # --- browsing and editing
 
 

@@ -1,6 +1,8 @@
-"""A database: a directory with one Parquet (or JSON-lines) table a collection.
+"""A database: a directory with one table a collection, of Parquet or of JSON lines.
 
-Keys and indexes may be declared in the file _declared.json beside the tables; restores write it.
+Keys and indexes may be declared in the file _declared.json beside the tables; restores write it. JSON
+documents have no schema: snapshots, restores and exports take them line by line, whatever their fields.
+read() gives them as a typed table for queries.
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import NotFound
+from ..functions.canon import canonical, content_hash, id_key
+from ..functions.json_text import encoded_documents
 from . import files
 
 _SUFFIXES = (".parquet", ".json", ".jsonl")
@@ -23,8 +27,8 @@ _UNREADABLE = (PySparkException, Py4JJavaError)
 
 
 class Database:
-    """Reads the tables under a directory. keys names each table's key columns; default: the declared ones, else
-    the first column."""
+    """Reads the tables under a directory. keys names each table's key columns, or paths in documents; default: the
+    declared ones, else the first column, or _id."""
 
     def __init__(self, spark: SparkSession, path: str, keys: Mapping[str, Sequence[str]] | None = None, only: Sequence[str] | None = None):
         self.spark, self.path, self.keys, self.only = spark, path.rstrip("/"), dict(keys or {}), only
@@ -51,6 +55,9 @@ class Database:
             raise NotFound(f"no collection {collection} in {self.path}")
         return found
 
+    def is_json(self, collection: str) -> bool:
+        return self.location(collection).endswith((".json", ".jsonl"))
+
     def read(self, collection: str, pinned: Sequence[str] | None = None) -> DataFrame:
         """The whole table, or exactly the pinned files of it."""
         path = self.location(collection)
@@ -59,9 +66,34 @@ class Database:
             return self.spark.read.json(path) if plain else self.spark.read.parquet(path)
         return self.spark.read.json(list(pinned)) if plain else self.spark.read.parquet(*pinned)
 
+    def documents(self, collection: str, pinned: Sequence[str] | None = None) -> DataFrame:
+        """The column document: each JSON document's line as it stands."""
+        lines = self.spark.read.text(list(pinned) if pinned else self.location(collection))
+        return lines.select(F.col("value").alias("document")).filter(F.trim("document") != "")
+
+    def rows(self, collection: str, pinned: Sequence[str] | None = None) -> DataFrame:
+        """What is counted and copied: documents of JSON, rows of Parquet."""
+        return self.documents(collection, pinned) if self.is_json(collection) else self.read(collection, pinned)
+
+    def encoded(self, collection: str, pinned: Sequence[str] | None = None) -> DataFrame:
+        """id, hash, canonical and file (where it lies) of every row or document."""
+        own = self.rows(collection, pinned)
+        if self.is_json(collection):
+            return encoded_documents(own.select("document", F.col("_metadata.file_path").alias("file")), self.key(collection))
+        # A table may have a column of its own that is called _metadata.
+        file = F.input_file_name() if "_metadata" in own.columns else F.col("_metadata.file_path")
+        own = own.select(id_key(own, self.key(collection, own)).alias("id"), canonical(own).alias("canonical"), file.alias("file"))
+        return own.select("id", content_hash(F.col("canonical")).alias("hash"), "canonical", "file")
+
+    def schema_json(self, collection: str, pinned: Sequence[str] | None = None) -> str:
+        """Of a table; empty for JSON documents."""
+        return "" if self.is_json(collection) else self.read(collection, pinned).schema.json()
+
     def key(self, collection: str, df: DataFrame | None = None) -> list[str]:
         own = self.keys.get(collection) or self.declared().get(collection, {}).get("key")
-        return list(own or [(df if df is not None else self.read(collection)).columns[0]])
+        if not own:
+            own = ["_id"] if self.is_json(collection) else [(df if df is not None else self.read(collection)).columns[0]]
+        return list(own)
 
     def declared(self) -> dict[str, dict]:
         """Collection -> {"key": columns, "indexes": [{"name", "columns", "options"}]}."""
@@ -80,7 +112,7 @@ class Database:
         tables, sizes = {}, {}
         for c, p in self.entries().items():
             try:
-                tables[c] = self.read(c)
+                tables[c] = self.rows(c)
                 sizes[c] = sum(size for _, size, _ in files.data_files(self.spark, p))
             except _UNREADABLE:  # no schema can be read; that must not hide the others
                 sizes[c] = 0
@@ -106,22 +138,31 @@ class Database:
     def drop(self, collection: str) -> None:
         files.delete(self.spark, self.location(collection))
 
-    def replace(self, collection: str, df: DataFrame) -> None:
-        """df becomes the table: written beside, then put in place, so df may read the table itself."""
+    def replace(self, collection: str, df: DataFrame, schema_json: str | None = None) -> None:
+        """df becomes the table: written beside, then put in place, so df may read the table itself. With an empty
+        schema_json, df(document) is lines of JSON."""
         old = self.entries().get(collection)
         staged = f"{self.path}/_staged-{collection}"
         files.delete(self.spark, staged)
-        df.write.parquet(staged)
-        self.put(collection, staged, old)
+        write(df, staged, schema_json)
+        self.put(collection, staged, old, schema_json)
 
-    def put(self, collection: str, staged: str, old: str | None = None) -> None:
+    def put(self, collection: str, staged: str, old: str | None = None, schema_json: str | None = None) -> None:
         """A written table becomes the collection's, in place of old."""
-        path = f"{self.path}/{collection}.parquet"
+        path = f"{self.path}/{collection}{'.json' if schema_json == '' else '.parquet'}"
         files.swap_in(self.spark, staged, path)
         if old and old != path:  # it had another suffix
             files.delete(self.spark, old)
 
 
+def write(df: DataFrame, path: str, schema_json: str | None = None) -> None:
+    """As Parquet; with an empty schema_json, df(document) as lines of text."""
+    if schema_json == "":
+        df.select("document").write.text(path)
+    else:
+        df.write.parquet(path)
+
+
 def counts(tables: Mapping[str, DataFrame]) -> DataFrame:
     """collection, doc_count of several tables, zero for empty ones, in one job."""
     parts = [df.agg(F.count(F.lit(1)).alias("doc_count")).select(F.lit(c).alias("collection"), "doc_count") for c, df in tables.items()]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -55,24 +58,24 @@ def swap_in(spark: SparkSession, staged: str, path: str) -> None:
     """staged takes the place of path, if anything is there. The old one is put aside, not deleted, until the new
     one stands; where a crash left it aside alone, put_back() brings it back."""
     put_back(spark, path)
-    aside = _aside(path)
+    old = aside(path)
     if exists(spark, path):
-        rename(spark, path, aside)
+        rename(spark, path, old)
     rename(spark, staged, path)
-    delete(spark, aside)
+    delete(spark, old)
 
 
 def put_back(spark: SparkSession, path: str) -> None:
     """Undo or finish a swap that a crash cut short."""
-    aside = _aside(path)
-    if exists(spark, aside):
+    old = aside(path)
+    if exists(spark, old):
         if exists(spark, path):
-            delete(spark, aside)
+            delete(spark, old)
         else:
-            rename(spark, aside, path)
+            rename(spark, old, path)
 
 
-def _aside(path: str) -> str:
+def aside(path: str) -> str:
     folder, _, name = path.rpartition("/")
     return f"{folder}/_aside-{name}"
 
@@ -88,6 +91,33 @@ def read_text(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
+def create_text(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a file that nobody has written yet, whole or not at all; whether it was this one. As exclusive as the file
+    system's rename to a path that must not exist."""
+    fs, tmp = _at(spark, f"{path.rpartition('/')[0]}/_{uuid.uuid4().hex}")
+    _, p = _at(spark, path)
+    stream = fs.create(tmp, False)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    jvm = spark.sparkContext._jvm
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        context.rename(fs.makeQualified(tmp), fs.makeQualified(p), options)
+    except Py4JJavaError:
+        fs.delete(tmp, False)
+        if not fs.exists(p):
+            raise
+        return False
+    return True
+
+
+def uri(spark: SparkSession, path: str) -> str:
+    """A path as Spark's _metadata.file_path gives it."""
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path).toUri().toString()
+
+
 def swap_text(spark: SparkSession, path: str, text: str) -> None:
     """Write beside, then rename over: a reader sees the old text or the new one."""
     fs, tmp = _at(spark, f"{path}.tmp")

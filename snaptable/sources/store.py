@@ -1,14 +1,18 @@
-"""A store: the objects, refs and snapshots of one database, as Parquet tables in generations.
+"""A store: the objects, refs and snapshots of one database, as Parquet tables, and the commits that name the live ones.
 
-    <root>/<database>-<h8>/CURRENT                     the live generation of snapshots and of each prefix of objects
-                          /snapshots/g=<n>             a row a snapshot; written anew at each commit
-                          /objects/p=<x>/g=<n>/b=<id>  hash, canonical of hashes that begin with that hex digit;
-                                                       a batch a snapshot, one after a sweep
-                          /docrefs/snapshot_id=<id>/collection=<name>
+    <root>/<database>-<h8>/commits/<n>.json          what is live: snapshots, batches of objects, tables of dead ones
+                          /snapshots/<name>          a row a snapshot; written anew at each commit that changes them
+                          /objects/b=<batch>         hash, canonical; a batch a snapshot that brought new ones
+                          /dead/<name>               hash, b: objects of live batches that were deleted
+                          /docrefs/snapshot_id=<id>  r, collection, id, hash; bucketed by key; r is a range of its hash
+                          /digests/snapshot_id=<id>  for each r, the number of refs and two sums of their hashes
 
-Data is written first and CURRENT swapped last, so a crash leaves only data nothing refers to. Generations
-that are no longer live stay for a while, so frames that read them go on working; expire() removes them. A
-sweep rewrites only the prefixes that lose objects. There is one writer to a store at a time.
+Data is written first and the next commit last, by a rename that fails if that number is taken: of writers that started from one
+state, one commits, and the others meet Conflict and start again from the new state. What a crash leaves is data nothing
+refers to. Data that is no longer live stays for a while, so frames that read it go on working; expire() removes it.
+
+Deleted objects are written down as dead and left out when objects are read. A batch is written again only when
+a given share of it is dead; small batches become one when there are many.
 """
 
 from __future__ import annotations
@@ -17,24 +21,31 @@ import hashlib
 import json
 import re
 import uuid
+from collections.abc import Callable, Mapping
+from dataclasses import asdict, dataclass, field
 from datetime import UTC, datetime, timedelta
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import MissingObjects
+from ..errors import Conflict, MissingObjects
 from . import files
 
-OBJECTS = "hash string, canonical string, p string, g string, b string"
-PREFIXES = tuple("0123456789abcdef")
-#: How long generations stay after they were written, if they are not live.
+OBJECTS, DEAD = "hash string, canonical string, b string", "hash string, b string"
+#: How long data stays after it was written, if it is not live.
 KEPT = timedelta(days=1)
+#: Share of a batch that is dead when it is written again; batches and tables of dead objects at most; tries to commit.
+SHARE, BATCHES, DEAD_TABLES, TRIES = 0.3, 24, 8, 20
+#: Refs of a bucket, about; ranges of keys with a digest in each bucket; buckets at most.
+ROWS, RANGES, BUCKETS = 125_000, 16, 16_384
 REFS = "id string, hash string, snapshot_id string, collection string"
 INDEX = "struct<name:string,columns:array<string>,options:map<string,string>>"
 SNAPSHOTS = (
     "snapshot_id string, seq long, database string, message string, tags array<string>, created_at timestamp, parent_id string, "
     f"doc_count long, new_objects long, consistent boolean, collections map<string,struct<doc_count:bigint,schema_json:string,key:array<string>,indexes:array<{INDEX}>>>"
 )
+T = TypeVar("T")
 
 
 def directory(root: str, database: str) -> str:
@@ -42,112 +53,235 @@ def directory(root: str, database: str) -> str:
     return f"{root.rstrip('/')}/{safe}-{hashlib.sha256(database.encode()).hexdigest()[:8]}"
 
 
+@dataclass(frozen=True)
+class State:
+    """What is live: the snapshots table, rows written to each batch, and dead objects by table and batch."""
+
+    number: int = 0
+    snapshots: str | None = None
+    objects: Mapping[str, int] = field(default_factory=dict)
+    dead: Mapping[str, Mapping[str, int]] = field(default_factory=dict)
+
+    def lost(self, batch: str) -> int:
+        return sum(x.get(batch, 0) for x in self.dead.values())
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str, database: str):
         self.spark, self.database, self.path = spark, database, directory(root, database)
 
-    def current(self) -> dict[str, int]:
-        """Generations by "snapshots" and prefix of objects; those not named are 0."""
-        text = files.read_text(self.spark, f"{self.path}/CURRENT")
-        return dict.fromkeys(("snapshots", *PREFIXES), 0) | (json.loads(text) if text else {})
+    # --- commits
 
-    def _read(self, path: str, schema: str) -> DataFrame:
-        if not files.exists(self.spark, path):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(path)
+    def state(self) -> State:
+        """The last commit."""
+        numbers = [int(name.removesuffix(".json")) for name, *_ in files.listing(self.spark, f"{self.path}/commits")]
+        return State(**json.loads(files.read_text(self.spark, f"{self.path}/commits/{max(numbers):012d}.json"))) if numbers else State()
 
-    # --- objects
+    def commit(self, base: State, snapshots: DataFrame | None = None, objects: Mapping[str, int] | None = None, dead: Mapping[str, Mapping[str, int]] | None = None) -> State:
+        """The state after base, with a new list of snapshots, other objects, or both. Conflict if there is one already."""
+        name = base.snapshots
+        if snapshots is not None:
+            name = f"{base.number + 1:012d}-{uuid.uuid4().hex[:8]}"
+            snapshots.coalesce(1).write.parquet(f"{self.path}/snapshots/{name}")
+        new = State(base.number + 1, name, base.objects if objects is None else objects, base.dead if dead is None else dead)
+        if not files.create_text(self.spark, f"{self.path}/commits/{new.number:012d}.json", json.dumps(asdict(new))):
+            raise Conflict(f"another writer has changed {self.path}")
+        return new
+
+    def retried(self, step: Callable[[State], T]) -> T:
+        """step(state), which commits; again from the then current state when another writer came first."""
+        for _ in range(TRIES - 1):
+            try:
+                return step(self.state())
+            except Conflict:
+                continue
+        return step(self.state())
 
-    def objects(self) -> DataFrame:
-        now = self.current()
-        live = F.concat("p", F.lit("/"), "g").isin([f"{p}/{now[p]}" for p in PREFIXES])
-        return self._read(f"{self.path}/objects", OBJECTS).filter(live).select("hash", "canonical")
+    def expire(self, older: timedelta = KEPT, at: datetime | None = None) -> int:
+        """Remove data that is not live and was written longer ago; how many tables."""
+        now, limit, gone = self.state(), ((at or datetime.now(UTC)) - older).timestamp() * 1000, 0
+        live = {"snapshots": {now.snapshots}, "objects": {f"b={b}" for b in now.objects}, "dead": set(now.dead)}
+        for folder, names in live.items():
+            for entry, _, _, changed in files.listing(self.spark, f"{self.path}/{folder}"):
+                if entry not in names and changed < limit:
+                    files.delete(self.spark, f"{self.path}/{folder}/{entry}")
+                    gone += 1
+        for entry, _, _, changed in files.listing(self.spark, f"{self.path}/commits")[:-1]:
+            if changed < limit:
+                files.delete(self.spark, f"{self.path}/commits/{entry}")
+        return gone
 
-    def hashes(self) -> DataFrame:
-        return self.objects().select("hash")
+    # --- objects
 
-    def _write(self, objects: DataFrame, generations: dict[str, int], batch: str) -> None:
-        """objects as one batch of these generations, sorted by hash, a file a prefix at least."""
-        of = F.create_map(*[F.lit(x) for p, g in generations.items() for x in (p, str(g))])
-        rows = objects.select("hash", "canonical", F.substring("hash", 1, 1).alias("p")).withColumn("g", of[F.col("p")]).withColumn("b", F.lit(batch))
-        rows.repartitionByRange("hash").sortWithinPartitions("p", "hash").write.mode("append").partitionBy("p", "g", "b").parquet(f"{self.path}/objects")
+    def _read(self, schema: str, folder: str, names: list[str]) -> DataFrame:
+        if not names:
+            return self.spark.createDataFrame([], schema)
+        base = f"{self.path}/{folder}"
+        return self.spark.read.schema(schema).option("basePath", base).parquet(*[f"{base}/{n}" for n in names])
+
+    def _objects(self, state: State, only: list[str] | None = None) -> DataFrame:
+        """hash, canonical, b of the live objects, of some batches."""
+        batches = sorted(state.objects) if only is None else only
+        own = self._read(OBJECTS, "objects", [f"b={b}" for b in batches])
+        tables = [name for name, lost in state.dead.items() if not lost.keys().isdisjoint(batches)]
+        if not tables:
+            return own
+        # By hash alone, so that a join by hash that follows needs no other exchange.
+        dead = self._read(DEAD, "dead", tables).groupBy("hash").agg(F.collect_set("b").alias("batches"))
+        return own.alias("o").join(dead.alias("d"), (F.col("o.hash") == F.col("d.hash")) & F.array_contains("d.batches", F.col("o.b")), "left_anti")
+
+    def objects(self, state: State | None = None) -> DataFrame:
+        return self._objects(state or self.state()).select("hash", "canonical")
+
+    def hashes(self, state: State | None = None) -> DataFrame:
+        return self.objects(state).select("hash")
+
+    def stage(self, objects: DataFrame, batch: str) -> dict[str, int]:
+        """Write distinct objects as a batch, which is not live until a commit names it: its name and rows. None if
+        there are no rows."""
+        name = f"{batch}-{uuid.uuid4().hex[:8]}"  # a name met before may hold live objects
+        objects.select("hash", "canonical").write.option("compression", "zstd").parquet(f"{self.path}/objects/b={name}")
+        n = self._read("hash string", "objects", [f"b={name}"]).count()
+        if not n:
+            files.delete(self.spark, f"{self.path}/objects/b={name}")
+        return {name: n} if n else {}
+
+    def unstage(self, batch: Mapping[str, int]) -> None:
+        for name in batch:
+            files.delete(self.spark, f"{self.path}/objects/b={name}")
 
     def put(self, encoded: DataFrame, batch: str) -> int:
         """Store the objects that are not there yet, once each; how many those were."""
-        now, batch = self.current(), f"{batch}-{uuid.uuid4().hex[:8]}"  # a name met before may hold live objects
-        self._write(new_objects(encoded, self.hashes()), {p: now[p] for p in PREFIXES}, batch)
-        return self._read(f"{self.path}/objects", OBJECTS).filter(F.col("b") == batch).select("hash").count()
+
+        def step(base: State) -> int:
+            own = self.stage(new_objects(encoded, self.hashes(base)), batch)
+            try:
+                if own:
+                    self.commit(base, **self.tidied(base, {**base.objects, **own}, base.dead))
+            except Conflict:
+                self.unstage(own)
+                raise
+            return sum(own.values())
+
+        return self.retried(step)
 
     def get(self, hashes: DataFrame) -> DataFrame:
         """hash, canonical of the given hashes; one that is not stored is an error."""
-        missing = hashes.join(self.hashes(), "hash", "left_anti").select("hash").limit(3).collect()
+        state = self.state()
+        missing = hashes.join(self.hashes(state), "hash", "left_anti").select("hash").limit(3).collect()
         if missing:
             raise MissingObjects(f"not stored: {', '.join(r.hash for r in missing)}")
-        return hashes.select("hash").distinct().join(self.objects(), "hash")
+        return hashes.select("hash").distinct().join(self.objects(state), "hash")
 
     def have(self, hashes: DataFrame) -> DataFrame:
         """hashes with a column stored."""
         return hashes.join(self.hashes().distinct().withColumn("stored", F.lit(True)), "hash", "left").withColumn("stored", F.coalesce("stored", F.lit(False)))
 
-    def without(self, gone: DataFrame) -> tuple[dict[str, int], int]:
-        """Write new generations of the prefixes that gone(hash) touches; not live until commit names them. With how
-        many objects go."""
-        touched = {r["p"]: r["n"] for r in self.hashes().join(gone.select("hash").distinct(), "hash", "left_semi").groupBy(F.substring("hash", 1, 1).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
-        now = self.current()
-        generations = {p: now[p] + 1 for p in touched}
-        if generations:
-            # What an earlier attempt left under these numbers goes first.
-            for p, g in generations.items():
-                files.delete(self.spark, f"{self.path}/objects/p={p}/g={g}")
-            rest = self.objects().filter(F.substring("hash", 1, 1).isin(list(generations)))
-            self._write(rest.join(gone.select("hash").distinct(), "hash", "left_anti"), generations, "sweep")
-        return generations, sum(touched.values())
+    def bury(self, base: State, hashes: DataFrame, others: bool = False) -> tuple[dict[str, Mapping], int]:
+        """Write down objects with these hashes (or with any others) as dead: what commit() needs to know of it, and how
+        many they are. Old tables of dead objects become one with the new when there are many."""
+        name = uuid.uuid4().hex[:12]
+        lost = self._objects(base).select("hash", "b").join(hashes.select("hash").distinct(), "hash", "left_anti" if others else "left_semi")
+        lost.write.parquet(f"{self.path}/dead/{name}")
+        counts = {r["b"]: r["n"] for r in self._read(DEAD, "dead", [name]).groupBy("b").agg(F.count(F.lit(1)).alias("n")).collect()}
+        if not counts:
+            files.delete(self.spark, f"{self.path}/dead/{name}")
+            return {"objects": base.objects, "dead": base.dead}, 0
+        dead = {**base.dead, name: counts}
+        if len(dead) > DEAD_TABLES:
+            whole = uuid.uuid4().hex[:12]
+            self._read(DEAD, "dead", list(dead)).write.parquet(f"{self.path}/dead/{whole}")
+            dead = {whole: {b: sum(x.get(b, 0) for x in dead.values()) for b in {b for x in dead.values() for b in x}}}
+        return self.tidied(base, base.objects, dead), sum(counts.values())
+
+    def tidied(self, base: State, objects: Mapping[str, int], dead: Mapping[str, Mapping[str, int]]) -> dict[str, Mapping]:
+        """objects and dead as commit() takes them, after batches that lost too much, or are too many and small, were
+        written again as one batch. Batches that lost all go without."""
+        new = State(base.number, None, objects, dead)
+        again = [b for b, n in objects.items() if SHARE * n <= new.lost(b) < n]
+        if len(objects) > BATCHES:
+            again += sorted(set(objects) - set(again), key=lambda b: (objects[b] - new.lost(b), b))[: BATCHES // 2]
+        gone = {b for b, n in objects.items() if new.lost(b) >= n}
+        again = [b for b in again if b not in gone]
+        left = {b: n for b, n in objects.items() if b not in gone and b not in again}
+        if again:
+            left |= self.stage(self._objects(new, again), "merged")
+        dead = {name: {b: n for b, n in lost.items() if b in left} for name, lost in dead.items()}
+        return {"objects": left, "dead": {name: lost for name, lost in dead.items() if lost}}
 
     def delete_objects(self, hashes: DataFrame) -> None:
         """Forget these objects; those not stored do not matter."""
-        self.commit(objects=self.without(hashes)[0])
+
+        def step(base: State) -> None:
+            changed, n = self.bury(base, hashes)
+            if n:
+                self.commit(base, **changed)
+
+        self.retried(step)
 
     # --- refs
 
     def write_refs(self, snapshot_id: str, refs: DataFrame) -> None:
-        """collection, id, hash of a snapshot, in key order."""
-        path = f"{self.path}/docrefs/snapshot_id={snapshot_id}"
-        ordered = refs.select("collection", "id", "hash").repartitionByRange("collection", "id").sortWithinPartitions("collection", "id")
-        ordered.write.mode("overwrite").partitionBy("collection").parquet(path)
+        """collection, id, hash of a snapshot: bucketed by ranges of the keys' hashes, in key order, and their digests.
+        Snapshots of about one size have the same ranges and buckets."""
+        path, buckets = f"{self.path}/docrefs/snapshot_id={snapshot_id}", min(BUCKETS, 1 << (refs.count() // ROWS).bit_length())
+        files.delete(self.spark, path)
+        r = F.pmod(F.hash("collection", "id"), F.lit(buckets * RANGES))  # of this hash, buckets are the remainder by their number
+        rows = refs.select(r.alias("r"), "collection", "id", "hash").repartition(buckets, "collection", "id").sortWithinPartitions("r", "collection", "id")
+        name = f"refs_{uuid.uuid4().hex}"
+        rows.write.bucketBy(buckets, "collection", "id").sortBy("r", "collection", "id").option("path", path).saveAsTable(name)
+        self.spark.sql(f"DROP TABLE {name}")  # its files stay
+        one, two = F.xxhash64("collection", "id", "hash"), F.xxhash64("hash", "id", "collection")
+        digests = self._bucketed(snapshot_id, buckets).groupBy("r").agg(F.count(F.lit(1)).alias("n"), F.sum(one.cast("decimal(20,0)")).alias("one"), F.bit_xor(two).alias("two"))
+        files.delete(self.spark, f"{self.path}/digests/snapshot_id={snapshot_id}")
+        digests.coalesce(1).write.parquet(f"{self.path}/digests/snapshot_id={snapshot_id}/buckets={buckets}")
 
     def refs(self, *snapshot_ids: str) -> DataFrame:
         """collection, id, hash (and snapshot_id) of some or all snapshots; of an unknown one, none."""
-        out = self._read(f"{self.path}/docrefs", REFS)
-        return out.filter(F.col("snapshot_id").isin(*snapshot_ids)) if snapshot_ids else out
+        there = [name for name, *_ in files.listing(self.spark, f"{self.path}/docrefs")]
+        return self._read(REFS, "docrefs", [n for n in there if not snapshot_ids or n.removeprefix("snapshot_id=") in snapshot_ids])
+
+    def _bucketed(self, snapshot_id: str, buckets: int) -> DataFrame:
+        """r, collection, id, hash of a snapshot; a join by key of two with equally many buckets needs no exchange."""
+        name, path = f"refs_{uuid.uuid4().hex}", f"{self.path}/docrefs/snapshot_id={snapshot_id}"
+        self.spark.sql(f"CREATE TABLE {name} (r INT, collection STRING, id STRING, hash STRING) USING parquet CLUSTERED BY (collection, id) SORTED BY (r, collection, id) INTO {buckets} BUCKETS LOCATION '{path}'")
+        try:
+            return self.spark.table(name)
+        finally:
+            self.spark.sql(f"DROP TABLE {name}")
+
+    def _digests(self, snapshot_id: str) -> tuple[int, DataFrame] | None:
+        path = f"{self.path}/digests/snapshot_id={snapshot_id}"
+        found = [name for name, *_ in files.listing(self.spark, path)]
+        if not found:
+            return None
+        return int(found[0].removeprefix("buckets=")), self.spark.read.schema("r int, n long, one decimal(30,0), two long").parquet(f"{path}/{found[0]}")
+
+    def differing(self, old: str, new: str) -> tuple[DataFrame, DataFrame]:
+        """Refs of two snapshots without the ranges of keys whose digests are equal."""
+        a, b = self._digests(old), self._digests(new)
+        if a is None or b is None or a[0] != b[0]:
+            return self.refs(old), self.refs(new)
+        both = a[1].alias("a").join(b[1].alias("b"), "r", "full_outer")
+        same = F.struct("a.n", "a.one", "a.two").eqNullSafe(F.struct("b.n", "b.one", "b.two"))
+        ranges = [r["r"] for r in both.filter(~same).select("r").collect()]  # buckets * RANGES numbers at most
+        if not ranges:
+            none = self.spark.createDataFrame([], REFS)
+            return none, none
+        left, right = (self._bucketed(x, a[0]) for x in (old, new))
+        if len(ranges) > min(1000, a[0] * RANGES - 1):
+            return left, right
+        return left.filter(F.col("r").isin(ranges)), right.filter(F.col("r").isin(ranges))
 
     def delete_refs(self, snapshot_id: str) -> None:
-        files.delete(self.spark, f"{self.path}/docrefs/snapshot_id={snapshot_id}")
+        for folder in ("docrefs", "digests"):
+            files.delete(self.spark, f"{self.path}/{folder}/snapshot_id={snapshot_id}")
 
     # --- snapshots
 
-    def snapshots(self) -> DataFrame:
-        return self._read(f"{self.path}/snapshots/g={self.current()['snapshots']}", SNAPSHOTS)
-
-    def commit(self, snapshots: DataFrame | None = None, objects: dict[str, int] | None = None) -> None:
-        """Make a new list of snapshots, new generations of objects, or both, the live ones in one swap."""
-        now = self.current()
-        if snapshots is not None:
-            now["snapshots"] += 1
-            path = f"{self.path}/snapshots/g={now['snapshots']}"
-            files.delete(self.spark, path)
-            snapshots.coalesce(1).write.parquet(path)
-        files.swap_text(self.spark, f"{self.path}/CURRENT", json.dumps(now | (objects or {})))
-
-    def expire(self, older: timedelta = KEPT, at: datetime | None = None) -> int:
-        """Remove generations that are not live and were written longer ago; how many."""
-        now, limit, gone = self.current(), ((at or datetime.now(UTC)) - older).timestamp() * 1000, 0
-        for name, folder in [("snapshots", "snapshots"), *((p, f"objects/p={p}") for p in PREFIXES)]:
-            for entry, _, _, changed in files.listing(self.spark, f"{self.path}/{folder}"):
-                number = entry.removeprefix("g=")
-                if number.isdigit() and int(number) < now[name] and changed < limit:
-                    files.delete(self.spark, f"{self.path}/{folder}/{entry}")
-                    gone += 1
-        return gone
+    def snapshots(self, state: State | None = None) -> DataFrame:
+        name = (state or self.state()).snapshots
+        return self._read(SNAPSHOTS, "snapshots", [name] if name else [])
 
 
 def new_objects(encoded: DataFrame, stored: DataFrame) -> DataFrame:

@@ -3,8 +3,8 @@ from datetime import UTC, datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from snaptable.errors import BadRequest, KeyProblem, MissingObjects, NotFound
-from snaptable.operators import checks, history, mutate
+from snaptable.errors import BadRequest, Conflict, KeyProblem, MissingObjects, NotFound
+from snaptable.operators import checks, diff, history, mutate
 from snaptable.plans.exports import Exports
 from snaptable.plans.repository import Repository
 from snaptable.sources import files
@@ -121,10 +121,11 @@ def test_objects(spark, tmp_path):
     held = store.objects()
     store.delete_objects(some)
     assert rows(store.objects()) == [("b2", "doc-2")] and held.count() == 2
-    assert {p: g for p, g in store.current().items() if g} == {"a": 1}  # only the prefix that lost something
     assert store.put(own, "one") == 1 and rows(store.objects()) == [("a1", "doc-1"), ("b2", "doc-2")]
-    assert store.expire() == 0 and store.expire(timedelta(0), datetime.now(UTC) + timedelta(hours=1)) == 1
+    assert store.expire() == 0 and store.expire(timedelta(0), datetime.now(UTC) + timedelta(hours=1)) == 2  # the first batch, and who was dead in it
     assert rows(store.objects()) == [("a1", "doc-1"), ("b2", "doc-2")]
+    store.delete_objects(store.hashes())
+    assert store.objects().count() == 0 and not store.state().objects
     many = spark.range(10_007).select(F.lit("c").alias("collection"), F.format_string("id%06d", "id").alias("id"), F.lit("h").alias("hash"))
     store.write_refs("123", many)
     assert store.refs("123").count() == 10_007 and store.refs("123").schema["snapshot_id"].dataType.simpleString() == "string"
@@ -132,6 +133,152 @@ def test_objects(spark, tmp_path):
     assert store.refs("123").count() == 0 and Store(spark, str(tmp_path), "d/").path != Store(spark, str(tmp_path), "d_").path
 
 
+def hashed(spark, start, end):
+    return spark.range(start, end).select(F.sha2(F.col("id").cast("string"), 256).alias("hash"), F.col("id").cast("string").alias("canonical"))
+
+
+def test_sweeps_write_dead_objects_down(spark, tmp_path):
+    """A small sweep rewrites no file; a batch of which a large share is dead is written again, another one is not."""
+    store = Store(spark, str(tmp_path), "d")
+    store.put(hashed(spark, 0, 1000), "a")
+    store.put(hashed(spark, 1000, 1100), "b")
+    before = {path for path, *_ in files.data_files(spark, f"{store.path}/objects")}
+    store.delete_objects(hashed(spark, 0, 20).unionByName(hashed(spark, 1000, 1010)))
+    state = store.state()
+    assert {path for path, *_ in files.data_files(spark, f"{store.path}/objects")} == before
+    assert sum(sum(x.values()) for x in state.dead.values()) == 30 and store.hashes().count() == 1070
+    assert store.put(hashed(spark, 10, 30), "c") == 10 and store.hashes().distinct().count() == store.hashes().count() == 1080  # dead ones come back alone
+    store.delete_objects(hashed(spark, 1000, 1040))
+    batches = store.state().objects
+    assert {b.split("-")[0]: n for b, n in batches.items()} == {"a": 1000, "c": 10, "merged": 60}
+    assert store.hashes().count() == 1050 and {r.hash for r in store.hashes().collect()} == {r.hash for r in hashed(spark, 20, 1000).unionByName(hashed(spark, 10, 20)).unionByName(hashed(spark, 1040, 1100)).collect()}
+    for n in range(10):
+        store.delete_objects(hashed(spark, 100 + n, 101 + n))
+    assert len(store.state().dead) <= 8 and store.hashes().count() == 1040
+    assert before - {path for path, *_ in files.data_files(spark, f"{store.path}/objects")} == set()  # held frames go on reading
+
+
+def test_many_small_batches_become_one(spark, tmp_path, monkeypatch):
+    from snaptable.sources import store as module
+
+    monkeypatch.setattr(module, "BATCHES", 4)
+    store = Store(spark, str(tmp_path), "d")
+    store.put(hashed(spark, 0, 500), "large")
+    for n in range(6):
+        store.put(hashed(spark, 500 + n, 501 + n), "small")
+    assert len(store.state().objects) <= 4 and store.hashes().count() == 506 and any(b.startswith("large") for b in store.state().objects)
+
+
+def test_writers_that_cross(spark, tmp_path, repo, monkeypatch):
+    """A create within another, and a sweep within a create: no snapshot is lost, none lacks an object, none is stored twice."""
+    db = write(spark, tmp_path / "db", a=([(n, f"v{n}") for n in range(10)], "k int, v string"))
+    other = Repository(spark, repo.root, "shop/db")
+    stage, crossed = repo.store.stage, []
+
+    def crossing(run):
+        def staged(objects, batch):
+            own = stage(objects, batch)
+            if not crossed:
+                crossed.append(True)
+                run()
+            return own
+
+        return staged
+
+    monkeypatch.setattr(repo.store, "stage", crossing(lambda: other.create(db, now=T0, snapshot_id="inner")))
+    repo.create(db, now=T0 + timedelta(hours=1), snapshot_id="outer")
+    assert [(r.snapshot_id, r.parent_id, r.new_objects) for r in repo.log("asc").collect()] == [("inner", None, 10), ("outer", "inner", 0)]
+    assert repo.store.hashes().count() == 10
+    # The sweep takes what only `inner` and `outer` refer to, while a new snapshot is about to rely on it.
+    write(spark, tmp_path / "db", a=([(1, "other")], "k int, v string"))
+    repo.create(db, now=T0 + timedelta(hours=2), snapshot_id="small")
+    write(spark, tmp_path / "db", a=([(n, f"v{n}") for n in range(12)], "k int, v string"))
+    crossed.clear()
+    monkeypatch.setattr(repo.store, "stage", crossing(lambda: other.gc(1)))
+    assert repo.create(db, now=T0 + timedelta(hours=3), snapshot_id="after").new_objects == 12
+    assert rows(repo.rows("after", "a")) == rows(db.read("a")) and [r.snapshot_id for r in repo.log("asc").collect()] == ["small", "after"]
+    base = repo.store.state()
+    repo.tag("after", "x")
+    with pytest.raises(Conflict):
+        repo.store.commit(base, repo.store.snapshots(base))
+    with pytest.raises(BadRequest):
+        repo.create(db, snapshot_id="after")
+
+
+def test_only_files_with_new_rows_are_read_again(spark, tmp_path, repo, monkeypatch):
+    db = write(spark, tmp_path / "db", a=([(n, "x" * n) for n in range(50)], "k int, v string"), b=([(1, 2)], "k int, n int"))
+    repo.create(db, now=T0, snapshot_id="s1")
+    spark.createDataFrame([(100, "new"), (101, "x" * 7)], "k int, v string").coalesce(1).write.mode("append").parquet(f"{db.path}/a.parquet")
+    read, encoded_ = [], db.encoded
+    monkeypatch.setattr(db, "encoded", lambda c, pinned=None: (read.append((c, len(pinned or []))), encoded_(c, pinned))[1])
+    assert repo.create(db, now=T0, snapshot_id="s2").new_objects == 2
+    assert read[-1] == ("a", 1) and len(read) == 3  # all files of both tables for keys and hashes, then one file
+    assert rows(repo.rows("s2", "a")) == rows(db.read("a"))
+
+
+def plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_differences_by_ranges(spark, tmp_path, monkeypatch):
+    from snaptable.sources import store as module
+
+    monkeypatch.setattr(module, "ROWS", 100)
+    repo = Repository(spark, f"{tmp_path}/s", "d")
+    own = spark.range(1000).select(F.lit("c").alias("collection"), F.format_string("id%06d", "id").alias("id"), F.lit("h").alias("hash"), F.col("id").alias("n"))
+    changed = own.filter("n <> 5").withColumn("hash", F.when(F.col("n") % 400 == 7, "other").otherwise(F.col("hash"))).unionByName(own.filter("n = 9").withColumn("id", F.lit("new")))
+    for name, refs in (("a", own), ("b", changed), ("same", own), ("large", own.unionByName(own.withColumn("id", F.concat("id", F.lit("x"))))), ("none", own.limit(0))):
+        repo.store.write_refs(name, refs)
+    left, right = repo.store.differing("a", "b")
+    assert left.count() < 100 and right.count() < 100
+    found = diff.diff(left, right)
+    assert rows(found.select("id", "change")) == [("id000005", "removed"), ("id000007", "modified"), ("id000407", "modified"), ("id000807", "modified"), ("new", "added")]
+    assert "Exchange" not in plan(found).split("== Physical Plan ==")[1]
+    assert diff.diff(*repo.store.differing("a", "same")).isEmpty() and "FileScan" not in plan(repo.store.differing("a", "same")[0])
+    assert rows(diff.summary(diff.diff(*repo.store.differing("a", "large")))) == [("c", 1000, 0, 0)]  # other ranges: all are read
+    assert rows(diff.summary(diff.diff(*repo.store.differing("a", "none")))) == [("c", 0, 0, 1000)]
+    assert spark.catalog.listTables() == []
+
+
+def test_restore_reads_the_store_once(spark, tmp_path, repo, monkeypatch):
+    db = write(spark, tmp_path / "db", **{f"t{n}": ([(n, "x")], "k int, v string") for n in range(5)})
+    repo.create(db, now=T0, snapshot_id="s1")
+    scans, objects = [], repo.store.objects
+    monkeypatch.setattr(repo.store, "objects", lambda *a: (scans.append(1), objects(*a))[1])
+    target = Database(spark, f"{tmp_path}/t")
+    repo.restore("s1", target)
+    assert len(scans) == 1 and target.names() == db.names() and all(rows(target.read(c)) == rows(db.read(c)) for c in db.names())
+
+
+LINES = ['{"_id": 1, "a": [1, 2.5], "b": null}', '{"_id":"1","c":{"x":"y z"}}', '{"_id":{"$oid":"5f"},"n":12345678901}', "", '{"_id":4}']
+
+
+def test_json_documents(spark, tmp_path, repo):
+    (tmp_path / "db").mkdir()
+    (tmp_path / "db/docs.json").write_text("\n".join(LINES) + "\n")
+    db = Database(spark, f"{tmp_path}/db")
+    one = repo.create(db, now=T0, snapshot_id="s1")
+    assert (one.doc_count, one.collections["docs"].schema_json, one.collections["docs"].key) == (4, "", ["_id"])
+    more = [LINES[0].replace(" ", "  "), LINES[1], LINES[2].replace("{", "{ "), '{"_id":4,"a":null}', '{"_id":5,"new":[{"field":true}]}']
+    (tmp_path / "db/docs.json").write_text("\n".join(more))
+    assert repo.create(db, now=T0, snapshot_id="s2").new_objects == 2
+    assert rows(repo.diff("s1", "s2").select("id", "change")) == [('{"_id":{"$numberInt":"4"}}', "modified"), ('{"_id":{"$numberInt":"5"}}', "added")]
+    target = Database(spark, f"{tmp_path}/t")
+    repo.restore("s1", target)
+    assert rows(target.documents("docs")) == sorted((x.replace(": ", ":").replace(", ", ","),) for x in LINES if x) and target.is_json("docs")
+    with pytest.raises(KeyProblem):
+        repo.restore("s2", target)
+    repo.restore("s2", target, mode="upsert")
+    assert target.documents("docs").count() == 5 and repo.diff("s2", live=target).isEmpty()
+    repo.restore("s1", target, mode="drop", now=T0)
+    assert repo.diff("s1", live=target).isEmpty() and [(r.collection, r.doc_count) for r in target.stats().collect()] == [("docs", 4)]
+    with pytest.raises(BadRequest):
+        repo.restore("s1", write(spark, tmp_path / "typed", docs=AB), mode="upsert")
+    (tmp_path / "db/docs.json").write_text('{"a":1}')
+    with pytest.raises(Exception, match="no key"):
+        repo.create(db)
+
+
 def test_held_frames_outlive_commits(spark, tmp_path, repo):
     for n in range(2):
         repo.create(write(spark, tmp_path / "db", a=([(1, f"v{n}")], "k int, v string")), now=T0 + timedelta(hours=n), snapshot_id=f"s{n}")
