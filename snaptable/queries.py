@@ -541,6 +541,29 @@ def export_roundtrip(spark, sf_dir):
     return target.read("documents")
 
 
+@query("SELECT * FROM events UNION ALL BY NAME SELECT * FROM orders UNION ALL BY NAME SELECT * FROM embeddings")
+def export_roundtrip_types(spark, sf_dir):
+    """Timestamps, doubles and arrays of floats through JSON."""
+    root = scratch(spark)
+    exports, target, names = Exports(spark, root), Database(spark, f"{root}/target"), ("events", "orders", "embeddings")
+    exports.create(Database(spark, sf_dir, only=names), "json", format="json", now=NOW)
+    exports.restore("json", target)
+    first, second, third = (target.read(name) for name in names)
+    return first.unionByName(second, allowMissingColumns=True).unionByName(third, allowMissingColumns=True)
+
+
+@query("SELECT 'parquet' AS format, t.* FROM (SELECT 'events' AS collection, 'event_id' AS key, CAST(count(*) AS BIGINT) AS docs, 0 AS problems FROM events UNION ALL SELECT 'conversations', 'conv_id,turn', CAST(count(*) AS BIGINT), 0 FROM conversations) t UNION ALL SELECT 'json', t.* FROM (SELECT 'events' AS collection, 'event_id' AS key, CAST(count(*) AS BIGINT), 0 FROM events UNION ALL SELECT 'conversations', 'conv_id,turn', CAST(count(*) AS BIGINT), 0 FROM conversations) t")
+def export_manifests(spark, sf_dir):
+    """What two copies say of themselves, and how many of their files are not as they say."""
+    exports, rows = Exports(spark, scratch(spark)), []
+    for format in ("parquet", "json"):
+        exports.create(Database(spark, sf_dir, {"conversations": ["conv_id", "turn"]}, ["events", "conversations"]), format, format=format, now=NOW)
+        problems = exports.verify(format).groupBy("collection").agg(F.count(F.lit(1)).alias("n"))
+        bad = {r["collection"]: r["n"] for r in problems.collect()}
+        rows += [(format, c, ",".join(about["key"]), about["rows"], bad.get(c, 0)) for c, about in exports.manifest(format)["collections"].items()]
+    return spark.createDataFrame(rows, "format string, collection string, key string, docs long, problems int")
+
+
 @query("SELECT 'kept' AS name, CAST((SELECT count(*) FROM nation) AS BIGINT) AS doc_count, false AS still_there")
 def export_delete(spark, sf_dir):
     exports, source = Exports(spark, scratch(spark)), Database(spark, sf_dir, only=["nation"])

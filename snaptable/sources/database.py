@@ -23,7 +23,7 @@ from . import files
 
 _SUFFIXES = (".parquet", ".json", ".jsonl")
 #: What a damaged footer or file raises, by whether Spark wraps it.
-_UNREADABLE = (PySparkException, Py4JJavaError)
+UNREADABLE = (PySparkException, Py4JJavaError)
 
 
 class Database:
@@ -114,7 +114,7 @@ class Database:
             try:
                 tables[c] = self.rows(c)
                 sizes[c] = sum(size for _, size, _ in files.data_files(self.spark, p))
-            except _UNREADABLE:  # no schema can be read; that must not hide the others
+            except UNREADABLE:  # no schema can be read; that must not hide the others
                 sizes[c] = 0
         return self.spark.createDataFrame([(c, n, sizes[c]) for c, n in self._counted(tables).items()] + [(c, 0, 0) for c in sizes if c not in tables], "collection string, doc_count long, storage_size long").orderBy("collection")
 
@@ -124,7 +124,7 @@ class Database:
             return {}
         try:
             return {r["collection"]: r["doc_count"] for r in counts(tables).collect()}
-        except _UNREADABLE:
+        except UNREADABLE:
             if len(tables) == 1:
                 return dict.fromkeys(tables, 0)
             return {c: n for t in tables for c, n in self._counted({t: tables[t]}).items()}

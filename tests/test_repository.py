@@ -1,9 +1,11 @@
-from datetime import UTC, datetime, timedelta
+import gzip
+from datetime import UTC, date, datetime, timedelta
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
-from snaptable.errors import BadRequest, Conflict, KeyProblem, MissingObjects, NotFound
+from snaptable.errors import BadRequest, Conflict, Damaged, KeyProblem, MissingObjects, NotFound
 from snaptable.operators import checks, diff, history, mutate
 from snaptable.plans.exports import Exports
 from snaptable.plans.repository import Repository
@@ -363,10 +365,57 @@ def test_exports(spark, tmp_path):
     assert rows(target.read("a")) == rows(db.read("a"))
     exports.delete("p")
     with pytest.raises(NotFound):
-        exports.read("p")
+        exports.rows("p", "a")
     assert exports.catalog().count() == 1
 
 
+TYPED = "z_id int, amount decimal(9,2), at timestamp_ntz, zoned timestamp, day date, raw binary, x double, f float, small smallint, flag boolean, items array<struct<a:int,b:string>>, m map<string,bigint>, s struct<t:timestamp_ntz>"
+
+
+def test_exports_keep_types_keys_and_documents(spark, tmp_path):
+    values = (7, Decimal("12.30"), datetime(2024, 1, 2, 3, 4, 5, 678901), datetime(1969, 12, 31, 23, 59, 59, 1), date(1600, 2, 29), b"\x00\xff", float("nan"), 0.1, -3, True, [(1, None), None], {"b": 1, "a": None}, (T0,))
+    db = write(spark, tmp_path / "db", types=([values, (8, *[None] * 12)], TYPED), empty=([], "k int, v array<float>"))
+    (tmp_path / "db/docs.json").write_text("\n".join(LINES))
+    db.declare("types", ["z_id"], [{"name": "i", "columns": ["day"], "options": {"sparse": "true"}}])
+    db.declare("docs", ["_id"])
+    exports = Exports(spark, f"{tmp_path}/e")
+    for format in ("json", "parquet"):
+        exports.create(db, format, format=format, now=T0)
+        target = Database(spark, f"{tmp_path}/{format}")
+        exports.restore(format, target)
+        assert target.read("types").schema == db.read("types").schema and target.read("empty").schema == db.read("empty").schema
+        assert repr(rows(target.read("types"))) == repr(rows(db.read("types"))) and target.declared() == db.declared() | {"empty": {"key": ["k"], "indexes": []}}
+        assert {x["id"] for x in target.encoded("docs").collect()} == {x["id"] for x in db.encoded("docs").collect()} and repr(rows(exports.rows(format, "types"))) == repr(rows(db.read("types")))
+        with pytest.raises(KeyProblem):
+            exports.restore(format, target)
+        exports.restore(format, target, drop=True)
+        assert exports.verify(format).isEmpty() and target.documents("docs").count() == 4
+
+
+@pytest.mark.parametrize("format", ["json", "parquet"])
+def test_damaged_exports_replace_nothing(spark, tmp_path, format):
+    db = write(spark, tmp_path / "db", a=([(n, f"v{n}" * 50) for n in range(300)], "k int, v string"), b=AB)
+    exports, target = Exports(spark, f"{tmp_path}/e"), write(spark, tmp_path / "t", a=([(1, "own")], "k int, v string"))
+    exports.create(db, "x", format=format, now=T0)
+    parts = sorted(p for p in (tmp_path / f"e/exports/x/b.{format}").glob("part-*"))
+    kept = {p: p.read_bytes() for p in parts}
+    other = gzip.compress(gzip.decompress(kept[parts[0]]).replace(b"x", b"q")) if format == "json" else kept[parts[0]][: len(kept[parts[0]]) // 2]
+    for damage in (lambda: parts[0].unlink(), lambda: parts[0].write_bytes(other), lambda: parts[0].write_bytes(kept[parts[0]][:-9]), lambda: (tmp_path / f"e/exports/x/b.{format}/part-extra").write_bytes(b"")):
+        damage()
+        with pytest.raises(Damaged, match="of b"):
+            exports.restore("x", target, drop=True)
+        assert target.names() == ["a"] and rows(target.read("a")) == [(1, "own")] and not exports.verify("x").isEmpty()
+        for p, data in kept.items():
+            p.write_bytes(data)
+            p.with_name(f".{p.name}.crc").unlink(missing_ok=True)
+    (tmp_path / f"e/exports/x/b.{format}/part-extra").unlink()
+    exports.restore("x", target, drop=True)
+    assert target.names() == ["a", "b"] and target.read("a").count() == 300
+    (tmp_path / "e/exports/x/_manifest.json").unlink()
+    with pytest.raises(Damaged, match="no manifest"):
+        exports.restore("x", target, drop=True)
+
+
 def test_collections(spark, tmp_path):
     db = write(spark, tmp_path / "db", a=AB)
     db.create("b", "k int, v string")
