@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import BadRequest
+from .pages import Pages
 
 CHANGES = ("added", "modified", "removed")
 PAGE = 500
@@ -54,6 +55,11 @@ def page_total(changes: DataFrame, collection: str, change: str) -> DataFrame:
     return of_change(changes, change).filter(F.col("collection") == collection).agg(F.count(F.lit(1)).alias("total"))
 
 
+def paged(changes: DataFrame, path: str) -> Pages:
+    """Changes laid out under path in pages of (collection, change), keys in order: for going through many, or far."""
+    return Pages.lay_out(changes.select("collection", "change", "id"), path, ["collection", "change"], ["id"])
+
+
 def content(changes: DataFrame, objects: DataFrame) -> DataFrame:
     """changes with the texts before and after."""
     before = objects.select(F.col("hash").alias("from_hash"), F.col("canonical").alias("before"))

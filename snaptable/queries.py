@@ -127,6 +127,13 @@ def diff_page_modified(spark, sf_dir):
     return diff.page(order_changes(spark, sf_dir), "orders", "modified", 100, 50)
 
 
+@query(f"WITH c AS (SELECT * FROM ({ORDER_CHANGES}) WHERE change = 'modified') SELECT id, (SELECT count(*) FROM c) AS total FROM c ORDER BY id LIMIT 500 OFFSET (SELECT count(*) // 2 FROM c)")
+def diff_page_deep(spark, sf_dir):
+    """A page from the middle of all changes, with their total, read from the files that hold it."""
+    pages = diff.paged(order_changes(spark, sf_dir), f"{scratch(spark)}/pages")
+    return pages.page("orders", "modified", offset=pages.total("orders", "modified") // 2, limit=500).select("id", "total")
+
+
 @query("SELECT '' AS id WHERE false")
 def diff_page_past_end(spark, sf_dir):
     return diff.page(order_changes(spark, sf_dir), "orders", "added", 10**8, 50)
@@ -484,6 +491,37 @@ def find_filter_ops(spark, sf_dir):
     return df.filter(browse.where(df.schema, document)).select("p_partkey")
 
 
+@query(
+    """SELECT event_id, ts, user_id, value FROM events WHERE ts >= TIMESTAMP '2024-01-10 12:00:00' AND ts < make_timestamp(1705900000000000) AND user_id IN (3, 5, 7, 11, 13, 17, 19, 23, 29, 31) AND value <= 99.5
+ AND value <> 50 AND NOT (user_id = 13 AND value > 20) AND regexp_matches(event_type, '(?i)^[A-M]')"""
+)
+def find_typed_values(spark, sf_dir):
+    """Extended JSON values, typed by the fields they are compared with."""
+    events, users = read(spark, sf_dir, "events"), [{"$numberLong": str(n)} for n in (3, 5, 7, 11, 13, 17, 19, 23, 29)]
+    document = {
+        "ts": {"$gte": {"$date": "2024-01-10T13:00:00+01:00"}, "$lt": {"$date": {"$numberLong": "1705900000000"}}}, "user_id": {"$in": [*users, 31, "5", None]},
+        "value": {"$lte": {"$numberDecimal": "99.5"}, "$ne": {"$numberDouble": "50"}}, "$nor": [{"user_id": {"$numberInt": "13"}, "value": {"$gt": 20}}], "event_type": {"$regex": "^[a-m]", "$options": "i"},
+    }
+    return events.filter(browse.where(events.schema, document)).select("event_id", "ts", "user_id", "value")
+
+
+@query("SELECT o_orderkey FROM orders WHERE (o_orderstatus = 'F' AND o_orderpriority = '1-URGENT') OR (o_orderkey % 5 IN (2, 4) AND o_custkey % 3 = 1)")
+def find_subdocuments(spark, sf_dir):
+    """Whole subdocuments, and lists that hold a value."""
+    orders, key = read(spark, sf_dir, "orders"), F.col("o_orderkey")
+    own = orders.select("o_orderkey", F.struct("o_orderstatus", "o_orderpriority").alias("s"), F.array(key % 5, F.lit(None).cast("long")).alias("list"), F.create_map(F.lit("rest"), F.array(F.struct((F.col("o_custkey") % 3).alias("n")))).alias("m"))
+    document = {"$or": [{"s": {"o_orderstatus": "F", "o_orderpriority": "1-URGENT"}}, {"list": {"$in": [2, {"$numberLong": "4"}]}, "m.rest.n": 1}, {"s": {"o_orderpriority": "1-URGENT", "o_orderstatus": "F"}}]}
+    return own.filter(browse.where(own.schema, document)).select("o_orderkey")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'O' ORDER BY o_totalprice DESC, o_orderkey LIMIT 100 OFFSET 150")
+def find_after_row(spark, sf_dir):
+    """Page by page from the last row of the one before, no offset but the first."""
+    orders, wanted, by = read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus"), {"o_orderstatus": "O"}, {"o_totalprice": -1}
+    last = browse.find(orders, ["o_orderkey"], wanted, by, 149, 1).collect()
+    return browse.find_after(orders, ["o_orderkey"], last[0].asDict() if last else {"o_totalprice": None, "o_orderkey": None}, wanted, by, 100).select("o_orderkey", "o_totalprice")
+
+
 @query("SELECT p_partkey, p_name FROM part UNION ALL SELECT -p_partkey - 1, p_name FROM part WHERE p_partkey % 4 = 0")
 def batch_insert(spark, sf_dir):
     part = read(spark, sf_dir, "part").select("p_partkey", "p_name")
