@@ -439,7 +439,7 @@ def _json_snapshots(spark, sf_dir) -> tuple[Repository, str]:
     root = scratch(spark)
     repository = Repository(spark, f"{root}/store", "db")
     for n, state in enumerate(_document_lines(spark, sf_dir), 1):
-        state.write.text(f"{root}/db{n}/documents.json")
+        state.write.option("compression", "gzip").text(f"{root}/db{n}/documents.json")
         repository.create(Database(spark, f"{root}/db{n}"), now=NOW, snapshot_id=f"s{n}")
     return repository, root
 
