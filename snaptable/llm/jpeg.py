@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .encode import batch_blocks
-from .scratch import tidied
+from .scratch import fresh, tidied
 
 
 def _zigzag() -> np.ndarray:
@@ -393,33 +393,50 @@ def encode_media(docs: DataFrame) -> DataFrame:
 
 
 def decode_media(media: DataFrame, column: str = "media") -> DataFrame:
-    """The other columns, with width, height and rgb (height x width x 3 bytes) of each JPEG; null stays null."""
-    kept = [c for c in media.columns if c not in (column, "width", "height", "rgb")]
+    """The other columns, with width, height and rgb (height x width x 3 bytes) of each JPEG; null stays null. Columns of
+    those names stay as they are, and the new ones get underscores."""
+    kept = [c for c in media.columns if c != column]
+    width, height, tensor = (fresh(c, kept) for c in ("width", "height", "rgb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (x for batch in batches for x in batch_blocks(batch, column, 1_000_000, 50)):
             tensors = [to_rgb(read_coefficients(m)) if m is not None else None for m in part.column(column).to_pylist()]
             out = {c: part.column(c) for c in kept}
-            out["width"] = pa.array([t if t is None else t.shape[1] for t in tensors], pa.int32())
-            out["height"] = pa.array([t if t is None else t.shape[0] for t in tensors], pa.int32())
-            out["rgb"] = pa.array([t if t is None else t.tobytes() for t in tensors], pa.binary())
+            out[width] = pa.array([t if t is None else t.shape[1] for t in tensors], pa.int32())
+            out[height] = pa.array([t if t is None else t.shape[0] for t in tensors], pa.int32())
+            out[tensor] = pa.array([t if t is None else t.tobytes() for t in tensors], pa.binary())
             yield pa.RecordBatch.from_pydict(out)
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in media.schema if f.name in kept), "width int, height int, rgb binary"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in media.schema if f.name in kept), f"`{width}` int, `{height}` int, `{tensor}` binary"])
     return media.select(*kept, column).mapInArrow(tidied(run), schema)
 
 
+#: Cells of a thumbnail in each direction.
+GRID = 4
+
+
+def thumbnail(rgb: np.ndarray, grid: int = GRID) -> np.ndarray:
+    """grid x grid x 3 bytes: mean colours of equal cells, rounded down; a cell has one row and column at least."""
+    (height, width), cells = rgb.shape[:2], np.arange(grid)
+    top, left = (np.minimum(cells * n // grid, n - 1) for n in (height, width))
+    sums = np.add.reduceat(np.add.reduceat(rgb.astype(np.int64), top, 0), left, 1) if height >= grid and width >= grid else rgb[top][:, left].astype(np.int64)
+    if height < grid or width < grid:
+        return sums.astype(np.uint8)
+    rows, columns = np.diff(np.append(top, height)), np.diff(np.append(left, width))
+    return (sums // (rows[:, None] * columns[None, :])[:, :, None]).astype(np.uint8)
+
+
 DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
 def media_digest(media: DataFrame) -> DataFrame:
-    """Per row of encode_media, from the stored bytes: the payload's digests and a feature of its RGB tensor."""
+    """Per row of encode_media, from the stored bytes: the payload's digests and a feature of its RGB tensor, its size and
+    a thumbnail of GRID x GRID mean colours in hex."""
 
     def digest(doc_id, n, media: bytes) -> dict:
         image = read_coefficients(media)
         payload, rgb = payload_of(image), to_rgb(image)
-        means = rgb.reshape(-1, 3).sum(0, dtype=np.int64) / (image.width * image.height)
-        feature = f"{image.width}x{image.height}:" + ",".join(f"{m:.3f}" for m in means)
+        feature = f"{image.width}x{image.height}:{thumbnail(rgb).tobytes().hex()}"
         return {"doc_id": doc_id, "n_bytes": n, "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-64:]), "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "feature": feature}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

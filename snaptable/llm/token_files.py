@@ -37,7 +37,7 @@ class SequenceWriter:
     def __init__(self, sink, dtype: np.dtype, length: int, rows: int):
         self.length, self.rows, self.dtype, self.sink = length, rows, dtype, sink
         item = pa.from_numpy_dtype(dtype)
-        self.schema = pa.schema([("ids", pa.list_(item, length)), ("mask", pa.list_(pa.bool_(), length))])
+        self.schema = pa.schema([("ids", pa.list_(item, length)), ("mask", pa.list_(pa.uint8(), length))])
         self.writer = pa.ipc.new_stream(sink, self.schema)
         self.first, self.each, self.pending, self.size = self.schema.serialize().size, 0, [], 0
 
@@ -59,7 +59,7 @@ class SequenceWriter:
         self.pending, self.size = [rest], len(rest)
 
     def _write(self, ids: np.ndarray, n: int) -> None:
-        mask = pa.array(np.arange(len(ids)) < n)
+        mask = pa.array((np.arange(len(ids)) < n).view(np.uint8))
         batch = pa.record_batch(
             [pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(ids)), self.length), pa.FixedSizeListArray.from_arrays(mask, self.length)],
             schema=self.schema,
@@ -81,18 +81,18 @@ class SequenceFile:
         self.file = pa.memory_map(path) if isinstance(fs, pafs.LocalFileSystem) else fs.open_input_file(path)
         self.schema, self.first, self.each = pa.ipc.open_stream(self.file).schema, first_batch, batch_bytes
         self.length = self.schema.field("ids").type.list_size
-        self.at, self.ids = -1, None
+        self.at, self.ids, self.rows = -1, None, 0
 
     def batch(self, k: int) -> pa.RecordBatch:
         self.file.seek(self.first + k * self.each)
         return pa.ipc.read_record_batch(pa.ipc.read_message(self.file), self.schema)
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids (no copy) and mask of the i-th sequence."""
-        rows = self.batch(0).num_rows
-        b, r = self.batch(i // rows), i % rows
+        """Ids and mask (booleans, true for ids that are no padding) of the i-th sequence: views of the file's bytes."""
+        self.rows = self.rows or self.batch(0).num_rows
+        b, r = self.batch(i // self.rows), i % self.rows
         part = slice(r * self.length, (r + 1) * self.length)
-        return b.column("ids").values.to_numpy()[part], b.column("mask").values.to_numpy(zero_copy_only=False)[part]
+        return b.column("ids").values.to_numpy()[part], b.column("mask").values.to_numpy()[part].view(bool)
 
     def span(self, start: int, n: int) -> np.ndarray:
         """Ids of a document at that place in the shard."""

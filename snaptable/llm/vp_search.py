@@ -26,7 +26,7 @@ from .scratch import Scratch
 
 LEAF = 64
 #: Vectors of a shard, about; queries that walk a tree together; regions at most (of each dimension).
-SHARD, BLOCK, REGIONS = 8192, 4096, 1024
+SHARD, BLOCK, REGIONS = 8192, 4096, 1000
 #: Default pruning factor. What a factor skips and loses depends on the vectors; figures for those at hand are in the README.
 FACTOR = 1.3
 
@@ -148,15 +148,27 @@ def _matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table
             yield int(dim), own, own.column("v").combine_chunks().values.to_numpy().reshape(-1, dim)
 
 
+def drawn(rows: DataFrame, sizes: dict[int, int]) -> DataFrame:
+    """dim, at, v: the vectors with the smallest hash of vec_id, one for every SHARD of a dimension's, REGIONS at most."""
+    wanted = {d: min(REGIONS, -(-n // SHARD)) for d, n in sizes.items()}
+    # Few rows pass this: about sixteen times as many as are wanted, 64 at least, or all.
+    share = F.create_map(*[F.lit(x) for d, n in sizes.items() for x in (d, min(1.0, max(64, 16 * wanted[d]) / n))])
+    of = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30))
+    # Each task leaves its first REGIONS of a dimension to the shuffle, as long as Spark's threshold for that is not under it.
+    first = F.row_number().over(Window.partitionBy("dim").orderBy(of, "vec_id", "v"))
+    found = rows.filter(of < share[F.col("dim")] * (1 << 30)).withColumn("at", first).filter(F.col("at") <= REGIONS)
+    return found.filter(F.col("at") <= F.create_map(*[F.lit(x) for d in sizes for x in (d, wanted[d])])[F.col("dim")]).select("dim", "at", "v")
+
+
 def spaces(rows: DataFrame) -> dict[int, Space]:
-    """By dimension. At most REGIONS vectors of each, those with the smallest hash of vec_id, come to the driver."""
+    """By dimension. The vectors that are drawn come to the driver."""
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     sizes = {r["dim"]: r for r in rows.groupBy("dim").agg(F.max(norm).alias("top"), F.count(F.lit(1)).alias("n")).collect()}
-    drawn = rows.withColumn("at", F.row_number().over(Window.partitionBy("dim").orderBy(F.xxhash64("vec_id"), "vec_id", "v"))).filter(F.col("at") <= REGIONS).select("dim", "at", "v")
     found: dict[int, list] = {}
-    for r in sorted(drawn.collect(), key=lambda r: r["at"]):
-        if r["at"] <= -(-sizes[r["dim"]]["n"] // SHARD):
-            found.setdefault(r["dim"], []).append(r["v"])
+    for r in sorted(drawn(rows, {d: r["n"] for d, r in sizes.items()}).collect() if sizes else [], key=lambda r: r["at"]):
+        found.setdefault(r["dim"], []).append(r["v"])
+    for d in sizes.keys() - found:  # no hash was small
+        found[d] = [rows.filter(F.col("dim") == d).orderBy("vec_id", "v").first()["v"]]
     return {d: Space(sizes[d]["top"] * (1 + 1e-12), lifted(np.array(v), sizes[d]["top"])) for d, v in found.items()}
 
 

@@ -69,6 +69,17 @@ def test_media_digest(spark):
     tensors = jpeg.decode_media(jpeg.encode_media(docs)).collect()
     assert all(len(r.rgb) == 3 * r.width * r.height for r in tensors)
     assert jpeg.encode_media(docs.limit(0)).count() == 0
+    clash = jpeg.decode_media(jpeg.encode_media(docs).withColumnRenamed("n_bytes", "width").withColumn("RGB", F.lit("own")))
+    assert clash.columns == ["doc_id", "width", "RGB", "width_", "height", "rgb_"] and {(r["width"], r["RGB"], len(r["rgb_"]) == 3 * r["width_"] * r["height"]) for r in clash.collect()} == {(len((t or "").encode()), "own", True) for _, t in rows}
+
+
+def test_thumbnails():
+    rng = np.random.default_rng(4)
+    for height, width in ((16, 24), (4, 4), (9, 5), (3, 7), (1, 1)):
+        rgb = rng.integers(0, 256, (height, width, 3), np.uint8)
+        top, left = ([min(i * n // 4, n - 1) for i in range(4)] for n in (height, width))
+        want = [[rgb[a : max(b, a + 1), c : max(d, c + 1)].reshape(-1, 3).astype(int).sum(0) // (max(b - a, 1) * max(d - c, 1)) for c, d in zip(left, [*left[1:], width])] for a, b in zip(top, [*top[1:], height])] if min(height, width) >= 4 else rgb[top][:, left]
+        assert jpeg.thumbnail(rgb).tolist() == np.array(want).tolist()
 
 
 def plain_rotation(rows, person):
@@ -142,6 +153,16 @@ def test_search_against_brute_force(spark, factor, monkeypatch):
     assert vp_search.nearest(Scratch(spark, "t"), frame.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_regions_are_drawn_without_a_large_shuffle(spark, monkeypatch):
+    rows = spark.range(200_000).select(F.col("id").alias("vec_id"), F.when(F.col("id") < 0, 3).otherwise(2).alias("dim"), F.array(F.rand(1), F.rand(2)).alias("v"))
+    monkeypatch.setattr(vp_search, "SHARD", 1000)
+    found = vp_search.drawn(rows, {2: 200_000})
+    assert "WindowGroupLimit" in found._jdf.queryExecution().executedPlan().toString()
+    hashes = {r.vec_id: r.h for r in rows.select("vec_id", F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)).alias("h")).collect()}
+    by_v = {tuple(r.v): r.vec_id for r in rows.collect()}
+    assert [by_v[tuple(r.v)] for r in sorted(found.collect(), key=lambda r: r["at"])] == sorted(hashes, key=lambda i: (hashes[i], i))[:200]
+
+
 def test_search_skips_regions_of_other_clusters(spark, monkeypatch):
     """Well separated clusters: exact search leaves most regions out. Dimensions are searched apart; repeated rows are kept."""
     monkeypatch.setattr(vp_search, "SHARD", 100)

@@ -63,7 +63,7 @@ def test_token_files_round_trip(spark):
         seqs, got = SequenceFile(row.tokens_file, row.first_batch, row.batch_bytes), []
         for i in range(-(-row.n_tokens // 16)):
             x, mask = seqs.sequence(i)
-            assert len(x) == 16
+            assert len(x) == len(mask) == 16 and mask.dtype == bool and not (x.flags.owndata or mask.flags.owndata or mask.flags.writeable)
             got += x[mask].tolist()
         assert len(got) == row.n_tokens and got == seqs.span(0, row.n_tokens).tolist()
     empty = write_token_files(frame(spark, [])[["doc_id", "text"]], scratch.path("none"), P.path("word_bpe_49k.json"), 2)
