@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import uuid
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -16,21 +18,44 @@ from ..functions.canon import decoded
 from ..functions.json_text import plain_document
 from ..operators import checks, diff, history, mutate
 from ..sources import files
-from ..sources.database import Database, write
+from ..sources.database import UNREADABLE, Database, write
 from ..sources.store import SNAPSHOTS, State, Store
 
 ROWS = "collection string, id string, hash string, canonical string, file string"
 REFS = "collection string, id string, hash string, file string"
 Pinned = Mapping[str, list[tuple[str, int, int]]]
+#: Reads of a database whose files change meanwhile, before a snapshot of it is flagged or fails.
+READS = 3
 
 
-def scanned(db: Database, pinned: Pinned | None = None, only: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
-    """collection, id, hash, canonical, file of every row of every table, or exactly of the pinned files, or only of some
-    files: one frame, one job. A table without files is read for its schema."""
+@dataclass
+class Read:
+    """What a snapshot is taken from: the pinned files, how each collection is read, the number of each file, and of
+    which files the refs are those of the parent."""
+
+    pinned: Pinned
+    schemas: dict[str, str]
+    keys: dict[str, list[str]]
+    numbers: dict[tuple[str, str], int] = field(default_factory=dict)
+    same: set[int] = field(default_factory=set)
+    consistent: bool = False
+
+    def new(self) -> dict[str, list[str]]:
+        """Files to read, by collection; a collection without files is read for nothing."""
+        own = {c: [p for p, *_ in listed if self.numbers[c, p] not in self.same] for c, listed in self.pinned.items()}
+        return {c: paths for c, paths in own.items() if paths}
+
+    def listed(self) -> list[tuple[str, int, str, int, int]]:
+        return [(c, self.numbers[c, p], p, size, changed) for c, own in self.pinned.items() for p, size, changed in own]
+
+
+def scanned(db: Database, only: Mapping[str, Sequence[str] | None] | None = None, schemas: Mapping[str, str] | None = None) -> DataFrame:
+    """collection, id, hash, canonical, file of every row of every table, or of some files by collection: one frame, one
+    job."""
     out = db.spark.createDataFrame([], ROWS)
-    for name in only if only is not None else pinned or db.names():
-        own = only[name] if only is not None else [p for p, *_ in pinned[name]] if pinned else None
-        out = out.unionByName(db.encoded(name, own or None).select(F.lit(name).alias("collection"), "id", "hash", "canonical", "file"))
+    for name, paths in (only if only is not None else dict.fromkeys(db.names())).items():
+        own = db.encoded(name, paths, (schemas or {}).get(name))
+        out = out.unionByName(own.select(F.lit(name).alias("collection"), "id", "hash", "canonical", "file"))
     return out
 
 
@@ -47,44 +72,58 @@ class Repository:
 
     # --- create
 
-    def create(self, db: Database, message: str = "", *, now: datetime | None = None, snapshot_id: str | None = None, indexes: Mapping[str, Sequence[Mapping]] | None = None) -> Row:
+    def create(self, db: Database, message: str = "", *, now: datetime | None = None, snapshot_id: str | None = None, indexes: Mapping[str, Sequence[Mapping]] | None = None, full: bool = False) -> Row:
         """Take a snapshot of the files that are there now. Indexes default to the declared ones.
 
-        Keys, hashes and files of all rows are staged. Of the hashes that are not stored, one row each is chosen, and
-        only the files that hold such rows are read again for their texts; the first snapshot reads all. Where another
-        writer commits in between, what it stored or deleted is taken into account before this snapshot is committed.
+        A file that the parent was read from, and that has the same size and time since (its table the same schema and
+        key), is not read again: its refs are the parent's. With full, all files are read. Of the hashes of the rest that are not
+        stored, one row each is chosen, and only the files that hold such rows are read again for their texts.
+
+        Files that vanish or change while they are read are read again as they then are; if they go on changing, the
+        snapshot is flagged as not consistent. What other writers store or delete until this snapshot is committed is
+        taken into account.
         """
         now, snapshot_id = now or datetime.now(UTC).replace(tzinfo=None), snapshot_id or uuid.uuid4().hex
-        self._require_new(snapshot_id, self.store.state())
-        pinned, staging = db.pin(), f"{self.store.path}/_staging-{uuid.uuid4().hex[:12]}"
-        scanned(db, pinned).select("collection", "id", "hash", "file").write.parquet(f"{staging}/refs")
-        rows = self.spark.read.schema(REFS).parquet(f"{staging}/refs")
-        checks.require_unique(rows, ["collection", "id"], "the database")
-        counted = {r["collection"]: r["n"] for r in rows.groupBy("collection").agg(F.count(F.lit(1)).alias("n")).collect()}
-        declared, collections = db.declared(), {}
-        for name in pinned:
-            given = (indexes or {}).get(name, declared.get(name, {}).get("indexes", []))
-            own = [(i["name"], list(i["columns"]), i.get("options") or None) for i in given]
-            collections[name] = (counted.get(name, 0), db.schema_json(name, [p for p, *_ in pinned[name]] or None), db.key(name), own)
-        self.store.write_refs(snapshot_id, rows)
-        staged: dict = {}
-
-        def step(base: State) -> None:
-            self._require_new(snapshot_id, base)
-            if staged.get("for") != (base.objects, base.dead):
-                self.store.unstage(staged.get("batch", {}))
-                staged.update({"batch": self._new_batch(db, pinned, rows, base, f"{staging}/new-{base.number}", snapshot_id), "for": (base.objects, base.dead)})
-            old = self.store.snapshots(base)
-            last = history.latest(old).collect()
-            seq = (old.agg(F.max("seq")).first()[0] or 0) + 1
-            row = (snapshot_id, seq, self.store.database, message, [], now, last[0]["snapshot_id"] if last else None, sum(counted.values()), sum(staged["batch"].values()), db.pin() == pinned, collections)
-            objects = self.store.tidied(base, {**base.objects, **staged["batch"]}, base.dead)
-            self.store.commit(base, old.unionByName(self.spark.createDataFrame([row], SNAPSHOTS)), **objects)
-
+        start = self.store.state()
+        self._require_new(snapshot_id, start)
+        latest = history.latest(self.store.snapshots(start)).collect()
+        parent = latest[0] if latest and not full else None
+        staging, staged = f"{self.store.path}/_staging-{uuid.uuid4().hex[:12]}", {}
         try:
+            read, rows = self._read(db, parent, staging)
+            of_file = self.spark.createDataFrame([(c, files.uri(self.spark, p), f) for (c, p), f in read.numbers.items()], "collection string, file string, f int")
+            refs = rows.join(of_file, ["collection", "file"], "left").select("collection", "id", "hash", "f")
+            self.store.write_refs(snapshot_id, refs.unionByName(self._same_refs(parent, read)) if read.same else refs)
+            own = self.store.bucketed_refs(snapshot_id)
+            checks.require_unique(own, ["collection", "id"], "the database")
+            counted = {r["collection"]: r["n"] for r in own.groupBy("collection").agg(F.count(F.lit(1)).alias("n")).collect()}
+            self.store.write_files(snapshot_id, read.listed())
+            declared, collections = db.declared(), {}
+            for name in read.pinned:
+                given = (indexes or {}).get(name, declared.get(name, {}).get("indexes", []))
+                about = [(i["name"], list(i["columns"]), i.get("options") or None) for i in given]
+                collections[name] = (counted.get(name, 0), read.schemas[name], read.keys[name], about)
+
+            def step(base: State) -> None:
+                self._require_new(snapshot_id, base)
+                old = self.store.snapshots(base)
+                if staged.get("for") != (base.objects, base.dead):
+                    self.store.unstage(staged.get("batch", {}))
+                    # The parent's objects are there as long as the parent is.
+                    safe = not read.same or not old.filter(F.col("snapshot_id") == parent["snapshot_id"]).isEmpty()
+                    asked = rows if safe else own.join(of_file, ["collection", "f"])
+                    staged.update({"batch": self._new_batch(db, read, asked, base, f"{staging}/new-{base.number}", snapshot_id), "for": (base.objects, base.dead)})
+                last = history.latest(old).collect()
+                seq = (old.agg(F.max("seq")).first()[0] or 0) + 1
+                row = (snapshot_id, seq, self.store.database, message, [], now, last[0]["snapshot_id"] if last else None, sum(counted.values()), sum(staged["batch"].values()), read.consistent, collections)
+                objects = self.store.tidied(base, {**base.objects, **staged["batch"]}, base.dead)
+                self.store.commit(base, old.unionByName(self.spark.createDataFrame([row], SNAPSHOTS)), **objects)
+
             self.store.retried(step)
         except Exception:
             self.store.unstage(staged.get("batch", {}))
+            if self.store.snapshots().filter(F.col("snapshot_id") == snapshot_id).isEmpty():
+                self.store.delete_refs(snapshot_id)
             raise
         finally:
             files.delete(self.spark, staging)
@@ -94,22 +133,71 @@ class Repository:
         if not self.store.snapshots(base).filter(F.col("snapshot_id") == snapshot_id).isEmpty():
             raise BadRequest(f"snapshot {snapshot_id} is there already")
 
-    def _new_batch(self, db: Database, pinned: Pinned, rows: DataFrame, base: State, staging: str, snapshot_id: str) -> dict[str, int]:
+    def _read(self, db: Database, parent: Row | None, staging: str) -> tuple[Read, DataFrame]:
+        """Pin the database's files and write down collection, id, hash and file of the rows of those that are new."""
+        for attempt in range(READS):
+            read, path = self._planned(db, parent), f"{staging}/refs-{attempt}"
+            try:
+                scanned(db, read.new(), read.schemas).select("collection", "id", "hash", "file").write.parquet(path)
+            except UNREADABLE:
+                if attempt == READS - 1 or db.pin() == read.pinned:
+                    raise
+                continue
+            read.consistent = db.pin() == read.pinned
+            if read.consistent:
+                break
+        return read, self.spark.read.schema(REFS).parquet(path)
+
+    def _planned(self, db: Database, parent: Row | None) -> Read:
+        pinned = db.pin()
+        keys = {c: db.key(c) for c in pinned}
+        read = Read(pinned, {c: db.schema_json(c, [p for p, *_ in own] or None) for c, own in pinned.items()}, keys)
+        before = parent["collections"] if parent else {}
+        known = {(r["collection"], r["path"]): r for r in self.store.files(parent["snapshot_id"]).collect()} if parent else {}  # a row a file
+        unused = itertools.count(max((r["f"] for r in known.values()), default=-1) + 1)
+        for c, own in pinned.items():
+            alike = c in before and before[c]["schema_json"] == read.schemas[c] and list(before[c]["key"]) == keys[c]
+            for path, size, changed in own:
+                r = known.get((c, path))
+                same = alike and r is not None and (r["bytes"], r["changed"]) == (size, changed)
+                read.numbers[c, path] = r["f"] if same else next(unused)
+                read.same |= {r["f"]} if same else set()
+        return read
+
+    def _same_refs(self, parent: Row, read: Read) -> DataFrame:
+        """The parent's refs from files that are the same."""
+        own = self.store.bucketed_refs(parent["snapshot_id"]).select("collection", "id", "hash", "f")
+        gone = {r["f"] for r in self.store.files(parent["snapshot_id"]).select("f").collect()} - read.same
+        if len(gone) <= 1000:
+            return own.filter(~F.col("f").isin(*gone)) if gone else own
+        return own.join(self.spark.createDataFrame([(f,) for f in sorted(read.same)], "f int"), "f", "left_semi").select("collection", "id", "hash", "f")
+
+    def _new_batch(self, db: Database, read: Read, rows: DataFrame, base: State, staging: str, snapshot_id: str) -> dict[str, int]:
         """Stage the objects of rows(collection, id, hash, file) that are not stored."""
-        if not base.objects:
-            return self.store.stage(scanned(db, pinned).dropDuplicates(["hash"]), snapshot_id)
+        if not base.objects and not read.same:
+            return self.store.stage(scanned(db, read.new(), read.schemas).dropDuplicates(["hash"]), snapshot_id)
         new = rows.join(self.store.hashes(base), "hash", "left_anti").groupBy("hash").agg(F.min(F.struct("collection", "file")).alias("at"))
         new.select("hash", "at.collection", "at.file").write.parquet(staging)
         new = self.spark.read.schema("hash string, collection string, file string").parquet(staging)
         only: dict[str, list[str]] = {}
-        paths = {c: {files.uri(self.spark, p): p for p, *_ in own} for c, own in pinned.items()}
-        for r in new.select("collection", "file").distinct().collect():  # files, which pinned holds too
-            only.setdefault(r["collection"], []).append(paths[r["collection"]].get(r["file"], r["file"]))
+        paths = {(c, files.uri(self.spark, p)): p for c, p in read.numbers}
+        for r in new.select("collection", "file").distinct().collect():  # files, which are pinned
+            only.setdefault(r["collection"], []).append(paths.get((r["collection"], r["file"]), r["file"]))
         if not only:
             return {}
-        texts = scanned(db, only={c: sorted(own) for c, own in only.items()}).join(new, ["hash", "collection", "file"], "left_semi")
+        texts = scanned(db, {c: sorted(own) for c, own in only.items()}, read.schemas).join(new, ["hash", "collection", "file"], "left_semi")
         return self.store.stage(texts.dropDuplicates(["hash"]), snapshot_id)
 
+    def files(self, text: str, live: Database | None = None) -> DataFrame:
+        """collection, path, bytes, rows and checksum (of keys and hashes) of the files that a snapshot was read from; with live,
+        also state: same, changed or gone, by size and time."""
+        own = self.store.files(self.get(text)["snapshot_id"])
+        if live is None:
+            return own.select("collection", "path", "bytes", "rows", "checksum")
+        there = self.spark.createDataFrame([(c, *x) for c, listed in live.pin().items() for x in listed], "collection string, path string, bytes_ long, changed_ long")
+        state = F.when(F.col("bytes_").isNull(), "gone").when((F.col("bytes_") == F.col("bytes")) & (F.col("changed_") == F.col("changed")), "same").otherwise("changed")
+        return own.join(there, ["collection", "path"], "left").select("collection", "path", "bytes", "rows", "checksum", state.alias("state"))
+
     # --- history
 
     def log(self, order: str = "desc") -> DataFrame:

@@ -18,6 +18,7 @@ from .plans.repository import Repository
 from .sources import files
 from .sources.database import Database, counts
 from .sources.store import Store, new_objects
+from .streaming.periodic import periodic
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -382,6 +383,51 @@ def restored_counts(spark, sf_dir):
     return repository.restore("s1", Database(spark, f"{root}/restored"))
 
 
+@query("SELECT 'orders' AS collection, true AS consistent, 'same' AS states, CAST(count(*) AS BIGINT) AS rows FROM orders UNION ALL SELECT 'documents', true, 'same', CAST(count(*) AS BIGINT) FROM documents")
+def snapshot_files(spark, sf_dir):
+    """The files of a snapshot: whether all were read at one point in time, whether they are as they were, and their rows."""
+    repository, _ = _snapshot(spark, sf_dir, "orders", "documents")
+    found = repository.files("s1", Database(spark, sf_dir, only=["orders", "documents"])).groupBy("collection").agg(F.array_join(F.array_sort(F.collect_set("state")), ",").alias("states"), F.sum("rows").alias("rows"))
+    return found.join(repository.log().select("consistent")).select("collection", "consistent", "states", "rows")
+
+
+@query("SELECT 'auto-00000000' AS snapshot_id, NULL AS parent_id, (SELECT count(*) FROM orders WHERE o_orderkey % 3 <> 0) AS doc_count, (SELECT count(*) FROM orders WHERE o_orderkey % 3 <> 0) AS new_objects UNION ALL SELECT 'auto-00000001', 'auto-00000000', (SELECT count(*) FROM orders), (SELECT count(*) FROM orders WHERE o_orderkey % 3 = 0)")
+def periodic_snapshots(spark, sf_dir):
+    """A stream takes a snapshot for each batch of new files; the second one reads the second batch's files alone."""
+    root, orders = scratch(spark), read(spark, sf_dir, "orders")
+    repository, db = Repository(spark, f"{root}/store", "db"), Database(spark, f"{root}/db")
+    for part in (orders.filter("o_orderkey % 3 <> 0"), orders.filter("o_orderkey % 3 = 0")):
+        part.write.mode("append").parquet(f"{root}/db/orders.parquet")
+        periodic(repository, db, "orders", f"{root}/progress", now=NOW).awaitTermination()
+    return repository.log().select("snapshot_id", "parent_id", "doc_count", "new_objects")
+
+
+@query("SELECT 'empty' AS collection, CAST(0 AS BIGINT) AS doc_count UNION ALL SELECT 'nation', CAST(count(*) AS BIGINT) FROM nation")
+def collections_created_and_dropped(spark, sf_dir):
+    root, nations = scratch(spark), read(spark, sf_dir, "nation")
+    db = Database(spark, f"{root}/db")
+    for name in ("empty", "nation", "gone"):
+        db.create(name, nations.schema)
+    for name in ("nation", "gone"):
+        db.replace(name, nations)
+    db.drop("gone")
+    return db.stats().select("collection", "doc_count")
+
+
+@query("SELECT 'customer' AS collection, 'c_custkey' AS key, 'by_name' AS index, 'c_name' AS columns, 'true' AS sparse, CAST(count(*) AS BIGINT) AS docs FROM customer UNION ALL SELECT 'conversations', 'conv_id,turn', NULL, NULL, NULL, CAST(count(*) AS BIGINT) FROM conversations")
+def captured_indexes(spark, sf_dir):
+    """Keys and indexes through a snapshot and a restore, as the restored database declares them."""
+    root = scratch(spark)
+    repository, names = Repository(spark, f"{root}/store", "db"), ("customer", "conversations")
+    index = [{"name": "by_name", "columns": ["c_name"], "options": {"sparse": "true"}}]
+    repository.create(Database(spark, sf_dir, {"conversations": ["conv_id", "turn"]}, names), now=NOW, snapshot_id="s1", indexes={"customer": index})
+    target = Database(spark, f"{root}/restored")
+    docs = repository.restore("s1", target)
+    about = [(c, ",".join(d["key"]), i["name"], ",".join(i["columns"]), i["options"]["sparse"]) for c, d in target.declared().items() for i in d["indexes"] or [{"name": None, "columns": [], "options": {"sparse": None}}]]
+    own = spark.createDataFrame(about, "collection string, key string, index string, columns string, sparse string")
+    return own.join(docs, "collection").withColumn("columns", F.when(F.col("columns") != "", F.col("columns")))
+
+
 TEXTS = "SELECT DISTINCT sha256(text) AS hash, text AS canonical, doc_id % 2 = 0 AS even FROM documents"
 
 

@@ -58,26 +58,27 @@ class Database:
     def is_json(self, collection: str) -> bool:
         return self.location(collection).endswith((".json", ".jsonl"))
 
-    def read(self, collection: str, pinned: Sequence[str] | None = None) -> DataFrame:
-        """The whole table, or exactly the pinned files of it."""
-        path = self.location(collection)
-        plain = path.endswith((".json", ".jsonl"))
-        if pinned is None:
-            return self.spark.read.json(path) if plain else self.spark.read.parquet(path)
-        return self.spark.read.json(list(pinned)) if plain else self.spark.read.parquet(*pinned)
+    def read(self, collection: str, pinned: Sequence[str] | None = None, schema_json: str | None = None) -> DataFrame:
+        """The whole table, or exactly the pinned files of it; by a schema, or that of its files."""
+        path, reader = self.location(collection), self.spark.read
+        if schema_json:
+            reader = reader.schema(T.StructType.fromJson(json.loads(schema_json)))
+        if path.endswith((".json", ".jsonl")):
+            return reader.json(list(pinned or [path]))
+        return reader.parquet(*pinned or [path])
 
     def documents(self, collection: str, pinned: Sequence[str] | None = None) -> DataFrame:
         """The column document: each JSON document's line as it stands."""
         lines = self.spark.read.text(list(pinned) if pinned else self.location(collection))
         return lines.select(F.col("value").alias("document")).filter(F.trim("document") != "")
 
-    def rows(self, collection: str, pinned: Sequence[str] | None = None) -> DataFrame:
+    def rows(self, collection: str, pinned: Sequence[str] | None = None, schema_json: str | None = None) -> DataFrame:
         """What is counted and copied: documents of JSON, rows of Parquet."""
-        return self.documents(collection, pinned) if self.is_json(collection) else self.read(collection, pinned)
+        return self.documents(collection, pinned) if self.is_json(collection) else self.read(collection, pinned, schema_json)
 
-    def encoded(self, collection: str, pinned: Sequence[str] | None = None) -> DataFrame:
+    def encoded(self, collection: str, pinned: Sequence[str] | None = None, schema_json: str | None = None) -> DataFrame:
         """id, hash, canonical and file (where it lies) of every row or document."""
-        own = self.rows(collection, pinned)
+        own = self.rows(collection, pinned, schema_json)
         if self.is_json(collection):
             return encoded_documents(own.select("document", F.col("_metadata.file_path").alias("file")), self.key(collection))
         # A table may have a column of its own that is called _metadata.

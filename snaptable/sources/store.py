@@ -4,8 +4,10 @@
                           /snapshots/<name>          a row a snapshot; written anew at each commit that changes them
                           /objects/b=<batch>         hash, canonical; a batch a snapshot that brought new ones
                           /dead/<name>               hash, b: objects of live batches that were deleted
-                          /docrefs/snapshot_id=<id>  r, collection, id, hash; bucketed by key; r is a range of its hash
+                          /docrefs/snapshot_id=<id>  r, collection, id, hash, f; bucketed by key; r is a range of its
+                                                     hash, f the number of the file that the row was read from
                           /digests/snapshot_id=<id>  for each r, the number of refs and two sums of their hashes
+                          /files/snapshot_id=<id>    for each f, where the file was, its size and time, rows and checksum
 
 Data is written first and the next commit last, by a rename that fails if that number is taken: of writers that started from one
 state, one commits, and the others meet Conflict and start again from the new state. What a crash leaves is data nothing
@@ -40,6 +42,7 @@ SHARE, BATCHES, DEAD_TABLES, TRIES = 0.3, 24, 8, 20
 #: Refs of a bucket, about; ranges of keys with a digest in each bucket; buckets at most.
 ROWS, RANGES, BUCKETS = 125_000, 16, 16_384
 REFS = "id string, hash string, snapshot_id string, collection string"
+FILES = "collection string, f int, path string, bytes long, changed long, rows long, checksum string"
 INDEX = "struct<name:string,columns:array<string>,options:map<string,string>>"
 SNAPSHOTS = (
     "snapshot_id string, seq long, database string, message string, tags array<string>, created_at timestamp, parent_id string, "
@@ -222,12 +225,13 @@ class Store:
     # --- refs
 
     def write_refs(self, snapshot_id: str, refs: DataFrame) -> None:
-        """collection, id, hash of a snapshot: bucketed by ranges of the keys' hashes, in key order, and their digests.
-        Snapshots of about one size have the same ranges and buckets."""
+        """collection, id, hash (and f) of a snapshot: bucketed by key, in order of ranges of the keys' hashes, and the ranges'
+        digests. Snapshots of about one size have the same ranges and buckets."""
         path, buckets = f"{self.path}/docrefs/snapshot_id={snapshot_id}", min(BUCKETS, 1 << (refs.count() // ROWS).bit_length())
         files.delete(self.spark, path)
         r = F.pmod(F.hash("collection", "id"), F.lit(buckets * RANGES))  # of this hash, buckets are the remainder by their number
-        rows = refs.select(r.alias("r"), "collection", "id", "hash").repartition(buckets, "collection", "id").sortWithinPartitions("r", "collection", "id")
+        f = F.col("f") if "f" in refs.columns else F.lit(None).cast("int").alias("f")
+        rows = refs.select(r.alias("r"), "collection", "id", "hash", f).repartition(buckets, "collection", "id").sortWithinPartitions("r", "collection", "id")
         name = f"refs_{uuid.uuid4().hex}"
         rows.write.bucketBy(buckets, "collection", "id").sortBy("r", "collection", "id").option("path", path).saveAsTable(name)
         self.spark.sql(f"DROP TABLE {name}")  # its files stay
@@ -241,10 +245,14 @@ class Store:
         there = [name for name, *_ in files.listing(self.spark, f"{self.path}/docrefs")]
         return self._read(REFS, "docrefs", [n for n in there if not snapshot_ids or n.removeprefix("snapshot_id=") in snapshot_ids])
 
+    def bucketed_refs(self, snapshot_id: str) -> DataFrame:
+        """r, collection, id, hash, f of a snapshot; grouped by key they need no exchange."""
+        return self._bucketed(snapshot_id, self._digests(snapshot_id)[0])
+
     def _bucketed(self, snapshot_id: str, buckets: int) -> DataFrame:
-        """r, collection, id, hash of a snapshot; a join by key of two with equally many buckets needs no exchange."""
+        """r, collection, id, hash, f of a snapshot; a join by key of two with equally many buckets needs no exchange."""
         name, path = f"refs_{uuid.uuid4().hex}", f"{self.path}/docrefs/snapshot_id={snapshot_id}"
-        self.spark.sql(f"CREATE TABLE {name} (r INT, collection STRING, id STRING, hash STRING) USING parquet CLUSTERED BY (collection, id) SORTED BY (r, collection, id) INTO {buckets} BUCKETS LOCATION '{path}'")
+        self.spark.sql(f"CREATE TABLE {name} (r INT, collection STRING, id STRING, hash STRING, f INT) USING parquet CLUSTERED BY (collection, id) SORTED BY (r, collection, id) INTO {buckets} BUCKETS LOCATION '{path}'")
         try:
             return self.spark.table(name)
         finally:
@@ -273,8 +281,23 @@ class Store:
             return left, right
         return left.filter(F.col("r").isin(ranges)), right.filter(F.col("r").isin(ranges))
 
+    def write_files(self, snapshot_id: str, read: list[tuple[str, int, str, int, int]]) -> None:
+        """Of the files (collection, f, path, bytes, time) that a snapshot's refs were read from, also the rows and a sum
+        of their hashes."""
+        one = F.xxhash64("collection", "id", "hash").cast("decimal(20,0)")
+        sums = self.bucketed_refs(snapshot_id).groupBy("f").agg(F.count(F.lit(1)).alias("rows"), F.sum(one).cast("string").alias("checksum"))
+        listed = self.spark.createDataFrame(read, "collection string, f int, path string, bytes long, changed long").join(sums, "f", "left")
+        files.delete(self.spark, f"{self.path}/files/snapshot_id={snapshot_id}")
+        listed.select("collection", "f", "path", "bytes", "changed", F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("checksum", F.lit("0")).alias("checksum")).coalesce(1).write.parquet(f"{self.path}/files/snapshot_id={snapshot_id}")
+
+    def files(self, snapshot_id: str) -> DataFrame:
+        """The files that a snapshot was read from; none if that is not known."""
+        name = f"snapshot_id={snapshot_id}"
+        there = files.exists(self.spark, f"{self.path}/files/{name}")
+        return self._read(FILES, "files", [name] if there else [])
+
     def delete_refs(self, snapshot_id: str) -> None:
-        for folder in ("docrefs", "digests"):
+        for folder in ("docrefs", "digests", "files"):
             files.delete(self.spark, f"{self.path}/{folder}/snapshot_id={snapshot_id}")
 
     # --- snapshots

@@ -12,7 +12,8 @@ from ..sources.database import Database
 
 
 def periodic(repository: Repository, db: Database, collection: str, checkpoint: str, keep_last: int | None = None, now: datetime | None = None, name: str = "auto") -> StreamingQuery:
-    """Snapshot the database for each batch of new files of one of its tables, as long as there are any.
+    """Snapshot the database for each batch of new files of one of its tables, as long as there are any. Only files
+    that are new since the last snapshot are read; the rest of the refs are that one's.
 
     The batch number is the snapshot's id, so a batch that runs again after a crash takes no second one.
     """

@@ -212,10 +212,98 @@ def test_only_files_with_new_rows_are_read_again(spark, tmp_path, repo, monkeypa
     repo.create(db, now=T0, snapshot_id="s1")
     spark.createDataFrame([(100, "new"), (101, "x" * 7)], "k int, v string").coalesce(1).write.mode("append").parquet(f"{db.path}/a.parquet")
     read, encoded_ = [], db.encoded
-    monkeypatch.setattr(db, "encoded", lambda c, pinned=None: (read.append((c, len(pinned or []))), encoded_(c, pinned))[1])
+    monkeypatch.setattr(db, "encoded", lambda c, pinned=None, schema_json=None: (read.append((c, len(pinned or []))), encoded_(c, pinned, schema_json))[1])
     assert repo.create(db, now=T0, snapshot_id="s2").new_objects == 2
-    assert read[-1] == ("a", 1) and len(read) == 3  # all files of both tables for keys and hashes, then one file
+    assert read == [("a", 1), ("a", 1)]  # the new file for keys and hashes, and for texts
     assert rows(repo.rows("s2", "a")) == rows(db.read("a"))
+    read.clear()
+    assert repo.create(db, now=T0, snapshot_id="s3", full=True).new_objects == 0
+    assert [c for c, _ in read] == ["a", "b"] and read[0][1] > 1 and repo.diff("s2", "s3").isEmpty()
+
+
+def test_snapshots_from_the_parents_refs_equal_full_ones(spark, tmp_path, repo):
+    """Files that are added, changed, taken away, or of a table with another schema or key; against full snapshots."""
+    db = write(spark, tmp_path / "db", a=([(n, f"v{n}") for n in range(40)], "k int, v string"), b=AB, c=AB)
+    repo.create(db, now=T0, snapshot_id="s0")
+    parts = sorted((tmp_path / "db/a.parquet").glob("part-*"))
+
+    def added():
+        spark.createDataFrame([(100, "new")], "k int, v string").write.mode("append").parquet(f"{db.path}/a.parquet")
+
+    def gone():
+        parts[0].unlink()
+
+    def changed():
+        at = Database(spark, str(tmp_path / "other"))
+        at.replace("x", spark.createDataFrame([(n, "changed") for n in range(500, 505)], "k int, v string").coalesce(1))
+        (part,) = (tmp_path / "other/x.parquet").glob("part-*.parquet")
+        parts[1].write_bytes(part.read_bytes())
+        parts[1].with_name(f".{parts[1].name}.crc").unlink(missing_ok=True)
+
+    def schema():
+        write(spark, tmp_path / "db", b=([(1, "x", None), (2, "y", 1)], "k int, v string, more int"))
+
+    def key():
+        db.keys["c"] = ["v"]
+
+    def dropped():
+        db.drop("b")
+
+    for n, change in enumerate((added, gone, changed, schema, key, dropped, lambda: None), 1):
+        change()
+        row = repo.create(db, now=T0 + timedelta(hours=n), snapshot_id=f"s{n}")
+        whole = Repository(spark, f"{tmp_path}/full-{n}", "db")
+        whole.create(db, now=T0, snapshot_id="w")
+        assert rows(repo.store.refs(f"s{n}").select("collection", "id", "hash")) == rows(whole.store.refs("w").select("collection", "id", "hash")) and row.consistent
+        assert {c: (x.doc_count, x.schema_json, x.key) for c, x in row.collections.items()} == {c: (x.doc_count, x.schema_json, x.key) for c, x in whole.get("w").collections.items()}
+        files_ = ["collection", "path", "rows", "checksum"]
+        assert rows(repo.files(f"s{n}").select(files_)) == rows(whole.files("w").select(files_))
+        for c in db.names():
+            assert rows(repo.rows(f"s{n}", c)) == rows(db.read(c))
+    assert {(r.collection, r.state) for r in repo.files("s0", db).collect()} == {("a", "same"), ("a", "changed"), ("a", "gone"), ("b", "gone"), ("c", "same")}
+
+
+def test_files_that_change_while_they_are_read(spark, tmp_path, repo, monkeypatch):
+    db = write(spark, tmp_path / "db", a=([(n, f"v{n}") for n in range(20)], "k int, v string"))
+    parts, planned, changes = sorted((tmp_path / "db/a.parquet").glob("part-*")), repo._planned, []
+
+    def vanishing(own, parent):
+        read = planned(own, parent)
+        if changes:
+            changes.pop()()
+        return read
+
+    monkeypatch.setattr(repo, "_planned", vanishing)
+    changes.append(lambda: parts[0].unlink())
+    row = repo.create(db, now=T0, snapshot_id="s1")
+    assert row.consistent and row.doc_count == db.read("a").count() < 20
+    changes.append(lambda: spark.createDataFrame([(50, "n")], "k int, v string").write.mode("append").parquet(f"{db.path}/a.parquet"))
+    row = repo.create(db, now=T0, snapshot_id="s2")
+    assert row.consistent and rows(repo.rows("s2", "a")) == rows(db.read("a"))
+    grow = lambda: (changes.append(grow), spark.createDataFrame([(60 + len(rows(db.read("a"))), "n")], "k int, v string").write.mode("append").parquet(f"{db.path}/a.parquet"))
+    changes.append(grow)
+    assert not repo.create(db, now=T0, snapshot_id="s3").consistent
+    changes.clear()
+    parts[-1].write_bytes(b"no table")
+    parts[-1].with_name(f".{parts[-1].name}.crc").unlink(missing_ok=True)
+    with pytest.raises(Exception, match="(?i)parquet|footer|read"):
+        repo.create(db, now=T0, snapshot_id="s4")
+    assert [r.snapshot_id for r in repo.log("asc").collect()] == ["s1", "s2", "s3"] and repo.store.refs("s4").count() == 0
+
+
+def test_a_sweep_of_the_parent_while_its_refs_are_taken_over(spark, tmp_path, repo, monkeypatch):
+    db = write(spark, tmp_path / "db", a=([(n, f"v{n}") for n in range(10)], "k int, v string"))
+    repo.create(db, now=T0, snapshot_id="s1")
+    other, write_files = Repository(spark, repo.root, "shop/db"), repo.store.write_files
+
+    def crossing(*args):
+        write_files(*args)
+        other.create(write(spark, tmp_path / "small", a=([(1, "z")], "k int, v string")), now=T0 + timedelta(hours=1), snapshot_id="small")
+        other.gc(1)
+
+    monkeypatch.setattr(repo.store, "write_files", crossing)
+    assert repo.create(db, now=T0 + timedelta(hours=2), snapshot_id="s2").new_objects == 10
+    assert rows(repo.rows("s2", "a")) == rows(db.read("a")) and [r.snapshot_id for r in repo.log("asc").collect()] == ["small", "s2"]
 
 
 def plan(df):
@@ -435,11 +523,16 @@ def test_collections(spark, tmp_path):
         db.read("a")
 
 
-def test_periodic(spark, tmp_path, repo):
+def test_periodic(spark, tmp_path, repo, monkeypatch):
     db = write(spark, tmp_path / "db", a=AB)
+    read, encoded_ = [], db.encoded
+    monkeypatch.setattr(db, "encoded", lambda c, pinned=None, schema_json=None: (read.append(len(pinned or [])), encoded_(c, pinned, schema_json))[1])
     for _ in range(2):
         periodic(repo, db, "a", f"{tmp_path}/ck", now=T0).awaitTermination()
         assert [r.snapshot_id for r in repo.log().collect()] == ["auto-00000000"]
     spark.createDataFrame([(5, "n")], AB[1]).write.mode("append").parquet(f"{tmp_path}/db/a.parquet")
+    read.clear()
     periodic(repo, db, "a", f"{tmp_path}/ck", now=T0).awaitTermination()
     assert [r.doc_count for r in repo.log("asc").collect()] == [2, 3]
+    new = [p for p, *_ in db.pin()["a"] if p not in {r.path for r in repo.files("auto-00000000").collect()}]
+    assert read and max(read) <= len(new) < len(db.pin()["a"])
