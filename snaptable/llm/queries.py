@@ -15,6 +15,7 @@ from .jpeg import encode_media, media_digest
 from .licenses import license_digest, scan_licenses
 from .mixing import ORACLE as MIXING_SQL
 from .mixing import mixed_rows
+from .near_dedup import ORACLE as NEAR_SQL
 from .near_dedup import linked
 from .packing import pack
 from .pieces import token_pieces
@@ -97,4 +98,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_token_files, op2_pitman_yor, op3_packing, op4_mixing, op5_toxicity, op6_chat_rotation, op7_progressive_jpeg, op8_token_counts, op9_near_dedup, op10_vp_search, op11_slice_codes, op12_license_scan, op13_fp_divergence)
 }
-ORACLE_SQL: dict[str, str] = {"op4_mixing": MIXING_SQL, "op6_chat_rotation": CHAT_SQL, "op11_slice_codes": CODES_SQL, "op13_fp_divergence": DIVERGENCE_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_mixing": MIXING_SQL, "op6_chat_rotation": CHAT_SQL, "op9_near_dedup": NEAR_SQL, "op11_slice_codes": CODES_SQL, "op13_fp_divergence": DIVERGENCE_SQL}
