@@ -12,9 +12,11 @@ the buckets tell a word's owner how many tables they have for it, and the owner
 answers. A pair with one customer has one table, so only the others are drawn and only their words are told.
 
 The first seating gives every pair and every word of the parent one table. SCANS scans follow in SAMPLES
-chains: a bucket draws the tables of half of its pairs, all customers of a pair at once, by their
-distribution given everything else (`drawn`), then those of the other half; then owners draw the parent's. At the
-end a bucket answers each chunk with the counts of the pairs, contexts and words that it asked about, in its
+chains: in each a bucket goes through its pairs SWEEPS times, a random half of them and then the other, and
+draws the tables of all customers of a pair at once (`drawn`), by their distribution given the parent and what
+the context's other pairs held before that half was drawn; then owners draw the parent's, given the buckets'. Within
+a half, pairs of a context do not see each other's draws: tests hold the outcome against seating one by one. At
+the end a bucket answers each chunk with the counts of the pairs, contexts and words that it asked about, in its
 own order; the chunk averages the predictive probabilities over the chains and adds up its documents.
 
 All that is written or sent is linear in the input: distinct pairs of chunks and of buckets.
@@ -49,6 +51,8 @@ CHUNK_BYTES = 26_000_000
 #: Customers up to which tables are drawn by exact weights; beyond, by their limit law.
 EXACT = 1024
 SCANS, SAMPLES = 3, 3
+#: Times that a bucket draws all its pairs in a scan.
+SWEEPS = 4
 DISCOUNT, STRENGTH = (0.6, 0.8), (50.0, 1.0)  # of the parent, of the contexts
 END = b"\n"
 
@@ -350,9 +354,12 @@ def _limit(c: np.ndarray, weight: np.ndarray, d: float) -> tuple[np.ndarray, np.
     return mean, mean - c * (c / (c + np.expm1(low) ** 2 * weight * (1 - d) * np.exp((d - 2) * low)))
 
 
-def drawn(c: np.ndarray, weight: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables of c customers each, drawn with chances weight**t * partitions[c, t]: those of Gibbs sampling where a
-    new table has that weight and a taken one its customers - d."""
+def drawn(c: np.ndarray, weight: np.ndarray, d: float, rng: np.random.Generator, step: np.ndarray | None = None, last: np.ndarray | None = None) -> np.ndarray:
+    """Tables of c customers each, drawn with chances partitions[c, t] * weight * (weight + step) * ... of t factors: those
+    of Gibbs sampling where the first new table has that weight, each one more by step, and a taken one its customers - d.
+    Beyond EXACT customers, the middle factor of the last number of tables stands for all."""
+    if step is None:
+        step, last = np.zeros(len(c)), np.ones(len(c))
     out = np.minimum(c, 1).astype(np.float64)
     order = np.argsort(c, kind="stable")
     order = order[np.searchsorted(c[order], 2) :]
@@ -361,15 +368,15 @@ def drawn(c: np.ndarray, weight: np.ndarray, d: float, rng: np.random.Generator)
         n = int(c[order[a]])
         if n > EXACT:
             rows = order[a:]
-            mean, variance = _limit(c[rows].astype(float), weight[rows], d)
+            mean, variance = _limit(c[rows].astype(float), weight[rows] + step[rows] * (last[rows] - 1) / 2, d)
             few = 1 + rng.poisson(np.minimum(mean, 50))
             many = np.rint(mean + variance / np.maximum(mean, 1e-9) + np.sqrt(np.maximum(variance, 0)) * rng.standard_normal(len(rows)))
             out[rows] = np.clip(np.where(mean <= 50, few, many), 1, c[rows])
             break
-        step = max(1, 1_000_000 // n)
-        for i in range(a, z, step):
-            rows = order[i : min(i + step, z)]
-            x = known[n, 1 : n + 1] + np.log(weight[rows])[:, None] * np.arange(1, n + 1)
+        some = max(1, 1_000_000 // n)
+        for i in range(a, z, some):
+            rows = order[i : min(i + some, z)]
+            x = known[n, 1 : n + 1] + np.cumsum(np.log(weight[rows, None] + step[rows, None] * np.arange(n)), axis=1)
             x = np.cumsum(np.exp(x - x.max(1, keepdims=True)), axis=1)
             out[rows] = 1 + (rng.random(len(rows))[:, None] * x[:, -1:] >= x).sum(1)
     return np.minimum(out, c)
@@ -445,6 +452,18 @@ def owned(kept: DataFrame, deal: Deal) -> DataFrame:
     return kept.filter(F.col("kind").isin(TOLD, OWN_KINDS)).repartition(deal.buckets, "peer").groupBy("peer").applyInArrow(_tidy(run), BLOB)
 
 
+def swept(customers: np.ndarray, context: np.ndarray, elsewhere: np.ndarray, chance: np.ndarray, tables: np.ndarray, rng: np.random.Generator, sweeps: int = SWEEPS) -> np.ndarray:
+    """tables of the pairs after some sweeps. elsewhere: tables of each context that are not its pairs' here; chance: the
+    parent's predictive probability of each pair's word."""
+    now, theta, d = tables.astype(np.float64), STRENGTH[1], DISCOUNT[1]
+    for _ in range(sweeps):
+        half = rng.random(len(now)) < 0.5
+        for part in (half, ~half):
+            others = (elsewhere + np.bincount(context, now, len(elsewhere)))[context[part]] - now[part]
+            now[part] = drawn(customers[part], (theta + d * others) * chance[part], d, rng, d * chance[part], now[part])
+    return now
+
+
 def scanned(rows: DataFrame, scan: int, parent: Parent, deal: Deal) -> DataFrame:
     """Draws the tables of the buckets' pairs, given the parent. rows: DRAW, ANSWERS and the last TABLES."""
 
@@ -454,15 +473,13 @@ def scanned(rows: DataFrame, scan: int, parent: Parent, deal: Deal) -> DataFrame
         n, customers, context, word, split = len(x["customers"]), x["customers"].astype(np.int64), x["context"].astype(np.int64), x["word"].astype(np.int64), x["split"]
         last = r[TABLES][0][2]["tables"] if TABLES in r else [np.ones(n)] * SAMPLES
         answers, rng, rows = r.get(ANSWERS, []), np.random.default_rng([11, scan, bucket]), []
-        half, tables, theta, d = rng.random(n) < 0.5, [], STRENGTH[1], DISCOUNT[1]
+        tables = []
         for s in range(SAMPLES):
             m, t = (np.concatenate([a[c][s] for *_, a in answers]).astype(float) if answers else np.zeros(0) for c in ("served", "seated"))
-            chance, now = parent.word_chance(m, t, s)[word], last[s].astype(np.float64)
-            for part in (half, ~half):
-                held = x["single"] + np.bincount(context, now, len(x["single"]))
-                held = np.where(split >= 0, parent.tables[s][split] if len(deal.split) else 0, held)
-                now[part] = drawn(customers[part], (theta + d * held[context[part]]) * chance[part], d, rng)
-            tables.append(now)
+            chance, start = parent.word_chance(m, t, s)[word], last[s].astype(np.float64)
+            # Tables of the context's pairs elsewhere: those of one customer, and, if the context is split, what other buckets had.
+            elsewhere = np.where(split >= 0, (parent.tables[s][split] if len(deal.split) else 0) - np.bincount(context, start, len(x["single"])), x["single"])
+            tables.append(swept(customers, context, elsewhere, chance, start, rng))
         rows.append(_row(TABLES, bucket, -1, {"tables": [_narrow(t) for t in tables]}))
         sums = [np.bincount(word, t, int(x["told"].sum())) for t in tables]
         ends = np.cumsum(x["told"])

@@ -38,7 +38,7 @@ class SequenceWriter:
         self.length, self.rows, self.dtype, self.sink = length, rows, dtype, sink
         item = pa.from_numpy_dtype(dtype)
         self.schema = pa.schema([("ids", pa.list_(item, length)), ("mask", pa.list_(pa.uint8(), length))])
-        self.writer = pa.ipc.new_stream(sink, self.schema)
+        self.writer, self.full = pa.ipc.new_stream(sink, self.schema), pa.array(np.ones(length * rows, np.uint8))
         self.first, self.each, self.pending, self.size = self.schema.serialize().size, 0, [], 0
 
     def add(self, ids: np.ndarray) -> None:
@@ -59,7 +59,7 @@ class SequenceWriter:
         self.pending, self.size = [rest], len(rest)
 
     def _write(self, ids: np.ndarray, n: int) -> None:
-        mask = pa.array((np.arange(len(ids)) < n).view(np.uint8))
+        mask = self.full if n == len(ids) else pa.array((np.arange(len(ids)) < n).view(np.uint8))
         batch = pa.record_batch(
             [pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(ids)), self.length), pa.FixedSizeListArray.from_arrays(mask, self.length)],
             schema=self.schema,

@@ -217,6 +217,41 @@ def test_tables_follow_their_distribution(monkeypatch):
         assert exact.std() > 0 and abs(exact.mean() - limit.mean()) < 0.02 * exact.mean() and abs(exact.std() - limit.std()) < 0.05 * exact.std()
 
 
+def one_by_one(words, chance, sweeps, rng):
+    """Mean tables of a restaurant whose customers are taken out and seated again one at a time, after as many sweeps again."""
+    (_, d), (_, theta) = pitman_yor.DISCOUNT, pitman_yor.STRENGTH
+    seats, total, seen = [[1] * 0 for _ in words], 0, []
+    for w, n in enumerate(words):
+        seats[w], total = [n], total + 1
+    for sweep in range(2 * sweeps):
+        for w, n in enumerate(words):
+            for _ in range(n):
+                at = rng.choice(len(seats[w]), p=np.array(seats[w]) / n)
+                seats[w][at] -= 1
+                if not seats[w][at]:
+                    del seats[w][at]
+                    total -= 1
+                weights = np.array([c - d for c in seats[w]] + [(theta + d * total) * chance])
+                at = rng.choice(len(weights), p=weights / weights.sum())
+                if at == len(seats[w]):
+                    seats[w].append(0)
+                    total += 1
+                seats[w][at] += 1
+        if sweep >= sweeps:
+            seen.append(total)
+    return np.mean(seen)
+
+
+@pytest.mark.parametrize(("words", "chance"), [([20] * 40, 0.01), ([5], 0.1), ([30, 10, 3, 2, 2], 0.05), ([2] * 60, 0.002)])
+def test_scans_settle_where_seating_one_by_one_does(words, chance):
+    rng, copies = np.random.default_rng(8), 60_000 // len(words)
+    want = one_by_one(words, chance, 60_000 // sum(words), rng)
+    n, k = len(words), len(words) * copies  # many restaurants alike, for their mean
+    tables = pitman_yor.swept(np.tile(words, copies), np.repeat(np.arange(copies), n), np.zeros(copies), np.full(k, chance), np.ones(k), rng, pitman_yor.SCANS * pitman_yor.SWEEPS)
+    again = pitman_yor.swept(np.tile(words, copies), np.repeat(np.arange(copies), n), np.zeros(copies), np.full(k, chance), tables, rng, 40)
+    assert abs(tables.sum() - again.sum()) < 0.02 * again.sum() and abs(again.sum() / copies - want) < 0.06 * want
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
