@@ -219,6 +219,18 @@ def total(df: DataFrame, filter=None) -> DataFrame:
     return df.filter(where(df.schema, filter)).agg(F.count(F.lit(1)).alias("total"))
 
 
+def page(df: DataFrame, key: list[str], filter=None, sort=None, skip: int = 0, limit: int = LIMIT) -> DataFrame:
+    """find() and total() in one result: the page's rows with a column total (total_, ... where df has one); a page past the
+    end has one row of nulls with the total."""
+    found = find(df, key, filter, sort, skip, limit)
+    name = "total"
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    counted = total(df, filter).withColumnRenamed("total", name)
+    ordered = sorting(df.schema, sort, key)
+    return counted.join(found, F.lit(True), "left").select(*[F.col(f"`{c}`") for c in df.columns], F.col(name)).orderBy(*ordered)
+
+
 def documents(df: DataFrame, key: list[str], pretty: bool = True, **page) -> DataFrame:
     """One page as JSON texts, indented unless told otherwise."""
     found = find(df, key, **page)

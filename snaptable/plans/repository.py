@@ -93,7 +93,7 @@ class Repository:
             read, rows = self._read(db, parent, staging)
             of_file = self.spark.createDataFrame([(c, files.uri(self.spark, p), f) for (c, p), f in read.numbers.items()], "collection string, file string, f int")
             refs = rows.join(of_file, ["collection", "file"], "left").select("collection", "id", "hash", "f")
-            self.store.write_refs(snapshot_id, refs.unionByName(self._same_refs(parent, read)) if read.same else refs)
+            self.store.write_refs(snapshot_id, refs.unionByName(self._same_refs(parent, read)) if read.same else refs, latest[0]["snapshot_id"] if latest else None)
             own = self.store.bucketed_refs(snapshot_id)
             checks.require_unique(own, ["collection", "id"], "the database")
             counted = {r["collection"]: r["n"] for r in own.groupBy("collection").agg(F.count(F.lit(1)).alias("n")).collect()}

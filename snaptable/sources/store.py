@@ -224,10 +224,13 @@ class Store:
 
     # --- refs
 
-    def write_refs(self, snapshot_id: str, refs: DataFrame) -> None:
+    def write_refs(self, snapshot_id: str, refs: DataFrame, like: str | None = None) -> None:
         """collection, id, hash (and f) of a snapshot: bucketed by key, in order of ranges of the keys' hashes, and the ranges'
-        digests. Snapshots of about one size have the same ranges and buckets."""
-        path, buckets = f"{self.path}/docrefs/snapshot_id={snapshot_id}", min(BUCKETS, 1 << (refs.count() // ROWS).bit_length())
+        digests. Ranges and buckets are those of the snapshot `like`, as long as they are of a fair size."""
+        n, path, other = refs.count(), f"{self.path}/docrefs/snapshot_id={snapshot_id}", self._digests(like) if like else None
+        buckets = min(BUCKETS, 1 << (n // ROWS).bit_length())
+        if other and other[0] // 4 <= buckets <= 4 * other[0]:
+            buckets = other[0]
         files.delete(self.spark, path)
         r = F.pmod(F.hash("collection", "id"), F.lit(buckets * RANGES))  # of this hash, buckets are the remainder by their number
         f = F.col("f") if "f" in refs.columns else F.lit(None).cast("int").alias("f")

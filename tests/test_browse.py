@@ -43,6 +43,9 @@ def test_paging(spark, df):
     assert [tuple(r) for r in page.collect()] == [(32 + 3 * i, 2) for i in range(5)]
     assert browse.find(many, ["k"], skip=1000).count() == 0
     assert browse.total(many, {"g": 1}).first().total == 100
+    whole = browse.page(many, ["k"], {"g": 1}, '{"g": -1, "k": -1}', 2, 3).collect()
+    assert [tuple(r) for r in whole] == [(298 - 3 * i, 1, 100) for i in range(2, 5)]
+    assert [tuple(r) for r in browse.page(many, ["k"], skip=1000).collect()] == [(None, None, 300)] and browse.page(many.withColumnRenamed("g", "Total"), ["k"]).columns == ["k", "Total", "total_"]
     assert '"k" : 0' in browse.documents(many, ["k"], limit=1).first().document
     with pytest.raises(BadRequest):
         browse.sorting(df.schema, '{"k": 2}', ["k"])

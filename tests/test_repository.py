@@ -327,6 +327,10 @@ def test_differences_by_ranges(spark, tmp_path, monkeypatch):
     assert diff.diff(*repo.store.differing("a", "same")).isEmpty() and "FileScan" not in plan(repo.store.differing("a", "same")[0])
     assert rows(diff.summary(diff.diff(*repo.store.differing("a", "large")))) == [("c", 1000, 0, 0)]  # other ranges: all are read
     assert rows(diff.summary(diff.diff(*repo.store.differing("a", "none")))) == [("c", 0, 0, 1000)]
+    repo.store.write_refs("near", own.unionByName(own.withColumn("id", F.concat("id", F.lit("y")))), "a")  # twice as many, laid out alike
+    assert "Exchange" not in plan(diff.diff(*repo.store.differing("a", "near"))).split("== Physical Plan ==")[1]
+    repo.store.write_refs("far", own.limit(3), "a")
+    assert rows(diff.summary(diff.diff(*repo.store.differing("a", "far")))) == [("c", 0, 0, 997)]
     assert spark.catalog.listTables() == []
 
 
