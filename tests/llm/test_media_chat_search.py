@@ -106,6 +106,23 @@ def test_rotation(spark):
     assert not [r for r in out if r.conv_id == 8] and chat.rotate(frame.limit(0)).count() == 0
 
 
+def test_crowded_turns_come_in_pieces(spark):
+    """A third of all rows has one turn number, others none; repeated rows among them, and long texts."""
+    rng = np.random.default_rng(6)
+    role = lambda: str(rng.choice(["ann", "bob", "system"]))
+    rows = [(t, role(), str(rng.integers(5)) * int(rng.integers(4))) for t in [3] * 500 + [None] * 90 + list(range(40))] + [(3, "ann", "same")] * 70 + [(5, "bob", "y" * 100_000)]
+    frame = spark.createDataFrame([("hot", *r) for r in rows] + [("small", 1, "ann", "a")], "conv_id string, turn long, role string, text string").repartition(6)
+    out = chat.rotate(frame, block=8, most=50).collect()
+    assert all(r.n_turns <= 50 for r in out) and [(r.assistant, r.part, r.piece, r.part_start) for r in out if r.conv_id == "small"] == [("ann", 0, 0, 0)]
+    for person in ("ann", "bob"):
+        own = sorted((r for r in out if r.conv_id == "hot" and r.assistant == person), key=lambda r: (r.part, r.piece))
+        text, mask = plain_rotation([r for r in rows if r[0] is None], person)
+        late, later = plain_rotation([r for r in rows if r[0] is not None], person)
+        text, mask = text + late, mask + [(a + len(text), n) for a, n in later]
+        assert "".join(r.text for r in own) == text and {(r.part, r.piece) for r in own} > {(0, k) for k in range(10)}
+        assert [(r.part_start + m.start, m.length) for r in own for m in r["mask"]] == mask
+
+
 def test_rotation_of_odd_ids(spark):
     """A null conversation is not the one called null; the participants of each stay in it. Many parts, one of them before zero."""
     rows = [("null", 0, "ann", "a"), (None, 0, "bob", "b"), ("0", 0, "cy", "c")] + [("hot", t, r, "x" * ((t or 0) % 5)) for t in (None, -3, *range(0, 60, 2)) for r in ("ann", "bob", "system")]
