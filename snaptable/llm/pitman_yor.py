@@ -50,6 +50,8 @@ BUCKET_TOKENS = 3_000_000
 CHUNK_BYTES = 26_000_000
 #: Customers up to which tables are drawn by exact weights; beyond, by their limit law.
 EXACT = 1024
+#: Customers up to which weights are products in double precision, not sums of logarithms.
+PLAIN = 24
 SCANS, SAMPLES = 3, 3
 #: Times that a bucket draws all its pairs in a scan.
 SWEEPS = 4
@@ -361,11 +363,12 @@ def drawn(c: np.ndarray, weight: np.ndarray, d: float, rng: np.random.Generator,
     if step is None:
         step, last = np.zeros(len(c)), np.ones(len(c))
     out = np.minimum(c, 1).astype(np.float64)
-    order = np.argsort(c, kind="stable")
-    order = order[np.searchsorted(c[order], 2) :]
-    known, cuts = partitions(d, EXACT), [*np.flatnonzero(np.diff(c[order], prepend=0)).tolist(), len(order)]
+    size = np.minimum(c, EXACT + 1).astype(np.uint16)  # of so few bits a stable sort takes linear time
+    order = np.argsort(size, kind="stable")
+    order = order[np.searchsorted(size[order], 2) :]
+    known, cuts = partitions(d, EXACT), [*np.flatnonzero(np.diff(size[order], prepend=0)).tolist(), len(order)]
     for a, z in zip(cuts, cuts[1:], strict=False):
-        n = int(c[order[a]])
+        n = int(size[order[a]])
         if n > EXACT:
             rows = order[a:]
             mean, variance = _limit(c[rows].astype(float), weight[rows] + step[rows] * (last[rows] - 1) / 2, d)
@@ -376,8 +379,12 @@ def drawn(c: np.ndarray, weight: np.ndarray, d: float, rng: np.random.Generator,
         some = max(1, 1_000_000 // n)
         for i in range(a, z, some):
             rows = order[i : min(i + some, z)]
-            x = known[n, 1 : n + 1] + np.cumsum(np.log(weight[rows, None] + step[rows, None] * np.arange(n)), axis=1)
-            x = np.cumsum(np.exp(x - x.max(1, keepdims=True)), axis=1)
+            factors = weight[rows, None] + step[rows, None] * np.arange(n)
+            if n <= PLAIN:
+                x = np.cumsum(np.exp(known[n, 1 : n + 1]) * np.cumprod(np.minimum(factors, 1e6), axis=1), axis=1)
+            else:
+                x = known[n, 1 : n + 1] + np.cumsum(np.log(factors), axis=1)
+                x = np.cumsum(np.exp(x - x.max(1, keepdims=True)), axis=1)
             out[rows] = 1 + (rng.random(len(rows))[:, None] * x[:, -1:] >= x).sum(1)
     return np.minimum(out, c)
 
