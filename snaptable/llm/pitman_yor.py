@@ -25,7 +25,6 @@ All that is written or sent is linear in the input: distinct pairs of chunks and
 from __future__ import annotations
 
 import functools
-import math
 import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
@@ -583,26 +582,37 @@ def _scored(table: pa.Table, parent: Parent) -> pa.Table:
     ((_, _, own),), ((_, _, places),) = r[TOKENS], r[WORDS]
     c, theta, d = Chunk.of(own, places), STRENGTH[1], DISCOUNT[1]
     customers, below, count = np.zeros(len(c.word)), np.zeros(len(c.word)), np.zeros(len(c.split))
-    tables, held = np.zeros((SAMPLES, len(c.word))), np.zeros((SAMPLES, len(c.word)))
-    served, seated = np.zeros((SAMPLES, len(c.split))), np.zeros((SAMPLES, len(c.split)))
+    kind_at, parts = np.zeros(len(c.word), np.int32), []  # places of pairs' contexts among those of their bucket
     for (bucket, part), (_, peer, x) in zip(c.runs(), r[HEARD], strict=True):
         assert bucket == peer
         kinds, at = np.unique(c.context[part], return_inverse=True)
-        customers[part], below[part], count[kinds] = x["customers"], x["below"][at], x["count"]
-        for s in range(SAMPLES):
-            held[s, part], served[s, kinds], seated[s, kinds] = x["held"][s][at], x["served"][s], x["seated"][s]
-            own_tables = np.minimum(x["customers"], 1).astype(float)
-            own_tables[x["customers"] > 1] = x["tables"][s]
-            tables[s, part] = own_tables
+        customers[part], below[part], count[kinds], kind_at[part] = x["customers"], x["below"][at], x["count"], at
+        parts.append((part, kinds, x))
     split, of_pair = c.split >= 0, c.split[c.context]
+    number, pairs = c.split[split], np.flatnonzero(of_pair >= 0)
     if split.any():
-        number, pairs = c.split[split], of_pair >= 0
         count[split], below[pairs] = parent.count[number], parent.below[of_pair[pairs]]
-        served[:, split], seated[:, split], held[:, pairs] = parent.word_served[:, number], parent.word_seated[:, number], parent.tables[:, of_pair[pairs]]
-    chance = np.zeros(len(c.word))
-    for s in range(SAMPLES):
-        word = parent.word_chance(served[s], seated[s], s)[c.word]
-        chance += (np.maximum(customers - d * tables[s], 0) + (theta + d * held[s]) * word) / (theta + below) / SAMPLES
+    below += theta
+    chance, tables, held = np.zeros(len(c.word)), np.zeros(len(c.word)), np.zeros(len(c.word))
+    for s in range(SAMPLES):  # one at a time, as chunks are large
+        served, seated = np.zeros(len(c.split)), np.zeros(len(c.split))
+        for part, kinds, x in parts:
+            held[part], served[kinds], seated[kinds] = x["held"][s][kind_at[part]], x["served"][s], x["seated"][s]
+            own_tables = np.minimum(x["customers"], 1).astype(float)
+            own_tables[x["customers"] > 1] = x["tables"][s]
+            tables[part] = own_tables
+        if split.any():
+            served[split], seated[split], held[pairs] = parent.word_served[s, number], parent.word_seated[s, number], parent.tables[s, of_pair[pairs]]
+        held *= d
+        held += theta
+        held *= parent.word_chance(served, seated, s)[c.word]
+        tables *= -d
+        tables += customers
+        held += np.maximum(tables, 0, out=tables)
+        held /= below
+        chance += held
+    chance /= SAMPLES
+    del tables, held, customers, below, kind_at, parts
     starts, base = np.cumsum(c.lengths) - c.lengths, np.log10((count + 0.5) / (parent.tokens + 0.5 * (parent.known + 1)))
     return pa.table({
         "doc_id": pa.array(own["ids"], mask=own["null"]), "held_out": ~own["train"], "n_tokens": c.lengths, "n_known": np.add.reduceat((count > 0).astype(np.int64)[c.tokens], starts),
