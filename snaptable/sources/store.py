@@ -254,7 +254,7 @@ class Store:
 
     def _bucketed(self, snapshot_id: str, buckets: int) -> DataFrame:
         """r, collection, id, hash, f of a snapshot; a join by key of two with equally many buckets needs no exchange."""
-        name, path = f"refs_{uuid.uuid4().hex}", f"{self.path}/docrefs/snapshot_id={snapshot_id}"
+        name, path = f"refs_{uuid.uuid4().hex}", f"{self.path}/docrefs/snapshot_id={snapshot_id}".replace("\\", "\\\\").replace("'", "\\'")
         self.spark.sql(f"CREATE TABLE {name} (r INT, collection STRING, id STRING, hash STRING, f INT) USING parquet CLUSTERED BY (collection, id) SORTED BY (r, collection, id) INTO {buckets} BUCKETS LOCATION '{path}'")
         try:
             return self.spark.table(name)

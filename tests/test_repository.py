@@ -314,7 +314,7 @@ def test_differences_by_ranges(spark, tmp_path, monkeypatch):
     from snaptable.sources import store as module
 
     monkeypatch.setattr(module, "ROWS", 100)
-    repo = Repository(spark, f"{tmp_path}/s", "d")
+    repo = Repository(spark, f"{tmp_path}/it's", "d")
     own = spark.range(1000).select(F.lit("c").alias("collection"), F.format_string("id%06d", "id").alias("id"), F.lit("h").alias("hash"), F.col("id").alias("n"))
     changed = own.filter("n <> 5").withColumn("hash", F.when(F.col("n") % 400 == 7, "other").otherwise(F.col("hash"))).unionByName(own.filter("n = 9").withColumn("id", F.lit("new")))
     for name, refs in (("a", own), ("b", changed), ("same", own), ("large", own.unionByName(own.withColumn("id", F.concat("id", F.lit("x"))))), ("none", own.limit(0))):
