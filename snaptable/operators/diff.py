@@ -13,9 +13,12 @@ PAGE = 500
 
 
 def diff(old: DataFrame, new: DataFrame) -> DataFrame:
-    """collection, id, change, from_hash, to_hash of what differs: one full outer join on (collection, id)."""
-    a = old.select("collection", "id", F.col("hash").alias("from_hash"))
-    b = new.select("collection", "id", F.col("hash").alias("to_hash"))
+    """collection, id, change, from_hash, to_hash of what differs: one full outer join on (collection, id). Refs in
+    buckets (which have their range r) are joined by their own columns, so equal buckets need no exchange."""
+    # Two constant names would be compared once and for all; where they differ no key is left, and every row meets every other.
+    name = F.col("collection") if "r" in old.columns and "r" in new.columns else F.concat("collection", F.coalesce(F.substring("id", 1, 0), F.lit("")))
+    a = old.select(name.alias("collection"), "id", F.col("hash").alias("from_hash"))
+    b = new.select(name.alias("collection"), "id", F.col("hash").alias("to_hash"))
     both = a.join(b, ["collection", "id"], "full_outer").filter(~F.col("from_hash").eqNullSafe(F.col("to_hash")))
     change = F.when(F.col("from_hash").isNull(), "added").when(F.col("to_hash").isNull(), "removed").otherwise("modified")
     return both.select("collection", "id", change.alias("change"), "from_hash", "to_hash")

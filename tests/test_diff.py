@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from snaptable.errors import BadRequest
 from snaptable.operators import diff
@@ -44,3 +45,10 @@ def test_many_refs(spark):
     assert diff.page(changes, "c", "removed", 10**6, 10).count() == 0
     with pytest.raises(BadRequest):
         diff.page(changes, "c", "renamed")
+
+
+def test_constant_names_that_differ_keep_a_key_to_join_by(spark):
+    old, new = (spark.range(3).select(F.lit(c).alias("collection"), F.concat(F.lit("k"), "id").alias("id"), F.lit("h").alias("hash")) for c in ("old", "new"))
+    changes = diff.diff(old, new)
+    assert "NestedLoop" not in changes._jdf.queryExecution().executedPlan().toString()
+    assert sorted(seen(changes)) == [("new", f"k{i}", "added") for i in range(3)] + [("old", f"k{i}", "removed") for i in range(3)]
