@@ -92,6 +92,7 @@ class Repository:
         try:
             read, rows = self._read(db, parent, staging)
             of_file = self.spark.createDataFrame([(c, files.uri(self.spark, p), f) for (c, p), f in read.numbers.items()], "collection string, file string, f int")
+            of_file = F.broadcast(of_file)  # a row a file; by an exchange all rows of a file would go to one task
             refs = rows.join(of_file, ["collection", "file"], "left").select("collection", "id", "hash", "f")
             self.store.write_refs(snapshot_id, refs.unionByName(self._same_refs(parent, read)) if read.same else refs, latest[0]["snapshot_id"] if latest else None)
             own = self.store.bucketed_refs(snapshot_id)

@@ -540,3 +540,11 @@ def test_periodic(spark, tmp_path, repo, monkeypatch):
     assert [r.doc_count for r in repo.log("asc").collect()] == [2, 3]
     new = [p for p, *_ in db.pin()["a"] if p not in {r.path for r in repo.files("auto-00000000").collect()}]
     assert read and max(read) <= len(new) < len(db.pin()["a"])
+
+
+def test_rows_of_a_file_do_not_go_to_one_task(spark, tmp_path, repo, monkeypatch):
+    write(spark, tmp_path / "db", a=AB)
+    plans, write_refs = [], Store.write_refs
+    monkeypatch.setattr(Store, "write_refs", lambda self, name, refs, *a: (plans.append(plan(refs).split("== Physical Plan ==")[1]), write_refs(self, name, refs, *a)))
+    repo.create(Database(spark, f"{tmp_path}/db"), snapshot_id="s1")
+    assert "hashpartitioning" not in plans[0]
