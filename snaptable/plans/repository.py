@@ -59,6 +59,18 @@ def scanned(db: Database, only: Mapping[str, Sequence[str] | None] | None = None
     return out
 
 
+def _distinct(texts: DataFrame, schemas: Mapping[str, str]) -> DataFrame:
+    """One row a hash of texts(collection, hash, ...) in which no key of a collection repeats. A text holds its key, so only
+    collections that may hold equal texts meet: those with the same fields, and with documents all."""
+    fields = {c: tuple(f["name"] for f in json.loads(s)["fields"]) if s else None for c, s in schemas.items()}
+    found = list(fields.values())
+    alike = [c for c, own in fields.items() if len(found) > 1 and (None in found or found.count(own) > 1)]
+    if not alike:
+        return texts
+    own = F.col("collection").isin(alike)
+    return texts.filter(~own).unionByName(texts.filter(own).dropDuplicates(["hash"]))
+
+
 def live_refs(db: Database) -> DataFrame:
     """Refs of the database as it is, lazily; nothing is stored and canonical texts are not kept."""
     return scanned(db).select("collection", "id", "hash")
@@ -176,7 +188,12 @@ class Repository:
     def _new_batch(self, db: Database, read: Read, rows: DataFrame, base: State, staging: str, snapshot_id: str) -> dict[str, int]:
         """Stage the objects of rows(collection, id, hash, file) that are not stored."""
         if not base.objects and not read.same:
-            return self.store.stage(scanned(db, read.new(), read.schemas).dropDuplicates(["hash"]), snapshot_id)
+            texts = scanned(db, read.new(), read.schemas)
+            batch = self.store.stage(_distinct(texts, read.schemas), snapshot_id)
+            if db.pin() == read.pinned:
+                return batch
+            self.store.unstage(batch)  # files have changed, in which keys may repeat
+            return self.store.stage(texts.dropDuplicates(["hash"]), snapshot_id)
         new = rows.join(self.store.hashes(base), "hash", "left_anti").groupBy("hash").agg(F.min(F.struct("collection", "file")).alias("at"))
         new.select("hash", "at.collection", "at.file").write.parquet(staging)
         new = self.spark.read.schema("hash string, collection string, file string").parquet(staging)
@@ -186,7 +203,7 @@ class Repository:
             only.setdefault(r["collection"], []).append(paths.get((r["collection"], r["file"]), r["file"]))
         if not only:
             return {}
-        texts = scanned(db, {c: sorted(own) for c, own in only.items()}, read.schemas).join(new, ["hash", "collection", "file"], "left_semi")
+        texts = scanned(db, {c: sorted(own) for c, own in only.items()}, read.schemas).join(new, "hash", "left_semi")  # by hash alone, as duplicates are dropped by it
         return self.store.stage(texts.dropDuplicates(["hash"]), snapshot_id)
 
     def files(self, text: str, live: Database | None = None) -> DataFrame:
@@ -299,12 +316,17 @@ class Repository:
     def _texts(self, snapshot: Row, names: Sequence[str], path: str) -> DataFrame:
         """collection, canonical of the snapshot's rows in these collections, written by collection: one join of its refs
         with the objects, however many collections there are. Rows that are not stored are an error."""
-        refs = self.store.refs(snapshot["snapshot_id"]).filter(F.col("collection").isin(*names))
-        refs.join(self.store.objects(), "hash", "left").select("collection", "id", "canonical").write.partitionBy("collection").parquet(path)
-        texts = self.spark.read.schema("id string, canonical string, collection string").parquet(path)
-        missing = texts.filter("canonical is null").select("id").limit(3).collect()
-        if missing:
-            raise MissingObjects(f"rows are not stored, among them {', '.join(r['id'] for r in missing)}")
+        refs, objects = self.store.refs(snapshot["snapshot_id"]).filter(F.col("collection").isin(*names)), self.store.objects()
+        found = refs.select("collection", "hash").join(objects, "hash", "left").select("collection", "canonical")
+        if len(names) == 1:  # nothing to sort by
+            found.select("canonical").write.parquet(path)
+            texts = self.spark.read.schema("canonical string").parquet(path).withColumn("collection", F.lit(names[0]))
+        else:
+            found.write.partitionBy("collection").parquet(path)
+            texts = self.spark.read.schema("canonical string, collection string").parquet(path)
+        if not texts.filter("canonical is null").isEmpty():
+            checks.require_complete(refs, objects)
+            raise MissingObjects(f"rows of {snapshot['snapshot_id']} were not stored while they were read")
         return texts
 
     # --- garbage collection

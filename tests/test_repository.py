@@ -548,3 +548,25 @@ def test_rows_of_a_file_do_not_go_to_one_task(spark, tmp_path, repo, monkeypatch
     monkeypatch.setattr(Store, "write_refs", lambda self, name, refs, *a: (plans.append(plan(refs).split("== Physical Plan ==")[1]), write_refs(self, name, refs, *a)))
     repo.create(Database(spark, f"{tmp_path}/db"), snapshot_id="s1")
     assert "hashpartitioning" not in plans[0]
+
+
+def test_texts_of_a_first_snapshot_are_not_exchanged(spark, tmp_path, repo, monkeypatch):
+    plans, stage = [], Store.stage
+    monkeypatch.setattr(Store, "stage", lambda self, objects, batch: (plans.append(plan(objects).split("== Physical Plan ==")[1]), stage(self, objects, batch))[1])
+    one = write(spark, tmp_path / "one", a=AB, b=([(1, 2)], "k int, n int"))
+    assert repo.create(one, snapshot_id="s1").new_objects == 3 and "Exchange" not in plans[-1]
+    # Tables with the same fields, and documents, may share rows.
+    two, texts = write(spark, tmp_path / "two", a=AB, b=AB, c=([(1,)], "n int")), f"{tmp_path}/two/d.json"
+    other = Repository(spark, f"{tmp_path}/store2", "d")
+    assert other.create(two, snapshot_id="s1").new_objects == 3 and "Exchange" in plans[-1]
+    spark.createDataFrame([('{"_id": 1}',), ('{"n": 1, "_id": 2}',)], "value string").write.text(texts)
+    two = Database(spark, two.path)
+    both = Repository(spark, f"{tmp_path}/store3", "d")
+    assert both.create(two, snapshot_id="s1").new_objects == 5
+    assert both.store.objects().count() == 5 == both.store.hashes().distinct().count()
+    target = Database(spark, f"{tmp_path}/target")
+    both.restore("s1", target)
+    assert all(rows(target.read(c)) == rows(two.read(c)) for c in "abc")
+    single = Database(spark, f"{tmp_path}/single")
+    both.restore("s1", single, "b")
+    assert rows(single.read("b")) == rows(two.read("b"))
