@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from ..errors import BadRequest, MissingObjects, NotFound
 from ..functions.canon import decoded
-from ..functions.json_text import plain_document
+from ..functions.json_text import document_key, plain_document
 from ..operators import checks, diff, history, mutate
 from ..sources import files
 from ..sources.database import UNREADABLE, Database, write
@@ -291,8 +291,9 @@ class Repository:
                         raise BadRequest(f"{name} is of JSON documents on one side only")
                     merge = mutate.insert if mode == "insert" else mutate.upsert
                     if schema == "":
-                        keyed = [mutate.keyed_documents(d, key) for d in (target.documents(name), own)]
-                        own = merge(*keyed, ["id"]).select("document")
+                        # Keys of canonical texts, as documents that come from them would only give the same again.
+                        keyed = texts.filter(F.col("collection") == name).select(plain_document(F.col("canonical")).alias("document"), document_key(F.col("canonical"), key).alias("id"))
+                        own = merge(mutate.keyed_documents(target.documents(name), key), keyed, ["id"]).select("document")
                     else:
                         own = merge(target.read(name), own, key)
                 write(own, f"{staging}/tables/{name}", schema)

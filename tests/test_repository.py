@@ -570,3 +570,14 @@ def test_texts_of_a_first_snapshot_are_not_exchanged(spark, tmp_path, repo, monk
     single = Database(spark, f"{tmp_path}/single")
     both.restore("s1", single, "b")
     assert rows(single.read("b")) == rows(two.read("b"))
+
+
+def test_restored_documents_are_not_parsed_again_for_their_keys(spark, tmp_path, repo, monkeypatch):
+    for name, lines in (("db", ['{"_id": 1, "n": 2.5}', '{"_id": {"$oid": "5f"}}']), ("target", ['{"_id":1}', '{"_id":3}'])):
+        spark.createDataFrame([(x,) for x in lines], "value string").write.text(f"{tmp_path}/{name}/d.json")
+    repo.create(Database(spark, f"{tmp_path}/db"), snapshot_id="s1")
+    parsed, keyed = [], mutate.keyed_documents
+    monkeypatch.setattr(mutate, "keyed_documents", lambda *a: (parsed.append(a), keyed(*a))[1])
+    target = Database(spark, f"{tmp_path}/target")
+    repo.restore("s1", target, mode="upsert")
+    assert len(parsed) == 1 and rows(target.documents("d")) == [('{"_id":1,"n":2.5}',), ('{"_id":3}',), ('{"_id":{"$oid":"5f"}}',)]
