@@ -123,11 +123,11 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
         fs, root = pafs.FileSystem.from_uri(folder)
         fs.create_dir(root, recursive=True)
         names = [f"{kind}-{shard:06d}-{own}.arrows" for kind in ("tokens", "places")]
-        for batch in (x for b in batches for x in batch_blocks(b, rows=2_000)):
+        for batch in (x for b in batches for x in batch_blocks(b, size=8_000_000, rows=10_000)):
             if seqs is None:
                 out, side = (fs.open_output_stream(f"{root}/{x}") for x in names)
                 seqs, places = SequenceWriter(out, enc.dtype, length, rows), pa.ipc.new_stream(side, PLACES)
-            found = [np.append(np.frombuffer(x, enc.dtype), enc.dtype.type(end_id)) for x in enc.encode(batch.column("text").to_pylist())]
+            found = [np.append(np.frombuffer(x, enc.dtype), enc.dtype.type(end_id)) for x in enc.encode(batch.column("text"))]
             for x in found:
                 seqs.add(x)
             n = np.array([len(x) for x in found], np.int64)

@@ -43,6 +43,28 @@ def test_random_texts_encode_like_wholes(texts):
         e.memo = {"": b""}  # the next texts meet parts as new ones again
 
 
+class Counted(dict):
+    """A dict that counts how often it is asked."""
+
+    asked = 0
+
+    def __getitem__(self, key):
+        self.asked += 1
+        return super().__getitem__(key)
+
+    def get(self, key, default=None):
+        self.asked += 1
+        return super().get(key, default)
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_a_part_is_looked_up_once_for_all_texts(name):
+    e, texts = Encoder(P.path(name), FILES[name]), ["it's a b Été\u00a0x " * 500, None, "a <|endoftext|>", "b a"] * 3
+    e.memo = Counted(e.memo)
+    assert [np.frombuffer(x, e.dtype).tolist() for x in e.encode(texts)] == [whole(name, t) for t in texts]
+    assert e.memo.asked <= 20
+
+
 def frame(spark, rows=ROWS):
     return spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, shard string")
 
