@@ -25,9 +25,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 2
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer, cut)
-        for batch in (x for b in batches for x in batch_blocks(b, rows=2_000)):
+        for batch in (x for b in batches for x in batch_blocks(b, size=8_000_000, rows=10_000)):
             rows: list[tuple] = []
-            for doc_id, x in zip(batch.column("doc_id").to_pylist(), enc.encode(batch.column("text").to_pylist()), strict=True):
+            for doc_id, x in zip(batch.column("doc_id").to_pylist(), enc.encode(batch.column("text")), strict=True):
                 ids = np.append(np.frombuffer(x, enc.dtype), enc.dtype.type(end_id)).astype("<u4")
                 cuts = [0, *range(len(ids) % capacity or capacity, len(ids), capacity), len(ids)]
                 rows += [(doc_id, k, a, b - a, zlib.crc32(ids[a:b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]

@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -65,6 +66,16 @@ def test_a_part_is_looked_up_once_for_all_texts(name):
     assert e.memo.asked <= 20
 
 
+def test_a_column_is_cut_before_runs_of_white_space():
+    texts = [" lead", "a  b\n\nc", "", "a\u00a0b c", "a\r\nb", "x\u2003 y", "a\0 b", "!\x1c !", "z "]
+    cut = cut_before_spaces(pa.array(texts, pa.large_string())).to_pylist()
+    assert ["".join(x) for x in cut] == texts
+    assert [[p for p in x if p] for x in cut] == [[" lead"], ["a", "  b", "\n\nc"], [], ["a\u00a0b", " c"], ["a", "\r\nb"], ["x", "\u2003 y"], ["a\0 b"], ["!\x1c !"], ["z", " "]]
+    for name, own in FILES.items():
+        e = Encoder(P.path(name), own)
+        assert [np.frombuffer(x, e.dtype).tolist() for x in e.encode(pa.array(["skipped", *texts, None]).slice(1))] == [whole(name, t) for t in [*texts, None]]
+
+
 def frame(spark, rows=ROWS):
     return spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, shard string")
 
